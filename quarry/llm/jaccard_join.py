@@ -9,7 +9,8 @@ similarity reaches the threshold, and the operator returns the connected compone
 2. A set of n shingles that overlaps another in at least T = ceil(t n) shares at least l shingles with
    it in the first n - T + l of the order. Each node takes the l whose estimated cost, postings plus
    verifications, is least, and lists its prefix; two nodes are candidates only if they share
-   min(l1, l2) listed shingles and their sizes allow the threshold.
+   min(l1, l2) listed shingles and their sizes allow the threshold. Asking for more lengthens every list
+   a little and leaves out pairs that merely share a passage.
 3. Candidates are verified on the whole sets. First only each posting list's smallest node against the
    others: that joins large groups of near copies with a linear number of pairs. Then every candidate
    pair whose two nodes are still in different components; pairs inside one cannot change it.
@@ -34,14 +35,16 @@ from quarry.llm import hashing as H
 from quarry.llm.common import connected, cut, drop_cut, table
 
 #: A shingle is reported as recurring by a batch of rows that has it in so many texts.
-LOCAL_DF = 6
+LOCAL_DF = 3
 #: At most so many recurring shingles (those with the highest counts) order the prefixes: 1 MB for each worker.
 ORDERED = 1 << 16
 #: Bits of the filter of nodes to verify; if more nodes fill it up, it only filters less.
 FILTER_BITS = 1 << 25
-MOST_MATCHES = 4
-#: Verifying a candidate costs about as much as so many postings.
-VERIFY_COST = 16.0
+MOST_MATCHES = 16
+#: Verifying a candidate ships two whole sets and costs about as much as so many postings.
+VERIFY_COST = 300.0
+#: Expected other texts with a shingle that is not among the ordered ones.
+RARE_DF = 0.02
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -105,10 +108,10 @@ def prefix_of(grams: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarr
     least = -(-percent * n // 100)
     order = np.lexsort((grams, df)) if df.any() else np.argsort(grams, kind="stable")
     base, most = n - least, min(MOST_MATCHES, least)
-    postings = np.cumsum(np.maximum(df[order[: base + most]] - 1, 0).astype(float))
+    postings = np.cumsum(np.maximum(df[order[: base + most]] - 1, RARE_DF))
     ask = np.arange(1, most + 1)
     need = postings[base : base + most]
-    take = int(ask[np.argmin(need + VERIFY_COST * need / ask)])
+    take = int(ask[np.argmin(ask + need + VERIFY_COST * need / ask)])
     return grams[order[: base + take]], take
 
 
@@ -215,18 +218,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, n int, ask byte")
     by_gram = Window.partitionBy("gram")
-    live = postings.withColumn("lead", F.min("node").over(by_gram)).withColumn("last", F.max("node").over(by_gram))
-    live = cut(live.where("lead <> last").select("gram", "node", "n", "ask", "lead"), "postings")
+    live = postings.withColumn("lead", F.min(F.struct("node", "n", "ask")).over(by_gram)).withColumn("last", F.max("node").over(by_gram))
+    live = cut(live.where("lead.node <> last"), "postings")
     sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
     fits = "100 * least(a.n, b.n) >= {0} * greatest(a.n, b.n)".format(percent)
 
-    first = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-    first = first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-    first = cut(first.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    first = live.where("node <> lead.node and 100 * least(n, lead.n) >= {0} * greatest(n, lead.n)".format(percent))
+    first = first.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("got"), F.first(F.least("ask", "lead.ask")).alias("ask"))
+    first = cut(first.where("got >= ask").select("a", "b"), "pairs")
     links = _verified(texts, first, k, percent)
     roots = cut(connected(links), "roots")
 
-    placed = live.drop("lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = live.select("gram", "node", "n", "ask").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.withColumn("low", F.min("root").over(by_gram)).withColumn("high", F.max("root").over(by_gram))
     placed = cut(placed.where("low <> high").drop("low", "high").distinct(), "apart")
     pairs = placed.alias("a").join(placed.alias("b"), F.expr(f"a.gram = b.gram and a.node < b.node and a.root <> b.root and {fits}"))
