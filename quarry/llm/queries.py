@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join
+from quarry.llm import jaccard_join, packing
 
 
 def queries() -> dict:
     return {
+        "op10_best_fit_packing": packing.op10,
         "op9_ngram_jaccard_join": jaccard_join.op9,
     }
 
