@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,16 @@ from quarry.llm.common import cut, table
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 GROUP = 32768
-#: Words remembered by a worker, in two generations.
-REMEMBER = 200_000
+#: Words remembered by a worker, in each of two generations.
+REMEMBER = 300_000
 _BLOCK = 1 << 20
-_LETTERS_AND_MARKS = re.compile(rb"([^\x00-\x40\[-`{-\x7f]+)([!,.:;?|]+)")
 _BLANK = re.compile(rb"[\t-\r ]")
+#: ASCII marks between a letter and a blank are a pre-token of their own: set apart, they need no entry for each word.
+_MARKS = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-/:-@[-`{-~]+(?=[\t-\r ]|\Z)")
 
 
-class WordIds(dict):
-    """Bytes of a word -> its ids as little-endian 32-bit numbers.
+class WordIds:
+    """Ids of whole texts, word by word.
 
     The tokenizer drops white space and no pre-token spans it, so a text's ids are its words' ids. Words of
     plain letters are one pre-token that normalization only lower-cases: these go to the BPE model directly.
@@ -45,59 +47,58 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__()
+        self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(self) >= REMEMBER:
-            self.old = dict(self)
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
 
     def encode(self, word: bytes) -> bytes:
         if word.isalpha():
-            return _packed(t.id for t in self.model.tokenize(word.lower().decode()))
+            return array("I", [t.id for t in self.model.tokenize(word.lower().decode())]).tobytes()
         text = word.decode()
-        if _plain(text):
-            return _packed(t.id for t in self.model.tokenize(self.bytewise.pre_tokenize_str(text.lower())[0][0]))
-        parts = _LETTERS_AND_MARKS.fullmatch(word)
-        if parts and _plain(parts[1].decode()):
-            return self[parts[1]] + self[parts[2]]
-        return _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:  # the latter lower-cases to a letter and a mark
+            return array("I", [t.id for t in self.model.tokenize(text.lower().translate(self.as_bytes))]).tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not in the newer generation; long ones aren't kept."""
+        found = {}
+        if len(self.new) >= REMEMBER:
+            self.old, self.new = self.new, {}
+        for word in words:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = self.encode(word)
+            found[word] = ids
+            if len(word) <= 64:
+                self.new[word] = ids
+        return found
 
     def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text, without the closing 0."""
+        """The ids of a whole text, without the closing 0, as little-endian 32-bit numbers."""
         data = (text or "").encode()
-        if (text or "").isascii() and b"<|" not in data:
-            data = data.lower()
+        if b"<|" not in data:
+            if (text or "").isascii():
+                data = data.lower()
+            data = _MARKS.sub(rb" \g<0>", data)
         at, out = 0, []
         while at < len(data):
             stop = at + _BLOCK
             if stop < len(data):
                 blank = _BLANK.search(data, stop)
                 stop = blank.start() if blank else len(data)
-            out.append(b"".join(map(self.__getitem__, data[at:stop].split())))
+            words = data[at:stop].split()
+            got = list(map(self.new.get, words))
+            if None in got:
+                more = self.learn({w for w, g in zip(words, got, strict=True) if g is None})
+                got = [more[w] if g is None else g for w, g in zip(words, got, strict=True)]
+            out.append(b"".join(got))
             at = stop
         return b"".join(out)
 
 
-def _plain(text: str) -> bool:
-    """Latin letters only, none of which lower-cases to a letter and a mark."""
-    return text.isalpha() and max(text) < "ɐ" and "İ" not in text
-
-
-def _packed(ids) -> bytes:
-    return np.fromiter(ids, "<u4").tobytes()
-
-
 _known: dict[str, WordIds] = {}
 
 
