@@ -9,10 +9,11 @@ similarity reaches the threshold, and the operator returns the connected compone
 2. A set of n shingles that overlaps another in at least T = ceil(t n) shares at least l shingles with
    it in the first n - T + l of the order. Each node takes the l whose estimated cost, postings plus
    verifications, is least, and lists its prefix; two nodes are candidates only if they share
-   min(l1, l2) listed shingles and their sizes allow the threshold. Asking for more lengthens every list
+   min(l1, l2) listed shingles, and as many more as their sizes call for. The smaller set of a pair is found by
+   a still shorter part of its list (see prefix_of). Asking for more lengthens every list
    a little and leaves out pairs that merely share a passage.
-3. Candidates are verified on the whole sets. First only each posting list's smallest node against the
-   others: that joins large groups of near copies with a linear number of pairs. Then every candidate
+3. Candidates are verified on the whole sets. First, in turns, one node of each posting list against
+   the others: that joins large groups of near copies with a linear number of pairs. Then every candidate
    pair whose two nodes are still in different components; pairs inside one cannot change it.
 
 Nulls and texts without words have an empty set, link with nothing and are their own component.
@@ -45,6 +46,10 @@ MOST_MATCHES = 16
 VERIFY_COST = 300.0
 #: Expected other texts with a shingle that is not among the ordered ones.
 RARE_DF = 0.02
+#: Leads that a node is held against in a turn; turns end when the pairs left are few for the postings, or hardly fewer.
+LEADS = 2
+ENOUGH = 1.0
+MOST_TURNS = 6
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,24 +107,28 @@ def _census(k: int):
     return run
 
 
-def prefix_of(grams: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix that a node lists and how many shared shingles it asks for."""
+def prefix_of(grams: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """What a node lists, how many shared shingles it asks for, and how many of the list may find larger sets.
+
+    A partner of at least the same size overlaps in 2t / (1 + t) n shingles or more, so the smaller set of a
+    pair needs only that shorter part of its list; the larger one needs all of it.
+    """
     n = len(grams)
-    least = -(-percent * n // 100)
+    least, least_up = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
     order = np.lexsort((grams, df)) if df.any() else np.argsort(grams, kind="stable")
-    base, most = n - least, min(MOST_MATCHES, least)
+    base, most = n - least_up, min(MOST_MATCHES, least)
     postings = np.cumsum(np.maximum(df[order[: base + most]] - 1, RARE_DF))
     ask = np.arange(1, most + 1)
     need = postings[base : base + most]
     take = int(ask[np.argmin(ask + need + VERIFY_COST * need / ask)])
-    return grams[order[: base + take]], take
+    return grams[order[: n - least + take]], take, base + take
 
 
 def _postings(k: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = frequent.value
         seen: set[int] = set()
-        names = ["gram", "node", "n", "ask"]
+        names = ["gram", "node", "n", "ask", "up"]
         for batch in batches:
             for _, grams, bounds in _sets(batch.column(0), k):
                 nodes = _nodes(grams, bounds)
@@ -135,9 +144,9 @@ def _postings(k: int, percent: int, frequent):
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(node)
-                    prefix, ask = prefix_of(grams[a:b], df[a:b], percent)
+                    prefix, ask, up = prefix_of(grams[a:b], df[a:b], percent)
                     lists.append(prefix)
-                    rows.append((node, b - a, ask, len(prefix)))
+                    rows.append((node, b - a, ask, len(prefix), up))
                 if rows:
                     r = np.array(rows, np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -146,6 +155,7 @@ def _postings(k: int, percent: int, frequent):
                             pa.array(np.repeat(r[:, 0], r[:, 3])),
                             pa.array(np.repeat(r[:, 1], r[:, 3]).astype(np.int32)),
                             pa.array(np.repeat(r[:, 2], r[:, 3]).astype(np.int8)),
+                            pa.array(np.concatenate([np.arange(m) < up for m, up in zip(r[:, 3], r[:, 4], strict=True)])),
                         ],
                         names=names,
                     )
@@ -204,6 +214,56 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return links
 
 
+def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root) of all nodes that link, from the posting lists with more than one node."""
+    by_gram = Window.partitionBy("gram")
+    apart = live.withColumn("root", F.col("node"))
+    links = roots = tried = None
+    before = None
+    for turn in range(MOST_TURNS):
+        per_root = apart.groupBy("gram", "root").agg(F.count("*").alias("m"), F.count_if("up").alias("up"))
+        per_gram = per_root.groupBy("gram").agg(F.sum("m").alias("m"), F.sum("up").alias("up"), F.sum(F.col("m") * F.col("up")).alias("own"))
+        todo = per_gram.agg(F.sum(F.expr("m * up - own")).alias("pairs"), F.sum("m").alias("rows")).first()
+        if not todo["pairs"] or todo["pairs"] <= ENOUGH * todo["rows"] or (before and todo["pairs"] > 0.7 * before):
+            break
+        before = todo["pairs"]
+        # a list's lead against the others of the list, but for each node only the leads it shares most lists with
+        lead = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).over(by_gram)
+        star = apart.withColumn("lead", lead).where("root <> lead.root and 100 * least(n, lead.n) >= {0} * greatest(n, lead.n)".format(percent))
+        star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("got"))
+        best = Window.partitionBy("node").orderBy(F.desc("got"), F.xxhash64("lead", F.lit(turn)))
+        pairs = star.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADS)
+        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = _verified(texts, pairs, k, percent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        roots = cut(connected(links), "roots")
+        apart = _apart(live, roots)
+    small, large = apart.where("up").alias("a"), apart.alias("b")
+    larger = "(a.n < b.n or (a.n = b.n and a.node < b.node))"
+    pairs = small.join(large, F.expr(f"a.gram = b.gram and a.root <> b.root and {larger} and 100 * a.n >= {percent} * b.n"))
+    # shared shingles beyond what both list lie after the earlier end of the two lists
+    up, pc = f"-floor(-{2 * percent} * a.n / {100 + percent})", f"-floor(-{percent} * (a.n + b.n) / {100 + percent})"
+    beyond = f"greatest({up} - a.ask, -floor(-{percent} * b.n / 100) - b.ask)"
+    need = F.expr(f"greatest(least(a.ask, b.ask), {pc} - {beyond})")
+    pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("got"), F.first(need).alias("need"))
+    pairs = pairs.where("got >= need").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if roots is None or not pairs.isEmpty():
+        found = _verified(texts, pairs, k, percent)
+        roots = cut(connected(found if links is None else links.unionByName(found)), "roots")
+    return roots
+
+
+def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The posting lists that still have nodes of different components."""
+    by_gram = Window.partitionBy("gram")
+    placed = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.withColumn("low", F.min("root").over(by_gram)).withColumn("high", F.max("root").over(by_gram))
+    return cut(placed.where("low <> high").drop("low", "high").distinct(), "apart")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module's text for method and edge cases."""
     spark = docs.sparkSession
@@ -216,32 +276,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], weight[order]))
 
-    postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, n int, ask byte")
+    postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, n int, ask byte, up boolean")
     by_gram = Window.partitionBy("gram")
-    live = postings.withColumn("lead", F.min(F.struct("node", "n", "ask")).over(by_gram)).withColumn("last", F.max("node").over(by_gram))
-    live = cut(live.where("lead.node <> last"), "postings")
-    sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
-    fits = "100 * least(a.n, b.n) >= {0} * greatest(a.n, b.n)".format(percent)
-
-    first = live.where("node <> lead.node and 100 * least(n, lead.n) >= {0} * greatest(n, lead.n)".format(percent))
-    first = first.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("got"), F.first(F.least("ask", "lead.ask")).alias("ask"))
-    first = cut(first.where("got >= ask").select("a", "b"), "pairs")
-    links = _verified(texts, first, k, percent)
-    roots = cut(connected(links), "roots")
-
-    placed = live.select("gram", "node", "n", "ask").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.withColumn("low", F.min("root").over(by_gram)).withColumn("high", F.max("root").over(by_gram))
-    placed = cut(placed.where("low <> high").drop("low", "high").distinct(), "apart")
-    pairs = placed.alias("a").join(placed.alias("b"), F.expr(f"a.gram = b.gram and a.node < b.node and a.root <> b.root and {fits}"))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.least("a.ask", "b.ask").alias("ask"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.first("ask").alias("ask")).where("got >= ask").select("a", "b")
-    second = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        drop_cut(roots)
-        roots = cut(connected(links.unionByName(_verified(texts, second, k, percent))), "roots")
-    for done in (live, first, placed, second):
-        drop_cut(done)
-    frequent.unpersist()
+    live = postings.withColumn("low", F.min("node").over(by_gram)).withColumn("high", F.max("node").over(by_gram))
+    live = live.withColumn("any_up", F.max("up").over(by_gram)).where("low <> high and any_up")
+    live = cut(live.drop("low", "high", "any_up"), "postings")
+    sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
+    roots = _linked(texts, live, k, percent)
 
     classes = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
