@@ -12,9 +12,10 @@ similarity reaches the threshold, and the operator returns the connected compone
    min(l1, l2) listed shingles, and as many more as their sizes call for. The smaller set of a pair is found by
    a still shorter part of its list (see prefix_of). Asking for more lengthens every list
    a little and leaves out pairs that merely share a passage.
-3. Candidates are verified on the whole sets. First, in turns, one node of each posting list against
-   the others: that joins large groups of near copies with a linear number of pairs. Then every candidate
-   pair whose two nodes are still in different components; pairs inside one cannot change it.
+3. Candidates are verified on the whole sets. First one node of each posting list against the others,
+   which joins large groups of near copies with a linear number of pairs. Then every candidate pair
+   whose two nodes are still in different components; pairs inside one cannot change it. Where a list
+   is crowded with such pairs, its nodes meet block against block on whole sets instead, without a row a pair.
 
 Nulls and texts without words have an empty set, link with nothing and are their own component.
 Repeated rows come back once each. Rows whose doc_id is null still belong to their class; a component
@@ -46,10 +47,11 @@ MOST_MATCHES = 16
 VERIFY_COST = 300.0
 #: Expected other texts with a shingle that is not among the ordered ones.
 RARE_DF = 0.02
-#: Leads that a node is held against in a turn; turns end when the pairs left are few for the postings, or hardly fewer.
+#: Leads that a node is held against before all others.
 LEADS = 2
-ENOUGH = 1.0
-MOST_TURNS = 6
+#: A list with more open pairs than so many a node is crowded.
+CROWD = 24
+SIDE = 512
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -217,43 +219,114 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that link, from the posting lists with more than one node."""
     by_gram = Window.partitionBy("gram")
-    apart = live.withColumn("root", F.col("node"))
-    links = roots = tried = None
-    before = None
-    for turn in range(MOST_TURNS):
-        per_root = apart.groupBy("gram", "root").agg(F.count("*").alias("m"), F.count_if("up").alias("up"))
-        per_gram = per_root.groupBy("gram").agg(F.sum("m").alias("m"), F.sum("up").alias("up"), F.sum(F.col("m") * F.col("up")).alias("own"))
-        todo = per_gram.agg(F.sum(F.expr("m * up - own")).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not todo["pairs"] or todo["pairs"] <= ENOUGH * todo["rows"] or (before and todo["pairs"] > 0.7 * before):
-            break
-        before = todo["pairs"]
-        # a list's lead against the others of the list, but for each node only the leads it shares most lists with
-        lead = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).over(by_gram)
-        star = apart.withColumn("lead", lead).where("root <> lead.root and 100 * least(n, lead.n) >= {0} * greatest(n, lead.n)".format(percent))
-        star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("got"))
-        best = Window.partitionBy("node").orderBy(F.desc("got"), F.xxhash64("lead", F.lit(turn)))
-        pairs = star.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADS)
-        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = _verified(texts, pairs, k, percent)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = cut(connected(links), "roots")
-        apart = _apart(live, roots)
-    small, large = apart.where("up").alias("a"), apart.alias("b")
+    # a list's lead against the others of the list, but for each node only the leads it shares most lists with
+    star = live.withColumn("lead", F.min_by(F.struct("node", "n"), F.xxhash64("node")).over(by_gram))
+    star = star.where(f"node <> lead.node and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
+    star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("got"))
+    best = Window.partitionBy("node").orderBy(F.desc("got"), F.xxhash64("lead"))
+    first = star.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADS)
+    first = cut(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
+    links = _verified(texts, first, k, percent)
+    roots = cut(connected(links), "roots")
+
+    apart = _apart(live, roots)
+    per_root = apart.groupBy("gram", "root").agg(F.count("*").alias("m"), F.count_if("up").alias("up"))
+    per_gram = per_root.groupBy("gram").agg(F.sum("m").alias("m"), F.sum("up").alias("up"), F.sum(F.col("m") * F.col("up")).alias("own"))
+    crowded = per_gram.where(F.expr(f"m * up - own > {CROWD} * m")).select("gram")
+    crowd = cut(apart.join(crowded, "gram"), "crowd")
+    sparse = apart.join(crowd.select("gram").distinct(), "gram", "left_anti")
+
+    small, large = sparse.where("up").alias("a"), sparse.alias("b")
     larger = "(a.n < b.n or (a.n = b.n and a.node < b.node))"
     pairs = small.join(large, F.expr(f"a.gram = b.gram and a.root <> b.root and {larger} and 100 * a.n >= {percent} * b.n"))
-    # shared shingles beyond what both list lie after the earlier end of the two lists
-    up, pc = f"-floor(-{2 * percent} * a.n / {100 + percent})", f"-floor(-{percent} * (a.n + b.n) / {100 + percent})"
-    beyond = f"greatest({up} - a.ask, -floor(-{percent} * b.n / 100) - b.ask)"
-    need = F.expr(f"greatest(least(a.ask, b.ask), {pc} - {beyond})")
-    pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("got"), F.first(need).alias("need"))
-    pairs = pairs.where("got >= need").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if roots is None or not pairs.isEmpty():
-        found = _verified(texts, pairs, k, percent)
-        roots = cut(connected(found if links is None else links.unionByName(found)), "roots")
-    return roots
+    pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), F.least("a.ask", "b.ask").alias("ask"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.first("ask").alias("ask"))
+    pairs = pairs.where("got >= ask").select("a", "b")  # a pair on a crowded list is held against each other there
+    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = []
+    if not pairs.isEmpty():
+        more.append(_verified(texts, pairs, k, percent))
+    if not crowd.isEmpty():
+        more.append(_crowded(texts, crowd, k, percent))
+    for found in more:
+        links = links.unionByName(found)
+    return cut(connected(links), "roots") if more else roots
+
+
+def _crowded(texts: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among nodes on crowded lists, block against block on whole sets, without a row for each pair.
+
+    Nodes that lists tie together form a cloud, cut into blocks of SIDE nodes by component and size. Two blocks
+    meet unless both are of the same component or too different in size; a meeting returns only the links that
+    join components.
+    """
+    spark = texts.sparkSession
+    ties = crowd.select(F.min("node").over(Window.partitionBy("gram")).alias("a"), F.col("node").alias("b")).distinct()
+    clouds = connected(ties).withColumnRenamed("root", "cloud")
+    members = crowd.select("node", "n", "root").distinct().join(clouds, "node")
+    place = F.row_number().over(Window.partitionBy("cloud").orderBy("root", "n", "node")) - 1
+    members = cut(members.withColumn("block", F.floor(place / SIDE).cast("long")), "crowd")
+    blocks = members.groupBy("cloud", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    a, b = blocks.alias("a"), blocks.alias("b")
+    meet = a.join(b, F.expr(
+        f"a.cloud = b.cloud and a.block <= b.block and not (a.low = b.high and a.high = b.low) and 100 * a.most >= {percent} * b.least and 100 * b.most >= {percent} * a.least"
+    ))
+    sides = meet.select(
+        F.xxhash64("a.cloud", "a.block", "b.block").alias("task"),
+        F.col("a.cloud").alias("cloud"),
+        F.explode(F.expr("array(struct(a.block as block, 0 as side), struct(b.block as block, 1 as side))")).alias("s"),
+    ).select("task", "cloud", "s.block", "s.side")
+    bits = spark.sparkContext.broadcast(_filter_bits(members))
+    sets = texts.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"])
+    dealt = members.join(sets, "node").join(sides, ["cloud", "block"]).select("task", "side", "node", "root", "grams")
+    links = cut(dealt.groupBy("task").applyInArrow(_meeting(percent), "a long, b long"), "verified")
+    bits.unpersist()
+    return links
+
+
+def _meeting(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side, node, root = (rows[c].to_numpy() for c in ("side", "node", "root"))
+        grams = rows["grams"].chunk(0) if rows["grams"].num_chunks else pa.array([], pa.list_(pa.int64()))
+        bounds = grams.offsets.to_numpy()
+        _, token, often = np.unique(grams.values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True, return_counts=True)
+        size = np.diff(bounds)
+        owner = np.repeat(np.arange(len(size)), size)
+        shared = often[token] > 1
+        rank = np.cumsum(often > 1) - 1
+        owner, token = owner[shared], rank[token[shared]]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        width = 4096
+        for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+            i, j = np.searchsorted(token, [at, at + width])
+            part = np.zeros((len(size), width), np.float32)
+            part[owner[i:j], token[i:j] - at] = 1
+            common += part[left] @ part[right].T
+        reach = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        reach &= root[left][:, None] != root[right][None, :]
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(reach), strict=True):
+            x, y = top(int(root[left[i]])), top(int(root[right[j]]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(node[left[i]]), int(node[right[j]])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:

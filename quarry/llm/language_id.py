@@ -198,6 +198,20 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     return rows.mapInArrow(_judge(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _known_only(filters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = filters.value.decide(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x != "und" and s > 0 for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, filters: Filters) -> DataFrame:
+    """The rows whose text is in a learned language: not `und`, and some n-gram is known."""
+    return docs.mapInArrow(_known_only(docs.sparkSession.sparkContext.broadcast(filters)), docs.schema)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(labelled_part(docs)))

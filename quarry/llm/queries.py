@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join, packing
+from quarry.llm import jaccard_join, language_id, mixing, packing, pii
+from quarry.llm.common import ship
+
+
+def _shipped(query):
+    def run(spark, sf_dir: str):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
-        "op10_best_fit_packing": packing.op10,
-        "op9_ngram_jaccard_join": jaccard_join.op9,
-    }
+    return {name: _shipped(query) for name, query in _QUERIES.items()}
+
+
+_QUERIES = {
+    "op5_pii_semi_markov": pii.op5,
+    "op6_language_id": language_id.op6,
+    "op8_mix_sources": mixing.op8,
+    "op10_best_fit_packing": packing.op10,
+    "op9_ngram_jaccard_join": jaccard_join.op9,
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_mix_sources": mixing.ORACLE,
+    }
