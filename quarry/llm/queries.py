@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join, language_id, mixing, packing, pii
+from quarry.llm import jaccard_join, language_id, mixing, packing, pii, quality, url_filter
 from quarry.llm.common import ship
 
 
@@ -19,8 +19,10 @@ def queries() -> dict:
 
 
 _QUERIES = {
+    "op2_quality_rules": quality.op2,
     "op5_pii_semi_markov": pii.op5,
     "op6_language_id": language_id.op6,
+    "op7_url_filter": url_filter.op7,
     "op8_mix_sources": mixing.op8,
     "op10_best_fit_packing": packing.op10,
     "op9_ngram_jaccard_join": jaccard_join.op9,
