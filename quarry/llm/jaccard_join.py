@@ -51,7 +51,7 @@ RARE_DF = 0.02
 LEADS = 2
 #: A list with more open pairs than so many a node is crowded.
 CROWD = 24
-SIDE = 512
+SIDE = 1024
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -232,7 +232,7 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
     apart = _apart(live, roots)
     per_root = apart.groupBy("gram", "root").agg(F.count("*").alias("m"), F.count_if("up").alias("up"))
     per_gram = per_root.groupBy("gram").agg(F.sum("m").alias("m"), F.sum("up").alias("up"), F.sum(F.col("m") * F.col("up")).alias("own"))
-    crowded = per_gram.where(F.expr(f"m * up - own > {CROWD} * m")).select("gram")
+    crowded = per_gram.where(F.expr(f"m * up - own > {CROWD} * m")).select("gram", "m")
     crowd = cut(apart.join(crowded, "gram"), "crowd")
     sparse = apart.join(crowd.select("gram").distinct(), "gram", "left_anti")
 
@@ -256,31 +256,25 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
 def _crowded(texts: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among nodes on crowded lists, block against block on whole sets, without a row for each pair.
 
-    Nodes that lists tie together form a cloud, cut into blocks of SIDE nodes by component and size. Two blocks
-    meet unless both are of the same component or too different in size; a meeting returns only the links that
-    join components.
+    A node goes by its most crowded list; the nodes of a list are cut into blocks of SIDE by component and size. Two
+    blocks meet if a crowded list has nodes of both, unless all are of one component or too different in
+    size; a meeting returns only the links that join components.
     """
     spark = texts.sparkSession
-    ties = crowd.select(F.min("node").over(Window.partitionBy("gram")).alias("a"), F.col("node").alias("b")).distinct()
-    clouds = connected(ties).withColumnRenamed("root", "cloud")
-    members = crowd.select("node", "n", "root").distinct().join(clouds, "node")
-    place = F.row_number().over(Window.partitionBy("cloud").orderBy("root", "n", "node")) - 1
-    members = cut(members.withColumn("block", F.floor(place / SIDE).cast("long")), "crowd")
-    blocks = members.groupBy("cloud", "block").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    a, b = blocks.alias("a"), blocks.alias("b")
-    meet = a.join(b, F.expr(
-        f"a.cloud = b.cloud and a.block <= b.block and not (a.low = b.high and a.high = b.low) and 100 * a.most >= {percent} * b.least and 100 * b.most >= {percent} * a.least"
-    ))
-    sides = meet.select(
-        F.xxhash64("a.cloud", "a.block", "b.block").alias("task"),
-        F.col("a.cloud").alias("cloud"),
-        F.explode(F.expr("array(struct(a.block as block, 0 as side), struct(b.block as block, 1 as side))")).alias("s"),
-    ).select("task", "cloud", "s.block", "s.side")
+    members = crowd.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max(F.struct("m", "gram"))["gram"].alias("key"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("root", "n", "node")) - 1
+    members = cut(members.withColumn("block", F.xxhash64("key", F.floor(place / SIDE))), "crowd")
+    blocks = members.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    on = crowd.join(members.select("node", "block"), "node").select("gram", "block").distinct()
+    both = on.alias("a").join(on.alias("b"), F.expr("a.gram = b.gram and a.block <= b.block")).select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
+    meet = both.join(blocks.select(*[F.col(c).alias(f"{c}_a") for c in blocks.columns]), F.expr("a = block_a"))
+    meet = meet.join(blocks.select(*[F.col(c).alias(f"{c}_b") for c in blocks.columns]), F.expr("b = block_b"))
+    meet = meet.where(f"not (low_a = high_b and high_a = low_b) and 100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a")
+    sides = meet.select(F.xxhash64("a", "b").alias("task"), F.explode(F.expr("array(struct(a as block, 0 as side), struct(b as block, 1 as side))")).alias("s"))
+    sides = sides.select("task", "s.block", "s.side")
     bits = spark.sparkContext.broadcast(_filter_bits(members))
     sets = texts.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"])
-    dealt = members.join(sets, "node").join(sides, ["cloud", "block"]).select("task", "side", "node", "root", "grams")
+    dealt = members.join(sets, "node").join(sides, "block").select("task", "side", "node", "root", "grams")
     links = cut(dealt.groupBy("task").applyInArrow(_meeting(percent), "a long, b long"), "verified")
     bits.unpersist()
     return links
