@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join, language_id, mixing, packing, pii, quality, url_filter
+from quarry.llm import jaccard_join, language_id, mixing, packing, pii, quality, secrets, sharding, url_filter
 from quarry.llm.common import ship
 
 
@@ -19,7 +19,9 @@ def queries() -> dict:
 
 
 _QUERIES = {
+    "op1_sharding": sharding.op1,
     "op2_quality_rules": quality.op2,
+    "op3_secret_scan": secrets.op3,
     "op5_pii_semi_markov": pii.op5,
     "op6_language_id": language_id.op6,
     "op7_url_filter": url_filter.op7,

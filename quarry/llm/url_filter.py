@@ -21,7 +21,7 @@ LABELLED = 10_000
 # fixed values: the rules, as verdict and host and path
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # fixed values: parts of the labelled urls
-_BAD_HOSTS = ("ads-track", "ads", "adserver", "tracker", "click-track", "banner-ads", "casino-win", "xxx-cams", "free-pills", "spamlink", "popads", "bet-slots")
+_BAD_HOSTS = ("ads-track", "ads", "adserver", "tracker", "click-track", "banner-ads", "casino-win", "xxx-cams", "free-pills", "spam-links", "link-farm", "popads", "bets-online", "free-bonus")
 _GOOD_HOSTS = ("news", "docs", "blog", "library", "wiki", "museum", "university", "therha", "ontion", "www", "schule", "revista", "research", "weather")
 _BAD_PATHS = ("click?id=9", "banner/728x90", "track/pixel.gif", "win-now/bonus", "ad?slot=4", "popup/promo", "slots/free-spins", "cheap-pills", "adult/cams")
 _GOOD_PATHS = ("en/40021", "fr/1204.html", "de/artikel/12", "es/8811?page=2", "about", "index.html", "2021/05/report", "docs/guide", "en/1#top", "feed?utm_source=feed")
