@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join, language_id, mixing, packing, pii, quality, secrets, sharding, url_filter
+from quarry.llm import jaccard_join, language_id, lattice_dedup, mixing, packing, pii, quality, secrets, sharding, url_filter
 from quarry.llm.common import ship
 
 
@@ -22,6 +22,7 @@ _QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_quality_rules": quality.op2,
     "op3_secret_scan": secrets.op3,
+    "op4_lattice_dedup": lattice_dedup.op4,
     "op5_pii_semi_markov": pii.op5,
     "op6_language_id": language_id.op6,
     "op7_url_filter": url_filter.op7,
