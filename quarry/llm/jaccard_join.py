@@ -37,9 +37,9 @@ from quarry.llm import hashing as H
 from quarry.llm.common import connected, cut, drop_cut, table
 
 #: A shingle is reported as recurring by a batch of rows that has it in so many texts.
-LOCAL_DF = 3
-#: At most so many recurring shingles (those with the highest counts) order the prefixes: 1 MB for each worker.
-ORDERED = 1 << 16
+LOCAL_DF = 2
+#: At most so many recurring shingles (those with the highest counts) order the prefixes: 4 MB for each worker.
+ORDERED = 1 << 18
 #: Bits of the filter of nodes to verify; if more nodes fill it up, it only filters less.
 FILTER_BITS = 1 << 25
 MOST_MATCHES = 16
