@@ -32,7 +32,6 @@ CAP = 3
 BLOCK = 64
 SHARD = 1 << 18
 SEED = "mix-1"
-_ALL = Window.partitionBy()
 
 
 def _hash60(key: Column, part: int) -> Column:
@@ -42,16 +41,17 @@ def _hash60(key: Column, part: int) -> Column:
 
 def _targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> with weight and target."""
-    total, cap = F.sum("source_size").over(_ALL), F.lit(CAP) * F.col("source_size")
+    everything = Window.partitionBy()
+    total, cap = F.sum("source_size").over(everything), F.lit(CAP) * F.col("source_size")
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     pick = (F.row_number().over(by_name) - 1) % len(WEIGHTS)
     weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (pick + 1).cast("int"))).withColumn("total", total)
     by_level = Window.orderBy(F.col("source_size") * CAP / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum(cap).over(before), F.lit(0))) / (F.sum("weight").over(_ALL) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    level = (F.col("total") - F.coalesce(F.sum(cap).over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     leveled = weighed.withColumn("level", level).withColumn("place", F.row_number().over(by_level))
     leveled = leveled.withColumn("full", cap <= F.col("weight") * F.col("level"))
-    first = F.min(F.when(~F.col("full"), F.struct("place", "level"))).over(_ALL)
+    first = F.min(F.when(~F.col("full"), F.struct("place", "level"))).over(everything)
     leveled = leveled.withColumn("first", first)
     full = F.col("first").isNull() | (F.col("place") < F.col("first.place"))
     target = F.when(full, cap.cast("double")).otherwise(F.col("weight") * F.col("first.level"))
