@@ -38,7 +38,7 @@ from quarry.llm.common import connected, cut, drop_cut, table
 
 #: A shingle is reported as recurring by a batch of rows that has it in so many texts.
 LOCAL_DF = 2
-#: At most so many recurring shingles (those with the highest counts) order the prefixes: 4 MB for each worker.
+#: At most so many recurring shingles (the levels with the highest counts) order the prefixes: 4 MB for each worker.
 ORDERED = 1 << 18
 #: Bits of the filter of nodes to verify; if more nodes fill it up, it only filters less.
 FILTER_BITS = 1 << 25
@@ -331,15 +331,31 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(placed.where("low <> high").drop("low", "high").distinct(), "apart")
 
 
+def _ordered(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles with the highest counts, ORDERED at most: all from the level down to which they fit.
+
+    Only a histogram of levels and then these shingles reach the driver.
+    """
+    leveled = cut(often.withColumn("level", F.floor(F.log2("df") * 8)), "recurring")
+    taken, least = 0, None
+    for r in sorted(leveled.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        if taken + r["n"] > ORDERED:
+            break
+        taken, least = taken + r["n"], r["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = leveled.where(F.col("level") >= least).select("gram", "df").toArrow()
+    drop_cut(leveled)
+    return rows["gram"].to_numpy().astype(np.int64).astype(np.uint64), rows["df"].to_numpy().astype(np.int64)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module's text for method and edge cases."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     census = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_census(k), _CENSUS), "census")
     rows = census.where("node is not null").select("doc_id", "n_shingles", "node")
-    often = census.where("node is null").groupBy("gram").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "gram").limit(ORDERED).collect()
-    known = np.array([r["gram"] for r in often], np.int64).astype(np.uint64)
-    weight = np.array([r["df"] for r in often], np.int64)
+    known, weight = _ordered(census.where("node is null").groupBy("gram").agg(F.sum("df").alias("df")))
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], weight[order]))
 
