@@ -16,7 +16,7 @@ def canonical(frame):
     cols = sorted(frame.columns)
 
     def cell(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) == "<NA>" or v != v:
             return "null"
         return f"{v:.6f}" if isinstance(v, float) else str(int(v)) if isinstance(v, (int, bool)) else str(v)
 
