@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -60,6 +61,15 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which finished shuffles nothing refers to; Spark then deletes their files.
+
+    It would on its own at the next garbage collection, which a driver with little to do may put off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, also where body uses it in inner lambdas."""
     return F.transform(F.array(value), body).getItem(0)

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.llm import hashing as H
-from quarry.llm.common import connected, cut, drop_cut, table
+from quarry.llm.common import connected, cut, drop_cut, release, table
 
 #: A shingle is reported as recurring by a batch of rows that has it in so many texts.
 LOCAL_DF = 2
@@ -212,12 +212,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     reached = F.lit(100) * shared >= F.lit(percent) * (F.size("ga") + F.size("gb") - shared)
     links = cut(both.where(reached).select("a", "b"), "verified")
     drop_cut(sets)
-    bits.unpersist()
+    bits.destroy()
     return links
 
 
 def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that link, from the posting lists with more than one node."""
+    spark = live.sparkSession
+    release(spark)
     by_gram = Window.partitionBy("gram")
     # a list's lead against the others of the list, but for each node only the leads it shares most lists with
     star = live.withColumn("lead", F.min_by(F.struct("node", "n"), F.xxhash64("node")).over(by_gram))
@@ -228,6 +230,7 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
     first = cut(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
     links = _verified(texts, first, k, percent)
     roots = cut(connected(links), "roots")
+    release(spark)
 
     apart = _apart(live, roots)
     per_root = apart.groupBy("gram", "root").agg(F.count("*").alias("m"), F.count_if("up").alias("up"))
@@ -239,14 +242,19 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
     small, large = sparse.where("up").alias("a"), sparse.alias("b")
     larger = "(a.n < b.n or (a.n = b.n and a.node < b.node))"
     pairs = small.join(large, F.expr(f"a.gram = b.gram and a.root <> b.root and {larger} and 100 * a.n >= {percent} * b.n"))
-    pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), F.least("a.ask", "b.ask").alias("ask"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.first("ask").alias("ask"))
-    pairs = pairs.where("got >= ask").select("a", "b")  # a pair on a crowded list is held against each other there
+    # shingles that the two share beyond what their lists show lie after the earlier end of the lists
+    beyond = f"greatest(ceil({2 * percent} * a.n / {100 + percent}) - a.ask, ceil({percent} * b.n / 100) - b.ask)"
+    need = F.expr(f"greatest(least(a.ask, b.ask), ceil({percent} * (a.n + b.n) / {100 + percent}) - {beyond})")
+    pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("got"), F.first(need).alias("need"))
+    # a pair on a crowded list is held against each other there
+    pairs = pairs.where("got >= need").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     more = []
     if not pairs.isEmpty():
+        release(spark)
         more.append(_verified(texts, pairs, k, percent))
     if not crowd.isEmpty():
+        release(spark)
         more.append(_crowded(texts, crowd, k, percent))
     for found in more:
         links = links.unionByName(found)
@@ -361,11 +369,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, n int, ask byte, up boolean")
     by_gram = Window.partitionBy("gram")
-    live = postings.withColumn("low", F.min("node").over(by_gram)).withColumn("high", F.max("node").over(by_gram))
-    live = live.withColumn("any_up", F.max("up").over(by_gram)).where("low <> high and any_up")
-    live = cut(live.drop("low", "high", "any_up"), "postings")
+    lists = postings.withColumn("low", F.min("node").over(by_gram)).withColumn("high", F.max("node").over(by_gram))
+    lists = lists.withColumn("any_up", F.max("up").over(by_gram)).where("low <> high and any_up")
+    live = cut(lists.drop("low", "high", "any_up"), "postings")
     sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
+    del postings, lists  # so that their shuffle files can go
     roots = _linked(texts, live, k, percent)
+    release(spark)
 
     classes = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
