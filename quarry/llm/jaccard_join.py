@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.llm import hashing as H
-from quarry.llm.common import connected, cut, drop_cut, release, table
+from quarry.llm.common import connected, cut, drop_cut, release, table, trim
 
 #: A shingle is reported as recurring by a batch of rows that has it in so many texts.
 LOCAL_DF = 2
@@ -105,6 +105,8 @@ def _census(k: int):
             if often.any():
                 none = pa.nulls(int(often.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.array(grams[begin[often]].astype(np.int64)), pa.array(df[often].astype(np.int64))], schema=schema)
+            del grams, begin, df, often
+        trim()
 
     return run
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, drop_cut, table
+from quarry.llm.common import cut, drop_cut, table, trim
 from quarry.llm.hashing import mix
 
 SLOT_BITS = 20
@@ -32,7 +32,7 @@ MIN_SHARE = 1 / 20_000
 KEEP_RATIO = 0.25
 FILTER_BITS = 18
 PROBES = 3
-_BLOCK = 1 << 20  # characters
+_BLOCK = 1 << 18  # characters
 
 _letters: list[np.ndarray] = []
 
@@ -105,6 +105,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, counts in totals.items():
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["lang", "slot", "n"])
+    del totals
+    trim()
 
 
 class Filters:
@@ -203,6 +205,7 @@ def _known_only(filters):
         for batch in batches:
             lang, score = filters.value.decide(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != "und" and s > 0 for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+        trim()
 
     return run
 

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, table, trim
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 GROUP = 32768
 #: Words remembered by a worker, in each of two generations.
-REMEMBER = 300_000
+REMEMBER = 160_000
 _BLOCK = 1 << 20
 _BLANK = re.compile(rb"[\t-\r ]")
 #: ASCII marks between a letter and a blank are a pre-token of their own: set apart, they need no entry for each word.
@@ -126,6 +126,7 @@ def _pieces(path: str | None, capacity: int):
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return run
 
