@@ -4,7 +4,8 @@ The lexer walks over every `=`, `:`, `:=` or `=>` of a text, reads the name befo
 header or key) and the value after it (quoted, also joined with +, or bare up to a blank), and so
 turns source and configuration into name-literal pairs. A value that is itself a name stands for
 the literal assigned to that name, through chains and in either order; the literal then also answers to the
-names it is passed on to. Literals are scored by the most sensitive of their names and by their make-up
+names it is passed on to. A bare value that could be a name is one if the text assigns to it or calls it, or if it has no
+digit; else it is a literal, as in .env files, YAML and properties. Literals are scored by the most sensitive of their names and by their make-up
 (length, kinds of characters, entropy, placeholders); those that reach SCORE are added as spans
 beside the base ones, unless they touch one. Base spans stay.
 
@@ -40,7 +41,7 @@ _NAMES = {
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|null|none|true|false|changeme|change[-_ ]me|example.*|placeholder|your[-_ ].*|<.*>|\$\{.*\}|%.*%|todo|test|dummy|redacted)$")
 SCORE = 6
 _OPERATOR = re.compile(r":=|=>|[:=](?![:=])")
-_NAME = re.compile(r"""(?:\b(?:export|set|let|var|const|final|static|String|str)\s+)*([A-Za-z_$][A-Za-z0-9_.$-]{0,63})["'\])]{0,3}(?:\s*:\s*[A-Za-z_]{1,20})?[ \t]{0,8}\Z""")
+_NAME = re.compile(r"""(?:\b(?:export|set|let|var|const|final|static|String|str)\s+)*([A-Za-z_$][A-Za-z0-9_.$-]{0,63})["'\])]{0,3}(?:[ \t]*:[ \t]*[A-Za-z_]{1,20})?[ \t]{0,8}\Z""")
 _VALUE = re.compile(r"""[ \t]{0,8}(?:"([^"\n\\]{1,400})"|'([^'\n\\]{1,400})'|`([^`\n]{1,400})`|([A-Za-z0-9+/_.$~=-]{1,400}))""")
 _MORE = re.compile(r"""[ \t]{0,4}\+[ \t]{0,4}(?:"([^"\n\\]{1,400})"|'([^'\n\\]{1,400})')""")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]{0,63}\Z")
@@ -97,8 +98,9 @@ def lexed(text: str) -> list[tuple[int, int]]:
         if bare and _IDENTIFIER.match(value):
             names.setdefault(value, set()).add(name)
     out = []
+    assigned = {name for name, *_ in found}
     for name, value, start, end, bare in found:
-        if bare and (value in names or _IDENTIFIER.match(value) and not any(c.isdigit() for c in value)):
+        if bare and _IDENTIFIER.match(value) and (value in assigned or text[end : end + 1] == "(" or not any(c.isdigit() for c in value)):
             continue  # a name, not a literal
         every, todo = {name}, [name]
         while todo:

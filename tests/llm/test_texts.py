@@ -239,6 +239,16 @@ def test_the_lexer_follows_names():
         assert found(clean) == []
 
 
+def test_the_lexer_finds_bare_literals():
+    found = lambda t: [t[a:b] for a, k, b in secrets.all_spans(t)[1] if k == 3]
+    assert found("HOST=db1\nDB_PWD=Qx7kP2mZr9tLw4Bn\n") == ["Qx7kP2mZr9tLw4Bn"]
+    assert found("db:\n  passphrase: hR83kd02mmQz\n") == ["hR83kd02mmQz"]
+    assert found("aws.access_key = Zk39dkfj3kd9sQ1x") == ["Zk39dkfj3kd9sQ1x"]
+    assert found('part_2b = "s3cr3tV@lue99"\ndb_pwd = part_2b') == ["s3cr3tV@lue99"]
+    for clean in ("part_2b = read()\ndb_pwd = part_2b", "db_pwd = decrypt_aes256(x)", "db_pwd = settings.database"):
+        assert found(clean) == []
+
+
 def test_quality_counts(rows, docs):
     got = {r.doc_id: r for r in quality.judge(docs, [0.0] * quality.BUCKETS).collect()}
     for doc_id, text, *_ in rows:
