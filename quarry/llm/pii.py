@@ -3,12 +3,13 @@
 The base patterns are matched leftmost and non-overlapping per kind; the forms below find the same matches
 as the plain patterns but can't go quadratic on long runs. The field then scores whole candidate
 segments (digit counts, grouping, check digits, the words before, what touches the span) around every
-digit or at sign, and bounded dynamic programming picks boundaries and kinds jointly. Segments it
-finds beside the base ones (phone numbers without +, spelled at signs) are added; base spans stay.
+digit, at sign or spelled at sign, and bounded dynamic programming picks boundaries and kinds jointly. Segments it
+finds beside the base ones (phone numbers without +, spelled at signs) are added; base spans stay. An address in the
+spelled form, as in name [at] host.org or name(at)host.org, is added even if the field passes over it.
 Its weights are learned here, by exact likelihood gradients on generated lines with a fixed seed.
 
 A null text counts as empty. Spans are code points, end exclusive. Very long texts are decoded in
-overlapping windows around the digits, so memory is bounded. Extra columns are ignored and repeated
+overlapping windows around these, so memory is bounded. Extra columns are ignored and repeated
 rows are judged one by one.
 """
 
@@ -92,6 +93,7 @@ MOST_CHARS = 80
 WINDOW, OVERLAP, CONTEXT, GAP = 2000, 200, 40, 16
 _UNIT = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _HIT = re.compile(r"[0-9@]+")
+_MARKER = re.compile(r"[\[(]\s?[Aa][Tt]\s?[\])]")
 _JOINTS = (" ", ".", "-")
 _LABELS = len(KINDS) + 1  # label 0 is outside
 # fixed values: words before a span that name its kind
@@ -100,7 +102,7 @@ _CUES = {
     "email": 0, "mail": 0, "e": 0, "write": 0, "contact": 0, "ip": 1, "host": 1, "address": 1, "server": 1,
     "card": 2, "visa": 2, "credit": 2, "karte": 2, "tarjeta": 2, "carte": 2,
 }
-_SPELLED_AT = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_SPELLED_AT = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[(]\s?[Aa][Tt]\s?[\])]\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _GROUPED = re.compile(r"\+?[0-9]{0,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,5})(?:[ .-][0-9]{2,5}){1,4}")
 
 
@@ -355,11 +357,40 @@ def _windows(text: str) -> Iterator[tuple[int, int, int]]:
         yield max(0, begin - CONTEXT), min(len(text), last + CONTEXT), last + 1
 
 
+def _spelled(text: str, model: Field) -> Iterator[Span]:
+    """Addresses around spelled at signs, each decoded with room for the longest segment on both sides.
+
+    Where the field leaves such a sign out (no words around it, or a segment beyond its bounds), the address is what
+    matches the spelled form as a whole.
+    """
+    free = 0
+    for m in _MARKER.finditer(text):
+        a = max(0, m.start() - MOST_CHARS - CONTEXT)
+        decoded = model.decode(text[a : m.end() + MOST_CHARS + CONTEXT])
+        found = [(a + s, a + e) for kind, s, e in decoded if kind == 0 and a + s < m.start() and m.end() < a + e]
+        if not found:
+            end = m.start() - text[m.start() - 1 : m.start()].isspace()
+            start = end
+            while start > free and text[start - 1] in _LOCAL_CHAR:
+                start -= 1
+            while start < end and not text[start].isalnum():
+                start += 1
+            tail = _DOMAIN.match(text, m.end() + text[m.end() : m.end() + 1].isspace())
+            found = [(start, tail.end())] if start < end and tail else []
+        for s, e in found:
+            yield 0, s, e
+        free = m.end()
+
+
 def all_spans(text: str, model: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by kind, then start."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     extra: list[Span] = []
+    for kind, s, e in _spelled(text, model):
+        if not any(x < e and s < y for x, y in taken):
+            extra.append((kind, s, e))
+            taken.append((s, e))
     for a, b, before in _windows(text):
         for kind, s, e in model.decode(text[a:b]):
             if a + s < before and not any(x < a + e and a + s < y for x, y in taken):

@@ -165,6 +165,20 @@ def test_the_field_finds_what_it_learned_and_leaves_other_numbers():
         assert pii.all_spans(clean, field)[1] == []
 
 
+def test_spelled_addresses_need_no_digit_nearby():
+    found = lambda t: [t[a:b] for k, a, b in pii.all_spans(t, pii.field())[1] if k == 0]
+    long = "first.middle.last_name-of-department(at)mail.some-long-host.example.com"
+    for text, want in (
+        ("write to jane.doe [at] example.com", ["jane.doe [at] example.com"]), ("jane.doe(at)example.com", ["jane.doe(at)example.com"]),
+        ("In room 12: jane.doe [AT] example.com.", ["jane.doe [AT] example.com"]), ("word " * 60 + f"to {long}, " + "word " * 60, [long]),
+        ("jane.doe [at] example.com and joe_b(at)example.org.", ["jane.doe [at] example.com", "joe_b(at)example.org"]),
+    ):
+        assert found(text) == want
+        assert all(w not in pii.mask(text, pii.all_spans(text, pii.field())[1]) for w in want)
+    for clean in ("the price (at) closing", "a [at] b", "jane.doe\n\n(at)\n\nexample.com", "(at)example.com"):
+        assert found(clean) == []
+
+
 def test_field_gradient_is_exact():
     f = pii.Field()
     lines = pii.training_lines(3, 6)
