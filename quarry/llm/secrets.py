@@ -7,10 +7,11 @@ the literal assigned to that name, through chains and in either order; the liter
 names it is passed on to. A bare value that could be a name is one if the text assigns to it or calls it, or if it has no
 digit; else it is a literal, as in .env files, YAML and properties. Literals are scored by the most sensitive of their names and by their make-up
 (length, kinds of characters, entropy, placeholders); those that reach SCORE are added as spans
-beside the base ones, unless they touch one. Base spans stay.
+beside the base ones, unless they touch one. Base spans stay. Values have no greatest length: quoted ones are read to
+their closing quote, escapes included, and bare ones to the end of their run.
 
-A null text counts as empty. Spans are code points, end exclusive. All scans are linear: names and values are read
-within fixed lengths of their operator. Repeated rows are judged one by one; extra columns are ignored.
+A null text counts as empty. Spans are code points, end exclusive. All scans are linear: names are read
+within a fixed length before their operator, and no character is read for two values of the same quotes or run. Repeated rows are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +39,13 @@ _NAMES = {
     "auth": 2, "authorization": 3, "bearer": 3, "signing": 2, "key": 2, "private": 2, "api": 1, "access": 1, "salt": 1, "cookie": 1, "session": 1,
     "public": -3, "name": -2, "path": -3, "file": -3, "url": -2, "length": -3, "count": -3, "size": -3, "id": -1, "type": -2, "policy": -3, "hint": -3, "primary": -3, "foreign": -3,
 }
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|null|none|true|false|changeme|change[-_ ]me|example.*|placeholder|your[-_ ].*|<.*>|\$\{.*\}|%.*%|todo|test|dummy|redacted)$")
+_PLACEHOLDER = re.compile(r"(?i)(?:x+|\*+|\.+|null|none|true|false|changeme|change[-_ ]me|example.*|placeholder|your[-_ ].*|<.*>|\$\{.*\}|%.*%|todo|test|dummy|redacted)$")
 SCORE = 6
 _OPERATOR = re.compile(r":=|=>|[:=](?![:=])")
 _NAME = re.compile(r"""(?:\b(?:export|set|let|var|const|final|static|String|str)\s+)*([A-Za-z_$][A-Za-z0-9_.$-]{0,63})["'\])]{0,3}(?:[ \t]*:[ \t]*[A-Za-z_]{1,20})?[ \t]{0,8}\Z""")
-_VALUE = re.compile(r"""[ \t]{0,8}(?:"([^"\n\\]{1,400})"|'([^'\n\\]{1,400})'|`([^`\n]{1,400})`|([A-Za-z0-9+/_.$~=-]{1,400}))""")
-_MORE = re.compile(r"""[ \t]{0,4}\+[ \t]{0,4}(?:"([^"\n\\]{1,400})"|'([^'\n\\]{1,400})')""")
+_QUOTED = r""""((?:[^"\n\\]|\\[^\n])++)"|'((?:[^'\n\\]|\\[^\n])++|[^'\n]++)'"""
+_VALUE = re.compile(rf"""[ \t]{{0,8}}(?:{_QUOTED}|`((?:[^`\n\\]|\\[^\n])++|[^`\n]++)`|([A-Za-z0-9+/_.$~=-]++))""")
+_MORE = re.compile(rf"[ \t]{{0,4}}\+[ \t]{{0,4}}(?:{_QUOTED})")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]{0,63}\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -66,26 +68,46 @@ def name_score(name: str) -> int:
 
 
 def literal_score(value: str) -> int:
-    if _PLACEHOLDER.match(value) or len(value) < 6:
+    return -9 if _PLACEHOLDER.match(value) else make_up(Counter(value))
+
+
+def make_up(chars: Counter[str]) -> int:
+    """The part of a literal's score that hangs on how often it has each character."""
+    n = chars.total()
+    if n < 6:
         return -9
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return (n >= 8) + (n >= 16) + (entropy >= 2.8) + (entropy >= 3.6) + (kinds >= 2) + (kinds >= 3) - 3 * any(c.isspace() for c in value) - 2 * (kinds < 2)
+    entropy = -sum(c / n * math.log2(c / n) for c in chars.values())
+    kinds = sum(any(map(f, chars)) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in chars)
+    return (n >= 8) + (n >= 16) + (entropy >= 2.8) + (entropy >= 3.6) + (kinds >= 2) + (kinds >= 3) - 3 * any(c.isspace() for c in chars) - 2 * (kinds < 2)
+
 
+def pairs_of(text: str) -> Iterator[tuple[str, str | None, int, int]]:
+    """(name, value, start, end) of every assignment; a bare value is None and stands from start to end.
 
-def pairs_of(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, is the value bare) of every assignment."""
+    A run of bare characters may hold many assignments, whose values all end where it does: its end is sought once.
+    """
+    stop = 0  # end of the last bare run
     for op in _OPERATOR.finditer(text):
         name = _NAME.search(text, max(0, op.start() - 96), op.start())
-        value = _VALUE.match(text, op.end(), op.end() + 420) if name else None
+        if not name:
+            continue
+        if op.end() < stop:
+            yield name[1], None, op.end(), stop
+            continue
+        value = _VALUE.match(text, op.end())
         if not value:
             continue
         k = value.lastindex
-        start, end, body = value.start(k), value.end(k), value[k]
-        while k < 4 and (more := _MORE.match(text, end + 1, end + 420)):
-            body, end = body + more[more.lastindex], more.end(more.lastindex)
-        yield name[1], body, start, end, k == 4
+        start, end = value.span(k)
+        if k == 4:
+            stop = end
+            yield name[1], None, start, end
+            continue
+        body = [value[k]]
+        while more := _MORE.match(text, end + 1):
+            body.append(more[more.lastindex])
+            end = more.end(more.lastindex)
+        yield name[1], "".join(body), start, end
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
@@ -94,14 +116,18 @@ def lexed(text: str) -> list[tuple[int, int]]:
         return []
     found = list(pairs_of(text))
     names: dict[str, set[str]] = {}  # what a name is passed on to
-    for name, value, _, _, bare in found:
-        if bare and _IDENTIFIER.match(value):
-            names.setdefault(value, set()).add(name)
-    out = []
     assigned = {name for name, *_ in found}
-    for name, value, start, end, bare in found:
-        if bare and _IDENTIFIER.match(value) and (value in assigned or text[end : end + 1] == "(" or not any(c.isdigit() for c in value)):
-            continue  # a name, not a literal
+    literals = []
+    for name, value, start, end in found:
+        if value is None and _IDENTIFIER.match(text, start, end):
+            word = text[start:end]
+            names.setdefault(word, set()).add(name)
+            if word in assigned or text[end : end + 1] == "(" or not any(c.isdigit() for c in word):
+                continue  # a name, not a literal
+        literals.append((name, value, start, end))
+    out = []
+    chars, low, high = Counter(), 0, 0  # of a bare run, from the last value looked at
+    for name, value, start, end in reversed(literals):
         every, todo = {name}, [name]
         while todo:
             for x in names.get(todo.pop(), ()):
@@ -109,9 +135,19 @@ def lexed(text: str) -> list[tuple[int, int]]:
                     every.add(x)
                     todo.append(x)
         best = max(map(name_score, every))
-        if best >= 2 and best + literal_score(value) >= SCORE:
+        if best < 2:
+            continue
+        if value is not None:
+            score = literal_score(value)
+        else:
+            if end != high:
+                chars, low, high = Counter(), end, end
+            chars.update(text[start:low])
+            low = start
+            score = -9 if _PLACEHOLDER.match(text, start, end) else make_up(chars)
+        if best + score >= SCORE:
             out.append((start, end))
-    return out
+    return out[::-1]
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -263,6 +263,17 @@ def test_the_lexer_finds_bare_literals():
         assert found(clean) == []
 
 
+def test_the_lexer_reads_values_of_any_length():
+    found = lambda t: [t[a:b] for a, k, b in secrets.all_spans(t)[1] if k == 3]
+    r = random.Random(6)
+    body = "".join(r.choice("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/") for _ in range(1600)) + "7="
+    pem = r"-----BEGIN PRIVATE KEY-----\n" + body + r"\n-----END PRIVATE KEY-----\n"
+    assert found('{"type": "service_account", "private_key": "' + pem + '", "id": 3}') == [pem]
+    assert found(f"export SIGNING_KEY={body}\nPORT=80") == [body] and found(f"db_pwd = '{body}' + '{body}'") == [f"{body}' + '{body}"]
+    assert found(r'db_pwd = "hunt\"er2\\!X9z"') == [r"hunt\"er2\\!X9z"] and found(r"db_pwd = 'D:\hunter2!X9\'") == [r"D:\hunter2!X9\\"[:-1]]
+    assert found("pass=" * 40000) == [] and found('db_pwd = "' + body) == []
+
+
 def test_quality_counts(rows, docs):
     got = {r.doc_id: r for r in quality.judge(docs, [0.0] * quality.BUCKETS).collect()}
     for doc_id, text, *_ in rows:
