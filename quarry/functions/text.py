@@ -106,9 +106,12 @@ def snippet(c: Column, most: int = 350) -> Column:
 
 
 def deep_link(url: Column, text: Column) -> Column:
-    """The url with a text fragment of the first 8 words."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.concat(url, F.lit("#:~:text="), F.replace(F.url_encode(F.array_join(F.slice(words, 1, 8), " ")), F.lit("+"), F.lit("%20")))
+    """The url with a text fragment of the first 8 words, percent-encoded as UTF-8 but for letters, digits and _.-~/"""
+    words = F.filter(F.split(text, r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"), lambda w: w != "")
+    out = F.url_encode(F.array_join(F.slice(words, 1, 8), " "))
+    for there, here in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(there), F.lit(here))
+    return F.concat(url, F.lit("#:~:text="), out)
 
 
 def citation(ticker: Column, form: Column, date: Column, item: Column, title: Column) -> Column:

@@ -91,8 +91,7 @@ def _citation(spark, d):
 
 
 def _deep(spark, d):
-    ascii_only = F.col("text").rlike(r"^[\x00-\x7F]*$")
-    return table(spark, d, "documents").where(ascii_only).select("doc_id", X.deep_link(F.lit("https://files.example.org/x"), F.regexp_replace("text", "[^A-Za-z0-9 \n]", "")).alias("url"))
+    return table(spark, d, "documents").select("doc_id", X.deep_link(F.lit("https://files.example.org/x"), F.col("text")).alias("url"))
 
 
 def _tie(spark, d):

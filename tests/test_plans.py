@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from urllib.parse import quote
 
 import duckdb
 import pytest
@@ -44,6 +45,14 @@ def test_runs(spark, small, name):
     assert PLANS[name][0](spark, small).count() > 0
 
 
+def test_deep_links_cover_all_documents_and_whole_texts(spark, tmp_path):
+    texts = ["Größe, «été»\u00a0año: 50 % & more/less ~ a*b + c_d-e.f rest", "one\ttwo\n\x1cthree", "", " 中文 ", "a b c d e f g h i", "😀?", *(f"a{c}b" for c in map(chr, range(0x3100)) if c.isspace())]
+    spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.url for r in PLANS["lnk_deep_url"][0](spark, str(tmp_path)).collect()}
+    want = {i: "https://files.example.org/x#:~:text=" + quote(" ".join(t.split()[:8])) for i, t in enumerate(texts)}
+    assert got == want | {99: None}
+
+
 def test_control_regression_matches_least_squares(spark):
     import numpy as np
 
