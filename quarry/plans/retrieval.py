@@ -19,7 +19,7 @@ def _tokenize(spark, d):
 
 def _idf(spark, d):
     docs = table(spark, d, "documents")
-    return R.idf_table(R.postings(docs), docs.count()).where("df >= 5").select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.idf_table(R.postings(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _ranks(df, key="doc_id", query="item_id"):

@@ -53,6 +53,14 @@ def test_deep_links_cover_all_documents_and_whole_texts(spark, tmp_path):
     assert got == want | {99: None}
 
 
+def test_idf_has_every_term(spark, tmp_path):
+    texts = ["alpha beta beta", "alpha gamma", "", None, "alpha x-ray 10k"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.term: (r.df, r.idf) for r in PLANS["ir_idf"][0](spark, str(tmp_path)).collect()}
+    df = {"alpha": 3, "beta": 1, "gamma": 1, "x-ray": 1, "10k": 1}
+    assert got == {t: (k, round(math.log((5 - k + 0.5) / (k + 0.5) + 1), 6)) for t, k in df.items()}
+
+
 def test_control_regression_matches_least_squares(spark):
     import numpy as np
 
