@@ -12,19 +12,19 @@ SUPPORT, PASS = 0.18, 0.8
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """Answers (assistant turns) with the turn before as their only source."""
+    """Answers (assistant turns) with the turn before as their only source; without a text before, they have none."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = turns.select("conv_id", "turn", "role", F.col("text").alias("answer"), F.lag("text").over(w).alias("source"))
-    return rows.where("role = 'assistant' and source is not null").select("conv_id", "turn", "answer", F.array("source").alias("sources"))
+    return rows.where("role = 'assistant'").select("conv_id", "turn", "answer", F.array_compact(F.array("source")).alias("sources"))
 
 
 def sentence_audit(answers: DataFrame) -> DataFrame:
-    """A row for each sentence that states something: support, missing numbers, grounded.
+    """A row for each sentence that states something, of answers with sources: support, missing numbers, grounded.
 
     Candidates are the valid cited sources, or all. Numbers of a sentence that cites must be in
     its candidates, else in any source.
     """
-    raw = answers.select("*", F.posexplode(F.split("answer", r"(?<=[.!?])\s+")).alias("pos", "raw"))
+    raw = answers.where(F.size("sources") > 0).select("*", F.posexplode(F.split("answer", r"(?<=[.!?])\s+")).alias("pos", "raw"))
     rows = raw.withColumn("cited", X.cited_numbers(F.col("raw"))).withColumn("sentence", X.strip(F.regexp_replace("raw", X.CITE_GROUP, "")))
     words = X.content_tokens(F.col("sentence"))
     meta = F.lit(False)
@@ -41,9 +41,12 @@ def sentence_audit(answers: DataFrame) -> DataFrame:
     return out.withColumn("grounded", (F.round("support", 9) >= SUPPORT) & (F.size("missing") == 0))
 
 
-def verdict(sentences: DataFrame, key: list[str]) -> DataFrame:
-    """(key, ratio, passed, level) of answers with at least one sentence."""
-    out = sentences.groupBy(*key).agg(F.avg(F.col("grounded").cast("int")).alias("ratio"), F.max(F.size("missing") > 0).alias("bad"))
+def verdict(answers: DataFrame, sentences: DataFrame, key: list[str]) -> DataFrame:
+    """(key, ratio, passed, level) of every answer: without sources it fails with 0.0, else without sentences it passes with 1.0."""
+    rows = answers.select(*key, (F.size("sources") > 0).alias("sourced"), F.lit(None).cast("int").alias("grounded"), F.lit(False).alias("bad"))
+    rows = rows.unionByName(sentences.select(*key, F.lit(True).alias("sourced"), F.col("grounded").cast("int").alias("grounded"), (F.size("missing") > 0).alias("bad")))
+    out = rows.groupBy(*key).agg(F.max("sourced").alias("sourced"), F.avg("grounded").alias("ratio"), F.max("bad").alias("bad"))
+    out = out.withColumn("ratio", F.when(F.col("sourced"), F.coalesce("ratio", F.lit(1.0))).otherwise(0.0))
     level = F.when(F.col("ratio") >= PASS, "high").when(F.col("ratio") >= 0.5, "medium").otherwise("low")
     return out.select(*key, "ratio", ((F.col("ratio") >= PASS) & ~F.col("bad")).alias("passed"), level.alias("level"))
 

@@ -107,7 +107,8 @@ def _aud_numbers(spark, d):
 
 
 def _aud_verdict(spark, d):
-    return A.verdict(A.sentence_audit(_tie(spark, d)), ["conv_id", "turn"]).select("conv_id", "turn", "passed", F.round("ratio", 3).alias("ratio"), "level")
+    answers = _tie(spark, d)
+    return A.verdict(answers, A.sentence_audit(answers), ["conv_id", "turn"]).select("conv_id", "turn", "passed", F.round("ratio", 3).alias("ratio"), "level")
 
 
 def _guidance(spark, d):

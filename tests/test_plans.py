@@ -61,6 +61,16 @@ def test_idf_has_every_term(spark, tmp_path):
     assert got == {t: (k, round(math.log((5 - k + 0.5) / (k + 0.5) + 1), 6)) for t, k in df.items()}
 
 
+def test_every_answer_has_a_verdict(spark, tmp_path):
+    said = "The quarterly revenue grew strongly across european markets."
+    turns = [(1, 0, "user", said), (1, 1, "assistant", said), (2, 0, "user", said), (2, 1, "assistant", "Yes. Of course!"), (3, 0, "assistant", said), (4, 0, "user", None), (4, 1, "assistant", said)]
+    turns += [(5, 0, "user", said), (5, 1, "assistant", "The dog chased seventeen purple balloons yesterday."), (6, 0, "user", said), (6, 1, "assistant", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.passed, r.ratio, r.level) for r in PLANS["aud_verdict"][0](spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 1.0, "high"), 2: (True, 1.0, "high"), 3: (False, 0.0, "low"), 4: (False, 0.0, "low"), 5: (False, 0.0, "low"), 6: (True, 1.0, "high")}
+    assert {r.conv_id for r in PLANS["aud_support"][0](spark, str(tmp_path)).collect()} == {1, 5}
+
+
 def test_control_regression_matches_least_squares(spark):
     import numpy as np
 
