@@ -1,17 +1,20 @@
 """Secret scans: exact base patterns and assignment-aware lexing.
 
-The lexer walks over every `=`, `:`, `:=` or `=>` of a text, reads the name before it (bare, quoted, dotted, or a
-header or key) and the value after it (quoted, also joined with +, or bare up to a blank), and so
-turns source and configuration into name-literal pairs. A value that is itself a name stands for
-the literal assigned to that name, through chains and in either order; the literal then also answers to the
-names it is passed on to. A bare value that could be a name is one if the text assigns to it or calls it, or if it has no
+The lexer walks over every `=`, `:`, `:=` or `=>` of a text, reads the name before it (bare, quoted, dotted, with a
+type, or a header or key) and the value after it (quoted, also joined with +, or bare up to a blank), and so
+turns source and configuration into name-literal pairs. A value that is itself a name stands for what that name holds
+there: the value of its last assignment before, or, as in configuration read as a whole, of its first one after where none
+is before. So constants are propagated through chains of any length, and a later assignment doesn't touch earlier uses;
+scopes of functions aren't told apart. A literal answers to its own name and to all that it is passed on to. A bare value
+that could be a name is one if the text assigns to it or calls it, or if it has no
 digit; else it is a literal, as in .env files, YAML and properties. Literals are scored by the most sensitive of their names and by their make-up
 (length, kinds of characters, entropy, placeholders); those that reach SCORE are added as spans
-beside the base ones, unless they touch one. Base spans stay. Values have no greatest length: quoted ones are read to
-their closing quote, escapes included, and bare ones to the end of their run.
+beside the base ones, in the order of their starts, unless they touch one. Base spans stay. Names, blanks and values have no greatest length: quoted
+values are read to their closing quote, escapes included, and bare ones to the end of their run.
 
-A null text counts as empty. Spans are code points, end exclusive. All scans are linear: names are read
-within a fixed length before their operator, and no character is read for two values of the same quotes or run. Repeated rows are judged one by one; extra columns are ignored.
+A null or empty text has no span. Spans are code points, end exclusive; of spans of equal start the kinds are in the listed
+order. Time is linear in the text but for sorting spans: names and blanks lie between two operators, quoted values between two quotes, and a run of bare
+characters is read once. Repeated rows are judged one by one, an empty table gives none; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,14 +43,15 @@ _NAMES = {
     "auth": 2, "authorization": 3, "bearer": 3, "signing": 2, "key": 2, "private": 2, "api": 1, "access": 1, "salt": 1, "cookie": 1, "session": 1,
     "public": -3, "name": -2, "path": -3, "file": -3, "url": -2, "length": -3, "count": -3, "size": -3, "id": -1, "type": -2, "policy": -3, "hint": -3, "primary": -3, "foreign": -3,
 }
-_PLACEHOLDER = re.compile(r"(?i)(?:x+|\*+|\.+|null|none|true|false|changeme|change[-_ ]me|example.*|placeholder|your[-_ ].*|<.*>|\$\{.*\}|%.*%|todo|test|dummy|redacted)$")
+_PLACEHOLDER = re.compile(r"(?i)(?:(?:x+|\*+|\.+|null|none|true|false|changeme|change[-_ ]me|placeholder|<.*>|\$\{.*\}|%.*%|todo|test|dummy|redacted)$|example|your[-_ ])")
 SCORE = 6
 _OPERATOR = re.compile(r":=|=>|[:=](?![:=])")
-_NAME = re.compile(r"""(?:\b(?:export|set|let|var|const|final|static|String|str)\s+)*([A-Za-z_$][A-Za-z0-9_.$-]{0,63})["'\])]{0,3}(?:[ \t]*:[ \t]*[A-Za-z_]{1,20})?[ \t]{0,8}\Z""")
+_NAME_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
+_FIRST = re.compile(r"[A-Za-z_$]")
 _QUOTED = r""""((?:[^"\n\\]|\\[^\n])++)"|'((?:[^'\n\\]|\\[^\n])++|[^'\n]++)'"""
-_VALUE = re.compile(rf"""[ \t]{{0,8}}(?:{_QUOTED}|`((?:[^`\n\\]|\\[^\n])++|[^`\n]++)`|([A-Za-z0-9+/_.$~=-]++))""")
-_MORE = re.compile(rf"[ \t]{{0,4}}\+[ \t]{{0,4}}(?:{_QUOTED})")
-_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]{0,63}\Z")
+_VALUE = re.compile(rf"""[ \t]*+(?:{_QUOTED}|`((?:[^`\n\\]|\\[^\n])++|[^`\n]++)`|([A-Za-z0-9+/_.$~=-]++))""")
+_MORE = re.compile(rf"[ \t]*+\+[ \t]*+(?:{_QUOTED})")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*+\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 Span = tuple[int, int, int]  # start, kind's place, end
@@ -81,18 +86,40 @@ def make_up(chars: Counter[str]) -> int:
     return (n >= 8) + (n >= 16) + (entropy >= 2.8) + (entropy >= 3.6) + (kinds >= 2) + (kinds >= 3) - 3 * any(c.isspace() for c in chars) - 2 * (kinds < 2)
 
 
-def pairs_of(text: str) -> Iterator[tuple[str, str | None, int, int]]:
-    """(name, value, start, end) of every assignment; a bare value is None and stands from start to end.
+def _name_before(text: str, at: int) -> tuple[int, str]:
+    """(start, name) of the name that ends before a place, blanks and closing marks between; no name is empty."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    for _ in range(3):
+        if at and text[at - 1] in "\"'])":
+            at -= 1
+    start = at
+    while start and text[start - 1] in _NAME_CHAR:
+        start -= 1
+    first = _FIRST.search(text, start, at)
+    return (first.start(), text[first.start() : at]) if first else (at, "")
+
+
+def pairs_of(text: str) -> Iterator[tuple[str, str, str | None, int, int]]:
+    """(name, type, value, start, end) of every assignment; a bare value is None and stands from start to end.
 
     A run of bare characters may hold many assignments, whose values all end where it does: its end is sought once.
     """
     stop = 0  # end of the last bare run
     for op in _OPERATOR.finditer(text):
-        name = _NAME.search(text, max(0, op.start() - 96), op.start())
+        at, name = _name_before(text, op.start())
         if not name:
             continue
+        kind = ""
+        if op[0] == "=" and name.replace("_", "").isalpha():  # name: type = value
+            while at and text[at - 1] in " \t":
+                at -= 1
+            if text[at - 1 : at] == ":":
+                before = _name_before(text, at - 1)[1]
+                if before:
+                    name, kind = before, name
         if op.end() < stop:
-            yield name[1], None, op.end(), stop
+            yield name, kind, None, op.end(), stop
             continue
         value = _VALUE.match(text, op.end())
         if not value:
@@ -101,13 +128,49 @@ def pairs_of(text: str) -> Iterator[tuple[str, str | None, int, int]]:
         start, end = value.span(k)
         if k == 4:
             stop = end
-            yield name[1], None, start, end
+            yield name, kind, None, start, end
             continue
         body = [value[k]]
         while more := _MORE.match(text, end + 1):
             body.append(more[more.lastindex])
             end = more.end(more.lastindex)
-        yield name[1], "".join(body), start, end
+        yield name, kind, "".join(body), start, end
+
+
+def sensitivity(text: str, found: list[tuple[str, str, str | None, int, int]]) -> list[int | None]:
+    """For each assignment of a literal the highest score of all names it reaches; null for those of names."""
+    first: dict[str, int] = {}
+    for i, (name, *_) in enumerate(found):
+        first.setdefault(name, i)
+    last: dict[str, int] = {}
+    scores: dict[str, int] = {}
+    source: list[int | None] = []  # the assignment that a name's value comes from; itself for a literal
+    for i, (name, _, value, start, end) in enumerate(found):
+        origin: int | None = i
+        if value is None and _IDENTIFIER.match(text, start, end):
+            word = text[start:end]
+            if word in first or text[end : end + 1] == "(" or not any(c.isdigit() for c in word):
+                origin = last.get(word, first.get(word))
+                origin = None if origin == i else origin
+        source.append(origin)
+        last[name] = i
+    out: list[int | None] = [0 if source[i] == i else None for i in range(len(found))]
+    for i, (name, kind, *_) in enumerate(found):
+        path, at, seen = [], i, set()
+        while at is not None and source[at] != at and at not in seen:
+            seen.add(at)
+            path.append(at)
+            at = source[at]
+        if at is not None and source[at] != at:
+            at = None  # names that only stand for each other
+        for step in path:
+            source[step] = at
+        if at is not None:
+            for word in (name, kind):
+                if word not in scores:
+                    scores[word] = name_score(word)
+                out[at] = max(out[at], scores[word])
+    return out
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
@@ -115,27 +178,10 @@ def lexed(text: str) -> list[tuple[int, int]]:
     if "=" not in text and ":" not in text:
         return []
     found = list(pairs_of(text))
-    names: dict[str, set[str]] = {}  # what a name is passed on to
-    assigned = {name for name, *_ in found}
-    literals = []
-    for name, value, start, end in found:
-        if value is None and _IDENTIFIER.match(text, start, end):
-            word = text[start:end]
-            names.setdefault(word, set()).add(name)
-            if word in assigned or text[end : end + 1] == "(" or not any(c.isdigit() for c in word):
-                continue  # a name, not a literal
-        literals.append((name, value, start, end))
     out = []
     chars, low, high = Counter(), 0, 0  # of a bare run, from the last value looked at
-    for name, value, start, end in reversed(literals):
-        every, todo = {name}, [name]
-        while todo:
-            for x in names.get(todo.pop(), ()):
-                if x not in every:
-                    every.add(x)
-                    todo.append(x)
-        best = max(map(name_score, every))
-        if best < 2:
+    for (_, _, value, start, end), best in zip(reversed(found), reversed(sensitivity(text, found)), strict=True):
+        if best is None or best < 2:
             continue
         if value is not None:
             score = literal_score(value)
@@ -152,11 +198,19 @@ def lexed(text: str) -> list[tuple[int, int]]:
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
-    taken, extra = [(a, b) for a, _, b in base], []
+    starts, ends = [], []  # base spans, merged
+    for a, _, b in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    extra, free = [], 0
     for a, b in lexed(text):
-        if not any(x < b and a < y for x, y in taken):
+        near = bisect_right(starts, b - 1) - 1  # the last base range that begins within or before
+        if a >= free and (near < 0 or ends[near] <= a):
             extra.append((a, 3, b))
-            taken.append((a, b))
+            free = b
     return base, sorted([*base, *extra])
 
 

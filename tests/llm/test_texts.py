@@ -292,3 +292,39 @@ def test_quality_ratio_prefers_trusted_words(spark):
     docs = spark.createDataFrame([(i, good if i < 2000 else bad) for i in range(4000)], "doc_id long, text string")
     rows = quality.judge(docs, quality.log_ratios(docs, docs.where("doc_id < 1000"))).collect()
     assert all((r.score > 0) == (r.doc_id < 2000) for r in rows) and not any(r.kept for r in rows if r.doc_id >= 2000)
+
+
+def test_names_hold_what_was_assigned_last(spark):
+    found = lambda t: [t[a:b] for a, k, b in secrets.all_spans(t)[1] if k == 3]
+    assert found('X = "s3cr3tV@lue99"\napi_pwd = X\nX = "0th3rV@lue11"\n') == ["s3cr3tV@lue99"]
+    assert found("api_pwd = X\nX = 's3cr3tV@lue99'\n") == ["s3cr3tV@lue99"] and found("a_pwd = b_pwd\nb_pwd = a_pwd\n") == []
+    assert found("n" * 65 + '_pwd = "s3cr3tV@lue99"') == found("db_pwd" + " " * 9 + '="s3cr3tV@lue99"') == found('db_pwd: Str = "s3cr3tV@lue99"') == ["s3cr3tV@lue99"]
+
+
+def test_propagation_equals_brute_force():
+    r = random.Random(8)
+    for _ in range(3000):
+        names = ["a", "b", "c_pwd", "d_secret", "name"]
+        lines = [(r.choice(names), r.choice([*names, '"Zq8!kP2xWm"'])) for _ in range(r.randint(1, 8))]
+        text = "".join(f"{n} = {v}\n" for n, v in lines)
+        want = [None if v[0] != '"' else 0 for _, v in lines]
+        for i, (name, _) in enumerate(lines):
+            at, steps = i, 0
+            while at is not None and lines[at][1][0] != '"' and steps <= len(lines):
+                word, steps = lines[at][1], steps + 1
+                at = max((j for j in range(at) if lines[j][0] == word), default=min((j for j in range(at, len(lines)) if lines[j][0] == word), default=None))
+            if at is not None and lines[at][1][0] == '"':
+                want[at] = max(want[at], secrets.name_score(name))
+        assert secrets.sensitivity(text, list(secrets.pairs_of(text))) == want, text
+
+
+def test_scans_of_many_literals_are_linear():
+    import time
+
+    def seconds(n):
+        text = "".join(f'db_pwd{i} = "s3cr3tV@lue{i}"\n' for i in range(n)) + "".join(f"v{i + 1} = v{i}\n" for i in range(n)) + 'v0 = "s3cr3tV@lue99"\n' + f"my_pwd = v{n}\n"
+        began = time.perf_counter()
+        assert len(secrets.all_spans(text)[1]) == n + 1
+        return time.perf_counter() - began
+
+    assert seconds(32_000) < 10 * max(seconds(8_000), 0.05)
