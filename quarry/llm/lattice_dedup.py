@@ -6,13 +6,17 @@ lattice points that come next nearest. Two vectors are candidates if in some tab
 own or a probed cell of the other; candidates are verified by cosine in double precision.
 
 Bitwise equal vectors are one node with a count from the start. The nodes at home in a cell meet those that probe it in
-blocks of SIDE by SIDE, so no task holds a whole large cell. A pair counts in the first table that finds it,
+blocks of SIDE by SIDE, so no task holds a whole large cell. They meet twice: first by a sketch of 64 signs of random
+projections, a few bytes a row, which leaves only nodes that have a partner within MOST_DIFFERENT signs (at cosine 0.95 six or seven
+differ on average, and more than MOST_DIFFERENT for about one pair in 100,000); only these nodes are then sent their
+vectors and verified, with pairs tested in slices of HELD, so memory is bounded whatever the cell. A pair counts in the first table that finds it,
 which a task tells from the codes of both, so no list of all pairs is made: tasks return counts of links
 for each node and only the links that join components.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing and are their own component.
-Vectors of different lengths don't link. Repeated rows (same id and vector) count as separate vectors. Extra
-columns are ignored. A component whose ids are all null has a null id.
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own component.
+Vectors are scaled by their largest component before their norm is taken, so no finite one overflows.
+Vectors of different lengths don't link. Repeated rows (same id and vector) count as separate vectors; a tie at exactly the threshold
+links. An empty table gives no rows. Extra columns are ignored, whatever their names. A component whose ids are all null has a null id.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected, cut, table
+from quarry.llm.common import connected, cut, drop_cut, table
 
 TABLES = 10
 PROBES = 6
 #: Factor of the projection: vectors at cosine 0.95 then lie 0.9 apart on average, against lattice points 1.4 apart.
 SCALE = 1.0
 SIDE = 1024
-#: Rows that a verifying task holds at once, about.
+#: Rows, and pairs, that a verifying task holds at once, about.
 HELD = 16_384
+#: Signs of 64 that may differ between the sketches of two vectors that are verified.
+MOST_DIFFERENT = 20
 THRESHOLD = 0.95
 SEED = 20_240_101
 
@@ -71,14 +77,20 @@ def _minimal_vectors() -> np.ndarray:
 
 
 _MINIMAL = _minimal_vectors()
-_planes: dict[int, np.ndarray] = {}
+_planes: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _projections(dim: int) -> np.ndarray:
-    """TABLES random maps from dim to 8 dimensions, the same everywhere."""
-    if dim not in _planes:
-        _planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, TABLES, 8)) * SCALE
-    return _planes[dim]
+def _projections(dim: int, salt: int = 0, maps: int = TABLES * 8) -> np.ndarray:
+    """Random maps from dim to one dimension each, the same everywhere."""
+    if (dim, salt) not in _planes:
+        _planes[dim, salt] = np.random.default_rng([SEED, dim, salt][: 2 + (salt > 0)]).standard_normal((dim, maps)) * SCALE
+    return _planes[dim, salt]
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """64 signs of random projections of each vector as one number."""
+    signs = unit @ _projections(unit.shape[1], 1, 64) > 0
+    return np.packbits(signs, axis=1).view(np.int64)[:, 0]
 
 
 def codes(unit: np.ndarray) -> np.ndarray:
@@ -86,7 +98,7 @@ def codes(unit: np.ndarray) -> np.ndarray:
     n, dim = unit.shape
     out = np.empty((n, TABLES, 1 + PROBES), np.int64)
     weight = np.random.default_rng(SEED).integers(1, 1 << 62, 8, dtype=np.int64) | 1
-    places = np.einsum("nd,dtk->ntk", unit, _projections(dim))
+    places = (unit @ _projections(dim)).reshape(n, TABLES, 8)
     for t in range(TABLES):
         home = decode_e8(places[:, t])
         off = places[:, t] - home / 2
@@ -99,10 +111,11 @@ def codes(unit: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, their unit vectors) of a list column whose lists have one length."""
+def _unit(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a list column whose lists have one length, in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return flat, flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    flat = flat / np.abs(flat).max(1, keepdims=True)
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
 def _by_length(column: pa.Array):
@@ -115,40 +128,70 @@ def _by_length(column: pa.Array):
 
 
 def _code_rows(batches):
+    """(cell, node, sketch, table, home) of every vector's own and probed cells."""
     for batch in batches:
         vectors = batch.column(1)
         nodes = batch.column(0).to_numpy()
         for at, same in _by_length(vectors):
             for i in range(0, len(at), 4096):
                 part = at[i : i + 4096]
-                c = codes(_matrix(same.slice(i, 4096))[1])
-                n = len(part)
-                shape = (n, TABLES, 1 + PROBES)
+                unit = _unit(same.slice(i, 4096))
+                shape = (len(part), TABLES, 1 + PROBES)
+                role = np.arange(TABLES, dtype=np.int8)[:, None] * 2 + (np.arange(1 + PROBES) > 0).astype(np.int8)
+                spread = lambda x, to: pa.array(np.broadcast_to(x, to).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.broadcast_to(np.arange(TABLES, dtype=np.int8)[None, :, None], shape).ravel()),
-                        pa.array(c.ravel()),
-                        pa.array(np.broadcast_to(nodes[part][:, None, None], shape).ravel()),
-                        pa.array(np.broadcast_to((np.arange(1 + PROBES) == 0)[None, None, :], shape).ravel()),
-                    ],
-                    names=["t", "cell", "node", "home"],
+                    [pa.array(codes(unit).ravel()), spread(nodes[part][:, None, None], shape), spread(sketches(unit)[:, None, None], shape), spread(role[None], shape)],
+                    names=["cell", "node", "sketch", "role"],
                 )
 
 
+def _meetings(rows: pa.Table, *names: str):
+    """Of each meeting: the places of its rows at home and of those that probe; and the named columns."""
+    task, role = rows["task"].to_numpy(), rows["role"].to_numpy()
+    order = np.lexsort((role & 1, task))
+    borders = np.flatnonzero(np.concatenate([[True], np.diff(task[order]) != 0, [True]])) if len(order) else np.zeros(1, int)
+
+    def each():
+        for a, b in zip(borders[:-1], borders[1:], strict=True):
+            mine = order[a:b]
+            split = int(np.searchsorted(role[mine] & 1, 1))
+            if 0 < split < len(mine):
+                yield mine[:split], mine[split:]
+
+    return each(), *(rows[n].to_numpy() for n in names)
+
+
+def _near_sketches(rows: pa.Table) -> pa.Table:
+    """The rows that have a partner with a near sketch in their meeting; a node is no partner of its own."""
+    rows = rows.combine_chunks()
+    meetings, node, sketch = _meetings(rows, "node", "sketch")
+    sketch = sketch.view(np.uint64)  # of a negative number, bitwise_count has the bits of its absolute value
+    keep = np.zeros(len(rows), bool)
+    for h, p in meetings:
+        step = max(1, HELD // len(p))
+        for i in range(0, len(h), step):
+            part = h[i : i + step]
+            near = np.bitwise_count(sketch[part][:, None] ^ sketch[p][None, :]) <= MOST_DIFFERENT
+            near &= node[part][:, None] != node[p][None, :]
+            keep[part] |= near.any(1)
+            keep[p] |= near.any(0)
+    return rows.select(["task", "node", "role"]).filter(pa.array(keep))
+
+
 def _count_links(threshold: float):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        col = lambda c: rows[c].to_numpy()
-        task, t, node, mult, role = col("task"), col("t"), col("node"), col("mult"), col("role")
-        _, first, which = np.unique(node, return_index=True, return_inverse=True)
-        vectors = rows["vector"].chunk(0).take(pa.array(first))
+        meetings, node, mult, role = _meetings(rows, "node", "mult", "role")
+        names, first, which = np.unique(node, return_index=True, return_inverse=True)
+        mult = mult[first]
+        vectors = rows["vector"].chunk(0).take(pa.array(first)) if rows["vector"].num_chunks else pa.array([], pa.list_(pa.float64()))
         length = np.diff(vectors.offsets.to_numpy())
         unit: dict[int, np.ndarray] = {}
         code: dict[int, np.ndarray] = {}
         local = np.zeros(len(first), np.int64)
         for at, same in _by_length(vectors):
             size = int(length[at[0]])
-            unit[size] = _matrix(same)[1]
+            unit[size] = _unit(same)
             code[size] = codes(unit[size])
             local[at] = np.arange(len(at))
         links = np.zeros(len(first), np.int64)
@@ -160,33 +203,31 @@ def _count_links(threshold: float):
                 x = up[x]
             return x
 
-        order = np.lexsort((role, task))
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(task[order]) != 0, [True]])) if len(order) else np.zeros(1, int)
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            mine = order[a:b]
-            split = int(np.searchsorted(role[mine], 1))
-            h, p = which[mine[:split]], which[mine[split:]]
-            if not len(h) or not len(p):
-                continue
-            size, table_ = int(length[h[0]]), int(t[mine[0]])
-            i, j = np.nonzero(unit[size][local[h]] @ unit[size][local[p]].T >= threshold)
-            x, y = h[i], p[j]
-            differ = x != y
-            x, y = x[differ], y[differ]
-            if not len(x):
-                continue
+        def count(x: np.ndarray, y: np.ndarray, size: int, table_: int) -> None:
             cx, cy = code[size][local[x]], code[size][local[y]]
             one = (cx[:, :, :1] == cy).any(2)  # x's cell is y's own or probed
             two = (cy[:, :, :1] == cx).any(2)
             new = ~(one[:, :table_] | two[:, :table_]).any(1) & ((x < y) | ~two[:, table_])
             x, y = x[new], y[new]
-            np.add.at(links, x, mult[first][y])
-            np.add.at(links, y, mult[first][x])
+            np.add.at(links, x, mult[y])
+            np.add.at(links, y, mult[x])
             for u, v in zip(x.tolist(), y.tolist(), strict=True):
                 u, v = top(u), top(v)
                 if u != v:
                     up[max(u, v)] = min(u, v)
-        names = node[first]
+
+        for home, probing in meetings:
+            table_ = int(role[home[0]]) >> 1
+            h, p = which[home], which[probing]
+            size = int(length[h[0]])
+            step = max(1, 16 * HELD // len(p))
+            for a in range(0, len(h), step):
+                i, j = np.nonzero(unit[size][local[h[a : a + step]]] @ unit[size][local[p]].T >= threshold)
+                x, y = h[a + i], p[j]
+                differ = x != y
+                x, y = x[differ], y[differ]
+                for b in range(0, len(x), HELD):
+                    count(x[b : b + HELD], y[b : b + HELD], size, table_)
         some = np.flatnonzero(links)
         joined = np.array([[k, top(k)] for k in up], np.int64).reshape(-1, 2)
         none = pa.nulls(len(joined), pa.int64())
@@ -203,23 +244,35 @@ def _count_links(threshold: float):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    v = F.col(vector_col).cast("array<double>")
+    wide = dict(vectors.dtypes).get(vector_col) != "array<float>"  # floats become doubles where they are multiplied
+    v = F.col(f"`{vector_col}`").cast("array<double>") if wide else F.col(f"`{vector_col}`")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0))).alias("vector"))
+    plain = F.transform(v, lambda x: x + F.lit(0.0).cast("double" if wide else "float"))  # no -0.0
+    rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), plain).alias("vector"))
     rows = cut(rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))), "vectors")
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("mult"), F.min("vec_id").alias("least_id")), "nodes")
-    cells = cut(nodes.select("node", "vector").mapInArrow(_code_rows, "t byte, cell long, node long, home boolean"), "codes")
-    sizes = cells.groupBy("t", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"))
-    sizes = sizes.where("homes > 0 and all > 1").withColumn("bh", F.ceil(F.col("homes") / SIDE)).withColumn("bp", F.ceil(F.col("all") / SIDE))
-    met = cells.join(sizes, ["t", "cell"])
+    cells = cut(nodes.select("node", "vector").mapInArrow(_code_rows, "cell long, node long, sketch long, role byte"), "codes")
+    sizes = cells.groupBy("cell").agg(F.count_if(F.expr("role % 2 = 0")).alias("homes"), F.count("*").alias("all"))
+    sizes = sizes.where("homes > 0 and all > 1").select("cell", F.ceil(F.col("homes") / SIDE).alias("bh"), F.ceil(F.col("all") / SIDE).alias("bp"))
+    met = cells.join(sizes, "cell")
     spread = lambda blocks: F.sequence(F.lit(0).cast("long"), blocks - 1)
-    at_home = met.where("home").select("t", "cell", "node", F.lit(0).alias("role"), F.pmod(F.xxhash64("node"), F.col("bh")).alias("i"), F.explode(spread(F.col("bp"))).alias("j"))
-    probing = met.select("t", "cell", "node", F.lit(1).alias("role"), F.explode(spread(F.col("bh"))).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("bp")).alias("j"))
-    meeting = at_home.unionByName(probing).select(F.xxhash64("t", "cell", "i", "j").alias("task"), "t", "node", "role")
+    # a row at home meets as such, and among those that probe, as two nodes at home in a cell meet too
+    home = F.col("role") % 2 == 0
+    where = F.pmod(F.xxhash64("node"), F.col("bh")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("bp"))
+    both = F.concat(
+        F.when(home, F.transform(spread(F.col("bp")), lambda j: F.struct(where[0].alias("i"), j.alias("j"), F.col("role").alias("role")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,role:tinyint>>")),
+        F.transform(spread(F.col("bh")), lambda i: F.struct(i.alias("i"), where[1].alias("j"), F.col("role").bitwiseOR(F.lit(1)).cast("byte").alias("role"))),
+    )
+    meeting = met.select("cell", "node", "sketch", F.explode(both).alias("m")).select(F.xxhash64("cell", "m.i", "m.j").alias("task"), "node", "sketch", "m.role")
     groups = max(1, -(-nodes.count() * TABLES * (2 + PROBES) // HELD))
-    dealt = meeting.join(nodes.select("node", "vector", "mult"), "node").withColumn("group", F.pmod("task", F.lit(groups)))
+    group = F.pmod("task", F.lit(groups)).alias("group")
+    near = cut(meeting.groupBy(group).applyInArrow(_near_sketches, "task long, node long, role byte"), "meetings")
+    drop_cut(cells)
+    left = max(1, -(-near.count() // HELD))
+    dealt = near.join(nodes.select("node", "vector", "mult"), "node").withColumn("group", F.pmod("task", F.lit(left)))
     found = cut(dealt.groupBy("group").applyInArrow(_count_links(threshold), "node long, links long, other long"), "links")
+    drop_cut(near)
     counts = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = nodes.select("node", "mult", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

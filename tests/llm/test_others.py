@@ -69,6 +69,43 @@ def test_vectors_link_as_by_brute_force(spark, monkeypatch, side):
     assert lattice_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_distinct_near_copies_are_verified_in_slices(spark, tmp_path):
+    """A large group of near copies, all distinct: every link found, with little memory."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    base = r.normal(size=64)
+    x = base + r.normal(size=(1500, 64)) * 0.1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = lattice_dedup.near_duplicates(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    linked = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert (got.n_links.to_numpy() <= linked).all() and got.n_links.sum() >= 0.999 * linked.sum() and (got.component_id == 0).all()
+    n = 1024  # one meeting of SIDE by SIDE, in a process of its own
+    code = f"""
+import resource, numpy as np, pyarrow as pa, sys
+from quarry.llm import lattice_dedup as L
+x = np.load({str(tmp_path / "x.npy")!r})
+rows = pa.table({{"task": np.zeros(2 * {n}, np.int64), "node": np.tile(np.arange({n}), 2), "role": np.repeat(np.array([0, 1], np.int8), {n}), "mult": np.ones(2 * {n}, np.int64), "vector": pa.array(list(x) * 2)}})
+L._count_links(0.95)(rows.slice(0, 8))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = L._count_links(0.95)(rows)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, sum(v for v in out["links"].to_pylist() if v))
+"""
+    import subprocess
+    import sys
+
+    np.save(tmp_path / "x.npy", x[:n])
+    peak, links = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert peak < 300 and links > 0
+
+
+def test_vectors_of_any_scale_and_with_clashing_columns(spark):
+    big = [float(v) for v in np.random.default_rng(5).normal(size=64) * 1e200]
+    rows = [(1, big, 1, 1, 1.0), (2, [v * 1.001 for v in big], 1, 1, 1.0), (3, [v * 1e-300 for v in big], 1, 1, 1.0), (3, [v * 1e-300 for v in big], 1, 1, 1.0), (4, [-v for v in big], 1, 1, 1.0), (None, big, 1, 1, 1.0), (5, [], 1, 1, 1.0)]
+    got = sorted(map(tuple, lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node long, cell long, vector double")).select("vec_id", "n_links", "component_id").collect()), key=str)
+    assert got == sorted([(1, 4, 1), (2, 4, 1), (3, 4, 1), (3, 4, 1), (4, 0, 4), (None, 4, 1), (5, 0, 5)], key=str)
+
+
 def test_urls(spark):
     urls = ["http://A.Net/x?y#z", "https://example.net/en/1", "https://www.example.net/en/", "https://example.net", "http://x.example.com/de/1?q", "https://w.org/fr/", "https://w.org/fr", None, "", "no scheme/net/", "a://b://net/", "://net/", "http://net"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
