@@ -18,10 +18,15 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def _stored(store, schema, version=None):
+    return Counter(map(tuple, store.read(schema, version).collect()))
+
+
 def test_shards_are_versioned_and_compacted(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "TARGET", 40_000)
     monkeypatch.setattr(sharding, "SMALLEST", 1_000)
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    monkeypatch.setattr(sharding, "PART", 5)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store data/data/x")
     assert store.version() == 0 and store.manifest().count() == 0 and store.read(docs.schema).count() == 0
     store.append(docs.limit(0))
     store.append(docs, arrival_rows=20)
@@ -29,12 +34,89 @@ def test_shards_are_versioned_and_compacted(spark, docs, tmp_path, monkeypatch):
     version = store.compact(docs.schema)
     after = store.manifest().collect()
     assert version == 3 and len(after) < before
-    rows = lambda v: Counter(tuple(r)[:-1] for r in store.read(docs.schema, v).collect())
-    assert rows(3) == rows(2) == Counter(map(tuple, docs.collect()))
+    want = Counter(map(tuple, docs.collect()))
+    assert _stored(store, docs.schema, 3) == _stored(store, docs.schema, 2) == want
     assert sum(r["rows"] for r in after) == docs.count()
     with pytest.raises(sharding.Conflict):
-        store.commit(store.manifest(), 2)
-    assert store.version() == 3 and rows(3) == rows(2)
+        store.commit(store.shards(), 2)
+    assert store.version() == 3 and _stored(store, docs.schema) == want
+    last = store.compact_all(docs.schema)
+    small = Counter(r["tier"] for r in store.manifest().collect())
+    assert all(n == 1 for t, n in small.items() if t < 99) and store.plan(last).count() == 0
+    assert store.vacuum(last) and _stored(store, docs.schema) == want and store.compact_all(docs.schema) == last
+
+
+def test_runs_are_those_of_a_plain_loop(spark, tmp_path, monkeypatch):
+    """Which shards form a run: in the order of their paths, cut where the bytes or rows before reach the next multiple."""
+    monkeypatch.setattr(sharding, "TARGET", 300_000)
+    monkeypatch.setattr(sharding, "ROWS", 900)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    r = np.random.default_rng(3)
+    shards = [(f"f:/data/a-{i % 7:032x}/p{i}", "", int(r.integers(1, 400_000)), int(r.integers(1, 400)), 0, True) for i in range(200)]
+    rows = spark.createDataFrame(shards, sharding._SHARDS).withColumn("tier", sharding.tier_of(F.col("bytes")))
+    store.commit(rows, 1)
+    runs = {}
+    for tier in range(99):
+        size = rows_ = 0
+        for x in sorted((x for x in rows.collect() if x.tier == tier), key=lambda x: x.path):
+            runs.setdefault((tier, size // 300_000, rows_ // 900), set()).add(x.path)
+            size, rows_ = size + x.bytes, rows_ + x.rows
+    got = {}
+    for x in store.plan(1).collect():
+        got.setdefault(x.run, set()).add(x.path)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in runs.values() if len(s) > 1) and set(got) == set(range(len(got)))
+
+
+def test_arrivals_with_clashing_columns(spark, tmp_path):
+    text = "x" * 300_000
+    rows = [(i, text if i == 7 else None, "a", i % 3, {"file_path": "z"}, "w") for i in range(50)] * 2 + [(None, "", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, run string, _shard long, _metadata struct<file_path:string>, path string")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    store.arrive(docs, arrivals=3, arrival_rows=7)
+    assert store.version() == 3 and store.manifest().count() > 12
+    last = store.compact_all(docs.schema, keep=0)
+    assert store.manifest().count() == 1 and last == 4
+    assert Counter(map(str, store.read(docs.schema).collect())) == Counter(map(str, docs.collect()))
+    empty = sharding.ShardStore(spark, f"file://{tmp_path}/empty")
+    empty.arrive(docs.limit(0))
+    assert empty.version() == 1 and empty.compact_all(docs.schema) == 1 and empty.read(docs.schema).count() == 0
+
+
+def test_the_loser_of_two_writers_commits_on_top_of_the_winner(spark, docs, tmp_path, monkeypatch):
+    store, other = (sharding.ShardStore(spark, f"file://{tmp_path}/store") for _ in range(2))
+    for _ in range(2):
+        store.append(docs, arrival_rows=60)
+    meanwhile = []
+
+    def late(act, name):
+        true = getattr(sharding.ShardStore, name)
+
+        def wrapped(self, *args):
+            if self is store and not meanwhile:
+                meanwhile.append(act())
+            return true(self, *args)
+
+        monkeypatch.setattr(sharding.ShardStore, name, wrapped)
+
+    late(lambda: other.append(docs, arrival_rows=60), "commit")
+    assert store.append(docs, arrival_rows=60) == 4
+    want = Counter(map(tuple, docs.collect()))
+    assert _stored(store, docs.schema) == Counter({k: 4 * n for k, n in want.items()})
+    meanwhile.clear()
+    assert store.compact(docs.schema) == 6  # an append came between: the merged shards are committed on top of it
+    meanwhile.clear()
+    monkeypatch.undo()
+    store.append(docs, arrival_rows=60)
+    late(lambda: other.compact(docs.schema), "commit")
+    version = store.compact(docs.schema)  # a compaction came between: its shards are gone, so the plan is made anew
+    assert version >= 8 and _stored(store, docs.schema) == Counter({k: 6 * n for k, n in want.items()})
+    monkeypatch.undo()
+
+
+def test_op1_compacts(spark, small):
+    got = sharding.op1(spark, small).collect()
+    assert len(got) == spark.read.parquet(f"{small}/documents.parquet").count() and {r.version for r in got} == {sharding.ARRIVALS + 1}
+    assert Counter(r.shard for r in got) == {r.shard: r.shard_rows for r in got}
 
 
 def test_nearest_lattice_point():
