@@ -5,7 +5,8 @@ stops at CAP times its size and the rest is shared anew by weight. In order of c
 capped sources come first, so running sums over one row a source give the final level.
 
 Quotas: as many blocks of BLOCK words as the corpus holds go to the sources one after the other, each to the
-highest quotient target / (2 seats + 1); a source's blocks go to its shards by the same rule. Only
+highest quotient target / (2 seats + 1); a source's blocks go to its regions of about REGION shards and a region's
+to its shards by the same rule, so no task ranks all shards of a source. Only
 the last few seats of each party can differ from its plain share, so only those quotients are listed
 and ranked.
 
@@ -14,9 +15,11 @@ order; the shard's blocks are consecutive BLOCK words of that order, and its quo
 from the start, going round again where it has more than the shard holds, at most CAP times.
 No task sorts more than a shard's documents, however large a source is.
 
-A null text has size 0, is in the result and is never taken; a null source is a source of its own; an empty table
+A null text, or one without words, has size 0, is in the result, has no place in a shard and is never taken; a null source is a
+source of its own; an empty table
 gives no rows. Equal rows stand next to each other in the order and are counted one by one. Extra
-columns are ignored or, with `keep`, carried along.
+columns are ignored or, with `keep`, carried along, whatever their names. A document that is taken in part keeps its text up to the
+last word taken, blanks and lines as they are.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 BLOCK = 64
 SHARD = 1 << 18
+REGION = 1024
 SEED = "mix-1"
 
 
@@ -90,17 +94,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = F.round(F.col("total") / BLOCK)
     plan = cut(_seats(plan, F.col("target"), F.col("total"), blocks, F.floor(F.col("source_size") * CAP / BLOCK), [], by_name), "quotas")
     plan = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD)).cast("long")).withColumnRenamed("quota", "source_quota")
+    plan = plan.withColumn("regions", F.ceil(F.col("shards") / REGION))
 
     def dealt(x: DataFrame) -> DataFrame:
         to = x.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
-        return to.withColumn("shard", _hash60(F.col("key"), 0) % F.col("shards"))
-
-    shards = dealt(light).groupBy("source", "shard", "source_size", "source_quota").agg(F.sum("size").alias("shard_size"))
-    quotas = _seats(shards, F.col("shard_size"), F.col("source_size"), F.col("source_quota"), F.floor(F.col("shard_size") * CAP / BLOCK), ["source"], [F.col("shard")])
+        return to.withColumn("shard", _hash60(F.col("key"), 0) % F.col("shards")).withColumn("region", F.col("shard") % F.col("regions"))
+
+    named = ["source", "shard", "region", "source_size", "source_quota"]
+    shards = dealt(light).groupBy(*named).agg(F.sum("size").alias("shard_size")).withColumn("room", F.floor(F.col("shard_size") * CAP / BLOCK))
+    shards = cut(shards, "shards")
+    regions = shards.groupBy("source", "region", "source_size", "source_quota").agg(F.sum("shard_size").alias("region_size"), F.sum("room").alias("region_room"))
+    regions = _seats(regions, F.col("region_size"), F.col("source_size"), F.col("source_quota"), F.col("region_room"), ["source"], [F.col("region")])
+    r = regions.select(F.col("source").alias("r_source"), F.col("region").alias("r_region"), "region_size", F.col("quota").alias("region_quota"))
+    shards = shards.join(r, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("region") == F.col("r_region"))).drop("r_source", "r_region")
+    quotas = _seats(shards, F.col("shard_size"), F.col("region_size"), F.col("region_quota"), F.col("room"), ["source", "region"], [F.col("shard")])
     quotas = cut(quotas.select("source", "shard", "shard_size", "quota"), "quotas")
 
     in_shard = Window.partitionBy("source", "shard").orderBy(_hash60(F.col("key"), 1), "key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt(rows).withColumn("start", F.coalesce(F.sum("size").over(in_shard), F.lit(0)))
+    sized = dealt(rows)
+    placed = sized.where("size > 0").withColumn("start", F.coalesce(F.sum("size").over(in_shard), F.lit(0)))
     q = quotas.alias("q")
     placed = placed.join(q, F.col("q.source").eqNullSafe(placed["source"]) & (F.col("q.shard") == placed["shard"])).drop(F.col("q.source"), F.col("q.shard"))
     words = F.col("quota") * BLOCK
@@ -108,7 +120,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = words - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), rest) - F.col("start")).cast("long")
     out = placed.withColumn("passes", passes).withColumn("part", part).withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "passes", "part", *(["row"] if keep else []))
+    shown = ["doc_id", "size", "source_size", "target", "taken", "passes", "part", *(["row"] if keep else [])]
+    none = [F.lit(0).cast("long").alias(c) for c in ("taken", "passes", "part")]
+    return out.select(*shown).unionByName(sized.where("size = 0").select(*shown[:4], *none, *shown[7:]))
 
 
 def materialize(docs: DataFrame) -> DataFrame:
@@ -118,7 +132,10 @@ def materialize(docs: DataFrame) -> DataFrame:
     copies = F.col("passes") + F.when((F.col("part") > 0), 1).otherwise(0)
     turn = mixed.where(copies > 0).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut_short = (F.col("turn") > F.col("passes")) & ~whole
-    text = F.when(cut_short, F.array_join(F.slice(words_of(F.col("row.text")), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")).otherwise(F.col("row.text"))
+    n = F.greatest(F.col("part"), F.lit(1)).cast("int")
+    blanks, words = F.slice(F.split("row.text", WORD, -1), 1, n), F.slice(words_of(F.col("row.text")), 1, n)
+    start = F.array_join(F.zip_with(blanks, words, lambda b, w: F.concat(b, w)), "")  # the text up to its last word taken
+    text = F.when(cut_short, start).otherwise(F.col("row.text"))
     named = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     out = turn.select(*[text.alias("text") if c == "text" else n for c, n in zip(docs.columns, named, strict=True)])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
@@ -144,12 +161,15 @@ tg AS (SELECT source, source_size, total,
          CASE WHEN fi.place IS NULL OR lv.place < fi.place THEN ({CAP} * source_size)::DOUBLE ELSE weight * fi.level END AS target FROM lv, fi),
 sq AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST, k) AS r, total
         FROM tg, LATERAL (SELECT unnest(generate_series(1, (source_size * {CAP} // {BLOCK})::BIGINT)) AS k)) WHERE r <= round(total / {BLOCK}::DOUBLE)),
-pl AS (SELECT tg.*, (SELECT count(*) FROM sq WHERE sq.source IS NOT DISTINCT FROM tg.source) AS quota, greatest(1, ceil(source_size / {SHARD}::DOUBLE))::BIGINT AS shards FROM tg),
-d AS (SELECT base.*, pl.source_size, pl.target, pl.quota AS source_quota, ('0x' || substr(key, 1, 15))::BIGINT % shards AS shard,
-        ('0x' || substr(key, 16, 15))::BIGINT AS place FROM base JOIN pl ON base.source IS NOT DISTINCT FROM pl.source),
-sh AS (SELECT source, shard, source_quota, sum(size)::BIGINT AS shard_size FROM d GROUP BY ALL),
-hq AS (SELECT source, shard, k FROM (SELECT source, shard, k, source_quota, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k - 1)::DOUBLE DESC, shard, k) AS r
-        FROM sh, LATERAL (SELECT unnest(generate_series(1, (shard_size * {CAP} // {BLOCK})::BIGINT)) AS k)) WHERE r <= source_quota),
+pl AS (SELECT *, ceil(shards / {REGION}::DOUBLE)::BIGINT AS regions FROM (SELECT tg.*, (SELECT count(*) FROM sq WHERE sq.source IS NOT DISTINCT FROM tg.source) AS quota, greatest(1, ceil(source_size / {SHARD}::DOUBLE))::BIGINT AS shards FROM tg)),
+d AS (SELECT *, shard % regions AS region FROM (SELECT base.*, pl.source_size, pl.target, pl.quota AS source_quota, pl.regions, ('0x' || substr(key, 1, 15))::BIGINT % shards AS shard,
+        ('0x' || substr(key, 16, 15))::BIGINT AS place FROM base JOIN pl ON base.source IS NOT DISTINCT FROM pl.source)),
+sh AS (SELECT source, region, shard, source_quota, sum(size)::BIGINT AS shard_size FROM d GROUP BY ALL),
+rg AS (SELECT source, region, source_quota, sum(shard_size) AS region_size, sum((shard_size * {CAP}) // {BLOCK})::BIGINT AS room FROM sh GROUP BY ALL),
+rq AS (SELECT source, region, count(*) AS region_quota FROM (SELECT source, region, k, source_quota, row_number() OVER (PARTITION BY source ORDER BY region_size / (2 * k - 1)::DOUBLE DESC, region, k) AS r
+        FROM rg, LATERAL (SELECT unnest(generate_series(1, room)) AS k)) WHERE r <= source_quota GROUP BY ALL),
+hq AS (SELECT source, shard, k FROM (SELECT sh.source, shard, k, region_quota, row_number() OVER (PARTITION BY sh.source, sh.region ORDER BY shard_size / (2 * k - 1)::DOUBLE DESC, shard, k) AS r
+        FROM sh JOIN rq ON sh.source IS NOT DISTINCT FROM rq.source AND sh.region = rq.region, LATERAL (SELECT unnest(generate_series(1, (shard_size * {CAP} // {BLOCK})::BIGINT)) AS k)) WHERE r <= region_quota),
 qc AS (SELECT source, shard, count(*) AS quota FROM hq GROUP BY ALL),
 st AS (SELECT d.*, sh.shard_size, coalesce(qc.quota, 0) * {BLOCK} AS words,
          coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY place, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
