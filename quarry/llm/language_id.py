@@ -33,6 +33,8 @@ KEEP_RATIO = 0.25
 FILTER_BITS = 18
 PROBES = 3
 _BLOCK = 1 << 18  # characters
+#: Languages that a counting worker holds the counts of: 8 MB each.
+AT_ONCE = 16
 
 _letters: list[np.ndarray] = []
 
@@ -91,21 +93,27 @@ def _grams(group: list[np.ndarray], who: list[int]) -> Iterator[tuple[np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, slot, n) of the n-grams counted; a worker holds the counts of AT_ONCE languages and passes on those of others."""
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        names = sorted(set(langs))
-        code = np.array([names.index(x) for x in langs], np.int64) if names else np.zeros(0, np.int64)
-        for text, slot in _blocks(texts):
-            lang = code[text]
-            for k in np.flatnonzero(np.bincount(lang)).tolist():
-                got = np.bincount(slot[lang == k], minlength=1 << SLOT_BITS)
-                have = totals.setdefault(names[k], np.zeros(1 << SLOT_BITS, np.int64))
-                have += got
-    for name, counts in totals.items():
+
+    def flush(name: str) -> pa.RecordBatch:
+        counts = totals.pop(name)
         slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["lang", "slot", "n"])
-    del totals
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["lang", "slot", "n"])
+
+    for batch in batches:
+        by_lang: dict[str, list[str | None]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by_lang.setdefault(lang, []).append(text)
+        for name, texts in by_lang.items():
+            if name not in totals:
+                if len(totals) >= AT_ONCE:
+                    yield flush(next(iter(totals)))
+                totals[name] = np.zeros(1 << SLOT_BITS, np.int64)
+            for _, slot in _blocks(texts):
+                totals[name] += np.bincount(slot, minlength=1 << SLOT_BITS)
+    while totals:
+        yield flush(next(iter(totals)))
     trim()
 
 
