@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -385,17 +386,28 @@ def _spelled(text: str, model: Field) -> Iterator[Span]:
 def all_spans(text: str, model: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by kind, then start."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
     extra: list[Span] = []
+    starts, ends = [], []  # what is taken, as ranges that don't touch
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def add(kind: int, a: int, b: int) -> None:
+        at = bisect_left(starts, b)  # the ranges before this one begin before the span ends
+        if not at or ends[at - 1] <= a:
+            starts.insert(at, a)
+            ends.insert(at, b)
+            extra.append((kind, a, b))
+
     for kind, s, e in _spelled(text, model):
-        if not any(x < e and s < y for x, y in taken):
-            extra.append((kind, s, e))
-            taken.append((s, e))
+        add(kind, s, e)
     for a, b, before in _windows(text):
         for kind, s, e in model.decode(text[a:b]):
-            if a + s < before and not any(x < a + e and a + s < y for x, y in taken):
-                extra.append((kind, a + s, a + e))
-                taken.append((a + s, a + e))
+            if a + s < before:
+                add(kind, a + s, a + e)
     return base, sorted([*base, *extra])
 
 
