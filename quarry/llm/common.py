@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_quarry_shared", None) or f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark._quarry_shared = found
     return found.rstrip("/")
