@@ -1,14 +1,18 @@
 """Vectorised hashes of words and word windows straight from Arrow's UTF-8 buffers.
 
 A word's hash is a polynomial over its bytes taken from one running sum per block, so no Python
-object is made for a word. Blocks are cut at whitespace, so memory follows the block, not the text.
+object is made for a word. Blocks are cut at whitespace, so memory follows the block, not the text. Since different long
+texts with equal polynomials modulo 2^64 can be constructed (from 1,024 bytes on), words of LONG bytes or more are hashed by BLAKE2 instead.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
+LONG = 512
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _BLOCK = 1 << 20
@@ -85,6 +89,8 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         sums = np.zeros(len(part) + 1, _U)
         np.cumsum((part.astype(_U) + _U(1)) * powers[: len(part)], out=sums[1:])
         h = (sums[e] - sums[s]) * inverse[s]
+        for i in np.flatnonzero(e - s >= LONG):
+            h[i] = int.from_bytes(blake2b(part[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
         hashes.append(mix(h ^ ((e - s).astype(_U) * _U(0xD6E8FEB86659FD93))))
         starts.append(s + begin)
         begin = stop

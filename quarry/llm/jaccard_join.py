@@ -17,13 +17,19 @@ similarity reaches the threshold, and the operator returns the connected compone
    whose two nodes are still in different components; pairs inside one cannot change it. Where a list
    is crowded with such pairs, its nodes meet block against block on whole sets instead, without a row a pair.
 
+No task holds a whole posting list: what is asked of a list as a whole are aggregates, combined before the shuffle and joined back
+(a skewed join, which AQE may split); lists are first told apart from those of one node within slices of HOT texts at most, by the recurring shingles'
+counts; nodes of crowded lists are dealt to blocks by counts and hashes.
+
 Nulls and texts without words have an empty set, link with nothing and are their own component.
 Repeated rows come back once each. Rows whose doc_id is null still belong to their class; a component
-without any id is null. Extra columns of the input are ignored.
+without any id is null. Extra columns of the input are ignored, whatever their names. An empty table gives no rows. Very long texts are
+hashed in blocks. Words and shingles stand as 64-bit hashes throughout, so counts are exact but for chance collisions.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +53,8 @@ MOST_MATCHES = 16
 VERIFY_COST = 300.0
 #: Expected other texts with a shingle that is not among the ordered ones.
 RARE_DF = 0.02
+#: Texts with a recurring shingle that one slice of its list may come from.
+HOT = 65_536
 #: Leads that a node is held against before all others.
 LEADS = 2
 #: A list with more open pairs than so many a node is crowded.
@@ -111,8 +119,8 @@ def _census(k: int):
     return run
 
 
-def prefix_of(grams: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """What a node lists, how many shared shingles it asks for, and how many of the list may find larger sets.
+def prefix_of(grams: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """What a node lists, how many shared shingles it asks for, how many of the list may find larger sets, and the list's counts.
 
     A partner of at least the same size overlaps in 2t / (1 + t) n shingles or more, so the smaller set of a
     pair needs only that shorter part of its list; the larger one needs all of it.
@@ -125,14 +133,15 @@ def prefix_of(grams: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarr
     ask = np.arange(1, most + 1)
     need = postings[base : base + most]
     take = int(ask[np.argmin(ask + need + VERIFY_COST * need / ask)])
-    return grams[order[: n - least + take]], take, base + take
+    listed = order[: n - least + take]
+    return grams[listed], take, base + take, df[listed]
 
 
 def _postings(k: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = frequent.value
         seen: set[int] = set()
-        names = ["gram", "node", "n", "ask", "up"]
+        names = ["gram", "node", "n", "ask", "up", "slice"]
         for batch in batches:
             for _, grams, bounds in _sets(batch.column(0), k):
                 nodes = _nodes(grams, bounds)
@@ -141,15 +150,16 @@ def _postings(k: int, percent: int, frequent):
                     df = np.where(known[at] == grams, weight[at], 0)
                 else:
                     df = np.zeros(len(grams), np.int64)
-                lists, rows = [], []
+                lists, rows, slices = [], [], []
                 for i, node in enumerate(nodes.tolist()):
                     a, b = bounds[i], bounds[i + 1]
                     if a == b or node in seen:
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(node)
-                    prefix, ask, up = prefix_of(grams[a:b], df[a:b], percent)
+                    prefix, ask, up, counts = prefix_of(grams[a:b], df[a:b], percent)
                     lists.append(prefix)
+                    slices.append(np.where(counts > HOT, 1 + node % -(-counts // HOT), 0))
                     rows.append((node, b - a, ask, len(prefix), up))
                 if rows:
                     r = np.array(rows, np.int64)
@@ -160,6 +170,7 @@ def _postings(k: int, percent: int, frequent):
                             pa.array(np.repeat(r[:, 1], r[:, 3]).astype(np.int32)),
                             pa.array(np.repeat(r[:, 2], r[:, 3]).astype(np.int8)),
                             pa.array(np.concatenate([np.arange(m) < up for m, up in zip(r[:, 3], r[:, 4], strict=True)])),
+                            pa.array(np.concatenate(slices).astype(np.int32)),
                         ],
                         names=names,
                     )
@@ -222,11 +233,10 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
     """(node, root) of all nodes that link, from the posting lists with more than one node."""
     spark = live.sparkSession
     release(spark)
-    by_gram = Window.partitionBy("gram")
     # a list's lead against the others of the list, but for each node only the leads it shares most lists with
-    star = live.withColumn("lead", F.min_by(F.struct("node", "n"), F.xxhash64("node")).over(by_gram))
-    star = star.where(f"node <> lead.node and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
-    star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("got"))
+    leads = live.groupBy("gram").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"))  # nodes are hashes already
+    star = live.join(leads, "gram").where(f"node <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
+    star = star.groupBy("node", "lead").agg(F.count("*").alias("got"))
     best = Window.partitionBy("node").orderBy(F.desc("got"), F.xxhash64("lead"))
     first = star.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADS)
     first = cut(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
@@ -266,14 +276,22 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
 def _crowded(texts: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among nodes on crowded lists, block against block on whole sets, without a row for each pair.
 
-    A node goes by its most crowded list; the nodes of a list are cut into blocks of SIDE by component and size. Two
+    A node goes by its most crowded list; the nodes of a list are dealt to blocks of about SIDE, large components to blocks of their own. Two
     blocks meet if a crowded list has nodes of both, unless all are of one component or too different in
     size; a meeting returns only the links that join components.
     """
     spark = texts.sparkSession
     members = crowd.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max(F.struct("m", "gram"))["gram"].alias("key"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("root", "n", "node")) - 1
-    members = cut(members.withColumn("block", F.xxhash64("key", F.floor(place / SIDE))), "crowd")
+    members = cut(members, "members")
+    # a list's nodes by component; those of components with fewer than SIDE / 4 of them are dealt together, by component
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("mine"))
+    small = F.col("mine") < SIDE // 4
+    rest = parts.where(small).groupBy("key").agg(F.sum("mine").alias("others"))
+    dealt = parts.join(rest, "key", "left").withColumn("blocks", F.ceil(F.when(small, F.col("others")).otherwise(F.col("mine")) * 4 / (3 * SIDE)))
+    part = F.when(small, F.pmod(F.xxhash64("root"), F.col("blocks"))).otherwise(F.lit(-1))
+    within = F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")))
+    named = F.xxhash64("key", part, F.when(small, F.lit(0).cast("long")).otherwise(F.col("root")), within)
+    members = cut(members.join(dealt, ["key", "root"]).select("node", "n", "root", "key", named.alias("block")), "crowd")
     blocks = members.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
     on = crowd.join(members.select("node", "block"), "node").select("gram", "block").distinct()
     both = on.alias("a").join(on.alias("b"), F.expr("a.gram = b.gram and a.block <= b.block")).select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
@@ -335,10 +353,11 @@ def _meeting(percent: int):
 
 def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
     """The posting lists that still have nodes of different components."""
-    by_gram = Window.partitionBy("gram")
-    placed = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.withColumn("low", F.min("root").over(by_gram)).withColumn("high", F.max("root").over(by_gram))
-    return cut(placed.where("low <> high").drop("low", "high").distinct(), "apart")
+    placed = cut(live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    apart = cut(placed.join(mixed, "gram", "left_semi").distinct(), "apart")
+    drop_cut(placed)
+    return apart
 
 
 def _ordered(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -359,32 +378,71 @@ def _ordered(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["gram"].to_numpy().astype(np.int64).astype(np.uint64), rows["df"].to_numpy().astype(np.int64)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; see the module's text for method and edge cases."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and (node, least_id, root) of every class with words."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    census = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_census(k), _CENSUS), "census")
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    census = cut(named.mapInArrow(_census(k), _CENSUS), "census")
     rows = census.where("node is not null").select("doc_id", "n_shingles", "node")
     known, weight = _ordered(census.where("node is null").groupBy("gram").agg(F.sum("df").alias("df")))
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], weight[order]))
 
-    postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, n int, ask byte, up boolean")
-    by_gram = Window.partitionBy("gram")
+    postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, n int, ask byte, up boolean, slice int")
+    # a list of more than HOT texts is in slices, which are kept whole: it has more than one node but for the rarest case
+    by_gram = Window.partitionBy("gram", "slice")
     lists = postings.withColumn("low", F.min("node").over(by_gram)).withColumn("high", F.max("node").over(by_gram))
-    lists = lists.withColumn("any_up", F.max("up").over(by_gram)).where("low <> high and any_up")
-    live = cut(lists.drop("low", "high", "any_up"), "postings")
+    lists = lists.withColumn("any_up", F.max("up").over(by_gram)).where("slice > 0 or (low <> high and any_up)")
+    live = cut(lists.drop("low", "high", "any_up", "slice"), "postings")
     sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     del postings, lists  # so that their shuffle files can go
     roots = _linked(texts, live, k, percent)
     release(spark)
 
-    classes = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows, sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; see the module's text for method and edge cases."""
+    rows, classes = _classes(docs, id_col, text_col, k, percent)
     least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.join(least, "root").select("node", "component_id")
     out = rows.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _with_class(k: int, at: int, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [_nodes(grams, bounds) for _, grams, bounds in _sets(batch.column(at), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *nodes]))], names=[*batch.schema.names, name])
+        trim()
+
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows, with all columns, that stay when one row of each component does: one with its smallest id, nulls last.
+
+    Rows are told apart by id and class, so an id with two texts, and rows without an id, are judged as what they are; of rows with
+    both in common any one stays. Rows without words stay all.
+    """
+    rows, classes = _classes(docs, id_col, text_col, k, percent)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("no"), F.col("least_id").alias("id"), F.col("node").alias("node"))).alias("x"))
+    times = rows.where("n_shingles > 0").groupBy("node", F.col("doc_id").alias("id")).agg((F.count("*") > 1).alias("many"))
+    f, t = first.select("x.id", "x.node").alias("f"), times.alias("t")
+    stay = f.join(t, (F.col("f.node") == F.col("t.node")) & F.col("f.id").eqNullSafe(F.col("t.id")))
+    node, id_, many = (f"{n}_{uuid.uuid4().hex}" for n in ("node", "id", "many"))
+    stay = stay.select(F.col("f.node").alias(f"{node}_"), F.col("f.id").alias(id_), F.col("t.many").alias(many))
+    marked = docs.mapInArrow(_with_class(k, docs.columns.index(text_col), node), T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+    same = (F.col(node) == F.col(f"{node}_")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_))
+    met = marked.where(F.col(node) != 0).join(stay, same)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    several = met.where(many).groupBy(node).agg(F.min_by(F.struct(*cols), F.xxhash64(F.col(f"`{text_col}`"))).alias("row"))
+    of_many = several.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return met.where(~F.col(many)).select(*cols).unionByName(of_many).unionByName(marked.where(F.col(node) == 0).select(*cols))
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

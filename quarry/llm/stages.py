@@ -1,12 +1,11 @@
 """The operators as pipeline stages: (spark, docs, sf_dir) -> the documents that go on, or the last stage's result.
 
-Rows keep the columns of documents; rows without a doc_id can't be named and stay in the deduplication.
+Rows keep the columns of documents. Rows without a doc_id, and ids with several texts, go through every stage as rows of their own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import jaccard_join as _join
 from quarry.llm import language_id as _language
@@ -23,11 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
+    """Keeps one document of each group of near copies, that with the smallest id."""
     ship(spark)
-    groups = _join.jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return _join.one_of_each(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

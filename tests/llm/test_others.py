@@ -245,3 +245,17 @@ def test_pipeline_against_its_parts(spark, docs, rows, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
 
 
+
+
+def test_one_row_of_each_group_stays(spark):
+    from quarry.llm import jaccard_join
+
+    words = [f"w{i}" for i in range(40)]
+    near, far = " ".join([*words[:39], "x"]), " ".join(reversed(words))
+    text = " ".join(words)
+    rows = [(1, near, 1), (1, text, 2), (2, text, 3), (None, text, 4), (None, far, 5), (None, far, 6), (7, "", 7), (7, None, 8), (8, "a b", 9), (8, "a b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    got = sorted(map(str, (tuple(r) for r in jaccard_join.one_of_each(docs).collect())))
+    assert len(got) == 5 and {str(r) for r in rows[6:9]} <= set(got)
+    assert sum(str(r) in got for r in rows[:4]) == sum(str(r) in got for r in rows[:2]) == 1 and sum(str(r) in got for r in rows[4:6]) == 1
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
