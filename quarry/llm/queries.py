@@ -34,5 +34,6 @@ _QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_url_filter": url_filter.oracle(),
         "op8_mix_sources": mixing.ORACLE,
     }

@@ -191,7 +191,7 @@ def test_vectors_of_any_scale_and_with_clashing_columns(spark):
 def test_urls(spark):
     urls = ["http://A.Net/x?y#z", "https://example.net/en/1", "https://www.example.net/en/", "https://example.net", "http://x.example.com/de/1?q", "https://w.org/fr/", "https://w.org/fr", None, "", "no scheme/net/", "a://b://net/", "://net/", "http://net"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
-    got = {r.page_id: r for r in url_filter.judge(rows, url_filter.fitted(spark)).collect()}
+    got = {r.page_id: r for r in url_filter.judge(rows, list(url_filter.fitted())).collect()}
     for i, url in enumerate(urls):
         host = path = ""
         if url and "://" in url:
@@ -203,8 +203,36 @@ def test_urls(spark):
 
 
 def test_url_regression_is_right_on_urls_it_has_not_seen(spark):
-    rows = spark.createDataFrame([(0, "https://m.ads-track.example.com/en/5"), (1, "http://casino-win.example.info/x"), (2, "https://blog.thesre.example.com/en/77"), (3, "http://www.library.example.com/fr/5.html")], "page_id long, url string")
-    assert [r.verdict for r in url_filter.judge(rows, url_filter.fitted(spark)).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+    """Held-out accuracy: other hosts of the same kinds, and none of whose words were in the table it learned from."""
+    seen = {host for host, *_ in url_filter.labelled_urls()}
+    rows = [(h, p, y) for h, p, y in url_filter.labelled_urls(4000, seed=99) if h not in seen]
+    urls = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r.score >= 0.5 for r in url_filter.judge(urls, list(url_filter.fitted())).collect()}
+    assert len(rows) > 1000 and sum(got[i] == bool(y) for i, (*_, y) in enumerate(rows)) >= 0.95 * len(rows)
+    half = [w for w in url_filter._UNWANTED if len(w) % 2]
+    some = [r for r in url_filter.labelled_urls() if not r[2] or not any(w in r[0] + r[1] for w in half)]
+    weights = url_filter.fit(some)
+    score = lambda h, p: sum(weights[b] for b in url_filter._plain_features(h, p)) / len(url_filter._plain_features(h, p)) ** 0.5 + weights[-1]
+    ordinary = [(h, p) for h, p, y in rows if not y]
+    assert sum(score(h, p) < 0 for h, p in ordinary) >= 0.95 * len(ordinary)
+
+
+def test_urls_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    urls = ["http://A.Net/x?y#z", "https://casino.é😀.org/ä/б?x", "https://w.org/fr/", None, "", "no scheme", "a://b", "://", "http://x", "http://" + "long-casino-" * 3000 + ".com/" + "p" * 9000, "http://a.b/c"]
+    rows = [(i, u, "x", 1) for i, u in enumerate(urls)] + [(10, "http://a.b/c", "x", 1), (None, "http://bets.pills.info", None, 1)]
+    rows += [(100 + i, f"http://{h}{p}", "x", 1) for i, (h, p, _) in enumerate(url_filter.labelled_urls(500, seed=5))]
+    spark.createDataFrame(rows, "page_id long, url string, host string, f int").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = url_filter.op7(spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter(c.execute(url_filter.oracle()).fetchall())
+    plain = spark.createDataFrame([(h, p) for h, p, _ in url_filter.labelled_urls(300, seed=6)], "host string, path string")
+    assert all(sorted(r.f) == url_filter._plain_features(r.host, r.path) for r in plain.select("*", url_filter.features(F.col("host"), F.col("path")).alias("f")).collect())
+    assert url_filter.judge(got.limit(0).withColumnRenamed("host", "url"), [0.0] * (url_filter.DIM + 1)).count() == 0
+    many = spark.createDataFrame([(f"http://h{i}.com/", i % 2) for i in range(20)], "url string, label int")
+    assert url_filter.train(many) == url_filter.train(many.repartition(3))
 
 
 def test_pipeline_against_its_parts(spark, docs, rows, tmp_path):
