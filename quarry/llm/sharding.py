@@ -2,7 +2,7 @@
 
 append() writes the arriving rows as they are dealt, without a shuffle, as shards of at most
 ARRIVAL_ROWS rows; arrive() does so for a table that comes in several arrivals, in one scan and with a version for each arrival.
-compact() puts shards below TARGET bytes into tiers of similar size (a factor FAN_IN each), cuts
+compact() puts shards below half of TARGET bytes into tiers of similar size (a factor FAN_IN each), cuts
 every tier into runs of up to TARGET bytes and ROWS rows and rewrites each run of two or more as one file; other shards
 stay untouched. Rows are dealt straight to their run's task, so a task reads one run and nothing
 else, whatever keys the rows have. Runs form within slots of at most about SLOT shards and are numbered within them, so planning has no
@@ -57,9 +57,9 @@ class Conflict(RuntimeError):
 
 
 def tier_of(size):
-    """Tier of a shard by its bytes; full shards have one tier above all."""
+    """Tier of a shard by its bytes; full shards, of half a target or more, have one tier above all."""
     steps = F.floor(F.log(F.greatest(size, F.lit(SMALLEST)) / SMALLEST) / F.log(F.lit(float(FAN_IN))))
-    return F.when(size >= TARGET, 99).otherwise(steps).cast("int")
+    return F.when(size >= TARGET // 2, 99).otherwise(steps).cast("int")
 
 
 def fresh(*names: str) -> list[str]:
