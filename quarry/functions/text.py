@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +37,58 @@ def is_html(raw: Column) -> Column:
     return F.contains(F.substring(raw, 1, 5000), F.lit("</")) | F.contains(F.lower(F.substring(raw, 1, 2000)), F.lit("<html"))
 
 
+def _longest_first(names) -> str:
+    return "|".join(sorted(names, key=lambda n: (-len(n), n)))
+
+
+#: Entities by name come from Python's table of those in HTML 5; some of them also stand without a semicolon, before whatever follows.
+_ENDED = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+_OPEN = {n: c for n, c in html5.items() if not n.endswith(";")}
+_BARE = f"^&({_longest_first(_OPEN)})"
+ENTITY = f"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,31}};|(?:{_longest_first(_OPEN)}))"
+#: Numbers that stand for another character, as browsers read them: Windows' ones from 128 to 159, 0, and the carriage return.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(128, 160)} | {0: "\ufffd", 13: "\r"}
+
+
+def _lookup(names: dict[str, str], key: Column) -> Column:
+    """The value of a key in a constant map, or null."""
+    pairs = "\x01".join(f"{k}\x02{v}" for k, v in names.items())
+    return F.try_element_at(F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02")), key)
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _entity(e: Column) -> Column:
+    """What one entity stands for; itself if nothing."""
+    decimal, hexa = F.regexp_extract(e, "^&#0*([0-9]*)", 1), F.regexp_extract(e, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+    is_hex = e.rlike("^&#[xX]")
+    digits = F.when(is_hex, hexa).otherwise(decimal)
+    code = F.when(F.length(digits) > 8, F.lit(1 << 32)).when(digits == "", F.lit(0)).otherwise(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"))
+    return F.when(e.startswith("&#"), _by_code(code)).otherwise(_by_name(e))
+
+
+def _by_code(n: Column) -> Column:
+    other = F.lit(None).cast("string")
+    for code, char in _WINDOWS.items():
+        other = F.when(n == code, char).otherwise(other)
+    outside = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    control = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return F.coalesce(other, F.when(outside, "\ufffd").when(control, "").otherwise(_character(n)))
+
+
+def _by_name(e: Column) -> Column:
+    ended = F.when(F.endswith(e, F.lit(";")), _lookup(_ENDED, F.regexp_extract(e, "^&([A-Za-z0-9]+);$", 1)))
+    bare = F.regexp_extract(e, _BARE, 1)
+    return F.coalesce(ended, F.when(bare != "", F.concat(_lookup(_OPEN, bare), F.substring(e, F.length(bare) + 2, F.length(e)))), e)
+
+
 def unescape(c: Column) -> Column:
-    """Named entities of common documents and quotes; ampersands last, so nothing is unescaped twice."""
-    for entity, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """All named and numeric entities, each once, from left to right; texts without any pass through."""
+    found = F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
+    pieces = F.zip_with(F.split(c, ENTITY, -1), F.transform(found, _entity), lambda piece, char: F.concat(piece, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
 def clean(raw: Column) -> Column:
@@ -91,13 +140,33 @@ def guidance(c: Column, pattern: str = REVENUE_GUIDANCE, most: int = 5) -> Colum
     return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), strip)), 1, most)
 
 
-def lexicon_score(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) -> Column:
-    """(p - n) / max(p + n, 1) over the first sentences of more than 20 characters; 0 without any."""
+def lexicon(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) -> Column:
+    """struct(score, n_sentences, backend, positive, negative, neutral) over the first sentences of more than 20 characters.
+
+    score is (p - n) / max(p + n, 1), the others are shares of all words. Without a sentence the score is 0, the backend "none" and shares are null.
+    One pass over the words: they are mapped to signs, which are then counted.
+    """
     found = F.slice(F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) > 20), 1, most)
     words = F.regexp_extract_all(F.lower(F.array_join(found, " ")), F.lit("[a-z]+"), F.lit(0))
-    count = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(*lexicon)))
-    p, n = count(positive), count(negative)
-    return (p - n) / F.greatest(p + n, F.lit(1))
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("all"))
+
+    def step(s: Column, w: Column) -> Column:
+        return F.struct((s["p"] + w.isin(*positive).cast("int")).alias("p"), (s["n"] + w.isin(*negative).cast("int")).alias("n"), (s["all"] + 1).alias("all"))
+
+    def record(s: Column) -> Column:
+        p, n, every = s["p"], s["n"], F.greatest(s["all"], F.lit(1))
+        none = s["sentences"] == 0
+        share = lambda x, name: F.when(~none, x).alias(name)
+        return F.struct(((p - n) / F.greatest(p + n, F.lit(1))).alias("score"), s["sentences"].alias("n_sentences"), F.when(none, "none").otherwise("lexicon").alias("backend"),
+                        share(p / every, "positive"), share(n / every, "negative"), share(1 - (p + n) / every, "neutral"))
+
+    counted = F.aggregate(words, start, step)
+    bound = F.transform(F.array(F.struct(F.size(found).alias("sentences"), counted.alias("c"))), lambda x: F.struct(x["sentences"].alias("sentences"), x["c"]["p"].alias("p"), x["c"]["n"].alias("n"), x["c"]["all"].alias("all")))
+    return F.when(c.isNotNull(), F.transform(bound, record).getItem(0))
+
+
+def lexicon_score(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) -> Column:
+    return lexicon(c, positive, negative, most)["score"]
 
 
 def snippet(c: Column, most: int = 350) -> Column:
@@ -114,6 +183,19 @@ def deep_link(url: Column, text: Column) -> Column:
     return F.concat(url, F.lit("#:~:text="), out)
 
 
+def linkify(c: Column, urls: Column) -> Column:
+    """[n] as a Markdown link to the n-th url, where there is one; other text stays."""
+    marks = F.regexp_extract_all(c, F.lit(r"\[(\d+)\]"), F.lit(1))
+    url = lambda n: F.when(F.length(n) < 10, F.try_element_at(urls, F.nullif(n.cast("int"), F.lit(0))))
+    linked = F.transform(marks, lambda n: F.coalesce(F.concat(F.lit("[["), n, F.lit("]]("), url(n), F.lit(")")), F.concat(F.lit("["), n, F.lit("]"))))
+    return F.array_join(F.zip_with(F.split(c, r"\[\d+\]", -1), linked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def citation_link(cite: Column, url: Column, text: Column) -> Column:
+    """The citation as a Markdown link to the passage, or plain where there is no url."""
+    return F.coalesce(F.concat(F.lit("["), cite, F.lit("]("), deep_link(url, text), F.lit(")")), cite)
+
+
 def citation(ticker: Column, form: Column, date: Column, item: Column, title: Column) -> Column:
     call = F.concat(ticker, F.lit(" Earnings Call ("), date, F.lit(")"))
     phase = F.when(item == "QA", "Q&A").when(item == "PR", "Prepared Remarks")

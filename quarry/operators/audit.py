@@ -42,13 +42,31 @@ def sentence_audit(answers: DataFrame) -> DataFrame:
 
 
 def verdict(answers: DataFrame, sentences: DataFrame, key: list[str]) -> DataFrame:
-    """(key, ratio, passed, level) of every answer: without sources it fails with 0.0, else without sentences it passes with 1.0."""
+    """(key, backend, ratio, n, n_grounded, passed, level) of every answer: without sources it fails with 0.0, else without sentences it passes with 1.0."""
     rows = answers.select(*key, (F.size("sources") > 0).alias("sourced"), F.lit(None).cast("int").alias("grounded"), F.lit(False).alias("bad"))
     rows = rows.unionByName(sentences.select(*key, F.lit(True).alias("sourced"), F.col("grounded").cast("int").alias("grounded"), (F.size("missing") > 0).alias("bad")))
-    out = rows.groupBy(*key).agg(F.max("sourced").alias("sourced"), F.avg("grounded").alias("ratio"), F.max("bad").alias("bad"))
+    sums = F.count("grounded").alias("n"), F.coalesce(F.sum("grounded"), F.lit(0)).alias("n_grounded")
+    out = rows.groupBy(*key).agg(F.max("sourced").alias("sourced"), F.avg("grounded").alias("ratio"), F.max("bad").alias("bad"), *sums)
     out = out.withColumn("ratio", F.when(F.col("sourced"), F.coalesce("ratio", F.lit(1.0))).otherwise(0.0))
     level = F.when(F.col("ratio") >= PASS, "high").when(F.col("ratio") >= 0.5, "medium").otherwise("low")
-    return out.select(*key, "ratio", ((F.col("ratio") >= PASS) & ~F.col("bad")).alias("passed"), level.alias("level"))
+    backend = F.when(~F.col("sourced"), "none").when(F.col("n") == 0, "trivial").otherwise("jaccard")
+    return out.select(*key, backend.alias("backend"), "ratio", "n", "n_grounded", ((F.col("ratio") >= PASS) & ~F.col("bad")).alias("passed"), level.alias("level"))
+
+
+# fixed values: the wording of the report
+_HIGH = "Source check: %d/%d statements (%d%%) are supported by the cited passages. Open the sources below to verify."
+_MEDIUM = "Source check: %d/%d statements (%d%%) are clearly supported by the cited passages. Please double-check the citations for the rest."
+_LOW = "Source check: only %d/%d statements (%d%%) map cleanly onto the cited passages. Treat this answer with caution and verify against the sources below before relying on it."
+_SUMMARY = "Hallucination audit %s: %d/%d sentences grounded (%s)"
+
+
+def report(verdicts: DataFrame) -> DataFrame:
+    """The verdicts with a summary line and a notice for readers."""
+    counts = F.col("n_grounded"), F.col("n")
+    percent = F.bround(F.round("ratio", 3) * 100).cast("int")
+    notice = F.when(F.col("level") == "high", F.format_string(_HIGH, *counts, percent)).when(F.col("level") == "medium", F.format_string(_MEDIUM, *counts, percent)).otherwise(F.format_string(_LOW, *counts, percent))
+    summary = F.format_string(_SUMMARY, F.when(F.col("passed"), "PASSED").otherwise("FAILED"), *counts, F.col("backend"))
+    return verdicts.withColumns({"summary": summary, "notice": notice})
 
 
 _STOPS = ", ".join(f"'{w}'" for w in X.AUDIT_STOP)

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.text import token_set
+from quarry.functions.text import paragraphs, token_set
 
 SAME, MINOR, RELATED, SHOWN, MOST = 0.90, 0.65, 0.30, 600, 40
 
 
 def pairs(docs: DataFrame, by: list[str], order: str, key: str = "doc_id") -> DataFrame:
-    """(old_id, new_id): each document with the next of its group."""
+    """(old_id, new_id): each document with the next of its group. Transcripts are a form like others here; leave them out beforehand where they don't count."""
     w = Window.partitionBy(*by).orderBy(order, key)
     return docs.select(F.col(key).alias("old_id"), F.lead(key).over(w).alias("new_id")).where("new_id is not null")
 
@@ -55,12 +55,53 @@ def diff(pairs_: DataFrame, units: DataFrame, most: int = MOST, least: int = 80)
     return kinds.unionByName(gone).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def section_changes(old: DataFrame, new: DataFrame, pairs_: DataFrame) -> DataFrame:
-    """(old_id, new_id, item, kind): items of only one side; of repeated items on the old side the last counts."""
-    olds = pairs_.join(old.select(F.col("doc_id").alias("old_id"), "item").distinct(), "old_id")
-    news = pairs_.join(new.select(F.col("doc_id").alias("new_id"), "item").distinct(), "new_id")
-    key = ["old_id", "new_id", "item"]
-    return olds.join(news, key, "left_anti").select(*key, F.lit("removed").alias("kind")).unionByName(news.join(olds, key, "left_anti").select(*key, F.lit("new").alias("kind")))
+def by_section(pairs_: DataFrame, sections: DataFrame, most: int = MOST, shown: int = SHOWN, least: int = 80) -> DataFrame:
+    """(old_id, new_id, place, kind, item, similarity, old_text, new_text) of documents' sections (doc_id, pos, item, text).
+
+    Each section of the new document is held against the old one's section of the same item, the last one where items repeat, paragraph by
+    paragraph. Items only the old document has are removed paragraphs; a section only the new one has is one row. New, then
+    substantive, removed, minor; within a kind removed items first, then the new document's order; `most` rows a pair. Texts are cut at `shown`.
+    """
+    key = ["old_id", "new_id"]
+    olds = pairs_.join(sections.select(F.col("doc_id").alias("old_id"), "item", F.col("pos").alias("old_sec"), F.col("text").alias("old_text")), "old_id")
+    news = pairs_.join(sections.select(F.col("doc_id").alias("new_id"), "item", F.col("pos").alias("new_sec"), F.col("text").alias("new_text")), "new_id")
+    last = olds.groupBy(*key, "item").agg(F.max_by("old_text", "old_sec").alias("old_text"))
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, kind: Column, seq: tuple, score: Column, old: Column, new: Column) -> DataFrame:
+        names = [x.cast("int").alias(f"s{i}") for i, x in enumerate(seq)]
+        cut = lambda t, name: F.coalesce(F.substring(t, 1, shown), F.lit("")).alias(name)
+        return df.select(*key, kind.alias("kind"), "item", score.cast("double").alias("similarity"), cut(old, "old_text"), cut(new, "new_text"), *names)
+
+    para = lambda c: F.posexplode(paragraphs(F.col(c), least))
+    gone = olds.join(news.select(*key, "item").distinct(), [*key, "item"], "left_anti").select(*key, "item", "old_sec", para("old_text").alias("p", "t"))
+    out = rows(gone, F.lit("removed"), (F.lit(0), F.col("old_sec"), F.lit(0), F.col("p")), F.lit(0.0), F.col("t"), none)
+    fresh = news.join(last, [*key, "item"], "left_anti")
+    out = out.unionByName(rows(fresh, F.lit("new"), (F.lit(1), F.col("new_sec"), F.lit(0), F.lit(0)), F.lit(0.0), none, F.col("new_text")))
+
+    both = news.join(last, [*key, "item"]).withColumn("met", F.xxhash64(*key, "new_sec"))
+    old_units = both.select("met", para("old_text").alias("pos", "text"))
+    new_units = both.select("met", para("new_text").alias("pos", "text"))
+    sides = both.select(F.col("met").alias("old_id"), (-F.col("met") - 1).alias("new_id"))
+    units = old_units.select(F.col("met").alias("doc_id"), "pos", "text").unionByName(new_units.select((-F.col("met") - 1).alias("doc_id"), "pos", "text"))
+    matches = best_matches(sides, units)
+    named = both.select("met", *key, "item", "new_sec")
+    old_text = old_units.select("met", F.col("pos").alias("old_pos"), F.col("text").alias("old_text"))
+    new_text = new_units.select("met", F.col("pos").alias("new_pos"), F.col("text").alias("new_text"))
+    changed = matches.select(F.col("old_id").alias("met"), "new_pos", "old_pos", "score").withColumn("kind", classify(F.col("score"))).where("kind is not null")
+    changed = changed.join(new_text, ["met", "new_pos"]).join(old_text, ["met", "old_pos"], "left").join(named, "met")
+    out = out.unionByName(rows(changed, F.col("kind"), (F.lit(1), F.col("new_sec"), F.lit(0), F.col("new_pos")), F.round("score", 3), F.col("old_text"), F.col("new_text")))
+    chosen = matches.select(F.col("old_id").alias("met"), "old_pos").distinct()
+    unmet = old_text.join(chosen, ["met", "old_pos"], "left_anti").join(new_text.select("met").distinct(), "met", "left_semi").join(named, "met")
+    out = out.unionByName(rows(unmet, F.lit("removed"), (F.lit(1), F.col("new_sec"), F.lit(1), F.col("old_pos")), F.lit(0.0), F.col("old_text"), none))
+    rank = F.when(F.col("kind") == "new", 0).when(F.col("kind") == "substantive", 1).when(F.col("kind") == "removed", 2).otherwise(3)
+    order = Window.partitionBy(*key).orderBy(rank, "s0", "s1", "s2", "s3")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(*key, "place", "kind", "item", "similarity", "old_text", "new_text")
+
+
+def suppressed(differences: DataFrame) -> DataFrame:
+    """(old_id, new_id, shown, suppressed): how many differences are shown and how many minor ones are not."""
+    return differences.groupBy("old_id", "new_id").agg(F.count_if(F.col("kind") != "minor").alias("shown"), F.count_if(F.col("kind") == "minor").alias("suppressed"))
 
 
 def change_count(differences: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,11 +47,12 @@ def risk_counts(docs: DataFrame, cue: str = RISK_CUE) -> DataFrame:
 
     follows = lambda i, least: F.coalesce(F.length(F.get(p, i + 1)) >= least, F.lit(False))
     among = lambda x, low, high: (F.length(x) >= low) & (F.length(x) <= high)
-    structural = F.size(F.filter(p, lambda x, i: among(x, 40, 280) & ~noise(x) & x.rlike(cue) & follows(i, 250)))
-    title = F.size(F.filter(p, lambda x, i: among(x, 20, 160) & ~noise(x) & titled(x) & follows(i, 150)))
-    prefix = lambda x: F.regexp_extract(x, INLINE, 1)
-    few = lambda x: F.size(F.filter(F.split(F.regexp_replace(prefix(x), r"\.$", ""), r"\s+"), lambda w: w != "")) <= 5
-    inline = F.size(F.filter(p, lambda x: x.rlike(INLINE) & few(x) & ~F.lower(prefix(x)).startswith("item ") & ~F.lower(prefix(x)).startswith("the oil, gas")))
+    # tests in the order of their cost: lengths first, the cue last
+    structural = F.size(F.filter(p, lambda x, i: among(x, 40, 280) & follows(i, 250) & ~noise(x) & x.rlike(cue)))
+    title = F.size(F.filter(p, lambda x, i: among(x, 20, 160) & follows(i, 150) & ~noise(x) & titled(x)))
+    few = lambda h: F.size(F.filter(F.split(F.regexp_replace(h, r"\.$", ""), r"\s+"), lambda w: w != "")) <= 5
+    heads = F.transform(p, lambda x: F.regexp_extract(x, INLINE, 1))  # of every paragraph, once
+    inline = F.size(F.filter(heads, lambda h: (h != "") & few(h) & ~F.lower(h).startswith("item ") & ~F.lower(h).startswith("the oil, gas")))
 
     def glued(x: Column) -> Column:
         """Some boundary has a prefix of 30 characters or more with a cue."""
@@ -73,10 +76,31 @@ def section_text(parts: DataFrame, docs: DataFrame, items: list[str], name: str)
     return docs.select("doc_id", F.col("text").alias("whole")).join(chosen, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col(name) != "", F.col(name)), F.col("whole")).alias(name))
 
 
-def signals(docs: DataFrame) -> DataFrame:
-    """The signal record of filings (doc_id, form, text), by rules and lexicon."""
+#: A model sees so many characters of the discussion.
+SEEN = 12_000
+
+
+def found_numbers(strings: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(strings, lambda s: F.regexp_extract_all(s, F.lit(r"\d[\d,.]*"), F.lit(0)))))
+
+
+def signals(docs: DataFrame, model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The signal record of filings (doc_id, form, text), by rules and lexicon.
+
+    `model` gives a model's reply for a text column. A valid reply (see validated_guidance) takes the place of the rules' guidance; the record then
+    says whether all numbers the rules found are among the model's, which is null where the rules stand alone.
+    """
     parts = S.sections(docs)
     mdna, risk = section_text(parts, docs, ["7", "2"], "mdna"), section_text(parts, docs, ["1A"], "risk")
     counts = risk_counts(risk.withColumnRenamed("risk", "text")).select("doc_id", F.col("n_risks").alias("risk_factor_count"))
-    record = mdna.select("doc_id", X.guidance(F.col("mdna")).alias("revenue_guidance"), X.guidance(F.col("mdna"), X.CAPEX_GUIDANCE).alias("capex_guidance"), F.round(X.lexicon_score(F.col("mdna")), 4).alias("sentiment_score"), F.lit("lexicon").alias("backend"))
-    return record.join(counts, "doc_id")
+    rules = F.struct(X.guidance(F.col("mdna")).alias("revenue_guidance"), X.guidance(F.col("mdna"), X.CAPEX_GUIDANCE).alias("capex_guidance"))
+    reply = F.lit(None).cast("string") if model is None else model(F.substring("mdna", 1, SEEN))
+    record = mdna.select("doc_id", rules.alias("rules"), X.validated_guidance(reply).alias("told"), X.lexicon(F.col("mdna")).alias("lexicon"))
+    ours, theirs = (F.concat(F.col(f"{s}.revenue_guidance"), F.col(f"{s}.capex_guidance")) for s in ("rules", "told"))
+    modelled = F.col("told").isNotNull()
+    pick = lambda name: F.when(modelled, F.col(f"told.{name}")).otherwise(F.col(f"rules.{name}")).alias(name)
+    out = record.select(
+        "doc_id", pick("revenue_guidance"), pick("capex_guidance"), F.round("lexicon.score", 4).alias("sentiment_score"), F.col("lexicon.backend").alias("backend"),
+        F.when(modelled, "llm+regex-xcheck").otherwise("regex").alias("method"), F.when(modelled, agree(found_numbers(ours), found_numbers(theirs))).alias("xcheck_agree"),
+    )
+    return out.join(counts, "doc_id")

@@ -130,3 +130,36 @@ def company_facts(raw: Column) -> Column:
     tags = F.map_entries(F.try_element_at(F.from_json(raw, kind)["facts"], F.lit("us-gaap")))
     rows = F.transform(tags, lambda t: F.transform(F.coalesce(F.try_element_at(t["value"]["units"], F.lit("USD")), F.array().cast("array<struct<fy:int,fp:string,form:string,val:double,filed:string>>")), lambda f, i: F.struct(t["key"].alias("tag"), f["fy"].alias("fy"), f["fp"].alias("fp"), f["form"].alias("form"), f["val"].alias("val"), f["filed"].alias("filed"), i.alias("pos"))))
     return F.flatten(rows)
+
+
+# fixed values: fields and the labels they have in statements as published by data vendors, by priority
+LABELS = {
+    "revenue": ("Total Revenue",), "cost_of_revenue": ("Cost Of Revenue",), "operating_income": ("Operating Income",), "net_income": ("Net Income",), "interest_expense": ("Interest Expense",),
+    "total_assets": ("Total Assets",), "total_equity": ("Stockholders Equity", "Total Equity Gross Minority Interest"), "total_debt": ("Total Debt",), "cash": ("Cash And Cash Equivalents",),
+    "current_assets": ("Current Assets",), "current_liabilities": ("Current Liabilities",), "operating_cash_flow": ("Operating Cash Flow",), "capex": ("Capital Expenditure",),
+}
+
+
+def from_statements(lines: DataFrame, most: int = 4, key: str = "entity") -> DataFrame:
+    """Periods from statement lines (key, label, date, value), one row for a label and date; the last `most` dates, oldest first by year.
+
+    A field takes the first of its labels that the entity has at all, NaN is null, and dates are those of the revenue statement (label "Total
+    Revenue" or another of its lines).
+    """
+    rows = [(field, label, i) for field, labels in LABELS.items() for i, label in enumerate(labels)]
+    named = F.create_map(*[F.lit(x) for field, label, i in rows for x in (label, f"{i}:{field}")])
+    known = lines.withColumn("pf", F.try_element_at(named, F.col("label"))).where("pf is not null")
+    known = known.withColumn("priority", F.substring_index("pf", ":", 1).cast("int")).withColumn("field", F.substring_index("pf", ":", -1))
+    first = known.groupBy(key, "field").agg(F.min("priority").alias("priority"))
+    chosen = known.join(first, [key, "field", "priority"])
+    wide = chosen.groupBy(key, "date").pivot("field", list(LABELS)).agg(F.first(F.nanvl("value", F.lit(None).cast("double"))))
+    kept = wide.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("date")))).where(F.col("place") <= most)
+    return kept.select(key, F.year("date").cast("string").alias("period"), *LABELS)
+
+
+def pivoted(values: DataFrame, by: list[str], column: str, value: Column, spark_limit: int = 10_000) -> DataFrame:
+    """A table with a column for each value of `column` that occurs, in order; their number is checked, not assumed."""
+    found = [r[0] for r in values.select(column).distinct().orderBy(column).limit(spark_limit + 1).collect()]
+    if len(found) > spark_limit:
+        raise ValueError(f"more than {spark_limit} columns")
+    return values.groupBy(*by).pivot(column, found).agg(value)

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from quarry.functions.text import tokens
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: At most so many query vectors are sent to all tasks; more are joined by block.
+SENT = 65_536
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", words=tokens) -> DataFrame:
@@ -31,19 +33,17 @@ def ranked(scores: DataFrame, query: str, key: str, k: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, key: str = "doc_id", query: str = "item_id") -> DataFrame:
     """(query, key, score, rank). `keep` filters what is ranked; statistics always cover all documents.
 
-    One scan tokenizes the documents; postings meet only the queries' terms, and the length of a document is summed
-    before the join, so what is shuffled is bounded by the postings.
+    One scan sums the lengths; another one emits the words, of which only those that a query has (a small table, broadcast where AQE finds it
+    so) are counted into postings. Whole postings are never shuffled.
     """
-    counted = docs.select(key, *([keep.alias("keep")] if keep is not None else []), tokens(F.col("text")).alias("words"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len")).first()
-    n, avg_len = stats["n"], stats["avg_len"] or 1.0
     terms = queries.select(query, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("q"))
-    flag = ["keep"] if keep is not None else []
-    posts = counted.select(key, *flag, F.size("words").alias("len"), F.explode("words").alias("term")).groupBy(key, *flag, "len", "term").agg(F.count("*").alias("tf"))
-    posts = posts.join(terms.select("term").distinct(), "term")
-    weighed = posts.join(idf_table(posts, n), "term")
-    if keep is not None:
-        weighed = weighed.where("keep")
+    flag = (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep")
+    words = docs.select(key, flag, tokens(F.col("text")).alias("words"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size("words"), F.lit(0))).alias("avg_len")).first()
+    n, avg_len = stats["n"], stats["avg_len"] or 1.0
+    rows = words.select(key, "keep", F.size("words").alias("len"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term")
+    posts = rows.groupBy(key, "keep", "len", "term").agg(F.count("*").alias("tf"))
+    weighed = posts.join(idf_table(posts, n), "term").where("keep")
     norm = K1 * (1 - B + B * F.col("len") / avg_len)
     weighed = weighed.select(key, "term", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w"))
     scores = weighed.join(terms, "term").groupBy(query, key).agg(F.sum(F.col("q") * F.col("w")).alias("score"))
@@ -59,19 +59,37 @@ def uni_bigrams(c: Column) -> Column:
     return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """Cosine of sublinear tf, smooth idf vectors over words and word pairs."""
+FEATURES = 50_000
+
+
+def tfidf(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", features: int = FEATURES, keep: Column | None = None) -> DataFrame:
+    """Cosine of sublinear tf, smooth idf vectors over the `features` words and word pairs that occur most (ties to the smaller term).
+
+    Queries with fewer than k documents of a positive score are filled up with documents of score 0, by key. `keep` filters what is ranked.
+    """
     posts = postings(docs, key, words=uni_bigrams)
     n = docs.count()
-    weights = posts.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    by_count = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
+    weights = by_count.orderBy(F.desc("times"), "term").limit(features).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     w = (1 + F.log(F.col("tf"))) * F.col("idf")
     doc = posts.join(weights, "term").select(key, "term", w.alias("w"))
     norms = doc.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = postings(queries, query, words=uni_bigrams).join(weights, "term").select(query, "term", w.alias("qw"))
     qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    if keep is not None:
+        doc = doc.join(docs.where(keep).select(key), key, "left_semi")
     dots = q.join(doc, "term").groupBy(query, key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     scores = dots.join(norms, key).join(qnorms, query).select(query, key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
-    return ranked(scores, query, key, k)
+    best = ranked(scores, query, key, k)
+    # at most k documents of a query have a positive score and come first, so 2 k of the smallest keys hold enough others
+    few = [r[0] for r in (docs if keep is None else docs.where(keep)).select(key).orderBy(key).limit(2 * k).collect()]
+    have = best.groupBy(query).agg(F.collect_list(key).alias("have"))
+    kind = have.schema["have"].dataType
+    short = queries.select(query).distinct().join(have, query, "left").withColumn("have", F.coalesce("have", F.array().cast(kind))).where(F.size("have") < k)
+    spare = F.array(*map(F.lit, few)).cast(kind)
+    rest = F.slice(F.array_except(spare, "have"), 1, k - F.size("have"))
+    filled = short.select(query, F.size("have").alias("n"), F.posexplode(rest).alias("place", key))
+    return best.unionByName(filled.select(query, key, F.lit(0.0).alias("score"), (F.col("n") + F.col("place") + 1).alias("rank")))
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int, key: str = "doc_id", query: str = "item_id") -> DataFrame:
@@ -87,28 +105,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
+def unit(v: Column) -> Column:
+    """The vector scaled to length 1; its norm is taken once."""
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x / n)).getItem(0)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, block: int = 1024) -> DataFrame:
     """Exact cosine top-k of each query vector against all vectors, itself excluded; `same` is a column that must agree.
 
-    The stated queries meet blocks of vectors: an exact search, not a join on similarity.
+    The stated queries meet all vectors in blocks of about `block` queries: a vector meets whole blocks, keeps each block's scores in one row, and
+    every partition keeps its own k best of a query before the shuffle. An exact search, not a join on similarity.
     """
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
     cols = ["vec_id", *([same] if same else [])]
     v = vectors.select(*cols, unit(F.col("embedding")).alias("v"))
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in cols], unit(F.col("embedding")).alias("q"))
-    on = F.col("vec_id") != F.col("q_vec_id")
-    if same:
-        on &= F.col(same) == F.col(f"q_{same}")
-    scores = v.join(q, on).select(F.col("q_vec_id").alias("query_id"), "vec_id", dot(F.col("v"), F.col("q")).alias("score"))
+    blocks = max(1, -(-queries.count() // block))
+    dealt = q.groupBy(F.pmod(F.xxhash64("q_vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*q.columns)).alias("qs"))
+    spread = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if blocks * block <= SENT:
+        dealt = F.broadcast(dealt)
+    met = spread.join(dealt, "block")  # an equi-join: a block is one row of the smaller side
+    other = lambda x: (x["q_vec_id"] != F.col("vec_id")) & ((x[f"q_{same}"] == F.col(same)) if same else F.lit(True))
+    scored = F.transform(F.filter("qs", other), lambda x: F.struct(x["q_vec_id"].alias("query_id"), dot(F.col("v"), x["q"]).alias("score")))
+    scores = met.select("vec_id", F.inline(scored)).select("query_id", "vec_id", "score")
     return ranked(scores, "query_id", "vec_id", k)
 
 
-def dedupe(ranked_texts: Column, words: Column | None = None, most: float = 0.85) -> Column:
-    """Of an array of structs (key, words) in rank order, those whose words aren't too similar to any kept before."""
+def dedupe(ranked_texts: Column, k: int | None = None, most: float = 0.85) -> Column:
+    """Of an array of structs (key, words) in rank order, those whose words aren't too similar to any kept before; with k, the first k of them."""
     kept_type = "array<struct<key:bigint,words:array<string>>>"
 
     def similar(a: Column, b: Column) -> Column:
         both = F.size(F.array_intersect(a, b))
         return (F.size(a) > 0) & (F.size(b) > 0) & (both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)) > most)
 
-    return F.aggregate(ranked_texts, F.array().cast(kept_type), lambda kept, x: F.when(F.exists(kept, lambda y: similar(y["words"], x["words"])), kept).otherwise(F.concat(kept, F.array(x))))
+    def step(kept: Column, x: Column) -> Column:
+        full = F.size(kept) >= k if k is not None else F.lit(False)
+        return F.when(full | F.exists(kept, lambda y: similar(y["words"], x["words"])), kept).otherwise(F.array_append(kept, x))
+
+    return F.aggregate(ranked_texts, F.array().cast(kept_type), step)

@@ -17,18 +17,20 @@ def group_of(form: Column) -> Column:
 def forward(events: DataFrame, prices: DataFrame, windows=WINDOWS, key: str = "ticker") -> DataFrame:
     """(events' columns, window, ret): from the first price strictly after the event to the one `window` rows later.
 
-    A union of both, sorted by key and date: each event takes the next price row's returns, which are laid out
-    beforehand by lead(). One shuffle, no range join.
+    Windows are over the calendar alone: the prices' dates and the distinct dates of events, so a key with
+    many events is no larger a group than its days. Dates go from the last to the first, and each takes the price row seen
+    just before it, which a running frame keeps without going over it again. Events then meet their date's returns in one join.
     """
     order = Window.partitionBy(key).orderBy("date")
     ahead = F.array(*[F.struct(F.lit(w).alias("window"), (F.lead("close", w).over(order) / F.col("close") - 1).alias("ret")) for w in windows])
-    laid = prices.select(key, "date", ahead.alias("ahead"))
-    mixed = events.withColumn("ahead", F.lit(None).cast(laid.schema["ahead"].dataType)).withColumn("_event", F.lit(1))
-    mixed = mixed.unionByName(laid.withColumn("_event", F.lit(0)), allowMissingColumns=True)
-    after = Window.partitionBy(key).orderBy("date", "_event").rowsBetween(1, Window.unboundedFollowing)
-    # on one day the price row comes before the event, so the next price is strictly after it
-    found = mixed.withColumn("ahead", F.first("ahead", ignorenulls=True).over(after)).where("_event = 1").drop("_event")
-    return found.select(*events.columns, F.inline("ahead")).where("ret is not null")
+    laid = prices.select(key, "date", ahead.alias("ahead"), F.lit(0).alias("event"))
+    days = events.select(key, "date").distinct().select(key, "date", F.lit(None).cast(laid.schema["ahead"].dataType).alias("ahead"), F.lit(1).alias("event"))
+    # from behind, an event's day comes before the price row of that day: the next price is strictly after it
+    seen = Window.partitionBy(key).orderBy(F.desc("date"), F.desc("event")).rowsBetween(Window.unboundedPreceding, -1)
+    found = laid.unionByName(days).withColumn("ahead", F.last("ahead", ignorenulls=True).over(seen)).where("event = 1")
+    found = found.select(F.col(key).alias("_key"), F.col("date").alias("_date"), "ahead")
+    met = events.join(found, (F.col(key) == F.col("_key")) & (F.col("date") == F.col("_date")))
+    return met.select(*events.columns, F.inline("ahead")).where("ret is not null")
 
 
 def enrich(events: DataFrame, prices: DataFrame, market: DataFrame, windows=WINDOWS, key: str = "ticker") -> DataFrame:
@@ -78,3 +80,30 @@ def verdict(t: Column, coef: Column) -> Column:
 
 def summary(window: Column, n: Column, coef: Column, t: Column, r2: Column) -> Column:
     return F.format_string("%dd: n=%d coef=%.4f t=%.2f R2=%.3f", window, n, coef, t, r2)
+
+
+def study_rows(docs: DataFrame, signals: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(ticker, date, form, signal, disclosure_change) of every document (key, ticker, date, form).
+
+    The signal is the document's sentiment; the change counts what differs from the version before and is null for transcripts and first versions.
+    """
+    rows = docs.join(signals.select(key, F.col("sentiment_score").alias("signal")), key, "left").join(changes.select(key, "changes"), key, "left")
+    change = F.when(F.upper("form") != "TRANSCRIPT", F.col("changes"))
+    return rows.select(key, "ticker", "date", "form", "signal", change.alias("disclosure_change"))
+
+
+LABELS = ("periodic", "transcripts", "other")
+
+
+def study(rows: DataFrame, by: list[str], signal: str = "signal", least: int = 0, order: tuple[str, ...] = LABELS) -> DataFrame:
+    """The regression of returns on a signal by `by`, document group and window, in the groups' fixed order.
+
+    rows: study rows with their forward returns (window, ret). Only keys with `least` documents or more that have the signal are studied.
+    """
+    have = rows.where(F.col(signal).isNotNull())
+    if least:
+        enough = have.select(*by, "doc_id").distinct().groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= least).select(*by)
+        have = have.join(enough, by, "left_semi")
+    out = ols(have.withColumn("group", group_of(F.col("form"))), [*by, "group", "window"], x=signal)
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("group")), F.lit(0)), F.lit(len(order) + 1))
+    return out.withColumn("place", place)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.functions.text import sentences, strip
@@ -92,29 +91,37 @@ def turns(docs: DataFrame) -> DataFrame:
 
 
 def wrapped(units: Column, size: int) -> Column:
-    """Units longer than size cut at line ends, else at the last blank, else anywhere; only such arrays reach Python."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def wrap(column):
-        def cut(unit):
-            held = None
-            for line in unit.split("\n"):
-                held = line if held in (None, "") else held + "\n" + line
-                if len(held) > size and len(held) > len(line):
-                    yield held[: len(held) - len(line) - 1]
-                    held = line
-                while len(held) > size:
-                    at = held.rfind(" ", 0, size)
-                    at = at if at > 0 else size
-                    yield held[:at]
-                    held = held[at:].lstrip()
-            if held:
-                yield held
-
-        return column.map(lambda a: None if a is None else [p for u in a for p in ([u] if len(u) <= size else cut(u))])
+    """Units longer than size as pieces of at most size characters: rows of lines where they fit, else cut at blanks; one fold over the lines.
 
+    Lines are gathered as long as they fit. What is longer than size even so is cut by one pattern: up to the last
+    blank within size, else at size, blanks at a cut gone; its rest goes on gathering.
+    """
+    blank = r"(?U)[\s\x1c-\x1f]"
+    cut = rf"(?s)(?:\A|\G{blank}*+)(.{{1,{size}}}\z|.{{1,{size - 1}}}(?= )|.{{{size}}})"
+    state = "struct<done:array<string>,open:string>"
+
+    def gather(s: Column, line: Column) -> Column:
+        both = F.concat_ws("\n", F.nullif(s["open"], F.lit("")), line)
+        fits = (F.length(both) <= size) | (s["open"] == "")
+        done = F.when(fits, s["done"]).otherwise(F.array_append(s["done"], s["open"]))
+        return settle(F.struct(done.alias("done"), F.when(fits, both).otherwise(line).alias("open")))
+
+    def settle(s: Column) -> Column:
+        long = F.transform(F.array(s), lambda x: F.struct(x.alias("s"), F.regexp_extract_all(x["open"], F.lit(cut), F.lit(1)).alias("p"))).getItem(0)
+
+        def split(x: Column) -> Column:
+            last = F.element_at(x["p"], -1)
+            rest = F.when(F.endswith(x["s"]["open"], last), last).otherwise("")  # else blanks were the rest
+            whole = F.filter(F.concat(x["p"], F.array(F.lit(None).cast("string"))), lambda p, i: p.isNotNull() & (i < F.size(x["p"]) - (rest != "").cast("int")))
+            return F.struct(F.concat(x["s"]["done"], whole).alias("done"), rest.alias("open"))
+
+        return F.when(F.length(s["open"]) > size, F.transform(F.array(long), split).getItem(0)).otherwise(s)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")).cast(state)
+    finish = lambda s: F.concat(s["done"], F.filter(F.array(s["open"]), lambda x: x != ""))
+    pieces = lambda u: F.aggregate(F.split(u, "\n", -1), start, gather, finish)
     long = F.exists(units, lambda u: F.length(u) > size)
-    return F.when(long, wrap(F.when(long, units))).otherwise(units)
+    return F.when(long, F.flatten(F.transform(units, lambda u: F.when(F.length(u) > size, pieces(u)).otherwise(F.array(u))))).otherwise(units)
 
 
 def packed(units: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:

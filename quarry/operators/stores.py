@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -31,4 +32,81 @@ def read_through(wanted: DataFrame, have: DataFrame, compute: Callable[[DataFram
 
 
 def write_cache(rows: DataFrame, path: str, by: str) -> None:
-    rows.write.mode("overwrite").partitionBy(by).parquet(path)
+    """Write rows by partition; only partitions that rows have are replaced, so other keys' entries stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The cache, empty where there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.read.schema(schema).parquet(path)
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def diff_cache(differences: DataFrame) -> DataFrame:
+    """(key, items): a row for each pair of versions, its differences in order as one array; the key is old|new."""
+    items = [c for c in differences.columns if c not in ("old_id", "new_id")]
+    first = ["place", *[c for c in items if c != "place"]]
+    key = F.concat_ws("|", "old_id", "new_id").alias("key")
+    return differences.groupBy("old_id", "new_id").agg(F.array_sort(F.collect_list(F.struct(*first))).alias("items")).select(key, "items")
+
+
+def returns_cache(by_ticker: DataFrame, key: str = "ticker") -> DataFrame:
+    """(key, studies): a row for each key, its regressions as one array in their order of place and window."""
+    fields = ["study", "place", "group", "window", "n", "coef", "intercept", "t_stat", "r2", "rmse", "mae"]
+    return by_ticker.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("studies"))
+
+
+class VectorStore:
+    """Passages with their vectors under one folder, kept in step with a corpus by id: what is new is embedded and added, what is gone is deleted.
+
+    Every change is a folder of its own, written once; ids that are gone are a folder of tombstones, so nothing is rewritten. A content that changes under the
+    same id isn't noticed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def _folders(self, kind: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        done = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(n for n in done if n.startswith(kind))
+
+    def _changes(self) -> int:
+        return max((int(n.split("-")[1]) for kind in ("add", "del") for n in self._folders(kind)), default=0)
+
+    def read(self) -> DataFrame | None:
+        """All live rows, or null for a new store: an id counts if it was added after it was last deleted."""
+        added = None
+        for name in self._folders("add"):
+            part = self.spark.read.parquet(f"{self.path}/{name}").withColumn("_at", F.lit(int(name.split("-")[1])))
+            added = part if added is None else added.unionByName(part)
+        gone = self._folders("del")
+        if added is None or not gone:
+            return None if added is None else added.drop("_at")
+        out = None
+        for name in gone:
+            part = self.spark.read.parquet(f"{self.path}/{name}").withColumn("_gone", F.lit(int(name.split("-")[1])))
+            out = part if out is None else out.unionByName(part)
+        last = out.groupBy(self.key).agg(F.max("_gone").alias("_gone"))
+        return added.join(last, self.key, "left").where("_gone is null or _at > _gone").drop("_at", "_gone")
+
+    def sync(self, chunks: DataFrame, embed: Callable[[Column], Column], rows_per_file: int = 5000) -> dict[str, int]:
+        """Bring the store in step with the chunks (key, text, ...); returns how many were added and removed."""
+        have, at = self.read(), self._changes() + 1
+        removed = 0
+        if have is not None:
+            gone = have.select(self.key).join(chunks.select(self.key), self.key, "left_anti")
+            removed = gone.count()
+            if removed:
+                gone.write.parquet(f"{self.path}/del-{at:010d}")
+        todo = chunks if have is None else missing(chunks, have, [self.key])
+        before = self._rows(self._folders("add"))
+        todo.withColumn("embedding", embed(F.col("text"))).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{self.path}/add-{at + 1:010d}")
+        return {"added": self._rows(self._folders("add")) - before, "removed": removed}
+
+    def _rows(self, names: list[str]) -> int:
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names]).count() if names else 0

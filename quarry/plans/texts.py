@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from quarry.functions import text as X
 from quarry.operators import audit as A
 from quarry.operators import extract as E
+from quarry.operators import fundamentals as N
 from quarry.operators import segment as S
 from quarry.plans.bind import table
+from quarry.sources import corpus as C
 
 
 def _clean(spark, d):
@@ -90,6 +92,17 @@ def _citation(spark, d):
     return filings(spark, d).select("doc_id", c.alias("citation"))
 
 
+def _citation_link(spark, d):
+    """Citations as links where the bucket listing has the document (of several entries the last), plain elsewhere."""
+    docs = filings(spark, d)
+    listing = docs.where("y % 3 <> 0").select(F.concat(F.lit("k/"), "doc_id", F.when(F.col("y") % 2 == 0, ".txt").otherwise(".htm")).alias("key"), F.lit(1).alias("pos"))
+    listing = listing.unionByName(docs.where("y % 5 = 0").select(F.concat(F.lit("z/"), "doc_id", F.lit(".html")).alias("key"), F.lit(2).alias("pos")))
+    keys = C.key_map(listing)
+    cite = X.citation(F.concat(F.lit("N"), "n"), F.col("form"), F.concat("y", F.lit("-12-31")), F.lit("7"), F.lit("Title"))
+    linked = docs.join(keys, "doc_id", "left").select("doc_id", X.citation_link(cite, F.concat(F.lit("https://b.example/"), "key"), F.col("text")).alias("link"))
+    return linked
+
+
 def _deep(spark, d):
     return table(spark, d, "documents").select("doc_id", X.deep_link(F.lit("https://files.example.org/x"), F.col("text")).alias("url"))
 
@@ -111,6 +124,20 @@ def _aud_verdict(spark, d):
     return A.verdict(answers, A.sentence_audit(answers), ["conv_id", "turn"]).select("conv_id", "turn", "passed", F.round("ratio", 3).alias("ratio"), "level")
 
 
+def _aud_report(spark, d):
+    answers = _tie(spark, d)
+    return A.report(A.verdict(answers, A.sentence_audit(answers), ["conv_id", "turn"])).select("conv_id", "turn", "backend", "summary", "notice")
+
+
+def _aud_candidates(spark, d):
+    """Answers that cite, held against all turns before them: numbers and support come from the cited ones."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.collect_list("text").over(w).alias("sources"))
+    cited = F.regexp_replace("text", r"([.!?])(\s)", F.concat(F.lit(" ["), ((F.col("conv_id") + F.col("turn")) % 4).cast("string"), F.lit(r"]$1$2")))
+    answers = rows.where("role = 'assistant' and size(sources) > 0").select("conv_id", "turn", cited.alias("answer"), "sources")
+    return A.sentence_audit(answers).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.size("candidates").cast("long").alias("n_candidates"), F.round("support", 6).alias("support"), F.size("missing").cast("long").alias("n_missing"))
+
+
 def _guidance(spark, d):
     found = X.guidance(F.col("text"))
     return filings(spark, d).select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, "|").alias("guidance"))
@@ -145,16 +172,22 @@ def _lexicon(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(X.lexicon_score(F.col("text"), _POSITIVE, _NEGATIVE), 4).alias("score"))
 
 
+def _shares(spark, d):
+    x = table(spark, d, "documents").select("doc_id", X.lexicon(F.col("text"), _POSITIVE, _NEGATIVE).alias("x")).where("x is not null")
+    return x.select("doc_id", F.col("x.n_sentences").cast("long").alias("n_sentences"), "x.backend", *[F.round(f"x.{c}", 6).alias(c) for c in ("positive", "negative", "neutral")])
+
+
 def _trend(spark, d):
-    scored = table(spark, d, "documents").select("source", "lang", X.lexicon_score(F.col("text"), _POSITIVE, _NEGATIVE).alias("score"))
-    wide = scored.groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).avg("score")
-    return wide.select("source", *[F.round(c, 6).alias(c) for c in ("en", "de", "fr", "es")])
+    """Mean score by source, a column for each language that occurs."""
+    lang = F.coalesce("lang", F.lit("none")).alias("lang")
+    scored = table(spark, d, "documents").select("source", lang, X.lexicon_score(F.col("text"), _POSITIVE, _NEGATIVE).alias("score"))
+    return N.pivoted(scored, ["source"], "lang", F.round(F.avg("score"), 6))
 
 
 QUERIES = {
     "txt_clean_pages": _clean, "txt_is_html": _is_html, "chk_sentences": _sentences, "txt_paragraphs": _paragraphs, "chk_pack_stats": _chunk_stats, "sec_sections": _sections, "src_document": _document,
     "trn_turns": _turns, "trn_qa_pairs": _qa_pairs, "chk_citation": _citation, "lnk_deep_url": _deep, "aud_support": _aud_support, "aud_numbers": _aud_numbers, "aud_verdict": _aud_verdict,
-    "ext_guidance": _guidance, "ext_xcheck": _xcheck, "ext_risk_cascade": _risk, "ext_signals": _signals, "ext_validate_json": _validate, "sen_lexicon": _lexicon, "sen_trend_pivot": _trend,
+    "ext_guidance": _guidance, "ext_xcheck": _xcheck, "ext_risk_cascade": _risk, "ext_signals": _signals, "ext_validate_json": _validate, "sen_lexicon": _lexicon, "sen_trend_pivot": _trend, "sen_shares": _shares, "aud_report": _aud_report, "aud_candidates": _aud_candidates, "lnk_citation": _citation_link,
 }
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -169,12 +202,20 @@ _SPLIT = r"""string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9"''(“‘])',
 _WORDS = r"""regexp_extract_all(lower(array_to_string([s FOR s IN [regexp_replace(u, '^\s+|\s+$', '', 'g') FOR u IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))] IF length(s) > 20][:200], ' ')), '[a-z]+')"""
 
 
+_SHOWN = r"""least(len([s FOR s IN [regexp_replace(u, '^\s+|\s+$', '', 'g') FOR u IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))] IF length(s) > 20]), 200)"""
+
+
 def _count(words) -> str:
     return "len([w FOR w IN words IF w IN (" + ", ".join(f"'{w}'" for w in words) + ")])"
 
 
 _SCORED = f"scored AS (SELECT doc_id, source, lang, (p - n) / greatest(p + n, 1) AS score FROM (SELECT *, {_count(_POSITIVE)} AS p, {_count(_NEGATIVE)} AS n FROM (SELECT doc_id, source, lang, {_WORDS} AS words FROM documents)))"
+_BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _REV = X.REVENUE_GUIDANCE.replace("'", "''")
+_VERDICTS = """al AS (SELECT conv_id, turn, source IS NOT NULL AS sourced FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations) WHERE role = 'assistant'),
+ sm AS (SELECT conv_id, turn, count(*) AS n, sum(grounded::INT)::BIGINT AS g, bool_or(len(missing) > 0) AS bad FROM audit GROUP BY ALL),
+ vd AS (SELECT al.conv_id, al.turn, sourced, coalesce(n, 0) AS n, coalesce(g, 0) AS g, coalesce(bad, false) AS bad, CASE WHEN NOT sourced THEN 0.0 WHEN n IS NULL THEN 1.0 ELSE g / n END AS ratio FROM al LEFT JOIN sm USING (conv_id, turn))"""
+_LEVEL = "CASE WHEN ratio >= 0.8 THEN 'high' WHEN ratio >= 0.5 THEN 'medium' ELSE 'low' END"
 ORACLE = {
     "txt_clean_pages": f"SELECT page_id, md5(c) AS clean_md5, length(c) AS n_chars FROM (SELECT page_id, {_CLEAN} AS c FROM pages)",
     "txt_is_html": f"SELECT page_id, {_HTML} AS is_html FROM pages",
@@ -184,14 +225,20 @@ ORACLE = {
     "trn_qa_pairs": "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'",
     "chk_citation": f"""WITH {_FILINGS_SQL} SELECT doc_id, CASE WHEN y % 3 = 0 THEN 'N' || n || ' Earnings Call (' || y || '-12-31)' || CASE WHEN y % 2 = 0 THEN ', Q&A' ELSE '' END || ' — Title'
       ELSE 'N' || n || ' ' || form || ' (' || y || '-12-31), Item ' || CASE WHEN y % 2 = 0 THEN 'QA' ELSE '7' END || ' — Title' END AS citation FROM filings""",
-    "lnk_deep_url": r"""SELECT doc_id, 'https://files.example.org/x#:~:text=' || replace(array_to_string([w FOR w IN regexp_split_to_array(regexp_replace(text, '[^A-Za-z0-9 \n]', '', 'g'), '\s+') IF w <> ''][:8], ' '), ' ', '%20') AS url
-      FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')""",
+    "lnk_deep_url": rf"""SELECT doc_id, 'https://files.example.org/x#:~:text=' || replace(url_encode(array_to_string([w FOR w IN regexp_split_to_array(text, '{_BLANKS}+') IF w <> ''][:8], ' ')), '%2F', '/') AS url FROM documents""",
+    "lnk_citation": rf"""WITH {_FILINGS_SQL}, ci AS (SELECT *, 'N' || n || ' ' || form || ' (' || y || '-12-31), Item 7 — Title' AS cite, CASE WHEN y % 5 = 0 THEN 'z/' || doc_id || '.html' WHEN y % 3 <> 0 THEN 'k/' || doc_id || CASE WHEN y % 2 = 0 THEN '.txt' ELSE '.htm' END END AS key FROM filings)
+ SELECT doc_id, CASE WHEN key IS NULL THEN cite ELSE '[' || cite || '](https://b.example/' || key || '#:~:text=' || replace(url_encode(array_to_string([w FOR w IN regexp_split_to_array(text, '{_BLANKS}+') IF w <> ''][:8], ' ')), '%2F', '/') || ')' END AS link FROM ci""",
+    "ext_validate_json": f"WITH {_FILINGS_SQL} SELECT doc_id, CASE WHEN y % 4 = 0 THEN '$' || amount || ' million' END AS guidance, y % 4 = 0 AS valid FROM filings",
     "ext_guidance": f"""WITH {_FILINGS_SQL} SELECT doc_id, len(g)::BIGINT AS n, array_to_string(g, '|') AS guidance FROM (SELECT doc_id, [x FOR x, i IN f IF list_position(f, x) = i][:5] AS g FROM (SELECT doc_id, [{_STRIP.format('u')} FOR u IN regexp_extract_all(text, '{_REV}', 1)] AS f FROM filings))""",
     "ext_xcheck": f"WITH {_FILINGS_SQL} SELECT doc_id, y % 2 = 1 AS agree FROM filings",
     "sen_lexicon": f"WITH {_SCORED} SELECT doc_id, round(score, 4) AS score FROM scored",
-    "sen_trend_pivot": f"WITH {_SCORED} SELECT source, " + ", ".join(f"round(avg(score) FILTER (lang = '{c}'), 6) AS {c}" for c in ("en", "de", "fr", "es")) + " FROM scored GROUP BY source",
+    "sen_trend_pivot": f"WITH {_SCORED}, x AS (SELECT source, coalesce(lang, 'none') AS lang, score FROM scored) PIVOT x ON lang USING round(avg(score), 6) GROUP BY source",
+    "sen_shares": f"WITH {_SCORED.replace('(p - n) / greatest(p + n, 1) AS score', 'p, n, len(words) AS t, k').replace('AS words FROM documents', 'AS words, ' + _SHOWN + ' AS k FROM documents WHERE text IS NOT NULL')} SELECT doc_id, k AS n_sentences, CASE WHEN k = 0 THEN 'none' ELSE 'lexicon' END AS backend, CASE WHEN k > 0 THEN round(p / greatest(t, 1), 6) END AS positive, CASE WHEN k > 0 THEN round(n / greatest(t, 1), 6) END AS negative, CASE WHEN k > 0 THEN round(1 - (p + n) / greatest(t, 1), 6) END AS neutral FROM scored",
 } | {
     "aud_support": f"{A.ORACLE} SELECT conv_id, turn, pos, round(support, 6) AS support FROM audit",
     "aud_numbers": f"{A.ORACLE} SELECT conv_id, turn, pos, len(missing) AS n_missing, grounded FROM audit",
-    "aud_verdict": f"{A.ORACLE} SELECT conv_id, turn, ratio >= 0.8 AND NOT bad AS passed, round(ratio, 3) AS ratio, CASE WHEN ratio >= 0.8 THEN 'high' WHEN ratio >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM (SELECT conv_id, turn, avg(grounded::INT) AS ratio, bool_or(len(missing) > 0) AS bad FROM audit GROUP BY ALL)",
+    "aud_verdict": f"{A.ORACLE}, {_VERDICTS} SELECT conv_id, turn, ratio >= 0.8 AND NOT bad AS passed, round(ratio, 3) AS ratio, {_LEVEL} AS level FROM vd",
+    "aud_report": f"""{A.ORACLE}, {_VERDICTS}, lv AS (SELECT *, {_LEVEL} AS level, CASE WHEN NOT sourced THEN 'none' WHEN n = 0 THEN 'trivial' ELSE 'jaccard' END AS backend, round_even(round(ratio, 3) * 100, 0)::INT AS pct FROM vd)
+ SELECT conv_id, turn, backend, printf('{A._SUMMARY.replace("%d", "%lld")}', CASE WHEN ratio >= 0.8 AND NOT bad THEN 'PASSED' ELSE 'FAILED' END, g, n, backend) AS summary,
+  CASE level WHEN 'high' THEN printf('{A._HIGH}', g, n, pct) WHEN 'medium' THEN printf('{A._MEDIUM}', g, n, pct) ELSE printf('{A._LOW}', g, n, pct) END AS notice FROM lv""",
 }

@@ -49,3 +49,9 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, date, close) from CSV files; zones are dropped from dates and rows without a close go."""
     rows = spark.read.csv(path, header=True, schema="ticker string, date string, close double")
     return rows.select("ticker", F.to_date(F.substring("date", 1, 10)).alias("date"), "close").where("close is not null and date is not null")
+
+
+def key_map(listing: DataFrame, key: str = "key", order: str = "pos") -> DataFrame:
+    """(doc_id, key) of a bucket listing: the document is the file's name without its ending; of several keys the one listed last."""
+    stem = F.regexp_replace(F.element_at(F.split(key, "/"), -1), r"\.[^.]*$", "")
+    return listing.groupBy(stem.alias("doc_id")).agg(F.max_by(key, order).alias("key"))
