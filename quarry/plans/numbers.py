@@ -74,8 +74,9 @@ def _growth_trend(spark, d):
 
 
 def _matrix(spark, d):
-    wide = N.long_ratios(statements(spark, d)).groupBy("entity", "metric").pivot("period", [1995, 1996, 1997, 1998, 1999, 2000, 2001]).agg(F.first("value"))
-    return wide.select("entity", "metric", *[F.round(str(y), 6).alias(f"y{y}") for y in range(1995, 2002)])
+    """Ratios by period, a column for each period that occurs."""
+    rows = N.long_ratios(statements(spark, d)).withColumn("period", F.concat(F.lit("y"), F.col("period").cast("string")))
+    return N.pivoted(rows, ["entity", "metric"], "period", F.round(F.first("value"), 6))
 
 
 def _formatted(spark, d):
@@ -160,6 +161,33 @@ def _grouped(spark, d):
     return _result(R.ols(rows, ["group", "window"]), ["group", "window"])
 
 
+def _studied(spark, d):
+    """Study rows of the documents: ticker is the source, the date moves with the id, the signal is the sentiment, changes those against the version before."""
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    form = F.element_at(F.array(*map(F.lit, ("10-K", "10-Q", "TRANSCRIPT", "8-K"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    named = docs.select("doc_id", F.col("source").alias("ticker"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 25).cast("int")).alias("date"), form.alias("form"), "text")
+    signals = named.select("doc_id", X.lexicon_score(F.col("text"), ("the", "on", "la", "der", "en"), ("of", "and", "de", "die", "el")).alias("sentiment_score"))
+    changes = D.change_count(D.diff(_pairs(spark, d), units(spark, d)), docs)
+    return R.study_rows(named, signals, changes)
+
+
+def _ret_rows(spark, d):
+    return _studied(spark, d).select("doc_id", "ticker", F.col("date").cast("string").alias("date"), "form", F.round("signal", 6).alias("signal"), "disclosure_change")
+
+
+def _returns_cache(spark, d):
+    """Both studies of each ticker, the one of disclosure changes only from five usable documents on, as one row a ticker."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.dayofyear("date") % 28)
+    calendar = prices(spark, d).groupBy(day.alias("date")).agg(F.avg("close").alias("close"))
+    rows = _studied(spark, d)
+    met = R.forward(rows.withColumn("_all", F.lit("all")), calendar.withColumn("_all", F.lit("all")), (1, 2), "_all").drop("_all")
+    one = R.study(met, ["ticker"]).withColumn("study", F.lit("sentiment"))
+    two = R.study(met, ["ticker"], "disclosure_change", 5).withColumn("study", F.lit("disclosure"))
+    cached = S.returns_cache(one.unionByName(two))
+    shown = F.transform("studies", lambda s: F.concat_ws(":", s["study"], s["group"], s["window"].cast("string"), s["n"].cast("string")))
+    return cached.select("ticker", F.array_join(shown, ",").alias("studies"))
+
+
 def _ret_verdict(spark, d):
     rows = R.ols(_enriched(spark, d).withColumn("group", R.group_of(F.col("form"))), ["group", "window"])
     return rows.select("group", "window", R.verdict(F.col("t_stat"), F.col("coef")).alias("verdict"), R.summary(F.col("window"), F.col("n"), F.col("coef"), F.col("t_stat"), F.col("r2")).alias("summary"))
@@ -209,6 +237,53 @@ def _changes(spark, d):
     return D.change_count(D.diff(_pairs(spark, d), units(spark, d)), docs)
 
 
+def _turn_pairs(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")).distinct().withColumn("series", F.col("doc_id") % 7)
+    return D.pairs(c, ["series"], "doc_id")
+
+
+def _turn_sections(spark, d):
+    """Conversations as documents: a turn is a section, its role the item, its lines paragraphs."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("item"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+
+
+def _document(spark, d):
+    rows = D.by_section(_turn_pairs(spark, d), _turn_sections(spark, d))
+    return rows.select("old_id", "new_id", F.col("place").cast("long").alias("place"), "kind", "item", "similarity", F.md5("old_text").alias("old_md5"), F.md5("new_text").alias("new_md5"))
+
+
+def _suppress(spark, d):
+    return D.suppressed(D.by_section(_turn_pairs(spark, d), _turn_sections(spark, d)))
+
+
+def _diff_cache(spark, d):
+    cached = S.diff_cache(D.by_section(_turn_pairs(spark, d), _turn_sections(spark, d)))
+    return cached.select("key", F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["kind"], i["item"], F.format_string("%.3f", i["similarity"]))), ",").alias("items"))
+
+
+def _diff_cached(spark, d):
+    """Read-through by old|new: pairs whose old document is even are taken as cached, the others are computed (here, how many new sections have an old one)."""
+    pairs_ = _turn_pairs(spark, d).withColumn("key", F.concat_ws("|", "old_id", "new_id"))
+    turns = table(spark, d, "conversations").select("conv_id", "role")
+
+    def compute(p):
+        news = p.join(turns.select(F.col("conv_id").alias("new_id"), "role"), "new_id")
+        olds = turns.select(F.col("conv_id").alias("old_id"), "role").distinct()
+        return news.join(olds, ["old_id", "role"]).groupBy("key").agg(F.count("*").alias("n")).withColumn("cached", F.lit(False))
+
+    have = compute(pairs_.where("old_id % 2 = 0")).withColumn("cached", F.lit(True))
+    return S.read_through(pairs_, have, compute, ["key"])
+
+
+def _from_statements(spark, d):
+    """Statement lines with vendors' labels: some only under the second label, some NaN."""
+    st = statements(spark, d).select("entity", "period", *N.LABELS)
+    label = F.coalesce(*[F.when((F.col("field") == f) & (F.col("entity") % len(ls) == i), ls[i]) for f, ls in N.LABELS.items() for i in range(len(ls))])
+    lines = st.unpivot(["entity", "period"], list(N.LABELS), "field", "value").select("entity", label.alias("label"), F.make_date(F.col("period"), F.lit(12), F.lit(31)).alias("date"), F.when((F.col("field") == "cash") & (F.col("period") % 2 == 0), F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    rows = N.from_statements(lines)
+    return rows.select("entity", "period", *[F.round(f, 6).alias(f) for f in N.LABELS])
+
+
 _PAIR = "pr AS (SELECT doc_id AS old_id, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS new_id FROM documents QUALIFY new_id IS NOT NULL)"
 _MATCH = rf"""{_PAIR}, un AS (SELECT doc_id, i - 1 AS pos, u[i] AS text FROM (SELECT doc_id, u, unnest(generate_series(1, len(u))) AS i FROM (SELECT doc_id, [x FOR x IN [regexp_replace(v, '^\s+|\s+$', '', 'g') FOR v IN string_split(text, chr(10))] IF length(x) > 40] AS u FROM documents))),
  ws AS (SELECT doc_id, pos, list_distinct([w FOR w IN regexp_split_to_array(lower(text), '\s+') IF w <> '']) AS w FROM un),
@@ -222,6 +297,27 @@ _MATCH = rf"""{_PAIR}, un AS (SELECT doc_id, i - 1 AS pos, u[i] AS text FROM (SE
  top AS (SELECT *, row_number() OVER (PARTITION BY old_id, new_id ORDER BY CASE kind WHEN 'new' THEN 0 WHEN 'substantive' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END, new_pos, old_pos) AS place FROM df QUALIFY place <= 40)"""
 
 
+#: Conversations as documents of sections, compared section by section.
+_SECTIONS = r"""cs AS (SELECT conv_id AS doc_id, turn AS pos, role AS item, replace(text, chr(10), chr(10) || chr(10)) AS text FROM conversations),
+ spr AS (SELECT doc_id AS old_id, lead(doc_id) OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS new_id FROM (SELECT DISTINCT doc_id FROM cs) QUALIFY new_id IS NOT NULL),
+ para AS (SELECT doc_id, pos, item, i - 1 AS k, p[i] AS text FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, pos, item, [x FOR x IN [regexp_replace(u, '^\s+|\s+$', '', 'g') FOR u IN regexp_split_to_array(text, '\n\s*\n')] IF length(x) > 80] AS p FROM cs))),
+ lst AS (SELECT doc_id, item, max(pos) AS pos FROM cs GROUP BY ALL),
+ met AS (SELECT old_id, new_id, n.item, n.pos AS new_sec, l.pos AS old_sec FROM spr JOIN cs n ON n.doc_id = new_id JOIN lst l ON l.doc_id = old_id AND l.item = n.item),
+ wd AS (SELECT *, list_distinct([w FOR w IN regexp_split_to_array(lower(text), '\s+') IF w <> '']) AS w FROM para),
+ sco AS (SELECT m.old_id, m.new_id, m.item, m.new_sec, n.k AS new_k, o.k AS old_k, len(list_intersect(o.w, n.w)) / greatest(len(o.w) + len(n.w) - len(list_intersect(o.w, n.w)), 1) AS score FROM met m JOIN wd n ON n.doc_id = new_id AND n.pos = new_sec JOIN wd o ON o.doc_id = old_id AND o.pos = old_sec),
+ bst AS (SELECT * FROM sco WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY old_id, new_id, new_sec, new_k ORDER BY score DESC, old_k) = 1),
+ mt AS (SELECT m.*, n.k AS new_k, n.text AS new_text, b.old_k, coalesce(b.score, 0) AS score FROM met m JOIN para n ON n.doc_id = m.new_id AND n.pos = m.new_sec LEFT JOIN bst b ON b.old_id = m.old_id AND b.new_id = m.new_id AND b.new_sec = m.new_sec AND b.new_k = n.k),
+ sdr AS (SELECT old_id, new_id, 'removed' AS kind, o.item, 0.0::DOUBLE AS similarity, substr(o.text, 1, 600) AS old_text, '' AS new_text, 0 AS s0, o.pos AS s1, 0 AS s2, o.k AS s3 FROM spr JOIN para o ON o.doc_id = old_id WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.doc_id = new_id AND cs.item = o.item)
+  UNION ALL SELECT old_id, new_id, 'new', n.item, 0.0, '', substr(n.text, 1, 600), 1, n.pos, 0, 0 FROM spr JOIN cs n ON n.doc_id = new_id WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.doc_id = old_id AND cs.item = n.item)
+  UNION ALL SELECT mt.old_id, mt.new_id, CASE WHEN score < 0.3 THEN 'new' WHEN score < 0.65 THEN 'substantive' ELSE 'minor' END, mt.item, round(score, 3), coalesce(substr(o.text, 1, 600), ''), substr(new_text, 1, 600), 1, new_sec, 0, new_k FROM mt LEFT JOIN para o ON o.doc_id = mt.old_id AND o.pos = mt.old_sec AND o.k = mt.old_k WHERE score < 0.9
+  UNION ALL SELECT m.old_id, m.new_id, 'removed', m.item, 0.0, substr(o.text, 1, 600), '', 1, m.new_sec, 1, o.k FROM met m JOIN para o ON o.doc_id = m.old_id AND o.pos = m.old_sec
+   WHERE EXISTS (SELECT 1 FROM para n WHERE n.doc_id = m.new_id AND n.pos = m.new_sec) AND NOT EXISTS (SELECT 1 FROM mt WHERE mt.old_id = m.old_id AND mt.new_id = m.new_id AND mt.new_sec = m.new_sec AND mt.old_k = o.k)),
+ sdf AS (SELECT *, row_number() OVER (PARTITION BY old_id, new_id ORDER BY CASE kind WHEN 'new' THEN 0 WHEN 'substantive' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END, s0, s1, s2, s3) AS place FROM sdr QUALIFY place <= 40)"""
+#: Sentiment of every document by two short word lists.
+_SENT = r"""sent AS (SELECT doc_id, source, (len([w FOR w IN words IF w IN ('the', 'on', 'la', 'der', 'en')]) - len([w FOR w IN words IF w IN ('of', 'and', 'de', 'die', 'el')])) / greatest(len([w FOR w IN words IF w IN ('the', 'on', 'la', 'der', 'en', 'of', 'and', 'de', 'die', 'el')]), 1) AS score
+ FROM (SELECT doc_id, source, regexp_extract_all(lower(array_to_string([s FOR s IN [regexp_replace(u, '^\s+|\s+$', '', 'g') FOR u IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))] IF length(s) > 20][:200], ' ')), '[a-z]+') AS words FROM documents))"""
+
+
 def _accuracy(spark, d):
     """Accuracy of a length rule against the quality labels, by language and overall."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").withColumn("right", ((F.length("text") > 200).cast("int") == F.col("quality")).cast("int"))
@@ -274,10 +370,12 @@ QUERIES = {
     "xbr_latest_filed": _latest_filed, "xbr_tag_priority": _tag_priority, "ret_forward": _forward, "ret_enrich": _enrich, "ret_pooled": _pooled, "ret_ols_control": _control, "ret_grouped": _grouped,
     "ret_verdict": _ret_verdict, "ret_group_counts": _group_counts, "dif_pairs": _pairs, "dif_prev": _prev, "dif_best_match": _best, "dif_classify": _classify, "dif_removed": _removed, "dif_top40": _top40,
     "dif_change_count": _changes, "evl_accuracy": _accuracy, "evl_risk_tol": _risk_tol, "evl_contains_all": _contains_all, "evl_sign": _sign, "sink_upsert_latest": _upsert, "sink_set_difference": _difference,
-    "src_histogram": _histogram, "src_cik": _cik,
+    "src_histogram": _histogram, "src_cik": _cik, "dif_document": _document, "dif_suppress": _suppress, "sink_diff_cache": _diff_cache, "dif_cached": _diff_cached, "ret_rows": _ret_rows,
+    "sink_returns_cache": _returns_cache, "src_statements": _from_statements,
 }
 
 _LONG = "lo AS (UNPIVOT (SELECT entity, period, " + ", ".join(N.RATIOS) + " FROM rt) ON " + ", ".join(N.RATIOS) + " INTO NAME metric VALUE value)"
+_LONG_NULLS = "lo AS (" + " UNION ALL ".join(f"SELECT entity, period, '{r}' AS metric, {r} AS value FROM rt" for r in N.RATIOS) + ")"
 _GLONG = "lo AS (UNPIVOT (SELECT entity, period, " + ", ".join(f"{g}_growth" for g in N.GROWTH) + " FROM gr) ON " + ", ".join(f"{g}_growth" for g in N.GROWTH) + " INTO NAME metric VALUE value)"
 
 
@@ -313,7 +411,24 @@ ORACLE = {
     "fun_verdict": f"WITH {_FLAGS} SELECT entity, count(*) FILTER (severity = 'red') AS reds, CASE WHEN count(*) FILTER (severity = 'red') >= 2 THEN 'weak' WHEN count(*) FILTER (severity = 'red') = 1 THEN 'moderate' ELSE 'strong' END AS verdict FROM fl GROUP BY entity",
     "fun_trend": f"WITH {_RT}, {_LONG} {_trend_sql('—', 0.0)}",
     "fun_growth_trend": f"WITH {_GR}, {_GLONG} {_trend_sql('stable', 0.01)}",
-    "fun_ratio_matrix": f"WITH {_RT}, {_LONG} SELECT entity, metric, " + ", ".join(f"round(max(value) FILTER (period = {y}), 6) AS y{y}" for y in range(1995, 2002)) + " FROM lo GROUP BY ALL",
+    "fun_ratio_matrix": f"WITH {_RT}, {_LONG}, x AS (SELECT entity, metric, 'y' || period AS period, value FROM lo) PIVOT x ON period USING round(max(value), 6) GROUP BY entity, metric",
+    "fun_format": f"WITH {_RT}, {_LONG_NULLS} SELECT entity, period, metric, CASE WHEN value IS NULL THEN '—' WHEN regexp_matches(metric, 'margin$|^ro[ea]$') THEN printf('%.1f%%', value * 100) WHEN metric = 'fcf' THEN format('{{:,}}', round_even(value, 0)::BIGINT) ELSE printf('%.2f', value) END AS shown FROM lo",
+    "src_statements": f"WITH {_ST} SELECT entity, period::VARCHAR AS period, " + ", ".join(f"round({f if f != 'cash' else 'CASE WHEN period % 2 = 1 THEN cash END'}, 6) AS {f}" for f in N.LABELS) + " FROM st QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period DESC) <= 4",
+    "ret_ols_control": f"""WITH {_MK}, g AS (SELECT *, avg(signal) OVER w AS mx, avg(ret) OVER w AS my, avg(mkt) OVER w AS mz FROM en WHERE mkt IS NOT NULL WINDOW w AS (PARTITION BY "window")),
+ s AS (SELECT "window", count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, sum((signal - mx) ** 2) AS xx, sum((signal - mx) * (ret - my)) AS xy, sum((ret - my) ** 2) AS yy, sum((mkt - mz) ** 2) AS zz, sum((signal - mx) * (mkt - mz)) AS xz, sum((mkt - mz) * (ret - my)) AS zy FROM g GROUP BY "window"),
+ b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS coef, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS gamma FROM s),
+ c AS (SELECT *, my - coef * mx - gamma * mz AS intercept, yy - coef * xy - gamma * zy AS ssr FROM b),
+ e AS (SELECT g."window", avg(abs(ret - intercept - coef * signal - gamma * mkt)) AS mae FROM g JOIN c ON c."window" = g."window" GROUP BY ALL)
+ SELECT c."window", n, round(coef, 6) AS coef, round(intercept, 6) AS intercept, round(coef / sqrt(ssr / (n - 3) * zz / (xx * zz - xz * xz)), 6) AS t_stat, round(1 - ssr / yy, 6) AS r2, round(sqrt(ssr / n), 6) AS rmse, round(mae, 6) AS mae FROM c JOIN e ON e."window" = c."window\"""",
+    "ret_verdict": f"""WITH {_MK}, eg AS (SELECT *, {_GROUP} AS "group" FROM en), q AS (SELECT "group", "window", regr_slope(ret, signal) AS coef, regr_r2(ret, signal) AS r2, count(*) AS n, regr_sxx(ret, signal) AS xx, regr_syy(ret, signal) AS yy, regr_sxy(ret, signal) AS xy FROM eg GROUP BY ALL),
+ t AS (SELECT *, coef / sqrt((yy - coef * xy) / greatest(n - 2, 1) / xx) AS t FROM q)
+ SELECT "group", "window", CASE WHEN abs(t) >= 2 THEN CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END ELSE 'inconclusive' END AS verdict, printf('%dd: n=%d coef=%.4f t=%.2f R2=%.3f', "window", n, coef, t, r2) AS summary FROM t""",
+    "ret_rows": f"""WITH {_MATCH}, {_SENT}, c AS (SELECT new_id, count(*) FILTER (kind <> 'minor') AS changes FROM top GROUP BY new_id)
+ SELECT doc_id, source AS ticker, (DATE '2024-01-01' + (doc_id % 25)::INT)::VARCHAR AS date, (['10-K', '10-Q', 'TRANSCRIPT', '8-K'])[doc_id % 4 + 1] AS form, round(score, 6) AS signal, CASE WHEN doc_id % 4 <> 2 THEN changes END AS disclosure_change FROM sent LEFT JOIN c ON c.new_id = doc_id""",
+    "dif_document": f"WITH {_SECTIONS} SELECT old_id, new_id, place, kind, item, similarity, md5(old_text) AS old_md5, md5(new_text) AS new_md5 FROM sdf",
+    "dif_suppress": f"WITH {_SECTIONS} SELECT old_id, new_id, count(*) FILTER (kind <> 'minor') AS shown, count(*) FILTER (kind = 'minor') AS suppressed FROM sdf GROUP BY ALL",
+    "sink_diff_cache": f"WITH {_SECTIONS} SELECT old_id || '|' || new_id AS key, string_agg(kind || ':' || item || ':' || printf('%.3f', similarity), ',' ORDER BY place) AS items FROM sdf GROUP BY old_id, new_id",
+    "dif_cached": f"WITH {_SECTIONS} SELECT old_id || '|' || new_id AS key, count(*) AS n, old_id % 2 = 0 AS cached FROM met GROUP BY old_id, new_id",
     "xbr_latest_filed": f"""WITH {_FACTS}, {_FIELDS}, ch AS (SELECT * FROM (SELECT *, min(priority) OVER (PARTITION BY entity, field) AS least FROM fa JOIN fi USING (tag)) WHERE priority = least),
  nw AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY entity, field, fy ORDER BY filed DESC, pos) = 1),
  wi AS (SELECT entity, fy, {', '.join(f"max(val) FILTER (field = '{f}') AS {f}" for f in N.TAGS)} FROM nw GROUP BY ALL)
