@@ -12,7 +12,7 @@ from quarry.functions import text as X
 from quarry.operators import segment as S
 
 # fixed values: cues, headings, words left out of titles
-RISK_CUE = r"(?i)\b(?:risk\w*|advers\w*|could|may|uncertain\w*|depend\w*|rely|reliance|harm\w*|expos\w*|fail\w*|litigation|subject to|ability|competition|impact\w*|affect\w*|challeng\w*|vulnerab\w*|threat\w*|disrupt\w*|fluctuat\w*|declin\w*|loss\w*|unable|inability)\b"
+RISK_CUE = r"(?iU)\b(?:risk\w*|advers\w*|could|may|uncertain\w*|depend\w*|rely|reliance|harm\w*|expos\w*|fail\w*|litigation|subject to|ability|competition|impact\w*|affect\w*|challeng\w*|vulnerab\w*|threat\w*|disrupt\w*|fluctuat\w*|declin\w*|loss\w*|unable|inability)\b"
 RISK_HEADING = r"(?imd)^(?=.{15,160}$)[A-Z][^!?\n]*?(?:risk|adversely|could|may|uncertain|depend|harm|expose|fail|litigation)[^!?\n]*?\.?$"
 INLINE = r"^([^.!?]{3,40}\.)\s+\S"
 GLUED = r"(?<=[a-z’)])\s+(?=(?:The|Our|We|There|Changes|Legislation|Increasing|In|[A-Z][a-z]{3,}(?:[’']s)?)\b)"

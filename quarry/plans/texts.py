@@ -151,7 +151,7 @@ def _xcheck(spark, d):
 
 def _risk(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    return E.risk_counts(docs, cue=r"(?i)\b(?:th\w*|on\w*|de\w*)\b").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("structural", "title", "inline", "line", "n_risks")])
+    return E.risk_counts(docs, cue=r"(?iU)\b(?:th\w*|on\w*|de\w*)\b").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("structural", "title", "inline", "line", "n_risks")])
 
 
 def _signals(spark, d):
