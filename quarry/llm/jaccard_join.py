@@ -361,19 +361,22 @@ def _apart(live: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _ordered(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles with the highest counts, ORDERED at most: all from the level down to which they fit.
+    """The shingles with the highest counts, about ORDERED at most: whole levels from the top, and of the level that is too large a part by hash.
 
     Only a histogram of levels and then these shingles reach the driver.
     """
     leveled = cut(often.withColumn("level", F.floor(F.log2("df") * 8)), "recurring")
-    taken, least = 0, None
+    room, least, part = ORDERED, None, 0
     for r in sorted(leveled.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
-        if taken + r["n"] > ORDERED:
+        least = r["level"]
+        if r["n"] > room:
+            part = 1000 * room // r["n"]  # in thousandths
             break
-        taken, least = taken + r["n"], r["level"]
+        room, part = room - r["n"], 1000
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = leveled.where(F.col("level") >= least).select("gram", "df").toArrow()
+    chosen = (F.col("level") > least) | ((F.col("level") == least) & (F.pmod(F.xxhash64("gram"), F.lit(1000)) < part))
+    rows = leveled.where(chosen).select("gram", "df").toArrow()
     drop_cut(leveled)
     return rows["gram"].to_numpy().astype(np.int64).astype(np.uint64), rows["df"].to_numpy().astype(np.int64)
 

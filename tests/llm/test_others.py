@@ -217,6 +217,12 @@ def test_url_regression_is_right_on_urls_it_has_not_seen(spark):
     assert sum(score(h, p) < 0 for h, p in ordinary) >= 0.95 * len(ordinary)
 
 
+def test_equal_rules_block(spark):
+    rows = spark.createDataFrame([("a.org", "/x/y"), ("b.a.org", "/x"), ("org", "/"), ("xorg", "/")], "host string, path string")
+    rule, verdict = url_filter.matched_rule(F.col("host"), F.col("path"), (("allow", "a.org/x"), ("block", "a.org/x"), ("allow", "org/"), ("block", "a.org/x/y")))
+    assert [tuple(r) for r in rows.select(rule, verdict).collect()] == [("a.org/x/y", "block"), ("a.org/x", "block"), ("org/", "allow"), (None, None)]
+
+
 def test_urls_equal_their_sql(spark, tmp_path):
     import duckdb
 

@@ -416,3 +416,70 @@ def test_scans_of_many_literals_are_linear():
         return time.perf_counter() - began
 
     assert seconds(32_000) < 10 * max(seconds(8_000), 0.05)
+
+
+def test_quality_scores_equal_plain_counts(spark, rows, docs):
+    """Log ratios and scores from words and pairs hashed as Spark hashes them, counted in Python."""
+    import math
+    import struct
+
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def hashed(value, seed=42):
+        return signed(xxhash.xxh64(value.encode() if isinstance(value, str) else struct.pack("<q", value), seed=seed % (1 << 64)).intdigest())
+
+    def buckets(text):
+        w = [hashed(x) for x in WORD.findall(text or "")]
+        return [h % quality.BUCKETS for h in w + [hashed(b, hashed(a)) for a, b in zip(w, w[1:])]]
+
+    trusted = {r[0] for r in rows[:40]}
+    every, good = collections.Counter(), collections.Counter()
+    for r in rows:
+        found = buckets(r[1])
+        every.update(found)
+        if r[0] in trusted:
+            good.update(found)
+    e, g = every.total() + quality.BUCKETS, good.total() + quality.BUCKETS
+    want = [math.log((good[b] + 1) / g) - math.log((every[b] + 1) / e) for b in range(quality.BUCKETS)]
+    ratios = quality.log_ratios(docs, docs.where("doc_id < 40").select("doc_id"))
+    assert np.allclose(ratios, want)
+    text = {r[0]: r[1] for r in rows}
+    for r in quality.judge(docs, ratios).collect():
+        found = buckets(text[r.doc_id])
+        score = sum(want[b] for b in found) / len(found) if found else 0.0
+        assert abs(r.score - score) < 1e-6 and r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+
+
+def test_placement_equals_trying_every_open_sequence():
+    """Every piece, longest first, goes where the sum of squared counts of open sequences by gap becomes smallest."""
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        lengths = r.integers(1, 21, int(r.integers(1, 60)))
+        seq, off = packing.place(lengths, 20)
+        fill = []
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            def squares(k):
+                gaps = collections.Counter(20 - (f + lengths[i] * (j == k)) for j, f in enumerate(fill))
+                del gaps[0]
+                return sum(n * n for n in gaps.values()), 20 - fill[k]
+
+            fits = [k for k, f in enumerate(fill) if f + lengths[i] <= 20]
+            if fits:
+                best = min(map(squares, fits))
+                assert off[i] > 0 and squares(seq[i]) == best and fill[seq[i]] == off[i]
+            else:
+                assert off[i] == 0 and seq[i] == len(fill)
+                fill.append(0)
+            fill[seq[i]] += lengths[i]
+
+
+def test_ordered_shingles_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ORDERED", 100)
+    often = spark.createDataFrame([(i, 1000) for i in range(40)] + [(1000 + i, 10) for i in range(5000)], "gram long, df long")
+    grams, df = jaccard_join._ordered(often)
+    assert set(range(40)) <= set(grams.tolist()) and 40 < len(grams) < 200
+    grams, _ = jaccard_join._ordered(often.where("df = 10"))
+    assert 0 < len(grams) < 250 and jaccard_join._ordered(often.limit(0))[0].size == 0
