@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quarry.functions.text import tokens
 
 K1, B, RRF_K = 1.5, 0.75, 60
-#: At most so many query vectors are sent to all tasks; more are joined by block.
+#: At most so many query vectors, hits or terms are sent to all tasks; more are joined by shuffle.
 SENT = 65_536
 
 
@@ -19,7 +19,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", words=tok
 
 
 def idf_table(posts: DataFrame, n: int | Column) -> DataFrame:
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    df = posts.groupBy("term").agg(F.count("tf").alias("df"))  # tf is never null; asking for it lets both uses of the postings share their exchange
     n = n if isinstance(n, Column) else F.lit(n)
     return df.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
@@ -55,8 +55,10 @@ STOP = "a an and are as at be by for from has have he in is it its of on or that
 
 
 def uni_bigrams(c: Column) -> Column:
+    """Words but for stop words, and pairs of neighbours among them; the words are extracted once."""
     words = F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9][a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*STOP))
-    return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.transform(F.array(words), lambda w: F.concat(w, pairs(w))).getItem(0)
 
 
 FEATURES = 50_000
@@ -67,12 +69,16 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", quer
 
     Queries with fewer than k documents of a positive score are filled up with documents of score 0, by key. `keep` filters what is ranked.
     """
-    posts = postings(docs, key, words=uni_bigrams)
     n = docs.count()
-    by_count = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
+    grams = uni_bigrams(F.col("text"))
+    one = lambda d, t: lambda w: F.struct(w.alias("term"), F.lit(d).alias("d"), F.lit(t).alias("t"))
+    both = F.transform(F.array(grams), lambda g: F.concat(F.transform(F.array_distinct(g), one(1, 0)), F.transform(g, one(0, 1)))).getItem(0)
+    by_count = docs.select(F.inline(both)).groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("times"))  # combined before the shuffle
     weights = by_count.orderBy(F.desc("times"), "term").limit(features).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = F.broadcast(weights) if features <= SENT else weights
     w = (1 + F.log(F.col("tf"))) * F.col("idf")
-    doc = posts.join(weights, "term").select(key, "term", w.alias("w"))
+    known = docs.select(key, F.explode(grams).alias("term")).join(weights, "term")
+    doc = known.groupBy(key, "term", "idf").agg(F.count("*").alias("tf")).select(key, "term", w.alias("w"))
     norms = doc.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = postings(queries, query, words=uni_bigrams).join(weights, "term").select(query, "term", w.alias("qw"))
     qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))

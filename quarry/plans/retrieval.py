@@ -92,9 +92,12 @@ def _dense_label(spark, d):
 
 
 def _jaccard(spark, d):
+    """Each document against the next of its source and language: only ids go through the window, word sets meet by id."""
+    docs = table(spark, d, "documents")
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", X.token_set(F.col("text")).alias("words"))
-    pairs = docs.select("doc_id", F.lead("doc_id").over(w).alias("next_id"), "words", F.lead("words").over(w).alias("next_words")).where("next_id is not null")
+    pairs = docs.select("doc_id", F.lead("doc_id").over(w).alias("next_id")).where("next_id is not null")
+    words = docs.select("doc_id", X.token_set(F.col("text")).alias("words"))
+    pairs = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("next_id"), F.col("words").alias("next_words")), "next_id")
     return pairs.select("doc_id", "next_id", F.round(X.jaccard(F.col("words"), F.col("next_words")), 6).alias("jaccard"))
 
 
