@@ -12,7 +12,8 @@ similarity reaches the threshold, and the operator returns the connected compone
    min(l1, l2) listed shingles, and as many more as their sizes call for. The smaller set of a pair is found by
    a still shorter part of its list (see prefix_of). Asking for more lengthens every list
    a little and leaves out pairs that merely share a passage.
-3. Candidates are verified on the whole sets. First one node of each posting list against the others,
+3. Candidates are verified on the whole sets, which only pairs are sent whose counts of shingles by hash bucket, written in the first pass, allow
+   a link: the sum of the smaller counts is never less than the overlap. First one node of each posting list against the others,
    which joins large groups of near copies with a linear number of pairs. Then every candidate pair
    whose two nodes are still in different components; pairs inside one cannot change it. Where a list
    is crowded with such pairs, its nodes meet block against block on whole sets instead, without a row a pair.
@@ -87,24 +88,43 @@ def _nodes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 _CENSUS = T.StructType(
-    [T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_shingles", T.LongType()), ("node", T.LongType()), ("gram", T.LongType()), ("df", T.LongType()))]
+    [T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_shingles", T.LongType()), ("node", T.LongType()), ("gram", T.LongType()), ("df", T.LongType()), ("sketch", T.BinaryType()))]
 )
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """How many shingles fall in each of a power of two of hash buckets, about four in one; nothing if a count is too large for a byte."""
+    size = 1 << max(4, (len(grams) // 4).bit_length())
+    counts = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_link(one: bytes, two: bytes, percent: int) -> bool:
+    """Whether two sets' sketches allow the similarity: the smaller counts add up to the overlap or more."""
+    if not one or not two:
+        return True
+    a, b = np.frombuffer(one, np.uint8).astype(np.int64), np.frombuffer(two, np.uint8).astype(np.int64)
+    size = min(len(a), len(b))
+    a, b = a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)
+    most = int(np.minimum(a, b).sum())
+    return 100 * most >= percent * (int(a.sum()) + int(b.sum()) - most)
+
+
 def _census(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(f.name, pa.int64()) for f in _CENSUS])
+        schema = pa.schema([(f.name, pa.binary() if f.name == "sketch" else pa.int64()) for f in _CENSUS])
         for batch in batches:
-            ids, counts, nodes, all_grams = batch.column(0), [], [], []
+            ids, counts, nodes, all_grams, sketches = batch.column(0), [], [], [], []
             for _, grams, bounds in _sets(batch.column(1), k):
                 counts.append(np.diff(bounds))
                 nodes.append(_nodes(grams, bounds))
                 all_grams.append(grams)
+                sketches += [_sketch(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             n = len(ids)
             if not n:
                 continue
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.concatenate(counts)), pa.array(np.concatenate(nodes)), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.concatenate(counts)), pa.array(np.concatenate(nodes)), none, none, pa.array(sketches, pa.binary())], schema=schema)
             grams = np.sort(np.concatenate(all_grams))
             del all_grams
             begin = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
@@ -112,7 +132,8 @@ def _census(k: int):
             often = df >= LOCAL_DF
             if often.any():
                 none = pa.nulls(int(often.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(grams[begin[often]].astype(np.int64)), pa.array(df[often].astype(np.int64))], schema=schema)
+                more = [pa.array(grams[begin[often]].astype(np.int64)), pa.array(df[often].astype(np.int64)), pa.nulls(int(often.sum()), pa.binary())]
+                yield pa.RecordBatch.from_arrays([none, none, none, *more], schema=schema)
             del grams, begin, df, often
         trim()
 
@@ -141,7 +162,7 @@ def _postings(k: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = frequent.value
         seen: set[int] = set()
-        names = ["gram", "node", "n", "ask", "up", "slice"]
+        names = ["gram", "node", "rest"]
         for batch in batches:
             for _, grams, bounds in _sets(batch.column(0), k):
                 nodes = _nodes(grams, bounds)
@@ -163,15 +184,10 @@ def _postings(k: int, percent: int, frequent):
                     rows.append((node, b - a, ask, len(prefix), up))
                 if rows:
                     r = np.array(rows, np.int64)
+                    up = np.concatenate([np.arange(m) < up for m, up in zip(r[:, 3], r[:, 4], strict=True)])
+                    rest = np.repeat(r[:, 1] << 32 | r[:, 2] << 25, r[:, 3]) | up.astype(np.int64) << 24 | np.minimum(np.concatenate(slices), (1 << 24) - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(lists).astype(np.int64)),
-                            pa.array(np.repeat(r[:, 0], r[:, 3])),
-                            pa.array(np.repeat(r[:, 1], r[:, 3]).astype(np.int32)),
-                            pa.array(np.repeat(r[:, 2], r[:, 3]).astype(np.int8)),
-                            pa.array(np.concatenate([np.arange(m) < up for m, up in zip(r[:, 3], r[:, 4], strict=True)])),
-                            pa.array(np.concatenate(slices).astype(np.int32)),
-                        ],
+                        [pa.array(np.concatenate(lists).astype(np.int64)), pa.array(np.repeat(r[:, 0], r[:, 3])), pa.array(rest)],
                         names=names,
                     )
 
@@ -213,23 +229,50 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
     return mask
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold."""
-    spark = docs.sparkSession
+def _in_filter(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy().astype(np.uint64) % np.uint64(FILTER_BITS)
+            hit = (bits.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return run
+
+
+def _allowed(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _with_bits(pairs: DataFrame):
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    bits = spark.sparkContext.broadcast(_filter_bits(nodes))
-    sets = cut(docs.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+    return pairs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the threshold; sets go to pairs whose sketches (node, sketch) allow it."""
+    bits = _with_bits(pairs)
+    known = sketches.mapInArrow(_in_filter(bits), "node long, sketch binary").dropDuplicates(["node"])
+    met = pairs.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    pairs = cut(met.select("a", "b", "sa", "sb").mapInArrow(_allowed(percent), "a long, b long"), "pairs")
+    bits.destroy()
+    bits = _with_bits(pairs)
+    # not written: the one exchange that leaves a set of each node serves both joins, where files would be dealt anew for each
+    sets = docs.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"])
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     reached = F.lit(100) * shared >= F.lit(percent) * (F.size("ga") + F.size("gb") - shared)
     links = cut(both.where(reached).select("a", "b"), "verified")
-    drop_cut(sets)
     bits.destroy()
     return links
 
 
-def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(texts: DataFrame, live: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that link, from the posting lists with more than one node."""
     spark = live.sparkSession
     release(spark)
@@ -240,7 +283,7 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
     best = Window.partitionBy("node").orderBy(F.desc("got"), F.xxhash64("lead"))
     first = star.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADS)
     first = cut(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
-    links = _verified(texts, first, k, percent)
+    links = _verified(texts, first, sketches, k, percent)
     roots = cut(connected(links), "roots")
     release(spark)
 
@@ -264,7 +307,7 @@ def _linked(texts: DataFrame, live: DataFrame, k: int, percent: int) -> DataFram
     more = []
     if not pairs.isEmpty():
         release(spark)
-        more.append(_verified(texts, pairs, k, percent))
+        more.append(_verified(texts, pairs, sketches, k, percent))
     if not crowd.isEmpty():
         release(spark)
         more.append(_crowded(texts, crowd, k, percent))
@@ -392,15 +435,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], weight[order]))
 
-    postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, n int, ask byte, up boolean, slice int")
+    # a row of postings is three numbers: the size, what is asked for, and the slice of the list share one
+    postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, rest long").withColumn("slice", F.expr("rest & 16777215"))
     # a list of more than HOT texts is in slices, which are kept whole: it has more than one node but for the rarest case
     by_gram = Window.partitionBy("gram", "slice")
     lists = postings.withColumn("low", F.min("node").over(by_gram)).withColumn("high", F.max("node").over(by_gram))
-    lists = lists.withColumn("any_up", F.max("up").over(by_gram)).where("slice > 0 or (low <> high and any_up)")
-    live = cut(lists.drop("low", "high", "any_up", "slice"), "postings")
+    lists = lists.withColumn("any_up", F.max(F.expr("rest & 16777216")).over(by_gram)).where("slice > 0 or (low <> high and any_up > 0)")
+    shown = "gram", "node", F.expr("cast((rest >> 32) as int) n"), F.expr("cast(((rest >> 25) & 127) as byte) ask"), F.expr("((rest & 16777216) > 0) as up")
+    live = cut(lists.select(*shown), "postings")
     sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     del postings, lists  # so that their shuffle files can go
-    roots = _linked(texts, live, k, percent)
+    roots = _linked(texts, live, census.where("node is not null").select("node", "sketch"), k, percent)
     release(spark)
 
     return rows, sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

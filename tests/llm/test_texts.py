@@ -483,3 +483,17 @@ def test_ordered_shingles_are_the_most_frequent(spark, monkeypatch):
     assert set(range(40)) <= set(grams.tolist()) and 40 < len(grams) < 200
     grams, _ = jaccard_join._ordered(often.where("df = 10"))
     assert 0 < len(grams) < 250 and jaccard_join._ordered(often.limit(0))[0].size == 0
+
+
+def test_sketches_allow_every_pair_that_links():
+    r = np.random.default_rng(7)
+    refused = 0
+    for _ in range(2000):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([r.choice(a, int(r.integers(0, len(a) + 1)), replace=False), r.integers(0, 1 << 63, int(r.integers(0, n + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        allowed = jaccard_join.may_link(jaccard_join._sketch(a), jaccard_join._sketch(b), 75)
+        assert allowed or 100 * both < 75 * (len(a) + len(b) - both)
+        refused += not allowed
+    assert refused > 800 and jaccard_join.may_link(jaccard_join._sketch(np.zeros(300, np.uint64)), b"", 75)
