@@ -191,7 +191,7 @@ def _greedy_sql(pool: str, k: int) -> str:
     jaccard = "len(list_intersect(a.w, b.w)) / greatest(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 1)"
     return f"""
  pw AS (SELECT item_id, doc_id, rank, {_SET} AS w FROM {pool} JOIN documents USING (doc_id)),
- nr AS (SELECT b.item_id, b.rank, coalesce(list(a.rank) FILTER (len(a.w) > 0 AND len(b.w) > 0 AND {jaccard} > 0.85), []) AS near FROM pw b LEFT JOIN pw a ON a.item_id = b.item_id AND a.rank < b.rank GROUP BY ALL),
+ nr AS (SELECT b.item_id, b.rank, coalesce(list(a.rank) FILTER (CASE WHEN len(a.w) > 0 AND least(len(a.w), len(b.w)) > 0.85 * greatest(len(a.w), len(b.w)) THEN {jaccard} > 0.85 ELSE false END), []) AS near FROM pw b LEFT JOIN pw a ON a.item_id = b.item_id AND a.rank < b.rank GROUP BY ALL),
  gr AS (SELECT item_id, 0::BIGINT AS rank, []::BIGINT[] AS kept FROM (SELECT DISTINCT item_id FROM pw)
    UNION ALL SELECT gr.item_id, nr.rank, CASE WHEN len(kept) >= {k} OR list_has_any(kept, near) THEN kept ELSE kept || [nr.rank] END FROM gr JOIN nr ON nr.item_id = gr.item_id AND nr.rank = gr.rank + 1),
  kept AS (SELECT item_id, max(rank) AS pool, arg_max(kept, rank) AS kept FROM gr GROUP BY item_id)"""
