@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -146,7 +147,7 @@ def lexicon(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) ->
     score is (p - n) / max(p + n, 1), the others are shares of all words. Without a sentence the score is 0, the backend "none" and shares are null.
     One pass over the words: they are mapped to signs, which are then counted.
     """
-    found = F.slice(F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) > 20), 1, most)
+    found = shown_sentences(c, most)
     words = F.regexp_extract_all(F.lower(F.array_join(found, " ")), F.lit("[a-z]+"), F.lit(0))
     start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("all"))
 
@@ -165,6 +166,24 @@ def lexicon(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) ->
     return F.when(c.isNotNull(), F.transform(bound, record).getItem(0))
 
 
+def shown_sentences(c: Column, most: int = 200) -> Column:
+    """The first sentences of more than 20 characters."""
+    return F.slice(F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) > 20), 1, most)
+
+
+def sentiment(c: Column, model: Callable[[Column], Column] | None = None, name: str = "finbert") -> Column:
+    """The record of lexicon(), from a model where there is one that answers: `model` gives for an array of sentences an array of
+    struct(positive, negative, neutral) probabilities, or null; score and shares are their means."""
+    rules = lexicon(c)
+    if model is None:
+        return rules
+    found = shown_sentences(c)
+    told = F.when(F.size(found) > 0, model(found))
+    mean = lambda field: F.aggregate(told, F.lit(0.0), lambda s, p: s + F.coalesce(p[field], F.lit(0.0))) / F.size(told)
+    record = F.struct((mean("positive") - mean("negative")).alias("score"), F.size(told).alias("n_sentences"), F.lit(name).alias("backend"), mean("positive").alias("positive"), mean("negative").alias("negative"), mean("neutral").alias("neutral"))
+    return F.when(F.size(told) > 0, record).otherwise(rules)
+
+
 def lexicon_score(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) -> Column:
     return lexicon(c, positive, negative, most)["score"]
 

@@ -12,6 +12,7 @@ from quarry.operators import fundamentals as N
 from quarry.operators import segment as S
 from quarry.plans.bind import table
 from quarry.sources import corpus as C
+from quarry.sources import fetching as W
 
 
 def _clean(spark, d):
@@ -103,6 +104,25 @@ def _citation_link(spark, d):
     return linked
 
 
+def _filings_wanted(spark, d):
+    docs = filings(spark, d).select(F.col("n").cast("string").alias("ticker"), "form", F.concat(F.col("y").cast("string"), F.lit("-12-31")).alias("date"), "y")
+    have = docs.where("y % 4 = 0").select(F.concat("ticker", F.lit("_"), "form", F.lit("_"), "date", F.lit(".txt")).alias("name"))
+    return W.wanted(docs, have, 1).select("name", "ticker", "form", "date")
+
+
+def _calls(spark, d):
+    """Calls stitched from a conversation's longest user and assistant texts."""
+    best = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(best("system").alias("a"), best("assistant").alias("b"), best("user").alias("w"))
+    return c.select("conv_id", F.md5(W.stitched(F.col("a"), F.col("b"), F.col("w"))).alias("call_md5"))
+
+
+def _upload(spark, d):
+    name = F.concat(F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, (".html", ".TXT", ".pdf"))), (F.col("page_id") % 3 + 1).cast("int")))
+    kind = W.content_type(name, F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("plain"))
+    return table(spark, d, "pages").select("page_id", kind.alias("content_type"))
+
+
 def _deep(spark, d):
     return table(spark, d, "documents").select("doc_id", X.deep_link(F.lit("https://files.example.org/x"), F.col("text")).alias("url"))
 
@@ -188,6 +208,7 @@ QUERIES = {
     "txt_clean_pages": _clean, "txt_is_html": _is_html, "chk_sentences": _sentences, "txt_paragraphs": _paragraphs, "chk_pack_stats": _chunk_stats, "sec_sections": _sections, "src_document": _document,
     "trn_turns": _turns, "trn_qa_pairs": _qa_pairs, "chk_citation": _citation, "lnk_deep_url": _deep, "aud_support": _aud_support, "aud_numbers": _aud_numbers, "aud_verdict": _aud_verdict,
     "ext_guidance": _guidance, "ext_xcheck": _xcheck, "ext_risk_cascade": _risk, "ext_signals": _signals, "ext_validate_json": _validate, "sen_lexicon": _lexicon, "sen_trend_pivot": _trend, "sen_shares": _shares, "aud_report": _aud_report, "aud_candidates": _aud_candidates, "lnk_citation": _citation_link,
+    "src_filings_fetch": _filings_wanted, "src_transcript_fetch": _calls, "sink_s3_upload": _upload,
 }
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -228,6 +249,12 @@ ORACLE = {
     "lnk_deep_url": rf"""SELECT doc_id, 'https://files.example.org/x#:~:text=' || replace(url_encode(array_to_string([w FOR w IN regexp_split_to_array(text, '{_BLANKS}+') IF w <> ''][:8], ' ')), '%2F', '/') AS url FROM documents""",
     "lnk_citation": rf"""WITH {_FILINGS_SQL}, ci AS (SELECT *, 'N' || n || ' ' || form || ' (' || y || '-12-31), Item 7 — Title' AS cite, CASE WHEN y % 5 = 0 THEN 'z/' || doc_id || '.html' WHEN y % 3 <> 0 THEN 'k/' || doc_id || CASE WHEN y % 2 = 0 THEN '.txt' ELSE '.htm' END END AS key FROM filings)
  SELECT doc_id, CASE WHEN key IS NULL THEN cite ELSE '[' || cite || '](https://b.example/' || key || '#:~:text=' || replace(url_encode(array_to_string([w FOR w IN regexp_split_to_array(text, '{_BLANKS}+') IF w <> ''][:8], ' ')), '%2F', '/') || ')' END AS link FROM ci""",
+    "src_filings_fetch": f"""WITH {_FILINGS_SQL}, li AS (SELECT n::VARCHAR AS ticker, form, y || '-12-31' AS date, y FROM filings QUALIFY row_number() OVER (PARTITION BY n, form ORDER BY y DESC) <= CASE WHEN form = '10-K' THEN 1 ELSE 4 END)
+ SELECT ticker || '_' || form || '_' || date || '.txt' AS name, ticker, form, date FROM li WHERE y % 4 <> 0""",
+    "src_transcript_fetch": """WITH c AS (SELECT conv_id, max(text) FILTER (role = 'system') AS a, max(text) FILTER (role = 'assistant') AS b, max(text) FILTER (role = 'user') AS w FROM conversations GROUP BY conv_id),
+ t AS (SELECT conv_id, CASE WHEN length(a) > 0 AND length(b) > 0 THEN trim(a) || chr(10) || chr(10) || 'Questions and Answers:' || chr(10) || chr(10) || trim(b) ELSE coalesce(w, '') END AS t FROM c)
+ SELECT conv_id, CASE WHEN length(t) >= 500 THEN md5(t) END AS call_md5 FROM t""",
+    "sink_s3_upload": """SELECT page_id, CASE WHEN page_id % 3 < 2 THEN CASE WHEN page_id % 2 = 0 AND (contains(substr(html, 1, 5000), '</') OR contains(lower(substr(html, 1, 5000)), '<html')) THEN 'text/html; charset=utf-8' ELSE 'text/plain; charset=utf-8' END END AS content_type FROM pages""",
     "ext_validate_json": f"WITH {_FILINGS_SQL} SELECT doc_id, CASE WHEN y % 4 = 0 THEN '$' || amount || ' million' END AS guidance, y % 4 = 0 AS valid FROM filings",
     "ext_guidance": f"""WITH {_FILINGS_SQL} SELECT doc_id, len(g)::BIGINT AS n, array_to_string(g, '|') AS guidance FROM (SELECT doc_id, [x FOR x, i IN f IF list_position(f, x) = i][:5] AS g FROM (SELECT doc_id, [{_STRIP.format('u')} FOR u IN regexp_extract_all(text, '{_REV}', 1)] AS f FROM filings))""",
     "ext_xcheck": f"WITH {_FILINGS_SQL} SELECT doc_id, y % 2 = 1 AS agree FROM filings",
