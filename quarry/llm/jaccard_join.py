@@ -261,13 +261,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, k: int, pe
     pairs = cut(met.select("a", "b", "sa", "sb").mapInArrow(_allowed(percent), "a long, b long"), "pairs")
     bits.destroy()
     bits = _with_bits(pairs)
-    # not written: the one exchange that leaves a set of each node serves both joins, where files would be dealt anew for each
-    sets = docs.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"])
+    # written, so that both sides of the joins are plain exchanges, which AQE may split where a lead has very many pairs
+    sets = cut(docs.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     reached = F.lit(100) * shared >= F.lit(percent) * (F.size("ga") + F.size("gb") - shared)
     links = cut(both.where(reached).select("a", "b"), "verified")
+    drop_cut(sets)
     bits.destroy()
     return links
 
