@@ -256,12 +256,13 @@ def _with_bits(pairs: DataFrame):
 def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets reach the threshold; sets go to pairs whose sketches (node, sketch) allow it."""
     bits = _with_bits(pairs)
-    known = sketches.mapInArrow(_in_filter(bits), "node long, sketch binary").dropDuplicates(["node"])
+    # written, like the sets below, so that both sides of the joins are plain exchanges, which AQE may split where a lead has very many pairs
+    known = cut(sketches.mapInArrow(_in_filter(bits), "node long, sketch binary").dropDuplicates(["node"]), "sketches")
     met = pairs.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = cut(met.select("a", "b", "sa", "sb").mapInArrow(_allowed(percent), "a long, b long"), "pairs")
+    drop_cut(known)
     bits.destroy()
     bits = _with_bits(pairs)
-    # written, so that both sides of the joins are plain exchanges, which AQE may split where a lead has very many pairs
     sets = cut(docs.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
