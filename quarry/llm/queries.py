@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join, language_id, lattice_dedup, mixing, packing, pii, quality, secrets, sharding, url_filter
+from quarry.llm import divergence, jaccard_join, language_id, lattice_dedup, lexical_search, line_crf, mixing, packing, pii, quality, secrets, sharding, url_filter
 from quarry.llm.common import ship
 
 
@@ -29,6 +29,9 @@ _QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op10_best_fit_packing": packing.op10,
     "op9_ngram_jaccard_join": jaccard_join.op9,
+    "op11_source_divergence": divergence.op11,
+    "op12_line_crf_quality": line_crf.op12,
+    "op13_ranked_search": lexical_search.op13,
 }
 
 
@@ -36,4 +39,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_url_filter": url_filter.oracle(),
         "op8_mix_sources": mixing.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op13_ranked_search": lexical_search.ORACLE,
     }
