@@ -76,9 +76,9 @@ def _search(plan):
     """Sorted rows of documents -> the best of each question among a task's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, names, questions, docs, total, top = plan.value
+        weights, names, questions, docs, total, top, slots = plan.value
         heaps: list[list[tuple[int, int, int | None]]] = [[] for _ in questions]
-        score, used = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, bool)
+        score, used = np.zeros(slots, np.int64), np.zeros(slots, bool)
 
         def window(doc_ids: list[int | None], ns: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
             m = 50 + 50 * ns * docs // total
@@ -123,13 +123,13 @@ def _search(plan):
             lists = [batch.column(c) for c in ("term", "tf")]
             at = lists[0].offsets.to_numpy()
             term, tf = (x.values.to_numpy() for x in lists)
-            numbers = [None if x is None else x // WINDOW for x in doc_ids]
+            numbers = [None if x is None else x // slots for x in doc_ids]
             i = 0
             while i < len(ns):
-                room = WINDOW - sum(len(piece[0]) for piece in held)
+                room = slots - sum(len(piece[0]) for piece in held)
                 if held and (numbers[i] != open_at or not room):
                     close()
-                    room = WINDOW
+                    room = slots
                 open_at, j = numbers[i], i + 1
                 while j < len(ns) and j - i < room and numbers[j] == open_at:
                     j += 1
@@ -168,7 +168,7 @@ def _block(docs: DataFrame, asked: DataFrame, top: int, doc_id: str, text: str)
     weights = np.array([weight(sums["docs"], df.get(i, 0)) for i in range(len(wanted))], np.int64)
     names = list(items)
     questions = [np.array([wanted[t.encode()] for t in items[x]], np.int64) for x in names]
-    plan = spark.sparkContext.broadcast((weights, names, questions, sums["docs"], sums["total"] or 1, top))
+    plan = spark.sparkContext.broadcast((weights, names, questions, sums["docs"], sums["total"] or 1, top, WINDOW))
     rows = found.where("kind = 0 and size(term) > 0").select("doc_id", "deal", "n", "term", "tf")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), "deal").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "deal").drop("deal")
     best = rows.mapInArrow(_search(plan), "item_id long, doc_id long, score long")
