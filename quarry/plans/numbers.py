@@ -375,6 +375,8 @@ QUERIES = {
 }
 
 _LONG = "lo AS (UNPIVOT (SELECT entity, period, " + ", ".join(N.RATIOS) + " FROM rt) ON " + ", ".join(N.RATIOS) + " INTO NAME metric VALUE value)"
+# years of the tables: a view of DuckDB has its columns fixed
+_YEARS = range(1995, 2002)
 _LONG_NULLS = "lo AS (" + " UNION ALL ".join(f"SELECT entity, period, '{r}' AS metric, {r} AS value FROM rt" for r in N.RATIOS) + ")"
 _GLONG = "lo AS (UNPIVOT (SELECT entity, period, " + ", ".join(f"{g}_growth" for g in N.GROWTH) + " FROM gr) ON " + ", ".join(f"{g}_growth" for g in N.GROWTH) + " INTO NAME metric VALUE value)"
 
@@ -411,7 +413,7 @@ ORACLE = {
     "fun_verdict": f"WITH {_FLAGS} SELECT entity, count(*) FILTER (severity = 'red') AS reds, CASE WHEN count(*) FILTER (severity = 'red') >= 2 THEN 'weak' WHEN count(*) FILTER (severity = 'red') = 1 THEN 'moderate' ELSE 'strong' END AS verdict FROM fl GROUP BY entity",
     "fun_trend": f"WITH {_RT}, {_LONG} {_trend_sql('—', 0.0)}",
     "fun_growth_trend": f"WITH {_GR}, {_GLONG} {_trend_sql('stable', 0.01)}",
-    "fun_ratio_matrix": f"WITH {_RT}, {_LONG}, x AS (SELECT entity, metric, 'y' || period AS period, value FROM lo) PIVOT x ON period USING round(max(value), 6) GROUP BY entity, metric",
+    "fun_ratio_matrix": f"WITH {_RT}, {_LONG} SELECT entity, metric, " + ", ".join(f"round(max(value) FILTER (period = {y}), 6) AS y{y}" for y in _YEARS) + " FROM lo GROUP BY entity, metric",
     "fun_format": f"WITH {_RT}, {_LONG_NULLS} SELECT entity, period, metric, CASE WHEN value IS NULL THEN '—' WHEN regexp_matches(metric, 'margin$|^ro[ea]$') THEN printf('%.1f%%', value * 100) WHEN metric = 'fcf' THEN format('{{:,}}', round_even(value, 0)::BIGINT) ELSE printf('%.2f', value) END AS shown FROM lo",
     "src_statements": f"WITH {_ST} SELECT entity, period::VARCHAR AS period, " + ", ".join(f"round({f if f != 'cash' else 'CASE WHEN period % 2 = 1 THEN cash END'}, 6) AS {f}" for f in N.LABELS) + " FROM st QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period DESC) <= 4",
     "ret_ols_control": f"""WITH {_MK}, g AS (SELECT *, avg(signal) OVER w AS mx, avg(ret) OVER w AS my, avg(mkt) OVER w AS mz FROM en WHERE mkt IS NOT NULL WINDOW w AS (PARTITION BY "window")),

@@ -233,6 +233,8 @@ def _count(words) -> str:
 _SCORED = f"scored AS (SELECT doc_id, source, lang, (p - n) / greatest(p + n, 1) AS score FROM (SELECT *, {_count(_POSITIVE)} AS p, {_count(_NEGATIVE)} AS n FROM (SELECT doc_id, source, lang, {_WORDS} AS words FROM documents)))"
 _BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _REV = X.REVENUE_GUIDANCE.replace("'", "''")
+# languages of the tables: a view of DuckDB has its columns fixed
+_LANGS = ("de", "en", "es", "fr")
 _VERDICTS = """al AS (SELECT conv_id, turn, source IS NOT NULL AS sourced FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations) WHERE role = 'assistant'),
  sm AS (SELECT conv_id, turn, count(*) AS n, sum(grounded::INT)::BIGINT AS g, bool_or(len(missing) > 0) AS bad FROM audit GROUP BY ALL),
  vd AS (SELECT al.conv_id, al.turn, sourced, coalesce(n, 0) AS n, coalesce(g, 0) AS g, coalesce(bad, false) AS bad, CASE WHEN NOT sourced THEN 0.0 WHEN n IS NULL THEN 1.0 ELSE g / n END AS ratio FROM al LEFT JOIN sm USING (conv_id, turn))"""
@@ -259,7 +261,7 @@ ORACLE = {
     "ext_guidance": f"""WITH {_FILINGS_SQL} SELECT doc_id, len(g)::BIGINT AS n, array_to_string(g, '|') AS guidance FROM (SELECT doc_id, [x FOR x, i IN f IF list_position(f, x) = i][:5] AS g FROM (SELECT doc_id, [{_STRIP.format('u')} FOR u IN regexp_extract_all(text, '{_REV}', 1)] AS f FROM filings))""",
     "ext_xcheck": f"WITH {_FILINGS_SQL} SELECT doc_id, y % 2 = 1 AS agree FROM filings",
     "sen_lexicon": f"WITH {_SCORED} SELECT doc_id, round(score, 4) AS score FROM scored",
-    "sen_trend_pivot": f"WITH {_SCORED}, x AS (SELECT source, coalesce(lang, 'none') AS lang, score FROM scored) PIVOT x ON lang USING round(avg(score), 6) GROUP BY source",
+    "sen_trend_pivot": f"WITH {_SCORED} SELECT source, " + ", ".join(f"round(avg(score) FILTER (lang = '{x}'), 6) AS {x}" for x in _LANGS) + " FROM scored GROUP BY source",
     "sen_shares": f"WITH {_SCORED.replace('(p - n) / greatest(p + n, 1) AS score', 'p, n, len(words) AS t, k').replace('AS words FROM documents', 'AS words, ' + _SHOWN + ' AS k FROM documents WHERE text IS NOT NULL')} SELECT doc_id, k AS n_sentences, CASE WHEN k = 0 THEN 'none' ELSE 'lexicon' END AS backend, CASE WHEN k > 0 THEN round(p / greatest(t, 1), 6) END AS positive, CASE WHEN k > 0 THEN round(n / greatest(t, 1), 6) END AS negative, CASE WHEN k > 0 THEN round(1 - (p + n) / greatest(t, 1), 6) END AS neutral FROM scored",
 } | {
     "aud_support": f"{A.ORACLE} SELECT conv_id, turn, pos, round(support, 6) AS support FROM audit",

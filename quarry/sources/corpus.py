@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions.text import clean
 from quarry.operators.fundamentals import company_facts
@@ -20,23 +21,44 @@ def parse_name(files: DataFrame, name: str = "name") -> DataFrame:
     return files.where(F.size(parts) == 3).withColumns({"ticker": parts[0], "form": parts[1], "date": parts[2], "doc_id": F.array_join(parts, "_")})
 
 
+#: At most so many paths of passed-over files are sent to all tasks.
+SENT = 262_144
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 are left out. Characters that stand for unreadable ones in the file itself stay."""
+    bad, mark = "\ufffd", "\ufdd0"
+    safe = F.replace(F.replace(content.cast("string"), F.lit(mark), F.lit(f"{mark}a")), F.lit(bad), F.lit(f"{mark}b"))
+    read = F.replace(F.make_valid_utf8(safe), F.lit(bad), F.lit(""))
+    return F.replace(F.replace(read, F.lit(f"{mark}b"), F.lit(bad)), F.lit(f"{mark}a"), F.lit(mark))
+
+
+def _files(spark: SparkSession, folders: list[str], *columns: str) -> DataFrame | None:
+    """Columns of all documents' files and their folder's place; contents are read only if asked for."""
+    out = None
+    for i, folder in enumerate(folders):
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,htm,html}").load(folder)
+        rows = raw.select(*columns, F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(i).alias("folder"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def corpus(spark: SparkSession, *folders: str) -> DataFrame:
     """(doc_id, ticker, form, date, path, text) of all .txt, .htm and .html files, cleaned; missing folders are skipped.
 
-    Of files with the same id the first by folder, ending and path stays. Bytes that are no UTF-8 are replaced.
+    Of files with the same id the first by folder, ending and path stays. That is settled from the names alone; then contents are read where they
+    lie, but for those of the files passed over. Bytes that are no UTF-8 are left out.
     """
     found = [f for f in folders if _exists(spark, f)]
-    out = None
-    for i, folder in enumerate(found):
-        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,htm,html}").load(folder)
-        rows = raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("raw"), F.lit(i).alias("folder"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    listed = _files(spark, found, "path")
+    if listed is None:
         return spark.sql("SELECT '' AS doc_id, '' AS ticker, '' AS form, '' AS date, '' AS path, '' AS text WHERE false")
     ending = F.when(F.endswith("name", F.lit(".txt")), 0).when(F.endswith("name", F.lit(".htm")), 1).otherwise(2)
-    named = parse_name(out).withColumn("order", F.struct("folder", ending.alias("ending"), "path"))
-    first = named.groupBy("doc_id").agg(F.min_by(F.struct("ticker", "form", "date", "path", "raw"), "order").alias("x"))
-    return first.select("doc_id", "x.ticker", "x.form", "x.date", "x.path", clean(F.col("x.raw")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("folder", ending, "path"))
+    passed = parse_name(listed).withColumn("place", place).where("place > 1").select("path", "folder").persist()
+    few = passed.count() <= SENT
+    kept = parse_name(_files(spark, found, "path", "content")).join(F.broadcast(passed) if few else passed, ["path", "folder"], "left_anti")
+    return kept.select("doc_id", "ticker", "form", "date", "path", clean(decoded(F.col("content"))).alias("text"))
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions.text import clean
-from quarry.sources.corpus import parse_name
+from quarry.sources.corpus import decoded, parse_name
 
 
 def document_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """New files of a folder as cleaned documents."""
     raw = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.{txt,htm,html}").option("maxFilesPerTrigger", files_per_batch).load(folder)
     named = parse_name(raw.withColumn("name", F.element_at(F.split("path", "/"), -1)))
-    return named.select("doc_id", "ticker", "form", "date", "modificationTime", clean(F.decode("content", "UTF-8")).alias("text"))
+    return named.select("doc_id", "ticker", "form", "date", "modificationTime", clean(decoded(F.col("content"))).alias("text"))
 
 
 def append_new(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
