@@ -31,6 +31,8 @@ from quarry.llm.common import cut, drop_cut, table, trim
 
 LEAST_DOCS, TOP = 10, 10
 SIDE, CHUNK, STRIP = 8, 1024, 16
+#: At most so many languages' sizes are sent to all tasks.
+LANGS = 100_000
 #: Counts that a scanning task holds before it passes them on.
 HELD = 1 << 18
 _COUNTS = "lang string, source string, term string, n long, df long"
@@ -199,7 +201,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     known = found.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).where(F.col("df") >= LEAST_DOCS)
     known = cut(known.select("lang", "term", "lang_n"), "vocabulary")
     langs = known.groupBy("lang").agg(F.count("*").alias("vocabulary"), F.sum("lang_n").alias("lang_total"))
-    langs = langs.withColumn("chunks", F.ceil(F.col("vocabulary") / CHUNK).cast("int"))
+    langs = cut(langs.withColumn("chunks", F.ceil(F.col("vocabulary") / CHUNK).cast("int")), "langs")
+    langs = F.broadcast(langs) if langs.count() <= LANGS else langs  # else rows would meet by language, and stay so for the window below
     placed = known.join(langs.select("lang", "chunks"), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
     kept = cut(found.where("term <> ''").select("lang", "source", "term", "n").join(placed.drop("chunks"), ["lang", "term"]), "kept")
