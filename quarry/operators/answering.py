@@ -7,6 +7,7 @@ model once a worker fits in; without any, results are deterministic.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,11 +17,13 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 from quarry.operators import retrieval as R
+from quarry.operators.inverted import InvertedIndex, TfidfIndex
+from quarry.operators.storage import shared_dir
 
 POOL, TOP, PAST, PAST_CHARS = 25, 5, 2, 400
 # fixed values: what is said without passages or without a model
 NOTHING = "No relevant passages found in the corpus."
-EXTRACTIVE = "(Extractive mode — set OPENAI_API_KEY or GEMINI_API_KEY for generated answers.)\n"
+EXTRACTIVE = "(Extractive mode — no model was given to write an answer.)\n"
 
 Embed = Callable[[Column], Column]
 Score = Callable[[Column, Column], Column]
@@ -29,9 +32,11 @@ Generate = Callable[[Column, Column], Column]
 
 @dataclass
 class Index:
-    """Passages (key, text, ...) that are searched by words and, fused with that, by vectors or TF-IDF."""
+    """Passages (key, text, ...) that are searched by words and, fused with that, by vectors or TF-IDF. The words of both are stored, and read anew by no search."""
 
     chunks: DataFrame
+    lexical: InvertedIndex
+    tfidf: TfidfIndex | None = None
     embed: Embed | None = None
     key: str = "doc_id"
 
@@ -39,12 +44,19 @@ class Index:
     def name(self) -> str:
         return "vectors" if self.embed else "tfidf"
 
+    def append(self, chunks: DataFrame) -> None:
+        """Arrivals become segments; many small ones are merged."""
+        for index in filter(None, (self.lexical, self.tfidf)):
+            index.append(chunks)
+            index.merge()
+        self.chunks = self.chunks.unionByName(chunks)
+
     def search(self, questions: DataFrame, k: int, keep: Column | None = None, query: str = "item_id") -> DataFrame:
-        """(query, key, score, rank) of the k best by reciprocal rank fusion; each list has the 2 k best, 10 at least."""
+        """(query, key, score, rank) of the k best by reciprocal rank fusion; each list has the 2 k best, 10 at least. `keep` is over the columns kept in the index."""
         pool = max(2 * k, 10)
-        lexical = R.bm25(self.chunks, questions, pool, keep, self.key, query)
+        lexical = self.lexical.bm25(questions, pool, keep, query)
         if self.embed is None:
-            other = R.tfidf(self.chunks, questions, pool, self.key, query, keep=keep)
+            other = self.tfidf.cosine(questions, pool, keep, query)
         else:
             kept = self.chunks if keep is None else self.chunks.where(keep)
             vectors = kept.select(F.col(self.key).alias("vec_id"), self.embed(F.col("text")).alias("embedding"))
@@ -54,9 +66,16 @@ class Index:
         return R.rrf(lexical, other, k, self.key, query)
 
 
-def build_index(chunks: DataFrame, embed: Embed | None = None, key: str = "doc_id") -> tuple[Index, str]:
-    """The index and the name of its second ranker: vectors where there is an embedder, else TF-IDF."""
-    index = Index(chunks, embed, key)
+def build_index(chunks: DataFrame, embed: Embed | None = None, key: str = "doc_id", root: str | None = None, keep: tuple[str, ...] = ()) -> tuple[Index, str]:
+    """The index, stored under `root` (in the shared folder without one), and the name of its second ranker: vectors where there is an embedder, else TF-IDF."""
+    spark = chunks.sparkSession
+    root = root or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    lexical = InvertedIndex(spark, f"{root}/words", key=key, keep=keep)
+    tfidf = None if embed else TfidfIndex(spark, f"{root}/grams", key=key, keep=keep)
+    for index in filter(None, (lexical, tfidf)):
+        if not index.segments():
+            index.append(chunks)
+    index = Index(chunks, lexical, tfidf, embed, key)
     return index, index.name
 
 

@@ -1,9 +1,21 @@
-"""Reading the tables the queries are bound to."""
+"""Reading the tables the queries are bound to, and the index of a table's texts, which outlives one query."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.operators.answering import Index, build_index
+from quarry.operators.storage import fingerprint
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents: built at a session's first use, used again until their files change."""
+    held = spark.__dict__.setdefault("_quarry_indexes", {})
+    print_ = fingerprint(spark, f"{sf_dir}/documents.parquet")
+    if print_ not in held:
+        held[print_] = build_index(table(spark, sf_dir, "documents"), keep=("lang",))[0]
+    return held[print_]

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quarry.functions import text as X
 from quarry.operators import answering as A
 from quarry.operators import retrieval as R
-from quarry.plans.bind import table
+from quarry.plans.bind import indexed, table
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-]+')"
 
@@ -28,26 +28,25 @@ def _ranks(df, key="doc_id", query="item_id"):
 
 
 def _bm25(spark, d):
-    return _ranks(R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), 5))
+    return _ranks(indexed(spark, d).lexical.bm25(table(spark, d, "benchmark"), 5))
 
 
 def _bm25_filtered(spark, d):
-    return _ranks(R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), 5, keep=F.col("lang") == "en"))
+    return _ranks(indexed(spark, d).lexical.bm25(table(spark, d, "benchmark"), 5, keep=F.col("lang") == "en"))
 
 
 def _tfidf(spark, d):
-    return _ranks(R.tfidf(table(spark, d, "documents"), table(spark, d, "benchmark"), 5))
+    return _ranks(indexed(spark, d).tfidf.cosine(table(spark, d, "benchmark"), 5))
 
 
 def _rrf(spark, d):
-    docs, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return _ranks(R.rrf(R.bm25(docs, queries, 10), R.tfidf(docs, queries, 10), 5))
+    return _ranks(indexed(spark, d).search(table(spark, d, "benchmark"), 5))
 
 
 def _hit(spark, d):
     """Whether one of the five best documents holds the passage: only those documents' texts are read back, by id."""
     docs, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = R.bm25(docs, queries, 5).select("item_id", "doc_id").join(queries, "item_id")
+    top = indexed(spark, d).lexical.bm25(queries, 5).select("item_id", "doc_id").join(queries, "item_id")
     top = F.broadcast(top) if 5 * queries.count() <= R.SENT else top
     hits = docs.select("doc_id", F.col("text").alias("doc")).join(top, "doc_id").groupBy("item_id").agg(F.max(F.contains(F.col("doc"), F.col("text"))).alias("hit"))
     return queries.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("hit"))
@@ -55,23 +54,23 @@ def _hit(spark, d):
 
 def _answer(spark, d):
     """Extractive answers to the benchmark's passages as questions."""
-    index, name = A.build_index(table(spark, d, "documents"))
+    index = indexed(spark, d)
     got = A.answer(index, table(spark, d, "benchmark"))
     sources = F.array_join(F.transform("sources", lambda s: s["key"].cast("string")), ",")
-    return got.select("item_id", F.md5("answer").alias("answer_md5"), sources.alias("sources"), "backend", F.lit(name).alias("index_name"))
+    return got.select("item_id", F.md5("answer").alias("answer_md5"), sources.alias("sources"), "backend", F.lit(index.name).alias("index_name"))
 
 
 def _rerank(spark, d):
     """A scorer's logits (here of the passage's length) as probabilities; ties keep the order."""
     docs, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
-    hits = R.bm25(docs, queries, 10).join(docs.select("doc_id", "text"), "doc_id").join(queries.select("item_id", F.col("text").alias("question")), "item_id")
+    hits = indexed(spark, d).lexical.bm25(queries, 10).join(docs.select("doc_id", "text"), "doc_id").join(queries.select("item_id", F.col("text").alias("question")), "item_id")
     best = A.rerank(hits, lambda question, text: (F.length(text) % 7 - 3).cast("double"))
     return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _lookup(spark, d):
     docs = table(spark, d, "documents")
-    hits = R.bm25(docs, table(spark, d, "benchmark"), 5).select("item_id", "doc_id", "rank")
+    hits = indexed(spark, d).lexical.bm25(table(spark, d, "benchmark"), 5).select("item_id", "doc_id", "rank")
     return A.lookup(hits, docs.select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"))).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "lang", "source", "n_chars")
 
 
@@ -104,7 +103,7 @@ def _jaccard(spark, d):
 def _dedupe(spark, d):
     """Greedy near-duplicate removal in the ranked pool of each passage."""
     docs = table(spark, d, "documents")
-    pool = R.bm25(docs, table(spark, d, "benchmark"), 25)
+    pool = indexed(spark, d).lexical.bm25(table(spark, d, "benchmark"), 25)
     pool = pool.join(docs.select("doc_id", X.token_set(F.col("text")).alias("words")), "doc_id")
     hits = pool.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("key"), "words"))).alias("hits"))
     ordered = F.transform("hits", lambda h: F.struct(h["key"].alias("key"), h["words"].alias("words")))
