@@ -1,7 +1,7 @@
 """A stored inverted index: term-partitioned posting blocks with block maxima, segments that are merged, and top-k that skips blocks.
 
 Arrivals become a segment. One scan turns texts into a forward table (document, measures, terms with counts); postings come from that table alone. Documents are numbered
-within shards of SHARD; a term's documents in a shard are one row: places as 16-bit numbers, counts in as few bytes as they need, and
+within shards of SHARD; a term's documents in a shard are one row: places as 16-bit numbers, counts, and
 for each cell of CELL places that has any the end of its block and its greatest count. Rows lie in folders by a hash of the term, sorted by term, so a question reads the
 folders and row groups of its own terms. A manifest names the live segments with their numbers of documents and terms; it is committed
 atomically, so readers see whole versions, and `merge` makes one segment of many small ones from their forward tables, without the texts.
@@ -14,7 +14,6 @@ Results are those of scoring all documents. Keys must be unique over all segment
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,42 +25,61 @@ from pyspark.sql.window import Window
 
 from quarry.functions.text import tokens
 from quarry.operators.retrieval import B, FEATURES, K1, SENT, uni_bigrams
-from quarry.operators.storage import Manifest
+from quarry.operators.storage import Manifest, ship
 
-SHARD, CELL, BUCKETS = 1 << 16, 128, 64
+SHARD, CELL, BUCKETS = 1 << 16, 128, 16
 #: Segments with fewer documents than this are merged; a merge starts with MERGE of them.
 SMALL, MERGE = 1 << 20, 8
 #: At most so many questions' terms are looked up by a filter that the scan can use.
 FILTERED = 2_000
+#: About so many questions share a task's rows of a shard.
+TOGETHER = 32
 _POSTINGS = "term string, shard long, n int, docs binary, tfs binary, cells binary, ends binary, peaks binary"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column's lists of words become terms and counts."""
+    """The last column's lists of words become terms, in no order, and counts."""
     for batch in batches:
-        counts = [Counter(words or ()) for words in batch.column(batch.num_columns - 1).to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
-        terms = pa.ListArray.from_arrays(pa.array(ends), pa.array([t for c in counts for t in c], pa.string()))
-        tfs = pa.ListArray.from_arrays(pa.array(ends), pa.array([n for c in counts for n in c.values()], pa.int32()))
-        size = pa.array([c.total() for c in counts], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, terms, tfs], names=[*batch.schema.names[:-1], "size", "terms", "tfs"])
+        lists = batch.column(batch.num_columns - 1)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        kinds = max(1, len(coded.dictionary))
+        row = np.repeat(np.arange(len(lists)), np.diff(at))
+        keys, n = np.unique(row * kinds + coded.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(keys, np.arange(len(lists) + 1) * kinds).astype(np.int32))
+        terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(keys % kinds)))
+        tfs = pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at)), terms, tfs], names=[*batch.schema.names[:-1], "size", "terms", "tfs"])
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Slices of an array as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, shard, list of (place, count) in the order of places) -> a row of packed blocks."""
     for batch in batches:
         lists = batch.column("list")
-        at = lists.offsets.to_numpy()
-        place, tf = (lists.values.field(k).to_numpy() for k in ("place", "tf"))
-        packed = []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            p, t = place[a:b], tf[a:b]
-            first = np.flatnonzero(np.diff(p // CELL, prepend=-1))
-            kind = np.uint8 if t.max() < 256 else np.uint32
-            packed.append((p.astype(np.uint16).tobytes(), t.astype(kind).tobytes(), (p[first] // CELL).astype(np.uint16).tobytes(), np.append(first[1:], len(p)).astype(np.uint32).tobytes(), np.maximum.reduceat(t, first).astype(np.uint32).tobytes()))
-        cols = list(zip(*packed, strict=True)) or [()] * 5
-        n = pa.array(np.diff(at).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("shard"), n, *(pa.array(c, pa.binary()) for c in cols)], names=[x.split()[0] for x in _POSTINGS.split(", ")])
+        at = lists.offsets.to_numpy().astype(np.int64)
+        place, tf = (lists.values.field(k).to_numpy()[at[0] : at[-1]] for k in ("place", "tf"))
+        at -= at[0]
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        opens = np.ones(len(place), bool)
+        opens[1:] = (np.diff(place // CELL) != 0) | (np.diff(row) != 0)
+        first = np.flatnonzero(opens)
+        blocks = np.searchsorted(first, at)
+        ends = np.append(first[1:], len(place)) - at[row[first]] if len(first) else first
+        peaks = np.maximum.reduceat(tf, first) if len(first) else tf
+        packed = [_binary(place.astype(np.uint16), at), _binary(tf.astype(np.uint32), at), _binary((place[first] // CELL).astype(np.uint16), blocks), _binary(ends.astype(np.uint32), blocks), _binary(peaks.astype(np.uint32), blocks)]
+        yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("shard"), pa.array(n.astype(np.int32)), *packed], names=[x.split()[0] for x in _POSTINGS.split(", ")])
+
+
+def _listed(forward: DataFrame) -> DataFrame:
+    """(shard, place, term, tf) of forward rows."""
+    rows = forward.select("shard", "place", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    return rows.select("shard", "place", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
 
 
 @dataclass
@@ -70,7 +88,8 @@ class Ranking:
 
     value: Callable[[np.ndarray, np.ndarray], np.ndarray]
     norms: DataFrame  # (shard, place, key, norm, keep)
-    terms: DataFrame  # (query, term, weight)
+    weights: DataFrame  # (query, term, weight)
+    terms: list[str] | DataFrame  # as `postings` takes them
 
 
 class InvertedIndex:
@@ -79,6 +98,7 @@ class InvertedIndex:
     def __init__(self, spark: SparkSession, root: str, words: Callable[[Column], Column] = tokens, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()):
         self.spark, self.root, self.words, self.key, self.text, self.kept = spark, root.rstrip("/"), words, key, text, keep
         self.manifest = Manifest(spark, root)
+        ship(spark)
 
     # --- segments ---
 
@@ -93,17 +113,23 @@ class InvertedIndex:
         rows = self.spark.read.schema(self.manifest.read()["schema"] if table == "forward" else f"{_POSTINGS}, bucket int")
         return rows.option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/segment={s}" for s in segments])
 
+    def _rows(self) -> DataFrame:
+        """All postings."""
+        return self._read("postings", self.segments())
+
     def _number(self, name: str) -> int:
         return int(name[2:], 16) % (1 << 21)
 
-    def _postings(self, name: str) -> None:
-        """Postings of a segment from its forward table: lists are bounded by the shard's size."""
-        forward = self.spark.read.parquet(f"{self.root}/forward/segment={name}")
-        rows = forward.select("shard", "place", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(F.col("x.terms").alias("term"), "shard", "place", F.col("x.tfs").alias("tf"))
+    def _write(self, rows: DataFrame, path: str) -> None:
+        """Postings of (term, shard, place, tf): lists are bounded by the shard's size."""
         lists = rows.groupBy("term", "shard").agg(F.array_sort(F.collect_list(F.struct("place", "tf"))).alias("list"))
         packed = lists.mapInArrow(_pack, _POSTINGS).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
         sorted_ = packed.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard")
-        sorted_.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{self.root}/postings/segment={name}")
+        sorted_.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(path)
+
+    def _postings(self, name: str) -> None:
+        """Postings of a segment from its forward table."""
+        self._write(_listed(self.spark.read.parquet(f"{self.root}/forward/segment={name}")), f"{self.root}/postings/segment={name}")
 
     def _finish(self, name: str, schema: str, replaced: tuple[str, ...] = ()) -> str:
         self._postings(name)
@@ -127,7 +153,7 @@ class InvertedIndex:
         shard = F.shiftleft(F.lit(self._number(name)).cast("long"), 41) + F.shiftleft(F.shiftright(n, 33), 20) + F.floor(within / SHARD)
         rows = docs.select(shard.alias("shard"), (within % SHARD).cast("int").alias("place"), F.col(self.key).alias("key"), *self.kept, self.words(F.col(self.text)).alias("words"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "words") + ", size long, terms array<string>, tfs array<int>"
-        rows.mapInArrow(_count, schema).write.option("compression", "zstd").parquet(f"{self.root}/forward/segment={name}")
+        rows.mapInArrow(_count, schema).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{self.root}/forward/segment={name}")
         return self._finish(name, schema)
 
     def merge(self, least: int = MERGE, small: int = SMALL) -> str | None:
@@ -142,7 +168,7 @@ class InvertedIndex:
         start = sizes.withColumn("start", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", F.coalesce("start", F.lit(0)).alias("start"))  # of small segments: few rows
         n = F.col("start") + F.col("place")
         moved = forward.join(F.broadcast(start), "shard").withColumn("_n", n).withColumn("shard", F.shiftleft(F.lit(self._number(name)).cast("long"), 41) + F.floor(F.col("_n") / SHARD)).withColumn("place", (F.col("_n") % SHARD).cast("int"))
-        moved.select(*forward.columns).write.option("compression", "zstd").parquet(f"{self.root}/forward/segment={name}")
+        moved.select(*forward.columns).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{self.root}/forward/segment={name}")
         return self._finish(name, schema, tuple(old))
 
     def vacuum(self) -> list[str]:
@@ -167,32 +193,42 @@ class InvertedIndex:
 
     def terms(self) -> DataFrame:
         """(term, df) of all terms: a sum over rows, no list is read."""
-        return self._read("postings", self.segments()).groupBy("term").agg(F.sum("n").cast("long").alias("df"))
+        return self._rows().groupBy("term").agg(F.sum("n").cast("long").alias("df"))
 
-    def postings(self, terms: DataFrame) -> DataFrame:
+    def postings(self, terms: list[str] | DataFrame) -> DataFrame:
         """The rows of some terms: folders and row groups of others are not read where the terms are few enough to be listed."""
-        rows = self._read("postings", self.segments())
-        listed = [r[0] for r in terms.select("term").distinct().limit(SENT + 1).collect()]
-        if len(listed) > SENT:
+        rows = self._rows()
+        if isinstance(terms, DataFrame):
             return rows.join(terms.select("term").distinct(), "term", "left_semi")
-        wanted = self.spark.createDataFrame([(t,) for t in listed], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        if len(listed) <= FILTERED:
+        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        if len(terms) <= FILTERED:
             buckets = sorted({r[0] for r in wanted.select("bucket").collect()})
-            rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(listed))
+            rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
         return rows.join(F.broadcast(wanted), ["bucket", "term"], "left_semi")
 
+    def frequencies(self, terms: DataFrame) -> tuple[DataFrame, list[str] | DataFrame]:
+        """(term, df) of some terms that occur, and the terms as `postings` takes them: a list of SENT at most, else a table."""
+        listed = [r[0] for r in terms.select("term").distinct().limit(SENT + 1).collect()]
+        if len(listed) > SENT:
+            return self.postings(terms).groupBy("term").agg(F.sum("n").cast("long").alias("df")), terms
+        df = [tuple(r) for r in self.postings(listed).groupBy("term").agg(F.sum("n").cast("long").alias("df")).collect()]
+        return F.broadcast(self.spark.createDataFrame(df, "term string, df long")), [t for t, _ in df]
+
     # --- ranking ---
 
     def top(self, ranking: Ranking, k: int, query: str = "item_id") -> DataFrame:
         """(query, key, score, rank) of each question's k best with a score above 0; equal scores, at 9 decimals, by key."""
-        asked = ranking.terms.groupBy("term").agg(F.collect_list(F.struct(F.col(query).alias("q"), "weight")).alias("asked"))
-        kind = dict(ranking.terms.dtypes)[query]
-        rows = self.postings(ranking.terms).join(asked, "term")
+        kind = dict(ranking.weights.dtypes)[query]
+        parts = max(1, -(-ranking.weights.select(query).distinct().count() // TOGETHER))
+        part = F.pmod(F.xxhash64(query), F.lit(parts)).alias("part")
+        asked = ranking.weights.groupBy("term", part).agg(F.collect_list(F.struct(F.col(query).alias("q"), "weight")).alias("asked"))
+        empty = lambda *columns: [F.lit(None).cast(t).alias(c) for c, t in columns]
+        packed, measures = [(c, "binary") for c in ("docs", "tfs", "cells", "ends", "peaks")], [("place", "array<int>"), ("norm", "array<double>"), ("keep", "array<boolean>")]
         heads = ranking.norms.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("key", "place", "norm", "keep"))).alias("x"))
-        none = lambda t: F.lit(None).cast(t)
-        heads = heads.select("shard", none("string").alias("term"), *[none("binary").alias(c) for c in ("docs", "tfs", "cells", "ends", "peaks")], F.array().cast(f"array<struct<q:{kind},weight:double>>").alias("asked"), F.col("x.place").alias("place"), F.col("x.norm").alias("norm"), F.col("x.keep").alias("keep"))
-        rows = rows.select("shard", "term", "docs", "tfs", "cells", "ends", "peaks", "asked", *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("place", "int"), ("norm", "double"), ("keep", "boolean"))])
-        dealt = heads.unionByName(rows).repartition("shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+        heads = heads.select("shard", every, *empty(("term", "string"), *packed, ("asked", f"array<struct<q:{kind},weight:double>>")), *[F.col(f"x.{c}").alias(c) for c, _ in measures])
+        rows = self.postings(ranking.terms).join(asked, "term").select("shard", "part", "term", *[c for c, _ in packed], "asked", *empty(*measures))
+        dealt = heads.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("term").asc_nulls_first())
         found = dealt.mapInArrow(_best_of(ranking.value, k), f"q {kind}, shard long, place int, score double")
         keys = ranking.norms.select("shard", "place", "key")
         named = found.join(keys, ["shard", "place"]).select(F.col("q").alias(query), F.col("key").alias(self.key), "score")
@@ -204,12 +240,12 @@ class InvertedIndex:
         n, size = self.totals()
         average = size / n if size else 1.0
         terms = questions.select(query, F.explode(self.words(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("q"))
-        df = self.postings(terms).groupBy("term").agg(F.sum("n").alias("df"))
+        df, listed = self.frequencies(terms)
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         weighed = terms.join(df, "term").select(query, "term", (F.col("q") * idf).alias("weight"))
         flag = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
         norms = self.docs(*self.kept).select("shard", "place", "key", (K1 * (1 - B + B * F.col("size") / average)).alias("norm"), flag.alias("keep"))
-        return self.top(Ranking(bm25_value, norms, weighed), k, query)
+        return self.top(Ranking(bm25_value, norms, weighed, listed), k, query)
 
 
 def bm25_value(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -234,8 +270,7 @@ class _Shard:
 
     def add(self, docs: bytes, tfs: bytes, cells: bytes, ends: bytes, peaks: bytes, asked: list[dict]) -> None:
         ends_ = np.frombuffer(ends, np.uint32).astype(np.int64)
-        n = int(ends_[-1])
-        row = (np.frombuffer(docs, np.uint16), np.frombuffer(tfs, np.uint8 if len(tfs) == n else np.uint32), np.frombuffer(cells, np.uint16), ends_, np.frombuffer(peaks, np.uint32))
+        row = (np.frombuffer(docs, np.uint16), np.frombuffer(tfs, np.uint32), np.frombuffer(cells, np.uint16), ends_, np.frombuffer(peaks, np.uint32))
         for x in asked:
             self.asked.setdefault(x["q"], []).append((x["weight"], len(self.rows)))
         self.rows.append(row)
@@ -279,14 +314,14 @@ def _best_of(value, k: int):
     """Sorted rows of whole shards, the one with the norms first -> the k best of each question in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number = None, None
+        shard, number = None, (None, None)
 
         def close() -> Iterator[pa.RecordBatch]:
             out = [(q, *shard.best(terms, k)) for q, terms in shard.asked.items()] if shard else []
             if out:
                 places = np.concatenate([o[1] for o in out])
                 names = [o[0] for o in out for _ in o[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([number] * len(names), pa.int64()), pa.array(places.astype(np.int32)), pa.array(np.concatenate([o[2] for o in out]))], names=["q", "shard", "place", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([number[0]] * len(names), pa.int64()), pa.array(places.astype(np.int32)), pa.array(np.concatenate([o[2] for o in out]))], names=["q", "shard", "place", "score"])
 
         for batch in batches:
             kind = batch.schema.field("asked").type.value_type.field("q").type
@@ -298,15 +333,14 @@ def _best_of(value, k: int):
                     shard = _Shard(*row[2], value)
                 else:
                     shard.add(*row[2])
-        if number is not None:
-            yield from close()
+        yield from close()
 
     return run
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(shard, term, what that row adds)."""
-    shards, terms = batch.column("shard").to_pylist(), batch.column("term").to_pylist()
+    """((shard, part), term, what that row adds)."""
+    shards, terms = zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), strict=True), batch.column("term").to_pylist()
     packed = [batch.column(c) for c in ("docs", "tfs", "cells", "ends", "peaks")]
     for i, (shard, term) in enumerate(zip(shards, terms, strict=True)):
         if term is None:
@@ -322,34 +356,45 @@ class TfidfIndex(InvertedIndex):
         super().__init__(spark, root, uni_bigrams, key, text, keep)
         self.features = features
 
-    def weighed(self) -> tuple[DataFrame, DataFrame]:
-        """(term, idf) of the features and (shard, place, norm) of documents with any, computed once a version."""
+    def _postings(self, name: str) -> None:
+        """None by segment: what a term weighs, and which terms count, hangs on all documents."""
+
+    def _derived(self) -> str:
+        """The folder of this version's features, norms and postings: written once, from the forward tables."""
         version = self.manifest.version()
         at = f"{self.root}/derived/v{version}-{self.features}"
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/norms/_SUCCESS")
-        if not self.manifest.fs().exists(path):
+        if not self.manifest.fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/postings/_SUCCESS")):
             n, _ = self.totals()
-            forward = self._read("forward", self.segments()).select("shard", "place", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("shard", "place", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+            forward = _listed(self._read("forward", self.segments()))
             counts = forward.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
             idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
             counts.orderBy(F.desc("times"), "term").limit(self.features).select("term", idf.alias("idf")).write.mode("overwrite").parquet(f"{at}/features")
             known = self.spark.read.parquet(f"{at}/features")
-            known = F.broadcast(known) if self.features <= SENT else known
+            known = forward.join(F.broadcast(known) if self.features <= SENT else known, "term")
             w = (1 + F.log("tf")) * F.col("idf")
-            norms = forward.join(known, "term").groupBy("shard", "place").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-            norms.write.mode("overwrite").parquet(f"{at}/norms")
-        return self.spark.read.parquet(f"{at}/features"), self.spark.read.parquet(f"{at}/norms")
+            known.groupBy("shard", "place").agg(F.sqrt(F.sum(w * w)).alias("norm")).write.mode("overwrite").parquet(f"{at}/norms")
+            self._write(known.drop("idf"), f"{at}/postings")
+        return at
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{self._derived()}/postings")
+
+    def weighed(self) -> tuple[DataFrame, DataFrame]:
+        """(term, idf) of the features and (shard, place, norm) of documents with any."""
+        at = self._derived()
+        return self.spark.read.schema("term string, idf double").parquet(f"{at}/features"), self.spark.read.schema("shard long, place int, norm double").parquet(f"{at}/norms")
 
     def cosine(self, questions: DataFrame, k: int, keep: Column | None = None, query: str = "item_id", text: str = "text") -> DataFrame:
         """(query, key, score, rank): questions with fewer than k documents above 0 are filled up with score 0, by key."""
         features, norms = self.weighed()
         w = (1 + F.log("tf")) * F.col("idf")
         asked = questions.select(query, F.explode(self.words(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("tf")).join(features, "term").withColumn("w", w)
+        listed = [r[0] for r in asked.select("term").distinct().limit(SENT + 1).collect()]
         lengths = asked.groupBy(query).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
         weighed = asked.join(lengths, query).select(query, "term", (F.col("w") * F.col("idf") / F.col("length")).alias("weight"))
         flag = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
         docs = self.docs(*self.kept).withColumn("keep", flag)
-        best = self.top(Ranking(cosine_value, docs.join(norms, ["shard", "place"]).select("shard", "place", "key", "norm", "keep"), weighed), k, query)
+        best = self.top(Ranking(cosine_value, docs.join(norms, ["shard", "place"]).select("shard", "place", "key", "norm", "keep"), weighed, listed if len(listed) <= SENT else asked), k, query)
         return filled(best, questions, docs.where("keep").select(F.col("key").alias(self.key)), k, self.key, query)
 
 

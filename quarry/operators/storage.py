@@ -1,4 +1,4 @@
-"""Folders that driver and executors share, and versioned manifests with atomic commits."""
+"""What all of a job's processes share: the package, a folder; and versioned manifests with atomic commits."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import json
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -22,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever they run; once a session."""
+    if getattr(spark.sparkContext, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry-package.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(to))
+    spark.sparkContext._quarry_shipped = True
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A path with its files' names, sizes and times: another text as soon as something is written there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
