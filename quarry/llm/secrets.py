@@ -1,7 +1,8 @@
 """Secret scans: exact base patterns and assignment-aware lexing.
 
-The lexer walks over every `=`, `:`, `:=` or `=>` of a text, reads the name before it (bare, quoted, dotted, with a
-type, or a header or key) and the value after it (quoted, also joined with +, or bare up to a blank), and so
+The lexer walks over every `=`, `:`, `:=` or `=>` of a text, reads the names before it (bare, quoted, dotted, with a
+type before or behind, several, or a header or key) and the values after it: quoted, also with a prefix, in triple quotes, in parentheses, on the next line, or joined by +, . or standing side by side;
+bare, up to a blank in a line of settings and up to a closing mark elsewhere; a block of deeper lines; the strings that a call gets, also a default beside a name; what follows `or`, `||`, `??`. So it
 turns source and configuration into name-literal pairs. A value that is itself a name stands for what that name holds
 there: the value of its last assignment before, or, as in configuration read as a whole, of its first one after where none
 is before. So constants are propagated through chains of any length, and a later assignment doesn't touch earlier uses;
@@ -48,9 +49,24 @@ SCORE = 6
 _OPERATOR = re.compile(r":=|=>|[:=](?![:=])")
 _NAME_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
 _FIRST = re.compile(r"[A-Za-z_$]")
-_QUOTED = r""""((?:[^"\n\\]|\\[^\n])++)"|'((?:[^'\n\\]|\\[^\n])++|[^'\n]++)'"""
-_VALUE = re.compile(rf"""[ \t]*+(?:{_QUOTED}|`((?:[^`\n\\]|\\[^\n])++|[^`\n]++)`|([A-Za-z0-9+/_.$~=-]++))""")
-_MORE = re.compile(rf"[ \t]*+\+[ \t]*+(?:{_QUOTED})")
+_PREFIX = r"(?:[bBrRuUfF]{1,2}|[lL@$])?+"
+_STRING = re.compile(
+    _PREFIX
+    + r"""(?:\"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\n\\]|\\[^\n])++)"|'((?:[^'\n\\]|\\[^\n])++|[^'\n]++)'|`((?:[^`\n\\]|\\[^\n])++|[^`\n]++)`)""",
+    re.S,
+)
+_BLANKS, _LINES = re.compile(r"[ \t]*+"), re.compile(r"\s*+")
+_NEXT_LINE = re.compile(r"[ \t]*+\\?\r?\n[ \t]*+(?=[\"'`])")
+_JOIN, _JOIN_LINES = re.compile(r"[ \t]*+(?:[+.][ \t]*+)?+(?=[bBrRuUfF]{0,2}[\"'])"), re.compile(r"\s*+(?:[+.]\s*+)?+(?=[bBrRuUfF]{0,2}[\"'])")
+#: A bare value: in a line of settings all up to a blank, elsewhere up to what closes or parts values.
+_LINE_VALUE, _BARE = re.compile(r"[^\s\"'`({\[][^\s]*+"), re.compile(r"[^\s\"'`,;(){}\[\]<>|]++")
+_CALL = re.compile(r"[A-Za-z_$][\w.$]*+[(\[]", re.A)
+_ARGUMENTS = re.compile(r"\(\s*+(?=[\"'])")
+_ELSE = re.compile(r"[ \t]*+[)\]]?+[ \t]*+(?:or\b|\|\||\?\?|\?:)[ \t]*+")
+_BLOCK = re.compile(r"[ \t]*+[|>][+-]?[0-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?\n")
+_OPENS = re.compile(r":[ \t]*[|>][+-]?[0-9]?\Z")
+_INDENT = re.compile(r"[ \t]*+(?=[^\s])")
+_TYPES = frozenset(("string", "byte", "rune"))
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*+\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -100,44 +116,184 @@ def _name_before(text: str, at: int) -> tuple[int, str]:
     return (first.start(), text[first.start() : at]) if first else (at, "")
 
 
-def pairs_of(text: str) -> Iterator[tuple[str, str, str | None, int, int]]:
-    """(name, type, value, start, end) of every assignment; a bare value is None and stands from start to end.
-
-    A run of bare characters may hold many assignments, whose values all end where it does: its end is sought once.
+def _string(text: str, at: int, lines: bool = False) -> tuple[str, int, int, int] | None:
+    """(value, start, end, place behind) of a quoted value with what is joined to it; parts may stand on lines of their own within parentheses."""
+    m = _STRING.match(text, at)
+    if not m:
+        return None
+    start, end = m.span(m.lastindex)
+    body = [m[m.lastindex]]
+    while (more := (_JOIN_LINES if lines else _JOIN).match(text, m.end())) and (part := _STRING.match(text, more.end())):
+        m = part
+        body.append(m[m.lastindex])
+        end = m.end(m.lastindex)
+    return "".join("".join(body).splitlines()), start, end, m.end()
+
+
+def _indent(text: str, at: int) -> int:
+    """Blanks before a line, -1 for an empty one."""
+    m = _INDENT.match(text, at)
+    return m.end() - at if m else -1
+
+
+def _nested(text: str, at: int, depth: int) -> tuple[int, int] | None:
+    """(start, end) of the lines from a place that are deeper than a line of `depth` blanks; empty lines belong to them, but for the last ones."""
+    start = end = None
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop].strip()
+        deep = _indent(text, at) if line else None
+        if deep is not None:
+            if deep <= depth or (":" in line and _OPENS.search(line)):  # a block in the block: its lines are its own
+                break
+            start, end = at + deep if start is None else start, stop
+        at = stop + 1
+    return None if start is None else (start, end)
+
+
+def _in_line(text: str, at: int) -> int | None:
+    """Blanks before a name that opens its line (behind `export` or a dash), else none."""
+    begin = at
+    while begin and text[begin - 1] in " \t-":
+        begin -= 1
+    if text.endswith("export", 0, begin):
+        begin -= 6
+        while begin and text[begin - 1] in " \t":
+            begin -= 1
+    return at - begin if not begin or text[begin - 1] == "\n" else None
+
+
+def _targets(text: str, at: int, name: str, op: str) -> tuple[list[str], str, int]:
+    """(names that are assigned to, a type, start) for the name before an operator."""
+    kind, names = "", [name]
+    back = at
+    while back and text[back - 1] in " \t":
+        back -= 1
+    if op == "=" and name.replace("_", "").isalpha() and text[back - 1 : back] == ":":  # name: type = value
+        before, first = _name_before(text, back - 1)
+        if first:
+            return [first], name, before
+    if op == "=" and name in _TYPES:  # name type = value
+        before, first = _name_before(text, back - 2 if text.endswith("[]", 0, back) else back)
+        if first:
+            return [first], name, before
+    while op != ":" and text[back - 1 : back] == ",":  # one, other = ...
+        before, first = _name_before(text, back - 1)
+        if not first:
+            break
+        names.append(first)
+        at = back = before
+        while back and text[back - 1] in " \t":
+            back -= 1
+    return names[::-1], kind, at
+
+
+Pair = tuple[str, str, str | None, int, int]
+
+
+def pairs_of(text: str) -> list[Pair]:
+    """(name, type, value, start, end) of every assignment, in the order of the text; a bare value is None and stands from start to end.
+
+    A run of bare characters may hold many assignments, whose values all end where it does: its end is sought once. Likewise nested lines are
+    looked at only by the name that opens them.
     """
+    out: list[Pair] = []
     stop = 0  # end of the last bare run
     for op in _OPERATOR.finditer(text):
         at, name = _name_before(text, op.start())
         if not name:
             continue
-        kind = ""
-        if op[0] == "=" and name.replace("_", "").isalpha():  # name: type = value
-            while at and text[at - 1] in " \t":
-                at -= 1
-            if text[at - 1 : at] == ":":
-                before = _name_before(text, at - 1)[1]
-                if before:
-                    name, kind = before, name
-        if op.end() < stop:
-            yield name, kind, None, op.end(), stop
+        names, kind, at = _targets(text, at, name, op[0])
+        here = _BLANKS.match(text, op.end()).end()
+        if op.end() < stop and text[here : here + 1] not in "\"'`":
+            out.append((names[-1], kind, None, op.end(), stop))
             continue
-        value = _VALUE.match(text, op.end())
-        if not value:
+        depth = _in_line(text, at)
+        if op[0] == ":" and depth is not None and text[at - 1 : at] not in ('"', "'") and (found := _below(text, op.end(), depth)):
+            out.append((names[-1], kind, *found))
             continue
-        k = value.lastindex
-        start, end = value.span(k)
-        if k == 4:
-            stop = end
-            yield name, kind, None, start, end
+        for k in range(len(names)):
+            value, behind = _value(text, here, depth is not None and len(names) == 1)
+            for v in value:
+                out.append((names[k], kind, *v))
+                if v[0] is None:
+                    stop = max(stop, v[2])
+            comma = _BLANKS.match(text, behind).end()
+            if text[comma : comma + 1] != ",":
+                break
+            here = _BLANKS.match(text, comma + 1).end()
+    for call in _ARGUMENTS.finditer(text):  # a name and its default as arguments
+        first = _string(text, call.end())
+        if first and _IDENTIFIER.match(first[0]):
+            comma = _LINES.match(text, first[3]).end()
+            if text[comma : comma + 1] == "," and (other := _string(text, _LINES.match(text, comma + 1).end())):
+                out.append((first[0], "", *other[:3]))
+    out.sort(key=lambda pair: pair[3])
+    return out
+
+
+def _below(text: str, at: int, depth: int) -> tuple[str, int, int] | None:
+    """A value in the lines below its name: a block scalar, or a value that begins on the next line."""
+    block = _BLOCK.match(text, at)
+    line = _BLANKS.match(text, at).end()
+    if not block and text[line : line + 1] != "\n":
+        return None
+    if block:
+        found = _nested(text, block.end(), depth)
+        return ("".join(x.strip() for x in text[found[0] : found[1]].splitlines()), *found) if found else None
+    if _indent(text, line + 1) <= depth:
+        return None
+    begin = line + 1 + _indent(text, line + 1)
+    if quoted := _string(text, begin):
+        return quoted[:3]
+    end = text.find("\n", begin)
+    value = text[begin : len(text) if end < 0 else end].rstrip()
+    return (value, begin, begin + len(value)) if value and not re.search(r"[\s:=({\[]", value) else None
+
+
+def _value(text: str, at: int, whole: bool) -> tuple[list[tuple[str | None, int, int]], int]:
+    """The literals that a value may be, and the place behind: quoted (in parentheses, too), bare, a call's arguments, what stands in for a missing one."""
+    if next_line := _NEXT_LINE.match(text, at):
+        at = next_line.end()
+    found: list[tuple[str | None, int, int]] = []
+    paren = _LINES.match(text, at + 1).end() if text[at : at + 1] == "(" else None
+    if quoted := _string(text, at if paren is None else paren, paren is not None):
+        found.append(quoted[:3])
+        behind = quoted[3]
+    else:
+        call = _CALL.match(text, at)
+        bare = (_LINE_VALUE if whole and not call else _BARE).match(text, at)
+        if not bare:
+            return [], at
+        behind = bare.end()
+        while whole and behind > at + 1 and text[behind - 1] in ",;":
+            behind -= 1
+        found.append((None, at, behind))
+        if call and text[behind : behind + 1] in ("(", "["):
+            behind = _LINES.match(text, behind + 1).end()
+            while argument := _string(text, behind):
+                behind = argument[3]
+                if not _IDENTIFIER.match(argument[0]) or any(c.isdigit() for c in argument[0]):
+                    found.append(argument[:3])
+                comma = _LINES.match(text, behind).end()
+                if text[comma : comma + 1] != ",":
+                    break
+                behind = _LINES.match(text, comma + 1).end()
+    while other := _ELSE.match(text, behind):
+        quoted = _string(text, other.end())
+        if not quoted:
+            name = _BARE.match(text, other.end())
+            if not name:
+                break
+            behind = name.end()
             continue
-        body = [value[k]]
-        while more := _MORE.match(text, end + 1):
-            body.append(more[more.lastindex])
-            end = more.end(more.lastindex)
-        yield name, kind, "".join(body), start, end
+        found.append(quoted[:3])
+        behind = quoted[3]
+    return found, behind
 
 
-def sensitivity(text: str, found: list[tuple[str, str, str | None, int, int]]) -> list[int | None]:
+def sensitivity(text: str, found: list[Pair]) -> list[int | None]:
     """For each assignment of a literal the highest score of all names it reaches; null for those of names."""
     first: dict[str, int] = {}
     for i, (name, *_) in enumerate(found):
@@ -175,9 +331,9 @@ def sensitivity(text: str, found: list[tuple[str, str, str | None, int, int]]) -
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that look like secrets."""
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:("):
         return []
-    found = list(pairs_of(text))
+    found = pairs_of(text)
     out = []
     chars, low, high = Counter(), 0, 0  # of a bare run, from the last value looked at
     for (_, _, value, start, end), best in zip(reversed(found), reversed(sensitivity(text, found)), strict=True):

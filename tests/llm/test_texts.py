@@ -497,3 +497,41 @@ def test_sketches_allow_every_pair_that_links():
         assert allowed or 100 * both < 75 * (len(a) + len(b) - both)
         refused += not allowed
     assert refused > 800 and jaccard_join.may_link(jaccard_join._sketch(np.zeros(300, np.uint64)), b"", 75)
+
+
+PASS = "Qx7kP2mZr9tLw4BnYc8d"
+FORMS = [
+    f'db_pwd = b"{PASS}"', f"db_pwd = r'{PASS}'", f'db_pwd = f"{PASS}"', f'db_pwd = """{PASS}"""', f'db_pwd = """\n{PASS}\n"""', f"db_pwd = '''{PASS}'''", f'db_pwd = ("{PASS}")',
+    f'db_pwd = ("{PASS[:9]}"\n    "{PASS[9:]}")', f'db_pwd = "{PASS[:9]}" "{PASS[9:]}"', f"$db_pwd = '{PASS[:9]}' . '{PASS[9:]}';", f'db_pwd: |\n  {PASS}\nother: 1', f"db_pwd: >-\n  {PASS[:9]}\n\n  {PASS[9:]}\n",
+    f"db_pwd:\n  {PASS}\nx: 1", f'"db_pwd":\n  "{PASS}"', f'db_pwd = \\\n  "{PASS}"', f'const dbPwd string = "{PASS}"', f'var dbPwd []byte = "{PASS}"', f'user, db_pwd = "bob", "{PASS}"', f'db_pwd = os.getenv("X", "{PASS}")',
+    f'connect(os.getenv("DB_PWD", "{PASS}"))', f'db_pwd = env.get("DB_PWD") or "{PASS}"', f'db_pwd = process.env.X || "{PASS}"', f"db_pwd = x ?? '{PASS}'", f"DB_PWD=p@ss!{PASS}", f"export DB_PWD={PASS}#(1", f"  - db_pwd: {PASS}",
+    f'{{"a":true,"db_pwd":"{PASS}"}}', f"<a db_pwd={PASS}>", f"private_key: |\n  -----BEGIN KEY-----\n  {PASS}{PASS}\n  {PASS}==\nb: 2",
+]
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_literals_are_found_in_every_form(text):
+    found = [text[a:b] for a, b in secrets.lexed(text)]
+    bare = re.sub(r"[\s'\".]+", "", "".join(found)).replace("-----BEGINKEY-----", "")
+    assert len(found) == 1 and bare.replace(PASS, "") in ("", "p@ss!", "#(1", "==") and PASS in bare
+    assert not secrets.lexed(text.replace("db_pwd", "length").replace("DB_PWD", "LENGTH").replace("dbPwd", "length").replace("private_key", "length"))
+
+
+def test_every_value_has_its_own_name():
+    text = f'length, db_pwd, size = "{PASS}", "other9Kd82mZq1w", "{PASS}"'
+    assert [text[a:b] for a, b in secrets.lexed(text)] == ["other9Kd82mZq1w"]
+    text = f'a: |\n  b: |\n    {PASS}\n  db_pwd: |\n    {PASS}\n  c: 1'
+    assert secrets.lexed(text) == [(text.rindex(PASS), text.rindex(PASS) + len(PASS))]
+
+
+def test_lexing_takes_linear_time():
+    import time
+
+    for piece in ('a="""', "a=(", "a: |\n ", "a:\n", "a = b, ", "a,", 'f("a",', "a=", "x='", "a = f(\n", 'a = "x" ', "a = x or ", "a: \n b: \n", 'x("a", "b", ', "a.b = c + ", "- ", "export "):
+        spent = []
+        for n in (20_000, 80_000):
+            text = piece * n + "=1"
+            began = time.process_time()
+            secrets.lexed(text)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 10 * max(spent[0], 0.05), piece
