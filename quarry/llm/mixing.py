@@ -13,12 +13,13 @@ and ranked.
 Selection: documents are dealt to shards of about SHARD words by a seeded hash, and stand there in seeded
 order; the shard's blocks are consecutive BLOCK words of that order, and its quota takes blocks
 from the start, going round again where it has more than the shard holds, at most CAP times.
-No task sorts more than a shard's documents, however large a source is.
+Equal rows are counted first and dealt to shards in turn, so no task sorts more than about a shard's documents, however large a source and however often a
+document repeats. The plan has a row for each source, which one task orders: meant for up to some millions of sources.
 
 A null text, or one without words, has size 0, is in the result, has no place in a shard and is never taken; a null source is a
 source of its own; an empty table
-gives no rows. Equal rows stand next to each other in the order and are counted one by one. Extra
-columns are ignored or, with `keep`, carried along, whatever their names. A document that is taken in part keeps its text up to the
+gives no rows. Of equal rows each is taken on its own, those of a shard stand next to each other. Extra
+columns are ignored or, by `materialize`, carried along, whatever their names. A document that is taken in part keeps its text up to the
 last word taken, blanks and lines as they are.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WORD, cut, drop_cut, table, words_of
+from quarry.llm.common import WORD, cut, table, words_of
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -79,29 +80,33 @@ def _seats(parties: DataFrame, votes: Column, all_votes: Column, seats: Column,
     return won.groupBy(*same).agg((F.first("sure") + F.count_if("won")).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken and, of the taken words, whole passes and the words of a last part pass."""
+def _keyed(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """source, size and the seeded key of a row."""
     text = F.col(text_col).cast("string")
-    base = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(SEED), F.col(id_col).cast("string"), text)).alias("key"), *([F.struct("*").alias("row")] if keep else []),
-    )
-    rows = base if keep else cut(base, "sizes")
-    light = cut(rows.select("source", "size", "key"), "sizes") if keep else rows
-    sources = light.groupBy("source").agg(F.sum("size").alias("source_size"))
+    key = F.md5(F.concat_ws(":", F.lit(SEED), F.col(id_col).cast("string"), text))
+    return [F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), key.alias("key")]
+
+
+def _taken(groups: DataFrame) -> DataFrame:
+    """Groups of equal rows (source, size, key, copies, ...) -> a row for each copy: its source's size and target, whole passes, and the words of a last part pass.
+
+    The copies of a group are dealt to as many shards in turn as it has copies, so they fill no shard of their own; in a shard they stand together.
+    """
+    own = groups.columns
+    sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     plan = cut(_targets(sources), "targets")
     by_name = [F.col("source").asc_nulls_last()]
     blocks = F.round(F.col("total") / BLOCK)
     plan = cut(_seats(plan, F.col("target"), F.col("total"), blocks, F.floor(F.col("source_size") * CAP / BLOCK), [], by_name), "quotas")
     plan = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD)).cast("long")).withColumnRenamed("quota", "source_quota")
     plan = plan.withColumn("regions", F.ceil(F.col("shards") / REGION))
-
-    def dealt(x: DataFrame) -> DataFrame:
-        to = x.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
-        return to.withColumn("shard", _hash60(F.col("key"), 0) % F.col("shards")).withColumn("region", F.col("shard") % F.col("regions"))
+    to = groups.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.least("copies", "shards") - 1)).alias("turn")
+    share = F.expr("copies div shards") + (F.col("turn") < F.col("copies") % F.col("shards")).cast("long")
+    pieces = to.select("*", piece).withColumn("shard", (_hash60(F.col("key"), 0) + F.col("turn")) % F.col("shards")).withColumn("region", F.col("shard") % F.col("regions")).withColumn("share", share)
 
     named = ["source", "shard", "region", "source_size", "source_quota"]
-    shards = dealt(light).groupBy(*named).agg(F.sum("size").alias("shard_size")).withColumn("room", F.floor(F.col("shard_size") * CAP / BLOCK))
+    shards = pieces.groupBy(*named).agg(F.sum(F.col("size") * F.col("share")).alias("shard_size")).withColumn("room", F.floor(F.col("shard_size") * CAP / BLOCK))
     shards = cut(shards, "shards")
     regions = shards.groupBy("source", "region", "source_size", "source_quota").agg(F.sum("shard_size").alias("region_size"), F.sum("room").alias("region_room"))
     regions = _seats(regions, F.col("region_size"), F.col("source_size"), F.col("source_quota"), F.col("region_room"), ["source"], [F.col("region")])
@@ -110,27 +115,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = _seats(shards, F.col("shard_size"), F.col("region_size"), F.col("region_quota"), F.col("room"), ["source", "region"], [F.col("shard")])
     quotas = cut(quotas.select("source", "shard", "shard_size", "quota"), "quotas")
 
-    in_shard = Window.partitionBy("source", "shard").orderBy(_hash60(F.col("key"), 1), "key").rowsBetween(Window.unboundedPreceding, -1)
-    sized = dealt(rows)
-    placed = sized.where("size > 0").withColumn("start", F.coalesce(F.sum("size").over(in_shard), F.lit(0)))
+    same = [c for c in own if c not in ("source", "size", "key", "copies")]
+    in_shard = Window.partitionBy("source", "shard").orderBy(_hash60(F.col("key"), 1), "key", *same).rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.where("size > 0").withColumn("start", F.coalesce(F.sum(F.col("size") * F.col("share")).over(in_shard), F.lit(0)))
     q = quotas.alias("q")
     placed = placed.join(q, F.col("q.source").eqNullSafe(placed["source"]) & (F.col("q.shard") == placed["shard"])).drop(F.col("q.source"), F.col("q.shard"))
     words = F.col("quota") * BLOCK
     passes = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1))).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     rest = words - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), rest) - F.col("start")).cast("long")
-    out = placed.withColumn("passes", passes).withColumn("part", part).withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
-    shown = ["doc_id", "size", "source_size", "target", "taken", "passes", "part", *(["row"] if keep else [])]
-    none = [F.lit(0).cast("long").alias(c) for c in ("taken", "passes", "part")]
-    return out.select(*shown).unionByName(sized.where("size = 0").select(*shown[:4], *none, *shown[7:]))
+    shown = [*own, "source_size", "target", "passes", "part"]
+    empty = to.where("size = 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), *[F.lit(0).cast("long").alias(c) for c in ("passes", "part")])
+    return each.withColumn("passes", passes).withColumn("part", part).select(*shown).unionByName(empty.select(*shown))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken and, of the taken words, whole passes and the words of a last part pass."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_keyed(id_col, text_col, source_col))
+    groups = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "sizes")
+    return _taken(groups).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), "passes", "part")
 
 
 def materialize(docs: DataFrame) -> DataFrame:
     """The mix itself: a row for each whole pass of a document, and one with its first words for a part pass."""
-    mixed = mix(docs, keep=True)
+    keyed = docs.select(F.struct("*").alias("row"), F.md5(F.to_json(F.struct("*"))).alias("same"), *_keyed("doc_id", "text", "source"))
+    groups = cut(keyed.groupBy("source", "size", "key", "same").agg(F.count("*").alias("copies")), "sizes")
+    taken = _taken(groups).where("passes > 0 or part > 0").select("key", "same", "size", "passes", "part")
+    once = keyed.where("size > 0").groupBy("key", "same").agg(F.first("row").alias("row"))  # equal rows stand for each other
+    mixed = once.join(taken, ["key", "same"])
     whole = F.col("part") == F.col("size")
     copies = F.col("passes") + F.when((F.col("part") > 0), 1).otherwise(0)
-    turn = mixed.where(copies > 0).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    turn = mixed.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut_short = (F.col("turn") > F.col("passes")) & ~whole
     n = F.greatest(F.col("part"), F.lit(1)).cast("int")
     blanks, words = F.slice(F.split("row.text", WORD, -1), 1, n), F.slice(words_of(F.col("row.text")), 1, n)
@@ -162,7 +178,7 @@ tg AS (SELECT source, source_size, total,
 sq AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST, k) AS r, total
         FROM tg, LATERAL (SELECT unnest(generate_series(1, (source_size * {CAP} // {BLOCK})::BIGINT)) AS k)) WHERE r <= round(total / {BLOCK}::DOUBLE)),
 pl AS (SELECT *, ceil(shards / {REGION}::DOUBLE)::BIGINT AS regions FROM (SELECT tg.*, (SELECT count(*) FROM sq WHERE sq.source IS NOT DISTINCT FROM tg.source) AS quota, greatest(1, ceil(source_size / {SHARD}::DOUBLE))::BIGINT AS shards FROM tg)),
-d AS (SELECT *, shard % regions AS region FROM (SELECT base.*, pl.source_size, pl.target, pl.quota AS source_quota, pl.regions, ('0x' || substr(key, 1, 15))::BIGINT % shards AS shard,
+d AS (SELECT *, shard % regions AS region FROM (SELECT base.*, pl.source_size, pl.target, pl.quota AS source_quota, pl.regions, (('0x' || substr(key, 1, 15))::BIGINT + row_number() OVER (PARTITION BY base.source, doc_id, size, key) - 1) % shards AS shard,
         ('0x' || substr(key, 16, 15))::BIGINT AS place FROM base JOIN pl ON base.source IS NOT DISTINCT FROM pl.source)),
 sh AS (SELECT source, region, shard, source_quota, sum(size)::BIGINT AS shard_size FROM d GROUP BY ALL),
 rg AS (SELECT source, region, source_quota, sum(shard_size) AS region_size, sum((shard_size * {CAP}) // {BLOCK})::BIGINT AS room FROM sh GROUP BY ALL),
@@ -172,7 +188,7 @@ hq AS (SELECT source, shard, k FROM (SELECT sh.source, shard, k, region_quota, r
         FROM sh JOIN rq ON sh.source IS NOT DISTINCT FROM rq.source AND sh.region = rq.region, LATERAL (SELECT unnest(generate_series(1, (shard_size * {CAP} // {BLOCK})::BIGINT)) AS k)) WHERE r <= region_quota),
 qc AS (SELECT source, shard, count(*) AS quota FROM hq GROUP BY ALL),
 st AS (SELECT d.*, sh.shard_size, coalesce(qc.quota, 0) * {BLOCK} AS words,
-         coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY place, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+         coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY place, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
        FROM d JOIN sh ON d.source IS NOT DISTINCT FROM sh.source AND d.shard = sh.shard
        LEFT JOIN qc ON d.source IS NOT DISTINCT FROM qc.source AND d.shard = qc.shard),
 en AS (SELECT *, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes FROM st)

@@ -114,6 +114,30 @@ def test_mix_equals_its_sql(spark, docs, tmp_path, monkeypatch, shard, region):
         assert all(abs(taken - target) <= max(2 * mixing.BLOCK, 0.02 * target) for (_, target), taken in by.items())
 
 
+def test_repeated_rows_fill_no_shard_of_their_own(spark, monkeypatch):
+    """15,000 equal rows and few others: the largest shard is little above the mean."""
+    monkeypatch.setattr(mixing, "SHARD", 2_000)
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    rows = [(1, "one two three four five six", "a")] * 15_000 + [(i, f"text {i} of some words", "a") for i in range(2, 3_000)] + [(5, None, "b")] * 40 + [(7, "x y", "b")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sizes = []
+    seats = mixing._seats
+
+    def watched(parties, votes, *rest):
+        if "shard" in parties.columns:
+            sizes.extend((r.source, r.shard_size) for r in parties.select("source", "shard_size").collect())
+        return seats(parties, votes, *rest)
+
+    monkeypatch.setattr(mixing, "_seats", watched)
+    got = mixing.mix(docs).collect()
+    a = [n for s, n in sizes if s == "a"]
+    assert len(a) == 53 and max(a) < 1.4 * sum(a) / len(a) and sum(a) == 15_000 * 6 + 2_998 * 5
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len((t or "").split())) for i, t, _ in rows)
+    assert all(r.taken <= 3 * r.size for r in got)
+    for s in {(r.source_size, r.target) for r in got}:
+        assert abs(sum(r.taken for r in got if (r.source_size, r.target) == s) - s[1]) <= 0.01 * s[1] + 16
+
+
 def test_cut_documents_keep_their_lines(spark):
     text = "\n".join(f" word{i}\t x{i}  y" for i in range(400)) + "\n"
     docs = spark.createDataFrame([(i, text, s) for i, s in enumerate("aab")] + [(9, None, "c"), (9, None, "c")], "doc_id long, text string, source string")
