@@ -258,3 +258,14 @@ def validated_guidance(raw: Column) -> Column:
         return kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(items) <= 5) & F.forall(items, lambda s: (F.length(s) > 0) & (F.length(s) < 200))
 
     return F.when(good("revenue_guidance") & good("capex_guidance"), out)
+
+
+def letter_vector(text: Column) -> Column:
+    """A unit vector from how often each of a-z occurs against the mean: an embedder that needs no model, for tests and the registered queries."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    counts = F.transform(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz")), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    bound = lambda v, by: F.named_struct(F.lit("v"), v, F.lit("by"), by)  # noqa: E731  both are taken once a text
+    centred = F.transform(F.transform(F.array(counts), lambda v: bound(v, total(v) / 26)), lambda s: F.transform(s["v"], lambda x: x - s["by"]))
+    scaled = F.transform(centred, lambda v: bound(v, F.greatest(F.sqrt(total(F.transform(v, lambda x: x * x))), F.lit(1e-6))))
+    return F.transform(scaled, lambda s: F.transform(s["v"], lambda x: x / s["by"])).getItem(0)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as X
+from quarry.operators.retrieval import dot
 
 SUPPORT, PASS = 0.18, 0.8
+#: The same limit for vectors.
+VECTOR_SUPPORT = 0.62
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -18,11 +23,12 @@ def conversations(turns: DataFrame) -> DataFrame:
     return rows.where("role = 'assistant'").select("conv_id", "turn", "answer", F.array_compact(F.array("source")).alias("sources"))
 
 
-def sentence_audit(answers: DataFrame) -> DataFrame:
+def sentence_audit(answers: DataFrame, embed: Callable[[Column], Column] | None = None, key: tuple[str, ...] = ()) -> DataFrame:
     """A row for each sentence that states something, of answers with sources: support, missing numbers, grounded.
 
     Candidates are the valid cited sources, or all. Numbers of a sentence that cites must be in
-    its candidates, else in any source.
+    its candidates, else in any source. Support is the greatest share of common words or, with `embed`, the greatest product of unit vectors: each sentence and each
+    source gets its vector once, and a sentence meets the candidates of its own answer only, by the answers' `key`.
     """
     raw = answers.where(F.size("sources") > 0).select("*", F.posexplode(F.split("answer", r"(?<=[.!?])\s+")).alias("pos", "raw"))
     rows = raw.withColumn("cited", X.cited_numbers(F.col("raw"))).withColumn("sentence", X.strip(F.regexp_replace("raw", X.CITE_GROUP, "")))
@@ -37,19 +43,31 @@ def sentence_audit(answers: DataFrame) -> DataFrame:
     support = F.array_max(F.transform("candidates", lambda s: F.size(F.array_intersect(F.col("words"), X.content_tokens(s))) / F.greatest(F.size(F.array_union(F.col("words"), X.content_tokens(s))), F.lit(1))))
     allowed = F.flatten(F.transform(F.when(F.size("cited") > 0, F.col("candidates")).otherwise(F.col("sources")), X.numbers))
     missing = F.filter(X.numbers(F.col("sentence")), lambda n: ~F.array_contains(allowed, n))
-    out = rows.withColumn("support", support).withColumn("missing", missing)
-    return out.withColumn("grounded", (F.round("support", 9) >= SUPPORT) & (F.size("missing") == 0))
-
-
-def verdict(answers: DataFrame, sentences: DataFrame, key: list[str]) -> DataFrame:
-    """(key, backend, ratio, n, n_grounded, passed, level) of every answer: without sources it fails with 0.0, else without sentences it passes with 1.0."""
+    least = SUPPORT if embed is None else VECTOR_SUPPORT
+    if embed is None:
+        rows = rows.withColumn("support", support)
+    else:
+        places = F.when(F.size(valid) > 0, valid).otherwise(F.sequence(F.lit(1), F.size("sources")))
+        asked = rows.select(*key, "pos", F.explode(places).alias("_at"), embed(F.col("sentence")).alias("_v"))
+        given = answers.where(F.size("sources") > 0).select(*key, F.posexplode("sources").alias("_place", "_source")).select(*key, (F.col("_place") + 1).alias("_at"), embed(F.col("_source")).alias("_w"))
+        best = asked.join(given, [*key, "_at"]).groupBy(*key, "pos").agg(F.max(dot(F.col("_v"), F.col("_w"))).alias("support"))
+        rows = rows.join(best, [*key, "pos"])
+    out = rows.withColumn("missing", missing)
+    return out.withColumn("grounded", (F.round("support", 9) >= least) & (F.size("missing") == 0))
+
+
+def verdict(answers: DataFrame, sentences: DataFrame, key: list[str], by: str = "jaccard") -> DataFrame:
+    """(key, backend, ratio, n, n_grounded, passed, level) of every answer: without sources it fails with 0.0, else without sentences it passes with 1.0.
+
+    `by` names what support was measured by: "jaccard" or "embeddings".
+    """
     rows = answers.select(*key, (F.size("sources") > 0).alias("sourced"), F.lit(None).cast("int").alias("grounded"), F.lit(False).alias("bad"))
     rows = rows.unionByName(sentences.select(*key, F.lit(True).alias("sourced"), F.col("grounded").cast("int").alias("grounded"), (F.size("missing") > 0).alias("bad")))
     sums = F.count("grounded").alias("n"), F.coalesce(F.sum("grounded"), F.lit(0)).alias("n_grounded")
     out = rows.groupBy(*key).agg(F.max("sourced").alias("sourced"), F.avg("grounded").alias("ratio"), F.max("bad").alias("bad"), *sums)
     out = out.withColumn("ratio", F.when(F.col("sourced"), F.coalesce("ratio", F.lit(1.0))).otherwise(0.0))
     level = F.when(F.col("ratio") >= PASS, "high").when(F.col("ratio") >= 0.5, "medium").otherwise("low")
-    backend = F.when(~F.col("sourced"), "none").when(F.col("n") == 0, "trivial").otherwise("jaccard")
+    backend = F.when(~F.col("sourced"), "none").when(F.col("n") == 0, "trivial").otherwise(by)
     return out.select(*key, backend.alias("backend"), "ratio", "n", "n_grounded", ((F.col("ratio") >= PASS) & ~F.col("bad")).alias("passed"), level.alias("level"))
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.text import paragraphs, token_set
+from quarry.functions.text import jaccard, paragraphs, token_set
+from quarry.operators import partners
 
 SAME, MINOR, RELATED, SHOWN, MOST = 0.90, 0.65, 0.30, 600, 40
+# fixed values: the same limits for vectors, and the share of words below which a match by vectors doesn't count
+VECTOR_SAME, VECTOR_MINOR, VECTOR_RELATED, UNRELATED = 0.97, 0.80, 0.45, 0.15
+
+Embed = Callable[[Column], Column]
 
 
 def pairs(docs: DataFrame, by: list[str], order: str, key: str = "doc_id") -> DataFrame:
@@ -17,26 +24,21 @@ def pairs(docs: DataFrame, by: list[str], order: str, key: str = "doc_id") -> Da
     return docs.select(F.col(key).alias("old_id"), F.lead(key).over(w).alias("new_id")).where("new_id is not null")
 
 
-def best_matches(pairs_: DataFrame, units: DataFrame) -> DataFrame:
+def best_matches(pairs_: DataFrame, units: DataFrame, embed: Embed | None = None) -> DataFrame:
     """(old_id, new_id, new_pos, old_pos, score) for every unit of the new side; old_pos is -1 if nothing is shared.
 
-    units: (doc_id, pos, text). An inverted join on tokens counts what two units share; tokens carry the size of their
-    unit, so the similarity needs no second join. The first old unit wins ties.
+    units: (doc_id, pos, text). Similarity is that of the words' sets or, with `embed`, the product of unit vectors, by which every unit has a match if there is any.
+    The first old unit wins ties.
     """
-    sets = units.select("doc_id", "pos", token_set(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    terms = sets.select("doc_id", "pos", "n", F.explode("w").alias("term"))
-    old = pairs_.join(terms.select(F.col("doc_id").alias("old_id"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"), "term"), "old_id")
-    new = pairs_.join(terms.select(F.col("doc_id").alias("new_id"), F.col("pos").alias("new_pos"), F.col("n").alias("new_n"), "term"), "new_id")
-    both = old.join(new, ["old_id", "new_id", "term"]).groupBy("old_id", "new_id", "old_pos", "new_pos", "old_n", "new_n").agg(F.count("*").alias("shared"))
-    score = F.col("shared") / (F.col("old_n") + F.col("new_n") - F.col("shared"))
-    best = both.groupBy("old_id", "new_id", "new_pos").agg(F.max(F.struct(score.alias("score"), (-F.col("old_pos")).alias("neg"))).alias("b"))
-    every = pairs_.join(units.select(F.col("doc_id").alias("new_id"), F.col("pos").alias("new_pos")), "new_id")
-    return every.join(best, ["old_id", "new_id", "new_pos"], "left").select("old_id", "new_id", "new_pos", F.coalesce(-F.col("b.neg"), F.lit(-1)).alias("old_pos"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    feature = token_set(F.col("text")) if embed is None else F.transform(embed(F.col("text")), lambda x: x.cast("double"))
+    return partners.best_partners(pairs_, units.select("doc_id", "pos", feature.alias("feature")), partners.by_words if embed is None else partners.by_vectors)
 
 
-def classify(score: Column) -> Column:
-    """null for what stayed the same."""
-    return F.when(score >= SAME, None).when(score < RELATED, "new").when(score < MINOR, "substantive").otherwise("minor")
+def classify(score: Column, overlap: Column | None = None) -> Column:
+    """null for what stayed the same. With `overlap`, the share of common words, the score is one of vectors, and a match with hardly a common word is new."""
+    if overlap is None:
+        return F.when(score >= SAME, None).when(score < RELATED, "new").when(score < MINOR, "substantive").otherwise("minor")
+    return F.when(score >= VECTOR_SAME, None).when((score < VECTOR_RELATED) | (overlap < UNRELATED), "new").when(score < VECTOR_MINOR, "substantive").otherwise("minor")
 
 
 def removed(matches: DataFrame, pairs_: DataFrame, units: DataFrame, least: int = 80) -> DataFrame:
@@ -55,12 +57,13 @@ def diff(pairs_: DataFrame, units: DataFrame, most: int = MOST, least: int = 80)
     return kinds.unionByName(gone).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def by_section(pairs_: DataFrame, sections: DataFrame, most: int = MOST, shown: int = SHOWN, least: int = 80) -> DataFrame:
+def by_section(pairs_: DataFrame, sections: DataFrame, most: int = MOST, shown: int = SHOWN, least: int = 80, embed: Embed | None = None) -> DataFrame:
     """(old_id, new_id, place, kind, item, similarity, old_text, new_text) of documents' sections (doc_id, pos, item, text).
 
     Each section of the new document is held against the old one's section of the same item, the last one where items repeat, paragraph by
     paragraph. Items only the old document has are removed paragraphs; a section only the new one has is one row. New, then
     substantive, removed, minor; within a kind removed items first, then the new document's order; `most` rows a pair. Texts are cut at `shown`.
+    With `embed` paragraphs are matched by their vectors; a section without paragraphs then counts as an empty one.
     """
     key = ["old_id", "new_id"]
     olds = pairs_.join(sections.select(F.col("doc_id").alias("old_id"), "item", F.col("pos").alias("old_sec"), F.col("text").alias("old_text")), "old_id")
@@ -80,19 +83,23 @@ def by_section(pairs_: DataFrame, sections: DataFrame, most: int = MOST, shown:
     out = out.unionByName(rows(fresh, F.lit("new"), (F.lit(1), F.col("new_sec"), F.lit(0), F.lit(0)), F.lit(0.0), none, F.col("new_text")))
 
     both = news.join(last, [*key, "item"]).withColumn("met", F.xxhash64(*key, "new_sec"))
-    old_units = both.select("met", para("old_text").alias("pos", "text"))
+    olds_ = paragraphs(F.col("old_text"), least)
+    olds_ = olds_ if embed is None else F.when(F.size(olds_) > 0, olds_).otherwise(F.array(F.lit("")))
+    old_units = both.select("met", F.posexplode(olds_).alias("pos", "text"))
     new_units = both.select("met", para("new_text").alias("pos", "text"))
     sides = both.select(F.col("met").alias("old_id"), (-F.col("met") - 1).alias("new_id"))
     units = old_units.select(F.col("met").alias("doc_id"), "pos", "text").unionByName(new_units.select((-F.col("met") - 1).alias("doc_id"), "pos", "text"))
-    matches = best_matches(sides, units)
+    matches = best_matches(sides, units, embed)
     named = both.select("met", *key, "item", "new_sec")
     old_text = old_units.select("met", F.col("pos").alias("old_pos"), F.col("text").alias("old_text"))
     new_text = new_units.select("met", F.col("pos").alias("new_pos"), F.col("text").alias("new_text"))
-    changed = matches.select(F.col("old_id").alias("met"), "new_pos", "old_pos", "score").withColumn("kind", classify(F.col("score"))).where("kind is not null")
-    changed = changed.join(new_text, ["met", "new_pos"]).join(old_text, ["met", "old_pos"], "left").join(named, "met")
+    changed = matches.select(F.col("old_id").alias("met"), "new_pos", "old_pos", F.round("score", 9).alias("score"))
+    changed = changed.where(F.col("score") < (SAME if embed is None else VECTOR_SAME)).join(new_text, ["met", "new_pos"]).join(old_text, ["met", "old_pos"], "left").join(named, "met")
+    overlap = None if embed is None else F.coalesce(jaccard(token_set(F.col("old_text")), token_set(F.col("new_text"))), F.lit(0.0))
+    changed = changed.withColumn("kind", classify(F.col("score"), overlap))
     out = out.unionByName(rows(changed, F.col("kind"), (F.lit(1), F.col("new_sec"), F.lit(0), F.col("new_pos")), F.round("score", 3), F.col("old_text"), F.col("new_text")))
     chosen = matches.select(F.col("old_id").alias("met"), "old_pos").distinct()
-    unmet = old_text.join(chosen, ["met", "old_pos"], "left_anti").join(new_text.select("met").distinct(), "met", "left_semi").join(named, "met")
+    unmet = old_text.where(F.length("old_text") > least).join(chosen, ["met", "old_pos"], "left_anti").join(new_text.select("met").distinct(), "met", "left_semi").join(named, "met")
     out = out.unionByName(rows(unmet, F.lit("removed"), (F.lit(1), F.col("new_sec"), F.lit(1), F.col("old_pos")), F.lit(0.0), F.col("old_text"), none))
     rank = F.when(F.col("kind") == "new", 0).when(F.col("kind") == "substantive", 1).when(F.col("kind") == "removed", 2).otherwise(3)
     order = Window.partitionBy(*key).orderBy(rank, "s0", "s1", "s2", "s3")

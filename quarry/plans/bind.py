@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.operators.answering import Index, build_index
 from quarry.operators.storage import fingerprint
 
+#: functions.text.letter_vector in DuckDB.
+LETTERS_SQL = "(SELECT [x / greatest(sqrt(list_sum([y * y FOR y IN v])), 1e-6) FOR x IN v] FROM (SELECT [x - list_sum(c) / 26 FOR x IN c] AS v FROM (SELECT [(length(lower({0})) - length(replace(lower({0}), l, '')))::DOUBLE FOR l IN string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')] AS c)))"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ from quarry.operators import diffing as D
 from quarry.operators import fundamentals as N
 from quarry.operators import returns as R
 from quarry.operators import stores as S
-from quarry.plans.bind import table
+from quarry.plans.bind import LETTERS_SQL, table
 
 #: Statement lines of a nation's customers by year, as sums over lineitem; the same text is run by both engines.
 _LINES = {
@@ -252,6 +252,12 @@ def _document(spark, d):
     return rows.select("old_id", "new_id", F.col("place").cast("long").alias("place"), "kind", "item", "similarity", F.md5("old_text").alias("old_md5"), F.md5("new_text").alias("new_md5"))
 
 
+def _by_vectors(spark, d):
+    """The same with paragraphs matched by vectors (of letters, so no model is needed)."""
+    rows = D.by_section(_turn_pairs(spark, d), _turn_sections(spark, d), embed=X.letter_vector)
+    return rows.select("old_id", "new_id", F.col("place").cast("long").alias("place"), "kind", "item", "similarity", F.md5("old_text").alias("old_md5"), F.md5("new_text").alias("new_md5"))
+
+
 def _suppress(spark, d):
     return D.suppressed(D.by_section(_turn_pairs(spark, d), _turn_sections(spark, d)))
 
@@ -313,6 +319,16 @@ _SECTIONS = r"""cs AS (SELECT conv_id AS doc_id, turn AS pos, role AS item, repl
   UNION ALL SELECT m.old_id, m.new_id, 'removed', m.item, 0.0, substr(o.text, 1, 600), '', 1, m.new_sec, 1, o.k FROM met m JOIN para o ON o.doc_id = m.old_id AND o.pos = m.old_sec
    WHERE EXISTS (SELECT 1 FROM para n WHERE n.doc_id = m.new_id AND n.pos = m.new_sec) AND NOT EXISTS (SELECT 1 FROM mt WHERE mt.old_id = m.old_id AND mt.new_id = m.new_id AND mt.new_sec = m.new_sec AND mt.old_k = o.k)),
  sdf AS (SELECT *, row_number() OVER (PARTITION BY old_id, new_id ORDER BY CASE kind WHEN 'new' THEN 0 WHEN 'substantive' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END, s0, s1, s2, s3) AS place FROM sdr QUALIFY place <= 40)"""
+#: The same by vectors: an old section without paragraphs has an empty one, every paragraph has a best one, and few common words make it new.
+_BY_VECTORS = (
+    _SECTIONS.replace(" lst AS (", " opara AS (SELECT * FROM para UNION ALL SELECT doc_id, pos, item, 0, '' FROM cs WHERE NOT EXISTS (SELECT 1 FROM para p WHERE p.doc_id = cs.doc_id AND p.pos = cs.pos)),\n lst AS (")
+    .replace("AS w FROM para)", f"AS w, {LETTERS_SQL.format('text')} AS v FROM opara)")
+    .replace("AS score FROM met m JOIN wd n ON n.doc_id = new_id AND n.pos = new_sec JOIN", "AS overlap, round(list_dot_product(o.v, n.v), 9) AS score FROM met m JOIN wd n ON n.doc_id = new_id AND n.pos = new_sec AND n.text <> '' JOIN")
+    .replace("FROM sco WHERE score > 0 QUALIFY", "FROM sco QUALIFY")
+    .replace("b.old_k, coalesce(b.score, 0) AS score", "b.old_k, b.overlap, coalesce(b.score, 0) AS score")
+    .replace("WHEN score < 0.3 THEN 'new' WHEN score < 0.65 THEN", "WHEN score < 0.45 OR overlap < 0.15 THEN 'new' WHEN score < 0.8 THEN")
+    .replace("WHERE score < 0.9\n", "WHERE score < 0.97\n")
+)
 #: Sentiment of every document by two short word lists.
 _SENT = r"""sent AS (SELECT doc_id, source, (len([w FOR w IN words IF w IN ('the', 'on', 'la', 'der', 'en')]) - len([w FOR w IN words IF w IN ('of', 'and', 'de', 'die', 'el')])) / greatest(len([w FOR w IN words IF w IN ('the', 'on', 'la', 'der', 'en', 'of', 'and', 'de', 'die', 'el')]), 1) AS score
  FROM (SELECT doc_id, source, regexp_extract_all(lower(array_to_string([s FOR s IN [regexp_replace(u, '^\s+|\s+$', '', 'g') FOR u IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))] IF length(s) > 20][:200], ' ')), '[a-z]+') AS words FROM documents))"""
@@ -370,7 +386,7 @@ QUERIES = {
     "xbr_latest_filed": _latest_filed, "xbr_tag_priority": _tag_priority, "ret_forward": _forward, "ret_enrich": _enrich, "ret_pooled": _pooled, "ret_ols_control": _control, "ret_grouped": _grouped,
     "ret_verdict": _ret_verdict, "ret_group_counts": _group_counts, "dif_pairs": _pairs, "dif_prev": _prev, "dif_best_match": _best, "dif_classify": _classify, "dif_removed": _removed, "dif_top40": _top40,
     "dif_change_count": _changes, "evl_accuracy": _accuracy, "evl_risk_tol": _risk_tol, "evl_contains_all": _contains_all, "evl_sign": _sign, "sink_upsert_latest": _upsert, "sink_set_difference": _difference,
-    "src_histogram": _histogram, "src_cik": _cik, "dif_document": _document, "dif_suppress": _suppress, "sink_diff_cache": _diff_cache, "dif_cached": _diff_cached, "ret_rows": _ret_rows,
+    "src_histogram": _histogram, "src_cik": _cik, "dif_document": _document, "dif_by_vectors": _by_vectors, "dif_suppress": _suppress, "sink_diff_cache": _diff_cache, "dif_cached": _diff_cached, "ret_rows": _ret_rows,
     "sink_returns_cache": _returns_cache, "src_statements": _from_statements,
 }
 
@@ -428,6 +444,7 @@ ORACLE = {
     "ret_rows": f"""WITH {_MATCH}, {_SENT}, c AS (SELECT new_id, count(*) FILTER (kind <> 'minor') AS changes FROM top GROUP BY new_id)
  SELECT doc_id, source AS ticker, (DATE '2024-01-01' + (doc_id % 25)::INT)::VARCHAR AS date, (['10-K', '10-Q', 'TRANSCRIPT', '8-K'])[doc_id % 4 + 1] AS form, round(score, 6) AS signal, CASE WHEN doc_id % 4 <> 2 THEN changes END AS disclosure_change FROM sent LEFT JOIN c ON c.new_id = doc_id""",
     "dif_document": f"WITH {_SECTIONS} SELECT old_id, new_id, place, kind, item, similarity, md5(old_text) AS old_md5, md5(new_text) AS new_md5 FROM sdf",
+    "dif_by_vectors": f"WITH {_BY_VECTORS} SELECT old_id, new_id, place, kind, item, similarity, md5(old_text) AS old_md5, md5(new_text) AS new_md5 FROM sdf",
     "dif_suppress": f"WITH {_SECTIONS} SELECT old_id, new_id, count(*) FILTER (kind <> 'minor') AS shown, count(*) FILTER (kind = 'minor') AS suppressed FROM sdf GROUP BY ALL",
     "sink_diff_cache": f"WITH {_SECTIONS} SELECT old_id || '|' || new_id AS key, string_agg(kind || ':' || item || ':' || printf('%.3f', similarity), ',' ORDER BY place) AS items FROM sdf GROUP BY old_id, new_id",
     "dif_cached": f"WITH {_SECTIONS} SELECT old_id || '|' || new_id AS key, count(*) AS n, old_id % 2 = 0 AS cached FROM met GROUP BY old_id, new_id",

@@ -10,7 +10,7 @@ from quarry.operators import audit as A
 from quarry.operators import extract as E
 from quarry.operators import fundamentals as N
 from quarry.operators import segment as S
-from quarry.plans.bind import table
+from quarry.plans.bind import LETTERS_SQL, table
 from quarry.sources import corpus as C
 from quarry.sources import fetching as W
 
@@ -144,6 +144,12 @@ def _aud_verdict(spark, d):
     return A.verdict(answers, A.sentence_audit(answers), ["conv_id", "turn"]).select("conv_id", "turn", "passed", F.round("ratio", 3).alias("ratio"), "level")
 
 
+def _aud_vectors(spark, d):
+    """Support by vectors (of letters): each sentence against its answer's candidates."""
+    rows = A.sentence_audit(_tie(spark, d), X.letter_vector, ("conv_id", "turn"))
+    return rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.round("support", 6).alias("support"), "grounded")
+
+
 def _aud_report(spark, d):
     answers = _tie(spark, d)
     return A.report(A.verdict(answers, A.sentence_audit(answers), ["conv_id", "turn"])).select("conv_id", "turn", "backend", "summary", "notice")
@@ -207,7 +213,7 @@ def _trend(spark, d):
 QUERIES = {
     "txt_clean_pages": _clean, "txt_is_html": _is_html, "chk_sentences": _sentences, "txt_paragraphs": _paragraphs, "chk_pack_stats": _chunk_stats, "sec_sections": _sections, "src_document": _document,
     "trn_turns": _turns, "trn_qa_pairs": _qa_pairs, "chk_citation": _citation, "lnk_deep_url": _deep, "aud_support": _aud_support, "aud_numbers": _aud_numbers, "aud_verdict": _aud_verdict,
-    "ext_guidance": _guidance, "ext_xcheck": _xcheck, "ext_risk_cascade": _risk, "ext_signals": _signals, "ext_validate_json": _validate, "sen_lexicon": _lexicon, "sen_trend_pivot": _trend, "sen_shares": _shares, "aud_report": _aud_report, "aud_candidates": _aud_candidates, "lnk_citation": _citation_link,
+    "ext_guidance": _guidance, "ext_xcheck": _xcheck, "ext_risk_cascade": _risk, "ext_signals": _signals, "ext_validate_json": _validate, "sen_lexicon": _lexicon, "sen_trend_pivot": _trend, "sen_shares": _shares, "aud_report": _aud_report, "aud_by_vectors": _aud_vectors, "aud_candidates": _aud_candidates, "lnk_citation": _citation_link,
     "src_filings_fetch": _filings_wanted, "src_transcript_fetch": _calls, "sink_s3_upload": _upload,
 }
 
@@ -265,6 +271,7 @@ ORACLE = {
     "sen_shares": f"WITH {_SCORED.replace('(p - n) / greatest(p + n, 1) AS score', 'p, n, len(words) AS t, k').replace('AS words FROM documents', 'AS words, ' + _SHOWN + ' AS k FROM documents WHERE text IS NOT NULL')} SELECT doc_id, k AS n_sentences, CASE WHEN k = 0 THEN 'none' ELSE 'lexicon' END AS backend, CASE WHEN k > 0 THEN round(p / greatest(t, 1), 6) END AS positive, CASE WHEN k > 0 THEN round(n / greatest(t, 1), 6) END AS negative, CASE WHEN k > 0 THEN round(1 - (p + n) / greatest(t, 1), 6) END AS neutral FROM scored",
 } | {
     "aud_support": f"{A.ORACLE} SELECT conv_id, turn, pos, round(support, 6) AS support FROM audit",
+    "aud_by_vectors": A.ORACLE.replace("len(list_intersect(w, sw)) / greatest(len(list_distinct(w || sw)), 1) AS support", f"round(list_dot_product({LETTERS_SQL.format('sentence')}, {LETTERS_SQL.format('source')}), 9) AS support").replace(">= 0.18", ">= 0.62") + " SELECT conv_id, turn, pos, round(support, 6) AS support, grounded FROM audit",
     "aud_numbers": f"{A.ORACLE} SELECT conv_id, turn, pos, len(missing) AS n_missing, grounded FROM audit",
     "aud_verdict": f"{A.ORACLE}, {_VERDICTS} SELECT conv_id, turn, ratio >= 0.8 AND NOT bad AS passed, round(ratio, 3) AS ratio, {_LEVEL} AS level FROM vd",
     "aud_report": f"""{A.ORACLE}, {_VERDICTS}, lv AS (SELECT *, {_LEVEL} AS level, CASE WHEN NOT sourced THEN 'none' WHEN n = 0 THEN 'trivial' ELSE 'jaccard' END AS backend, round_even(round(ratio, 3) * 100, 0)::INT AS pct FROM vd)
