@@ -11,6 +11,8 @@ from quarry.functions.text import tokens
 K1, B, RRF_K = 1.5, 0.75, 60
 #: At most so many query vectors, hits or terms are sent to all tasks; more are joined by shuffle.
 SENT = 65_536
+#: Of vectors and texts so many bytes at most.
+SENT_BYTES = 64 << 20
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", words=tokens) -> DataFrame:
@@ -125,10 +127,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = Non
     cols = ["vec_id", *([same] if same else [])]
     v = vectors.select(*cols, unit(F.col("embedding")).alias("v"))
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in cols], unit(F.col("embedding")).alias("q"))
-    blocks = max(1, -(-queries.count() // block))
+    asked = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("size")).first()
+    blocks = max(1, -(-asked["n"] // block))
     dealt = q.groupBy(F.pmod(F.xxhash64("q_vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*q.columns)).alias("qs"))
     spread = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    if blocks * block <= SENT:
+    if 8 * asked["n"] * asked["size"] <= SENT_BYTES:
         dealt = F.broadcast(dealt)
     met = spread.join(dealt, "block")  # an equi-join: a block is one row of the smaller side
     other = lambda x: (x["q_vec_id"] != F.col("vec_id")) & ((x[f"q_{same}"] == F.col(same)) if same else F.lit(True))

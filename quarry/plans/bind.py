@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators.answering import Index, build_index
-from quarry.operators.storage import fingerprint
+from quarry.operators.storage import fingerprint, shared_dir
+from quarry.operators.vector_index import VectorIndex
 
 #: functions.text.letter_vector in DuckDB.
 LETTERS_SQL = "(SELECT [x / greatest(sqrt(list_sum([y * y FOR y IN v])), 1e-6) FOR x IN v] FROM (SELECT [x - list_sum(c) / 26 FOR x IN c] AS v FROM (SELECT [(length(lower({0})) - length(replace(lower({0}), l, '')))::DOUBLE FOR l IN string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')] AS c)))"
@@ -22,3 +25,13 @@ def indexed(spark: SparkSession, sf_dir: str) -> Index:
     if print_ not in held:
         held[print_] = build_index(table(spark, sf_dir, "documents"), keep=("lang",))[0]
     return held[print_]
+
+
+def vector_indexed(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The approximate index of the vectors, likewise."""
+    held = spark.__dict__.setdefault("_quarry_indexes", {})
+    print_ = fingerprint(spark, f"{sf_dir}/embeddings.parquet")
+    if print_ not in held:
+        held[print_] = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+        held[print_].build(table(spark, sf_dir, "embeddings"), "label")
+    return held[print_]

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quarry.functions import text as X
 from quarry.operators import answering as A
 from quarry.operators import retrieval as R
-from quarry.plans.bind import indexed, table
+from quarry.plans.bind import indexed, table, vector_indexed
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-]+')"
 
@@ -47,7 +47,8 @@ def _hit(spark, d):
     """Whether one of the five best documents holds the passage: only those documents' texts are read back, by id."""
     docs, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
     top = indexed(spark, d).lexical.bm25(queries, 5).select("item_id", "doc_id").join(queries, "item_id")
-    top = F.broadcast(top) if 5 * queries.count() <= R.SENT else top
+    passages = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    top = F.broadcast(top) if 5 * passages <= R.SENT_BYTES else top
     hits = docs.select("doc_id", F.col("text").alias("doc")).join(top, "doc_id").groupBy("item_id").agg(F.max(F.contains(F.col("doc"), F.col("text"))).alias("hit"))
     return queries.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
@@ -85,6 +86,11 @@ def _dense(spark, d):
     return _ranks(R.dense(v, v.where("vec_id % 100 = 0"), 5), "vec_id", "query_id")
 
 
+def _ann(spark, d):
+    """The same by the approximate index; tests hold its recall against the exact search."""
+    return _ranks(vector_indexed(spark, d).search(table(spark, d, "embeddings").where("vec_id % 100 = 0"), 5), "vec_id", "query_id")
+
+
 def _dense_label(spark, d):
     v = table(spark, d, "embeddings")
     return _ranks(R.dense(v, v.where("vec_id % 100 = 0"), 5, same="label"), "vec_id", "query_id")
@@ -132,7 +138,7 @@ def _prune(spark, d):
 
 QUERIES = {
     "ir_tokenize_counts": _tokenize, "ir_idf": _idf, "ir_bm25_top5": _bm25, "ir_bm25_filtered": _bm25_filtered, "ir_tfidf_top5": _tfidf, "ir_rrf_top5": _rrf,
-    "ir_hit_at_5": _hit, "ir_dense_top5": _dense, "ir_dense_label_filter": _dense_label, "ir_jaccard_pairs": _jaccard, "ir_dedupe_pools": _dedupe,
+    "ir_hit_at_5": _hit, "ir_dense_top5": _dense, "ir_ann_top5": _ann, "ir_dense_label_filter": _dense_label, "ir_jaccard_pairs": _jaccard, "ir_dedupe_pools": _dedupe,
     "ir_snippet": _snippet, "txt_context": _context, "ir_prune_cites": _prune, "ir_answer": _answer, "ir_rerank": _rerank, "ir_lookup": _lookup, "ui_linkify": _linkify,
 }
 
