@@ -7,12 +7,14 @@ own or a probed cell of the other; candidates are verified by cosine in double p
 
 Bitwise equal vectors are one node with a count from the start. The nodes at home in a cell meet those that probe it in
 blocks of SIDE by SIDE, so no task holds a whole large cell. They meet twice: first by a sketch of 64 signs of random
-projections, a few bytes a row, which leaves only nodes that have a partner within MOST_DIFFERENT signs (at cosine 0.95 six or seven
-differ on average, and more than MOST_DIFFERENT for about one pair in 100,000); only these nodes are then sent their
+projections, a few bytes a row, which leaves only nodes that have a partner within so many signs that MISSED of the pairs at the threshold at most differ in more (at cosine 0.95 six or seven
+differ on average, and 20 are allowed); only these nodes are then sent their
 vectors and verified, with pairs tested in slices of HELD, so memory is bounded whatever the cell. A pair counts in the first table that finds it,
 which a task tells from the codes of both, so no list of all pairs is made: tasks return counts of links
 for each node and only the links that join components.
 
+Bitwise equal vectors are told by a 64-bit hash: among n different vectors two share one, and are then taken for equal, with a chance of about n^2 / 4e19.
+
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own component.
 Vectors are scaled by their largest component before their norm is taken, so no finite one overflows.
 Vectors of different lengths don't link. Repeated rows (same id and vector) count as separate vectors; a tie at exactly the threshold
@@ -21,6 +23,8 @@ links. An empty table gives no rows. Extra columns are ignored, whatever their n
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +39,8 @@ SCALE = 1.0
 SIDE = 1024
 #: Rows, and pairs, that a verifying task holds at once, about.
 HELD = 16_384
-#: Signs of 64 that may differ between the sketches of two vectors that are verified.
-MOST_DIFFERENT = 20
+#: Part of the pairs at the threshold whose sketches may differ too much to be verified.
+MISSED = 1e-6
 THRESHOLD = 0.95
 SEED = 20_240_101
 
@@ -87,6 +91,15 @@ def _projections(dim: int, salt: int = 0, maps: int = TABLES * 8) -> np.ndarray:
     return _planes[dim, salt]
 
 
+def most_different(threshold: float) -> int:
+    """Signs of 64 that may differ: each does with a chance of angle / pi."""
+    p, left, most = math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 1.0, -1
+    while left > MISSED and most < 64:
+        most += 1
+        left -= math.comb(64, most) * p**most * (1 - p) ** (64 - most)
+    return most
+
+
 def sketches(unit: np.ndarray) -> np.ndarray:
     """64 signs of random projections of each vector as one number."""
     signs = unit @ _projections(unit.shape[1], 1, 64) > 0
@@ -161,21 +174,24 @@ def _meetings(rows: pa.Table, *names: str):
     return each(), *(rows[n].to_numpy() for n in names)
 
 
-def _near_sketches(rows: pa.Table) -> pa.Table:
-    """The rows that have a partner with a near sketch in their meeting; a node is no partner of its own."""
-    rows = rows.combine_chunks()
-    meetings, node, sketch = _meetings(rows, "node", "sketch")
-    sketch = sketch.view(np.uint64)  # of a negative number, bitwise_count has the bits of its absolute value
-    keep = np.zeros(len(rows), bool)
-    for h, p in meetings:
-        step = max(1, HELD // len(p))
-        for i in range(0, len(h), step):
-            part = h[i : i + step]
-            near = np.bitwise_count(sketch[part][:, None] ^ sketch[p][None, :]) <= MOST_DIFFERENT
-            near &= node[part][:, None] != node[p][None, :]
-            keep[part] |= near.any(1)
-            keep[p] |= near.any(0)
-    return rows.select(["task", "node", "role"]).filter(pa.array(keep))
+def _near_sketches(most: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """The rows that have a partner with a near sketch in their meeting; a node is no partner of its own."""
+        rows = rows.combine_chunks()
+        meetings, node, sketch = _meetings(rows, "node", "sketch")
+        sketch = sketch.view(np.uint64)  # of a negative number, bitwise_count has the bits of its absolute value
+        keep = np.zeros(len(rows), bool)
+        for h, p in meetings:
+            step = max(1, HELD // len(p))
+            for i in range(0, len(h), step):
+                part = h[i : i + step]
+                near = np.bitwise_count(sketch[part][:, None] ^ sketch[p][None, :]) <= most
+                near &= node[part][:, None] != node[p][None, :]
+                keep[part] |= near.any(1)
+                keep[p] |= near.any(0)
+        return rows.select(["task", "node", "role"]).filter(pa.array(keep))
+
+    return run
 
 
 def _count_links(threshold: float):
@@ -267,7 +283,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     meeting = met.select("cell", "node", "sketch", F.explode(both).alias("m")).select(F.xxhash64("cell", "m.i", "m.j").alias("task"), "node", "sketch", "m.role")
     groups = max(1, -(-nodes.count() * TABLES * (2 + PROBES) // HELD))
     group = F.pmod("task", F.lit(groups)).alias("group")
-    near = cut(meeting.groupBy(group).applyInArrow(_near_sketches, "task long, node long, role byte"), "meetings")
+    near = cut(meeting.groupBy(group).applyInArrow(_near_sketches(most_different(threshold)), "task long, node long, role byte"), "meetings")
     drop_cut(cells)
     left = max(1, -(-near.count() // HELD))
     dealt = near.join(nodes.select("node", "vector", "mult"), "node").withColumn("group", F.pmod("task", F.lit(left)))

@@ -1,5 +1,6 @@
 """Sharding, vectors, urls and the pipeline."""
 
+import math
 import re
 from collections import Counter
 
@@ -293,3 +294,22 @@ def test_one_row_of_each_group_stays(spark):
     assert len(got) == 5 and {str(r) for r in rows[6:9]} <= set(got)
     assert sum(str(r) in got for r in rows[:4]) == sum(str(r) in got for r in rows[:2]) == 1 and sum(str(r) in got for r in rows[4:6]) == 1
     assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_sketch_limit_follows_the_threshold():
+    assert lattice_dedup.most_different(0.95) == 20 and lattice_dedup.most_different(1.0) == 0
+    limits = [lattice_dedup.most_different(t) for t in (0.99, 0.9, 0.7, 0.3, -1.0)]
+    assert limits == sorted(limits) and limits[-1] == 64
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 32))
+    y = 0.7 * x / np.linalg.norm(x, axis=1, keepdims=True) + math.sqrt(1 - 0.49) * orthogonal(r, x)
+    differ = np.bitwise_count(lattice_dedup.sketches(x / np.linalg.norm(x, axis=1, keepdims=True)).view(np.uint64) ^ lattice_dedup.sketches(y).view(np.uint64))
+    assert differ.max() <= lattice_dedup.most_different(0.7)
+
+
+def orthogonal(r, x):
+    """Unit vectors at right angles to the rows."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=x.shape)
+    z -= (z * u).sum(1, keepdims=True) * u
+    return z / np.linalg.norm(z, axis=1, keepdims=True)
