@@ -275,7 +275,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Features are measured in tasks; the driver gets their bins, TRAIN x TRAIN_LINES x FEATURES bytes at most."""
     rows = training_rows(docs, labels, id_col, text_col).mapInArrow(_features, "quality int, lines long, bins binary").where("bins is not null")
-    rows = rows.orderBy(F.xxhash64("bins"), "bins").limit(TRAIN).collect()  # an id may stand for many rows
+    rows = rows.distinct().orderBy(F.xxhash64("bins"), "bins").limit(TRAIN).collect()  # an id may stand for many rows, equal ones count once
     bins = np.frombuffer(b"".join(bytes(r["bins"]) for r in rows), np.uint8).reshape(-1, FEATURES)
     return fit(bins, np.concatenate([[0], np.cumsum([r["lines"] for r in rows])]).astype(np.int64), np.array([r["quality"] for r in rows], np.int64))
 
