@@ -145,15 +145,10 @@ def lexicon(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) ->
     """struct(score, n_sentences, backend, positive, negative, neutral) over the first sentences of more than 20 characters.
 
     score is (p - n) / max(p + n, 1), the others are shares of all words. Without a sentence the score is 0, the backend "none" and shares are null.
-    One pass over the words: they are mapped to signs, which are then counted.
+    The words are extracted once, bound, and filtered by both lists.
     """
     found = shown_sentences(c, most)
     words = F.regexp_extract_all(F.lower(F.array_join(found, " ")), F.lit("[a-z]+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("all"))
-
-    def step(s: Column, w: Column) -> Column:
-        return F.struct((s["p"] + w.isin(*positive).cast("int")).alias("p"), (s["n"] + w.isin(*negative).cast("int")).alias("n"), (s["all"] + 1).alias("all"))
-
     def record(s: Column) -> Column:
         p, n, every = s["p"], s["n"], F.greatest(s["all"], F.lit(1))
         none = s["sentences"] == 0
@@ -161,8 +156,8 @@ def lexicon(c: Column, positive=POSITIVE, negative=NEGATIVE, most: int = 200) ->
         return F.struct(((p - n) / F.greatest(p + n, F.lit(1))).alias("score"), s["sentences"].alias("n_sentences"), F.when(none, "none").otherwise("lexicon").alias("backend"),
                         share(p / every, "positive"), share(n / every, "negative"), share(1 - (p + n) / every, "neutral"))
 
-    counted = F.aggregate(words, start, step)
-    bound = F.transform(F.array(F.struct(F.size(found).alias("sentences"), counted.alias("c"))), lambda x: F.struct(x["sentences"].alias("sentences"), x["c"]["p"].alias("p"), x["c"]["n"].alias("n"), x["c"]["all"].alias("all")))
+    among = lambda ws, listed: F.size(F.filter(ws, lambda w: w.isin(*listed)))
+    bound = F.transform(F.array(words), lambda ws: F.named_struct(F.lit("sentences"), F.size(found), F.lit("p"), among(ws, positive), F.lit("n"), among(ws, negative), F.lit("all"), F.size(ws)))
     return F.when(c.isNotNull(), F.transform(bound, record).getItem(0))
 
 
