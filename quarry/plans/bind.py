@@ -18,20 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _root(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The folder of a table's index: the same as long as the application runs and the table's files stay."""
+    held = spark.sparkContext.__dict__.setdefault("_quarry_indexes", {})
+    return held.setdefault(fingerprint(spark, f"{sf_dir}/{name}.parquet"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> Index:
-    """The stored index of the documents: built at a session's first use, used again until their files change."""
-    held = spark.__dict__.setdefault("_quarry_indexes", {})
-    print_ = fingerprint(spark, f"{sf_dir}/documents.parquet")
-    if print_ not in held:
-        held[print_] = build_index(table(spark, sf_dir, "documents"), keep=("lang",))[0]
-    return held[print_]
+    """The stored index of the documents: built at its first use, found again afterwards."""
+    return build_index(table(spark, sf_dir, "documents"), root=_root(spark, sf_dir, "documents"), keep=("lang",))[0]
 
 
 def vector_indexed(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """The approximate index of the vectors, likewise."""
-    held = spark.__dict__.setdefault("_quarry_indexes", {})
-    print_ = fingerprint(spark, f"{sf_dir}/embeddings.parquet")
-    if print_ not in held:
-        held[print_] = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
-        held[print_].build(table(spark, sf_dir, "embeddings"), "label")
-    return held[print_]
+    index = VectorIndex(spark, _root(spark, sf_dir, "embeddings"))
+    if not index.manifest.version():
+        index.build(table(spark, sf_dir, "embeddings"), "label")
+    return index
