@@ -51,6 +51,10 @@ ENTITY = f"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,31}};|(?:{_l
 _WINDOWS = {n: bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(128, 160)} | {0: "\ufffd", 13: "\r"}
 
 
+#: Names that are most of those met: compared before the whole table is searched.
+_COMMON = ("amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "bull")
+
+
 def _lookup(names: dict[str, str], key: Column) -> Column:
     """The value of a key in a constant map, or null."""
     pairs = "\x01".join(f"{k}\x02{v}" for k, v in names.items())
@@ -76,13 +80,17 @@ def _by_code(n: Column) -> Column:
         other = F.when(n == code, char).otherwise(other)
     outside = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
     control = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    other = F.when((n == 0) | (n == 13) | n.between(128, 159), other)
     return F.coalesce(other, F.when(outside, "\ufffd").when(control, "").otherwise(_character(n)))
 
 
 def _by_name(e: Column) -> Column:
+    common = F.lit(None).cast("string")
+    for name in reversed(_COMMON):
+        common = F.when(e == f"&{name};", _ENDED[name]).otherwise(common)
     ended = F.when(F.endswith(e, F.lit(";")), _lookup(_ENDED, F.regexp_extract(e, "^&([A-Za-z0-9]+);$", 1)))
     bare = F.regexp_extract(e, _BARE, 1)
-    return F.coalesce(ended, F.when(bare != "", F.concat(_lookup(_OPEN, bare), F.substring(e, F.length(bare) + 2, F.length(e)))), e)
+    return F.coalesce(common, ended, F.when(bare != "", F.concat(_lookup(_OPEN, bare), F.substring(e, F.length(bare) + 2, F.length(e)))), e)
 
 
 def unescape(c: Column) -> Column:
