@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from quarry.functions import text as X
 from quarry.operators import retrieval as R
 from quarry.operators.inverted import InvertedIndex, TfidfIndex
-from quarry.operators.storage import shared_dir
+from quarry.operators.storage import shared_dir, tasks
 
 POOL, TOP, PAST, PAST_CHARS = 25, 5, 2, 400
 # fixed values: what is said without passages or without a model
@@ -101,7 +101,8 @@ def rerank(hits: DataFrame, score: Score | None = None, query: str = "item_id")
 def kept_hits(hits: DataFrame, k: int, query: str = "item_id", key: str = "doc_id") -> DataFrame:
     """(query, question, hits): of each question's passages in rank order the first k that are unlike all kept before. Pools are small (about POOL)."""
     one = F.struct("rank", F.col(key).alias("key"), X.token_set(F.col("text")).alias("words"), "score", "text", "citation")
-    pools = hits.groupBy(query).agg(F.first("question").alias("question"), F.array_sort(F.collect_list(one)).alias("pool"))
+    # pools are small and work on them is not: dealt by a stated number, which AQE doesn't join to a few tasks
+    pools = hits.repartition(tasks(hits.sparkSession), query).groupBy(query).agg(F.first("question").alias("question"), F.array_sort(F.collect_list(one)).alias("pool"))
     kept = R.dedupe(F.transform("pool", lambda h: F.struct(h["rank"].cast("long").alias("key"), h["words"].alias("words"))), k)
     places = F.transform(kept, lambda x: x["key"])
     chosen = F.filter("pool", lambda h: F.array_contains(F.col("places"), h["rank"].cast("long")))

@@ -85,22 +85,21 @@ def by_section(pairs_: DataFrame, sections: DataFrame, most: int = MOST, shown:
     both = news.join(last, [*key, "item"]).withColumn("met", F.xxhash64(*key, "new_sec"))
     olds_ = paragraphs(F.col("old_text"), least)
     olds_ = olds_ if embed is None else F.when(F.size(olds_) > 0, olds_).otherwise(F.array(F.lit("")))
-    old_units = both.select("met", F.posexplode(olds_).alias("pos", "text"))
-    new_units = both.select("met", para("new_text").alias("pos", "text"))
+    at = F.struct(*key, "item", "new_sec").alias("at")
+    old_units = both.select("met", at, (F.size(paragraphs(F.col("new_text"), least)) > 0).alias("compared"), F.posexplode(olds_).alias("old_pos", "old_text"))
+    new_units = both.select("met", at, para("new_text").alias("new_pos", "new_text"))
     sides = both.select(F.col("met").alias("old_id"), (-F.col("met") - 1).alias("new_id"))
-    units = old_units.select(F.col("met").alias("doc_id"), "pos", "text").unionByName(new_units.select((-F.col("met") - 1).alias("doc_id"), "pos", "text"))
-    matches = best_matches(sides, units, embed)
-    named = both.select("met", *key, "item", "new_sec")
-    old_text = old_units.select("met", F.col("pos").alias("old_pos"), F.col("text").alias("old_text"))
-    new_text = new_units.select("met", F.col("pos").alias("new_pos"), F.col("text").alias("new_text"))
-    changed = matches.select(F.col("old_id").alias("met"), "new_pos", "old_pos", F.round("score", 9).alias("score"))
-    changed = changed.where(F.col("score") < (SAME if embed is None else VECTOR_SAME)).join(new_text, ["met", "new_pos"]).join(old_text, ["met", "old_pos"], "left").join(named, "met")
+    units = old_units.select(F.col("met").alias("doc_id"), F.col("old_pos").alias("pos"), F.col("old_text").alias("text"))
+    units = units.unionByName(new_units.select((-F.col("met") - 1).alias("doc_id"), F.col("new_pos").alias("pos"), F.col("new_text").alias("text")))
+    matches = best_matches(sides, units, embed).select(F.col("old_id").alias("met"), "new_pos", "old_pos", F.round("score", 9).alias("score"))
+    # one outer join of what matched what with the old paragraphs: a match without a change is of no interest, an old paragraph without a match is removed
+    told = matches.join(new_units, ["met", "new_pos"]).join(old_units.withColumnRenamed("at", "old_at"), ["met", "old_pos"], "full")
+    told = told.select("*", F.coalesce("at", "old_at").alias("_at")).select("*", F.col("_at.*"))
     overlap = None if embed is None else F.coalesce(jaccard(token_set(F.col("old_text")), token_set(F.col("new_text"))), F.lit(0.0))
-    changed = changed.withColumn("kind", classify(F.col("score"), overlap))
-    out = out.unionByName(rows(changed, F.col("kind"), (F.lit(1), F.col("new_sec"), F.lit(0), F.col("new_pos")), F.round("score", 3), F.col("old_text"), F.col("new_text")))
-    chosen = matches.select(F.col("old_id").alias("met"), "old_pos").distinct()
-    unmet = old_text.where(F.length("old_text") > least).join(chosen, ["met", "old_pos"], "left_anti").join(new_text.select("met").distinct(), "met", "left_semi").join(named, "met")
-    out = out.unionByName(rows(unmet, F.lit("removed"), (F.lit(1), F.col("new_sec"), F.lit(1), F.col("old_pos")), F.lit(0.0), F.col("old_text"), none))
+    unmet = F.col("new_pos").isNull()
+    kind = F.when(unmet, F.when((F.length("old_text") > least) & F.col("compared"), "removed")).otherwise(classify(F.col("score"), overlap))
+    told = told.withColumn("kind", kind).where("kind is not null")
+    out = out.unionByName(rows(told, F.col("kind"), (F.lit(1), F.col("new_sec"), unmet.cast("int"), F.coalesce("new_pos", "old_pos")), F.coalesce(F.round("score", 3), F.lit(0.0)), F.col("old_text"), F.col("new_text")))
     rank = F.when(F.col("kind") == "new", 0).when(F.col("kind") == "substantive", 1).when(F.col("kind") == "removed", 2).otherwise(3)
     order = Window.partitionBy(*key).orderBy(rank, "s0", "s1", "s2", "s3")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(*key, "place", "kind", "item", "similarity", "old_text", "new_text")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.storage import ship
+from quarry.operators.storage import ship, tasks
 
 SIDE = 512
 #: Up to so many meetings of equal words two blocks are counted at once; beyond, word by word with bounds.
@@ -108,10 +108,11 @@ def _blocks(kernel: Kernel):
             table = pa.Table.from_batches(held).combine_chunks()
             split = table.column("new").to_pylist().count(False)
             old, new = table.slice(0, split), table.slice(split)
-            if len(old) and len(new):
-                at, score = kernel(*(x.column("feature").combine_chunks() if x.column("feature").num_chunks != 1 else x.column("feature").chunk(0) for x in (old, new)))
-                at = at.astype(np.int64)
-                old_pos = np.where(at >= 0, old.column("pos").to_numpy()[at], -1)
+            if len(new):
+                old_pos, score = np.full(len(new), -1), np.zeros(len(new))
+                if len(old):
+                    at, score = kernel(*(x.column("feature").combine_chunks() if x.column("feature").num_chunks != 1 else x.column("feature").chunk(0) for x in (old, new)))
+                    old_pos = np.where(at >= 0, old.column("pos").to_numpy()[at.astype(np.int64)], -1)
                 yield pa.RecordBatch.from_arrays([new.column(c).combine_chunks() for c in ("old_id", "new_id", "pos")] + [pa.array(old_pos.astype(np.int32)), pa.array(score.astype(np.float64))], names=["old_id", "new_id", "new_pos", "old_pos", "score"])
             held.clear()
 
@@ -140,15 +141,16 @@ def best_partners(pairs: DataFrame, units: DataFrame, kernel: Kernel) -> DataFra
     ship(pairs.sparkSession)
     units = units.select("doc_id", F.col("pos").cast("int").alias("pos"), "feature")
     blocks = units.groupBy("doc_id").agg((F.max(F.expr(f"pos div {SIDE}")) + 1).alias("blocks"))
-    sides = pairs.join(blocks.select(F.col("doc_id").alias("old_id"), F.col("blocks").alias("old_blocks")), "old_id").join(blocks.select(F.col("doc_id").alias("new_id"), F.col("blocks").alias("new_blocks")), "new_id")
+    of = lambda side: blocks.select(F.col("doc_id").alias(f"{side}_id"), F.col("blocks").alias(f"{side}_blocks"))
+    # without old units the new ones still come to one block, and find none
+    sides = pairs.join(of("new"), "new_id").join(of("old"), "old_id", "left").withColumn("old_blocks", F.coalesce("old_blocks", F.lit(1).cast("long")))
     own, every = F.expr(f"pos div {SIDE}"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     shape = ["old_id", "new_id", "old_block", "new_block", "new", "pos", "feature"]
     old = sides.join(units.withColumnRenamed("doc_id", "old_id"), "old_id").select("*", own.alias("old_block"), every("new_blocks").alias("new_block")).withColumn("new", F.lit(False))
     new = sides.join(units.withColumnRenamed("doc_id", "new_id"), "new_id").select("*", own.alias("new_block"), every("old_blocks").alias("old_block")).withColumn("new", F.lit(True))
     meeting = shape[:4]
-    met = old.select(*shape).unionByName(new.select(*shape)).repartition(*meeting).sortWithinPartitions(*meeting, "new", "pos")
+    met = old.select(*shape).unionByName(new.select(*shape)).repartition(tasks(pairs.sparkSession), *meeting).sortWithinPartitions(*meeting, "new", "pos")
     kinds = dict(pairs.dtypes)
-    found = met.mapInArrow(_blocks(kernel), f"old_id {kinds['old_id']}, new_id {kinds['new_id']}, new_pos int, old_pos int, score double").where("old_pos >= 0")
-    best = found.groupBy("old_id", "new_id", "new_pos").agg(F.max(F.struct("score", (-F.col("old_pos")).alias("neg"))).alias("b"))
-    all_ = pairs.join(units.select(F.col("doc_id").alias("new_id"), F.col("pos").alias("new_pos")), "new_id")
-    return all_.join(best, ["old_id", "new_id", "new_pos"], "left").select("old_id", "new_id", "new_pos", F.coalesce(-F.col("b.neg"), F.lit(-1)).alias("old_pos"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    found = met.mapInArrow(_blocks(kernel), f"old_id {kinds['old_id']}, new_id {kinds['new_id']}, new_pos int, old_pos int, score double")
+    best = F.max(F.struct((F.col("old_pos") >= 0).alias("any"), "score", (-F.col("old_pos")).alias("neg")))
+    return found.groupBy("old_id", "new_id", "new_pos").agg(best.alias("b")).select("old_id", "new_id", "new_pos", (-F.col("b.neg")).alias("old_pos"), "b.score")

@@ -37,6 +37,11 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._quarry_shipped = True
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks rows are dealt where their work, not their bytes, counts: two a core, at least as many as other shuffles have."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A path with its files' names, sizes and times: another text as soon as something is written there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
