@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators.answering import Index, build_index
+from quarry.operators.calendar import PriceCalendar
 from quarry.operators.storage import fingerprint, shared_dir
 from quarry.operators.vector_index import VectorIndex
 
@@ -35,3 +37,14 @@ def vector_indexed(spark: SparkSession, sf_dir: str) -> VectorIndex:
     if not index.manifest.version():
         index.build(table(spark, sf_dir, "embeddings"), "label")
     return index
+
+
+def calendared(spark: SparkSession, sf_dir: str, prices: DataFrame) -> PriceCalendar:
+    """The stored calendar of prices that are made from events, likewise; the later half of the dates arrives as a second batch."""
+    root = _root(spark, sf_dir, "events") + "-prices"
+    calendar = PriceCalendar(spark, f"prices_{root.split('index-')[-1].replace('-', '_')}", root)
+    if len(calendar.batches()) < 2:  # a build that broke off is made again: of equal days the latest batch counts
+        half = F.lit(prices.agg(F.expr("date_add(min(date), cast(datediff(max(date), min(date)) div 2 as int))")).first()[0]).cast("date")
+        for part in (prices.where(F.col("date") <= half), prices.where(F.col("date") > half)):
+            calendar.append(part)
+    return calendar

@@ -10,7 +10,7 @@ from quarry.operators import diffing as D
 from quarry.operators import fundamentals as N
 from quarry.operators import returns as R
 from quarry.operators import stores as S
-from quarry.plans.bind import LETTERS_SQL, table
+from quarry.plans.bind import LETTERS_SQL, calendared, table
 
 #: Statement lines of a nation's customers by year, as sums over lineitem; the same text is run by both engines.
 _LINES = {
@@ -140,6 +140,12 @@ def _forward(spark, d):
     return f.select("ticker", F.col("date").cast("string").alias("date"), "user_id", "window", F.round("ret", 6).alias("ret"))
 
 
+def _calendar(spark, d):
+    """The same from the stored calendar."""
+    f = calendared(spark, d, prices(spark, d)).forward(study(spark, d))
+    return f.select("ticker", F.col("date").cast("string").alias("date"), "user_id", "window", F.round("ret", 6).alias("ret"))
+
+
 def _enrich(spark, d):
     return _enriched(spark, d).select("ticker", F.col("date").cast("string").alias("date"), "user_id", "window", F.round("ret", 6).alias("ret"), F.round("mkt", 6).alias("mkt"))
 
@@ -383,7 +389,7 @@ def _cik(spark, d):
 
 QUERIES = {
     "fun_ratios": _ratios, "fun_growth": _growth, "fun_flags": _flags, "fun_verdict": _verdict, "fun_trend": _trend, "fun_growth_trend": _growth_trend, "fun_ratio_matrix": _matrix, "fun_format": _formatted,
-    "xbr_latest_filed": _latest_filed, "xbr_tag_priority": _tag_priority, "ret_forward": _forward, "ret_enrich": _enrich, "ret_pooled": _pooled, "ret_ols_control": _control, "ret_grouped": _grouped,
+    "xbr_latest_filed": _latest_filed, "xbr_tag_priority": _tag_priority, "ret_forward": _forward, "ret_calendar": _calendar, "ret_enrich": _enrich, "ret_pooled": _pooled, "ret_ols_control": _control, "ret_grouped": _grouped,
     "ret_verdict": _ret_verdict, "ret_group_counts": _group_counts, "dif_pairs": _pairs, "dif_prev": _prev, "dif_best_match": _best, "dif_classify": _classify, "dif_removed": _removed, "dif_top40": _top40,
     "dif_change_count": _changes, "evl_accuracy": _accuracy, "evl_risk_tol": _risk_tol, "evl_contains_all": _contains_all, "evl_sign": _sign, "sink_upsert_latest": _upsert, "sink_set_difference": _difference,
     "src_histogram": _histogram, "src_cik": _cik, "dif_document": _document, "dif_by_vectors": _by_vectors, "dif_suppress": _suppress, "sink_diff_cache": _diff_cache, "dif_cached": _diff_cached, "ret_rows": _ret_rows,
@@ -454,6 +460,11 @@ ORACLE = {
  SELECT entity, 'FY' || fy AS period, {', '.join(N.TAGS)} FROM wi QUALIFY row_number() OVER (PARTITION BY entity ORDER BY fy DESC) <= 4""",
     "xbr_tag_priority": f"WITH {_FACTS} SELECT entity, " + ", ".join("coalesce(" + ", ".join(f"max(tag) FILTER (tag = '{t}')" for t in ts) + f") AS {f}" for f, ts in N.TAGS.items()) + " FROM fa GROUP BY entity",
     "ret_forward": f'WITH {_MK} SELECT ticker, date::VARCHAR AS date, user_id, "window", round(ret, 6) AS ret FROM en',
+    "ret_calendar": """WITH px AS (SELECT event_type AS ticker, ts::DATE AS date, avg(value) AS close FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL HAVING avg(value) IS NOT NULL),
+ fw AS (SELECT *, lead(close, 5) OVER w / close - 1 AS r5, lead(close, 20) OVER w / close - 1 AS r20 FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+ ev AS (SELECT DISTINCT event_type AS ticker, ts::DATE AS date, user_id FROM events),
+ met AS (SELECT ev.*, r5, r20 FROM ev ASOF JOIN fw ON ev.ticker = fw.ticker AND ev.date < fw.date)
+SELECT ticker, date::VARCHAR AS date, user_id, 5 AS "window", round(r5, 6) AS ret FROM met WHERE r5 IS NOT NULL UNION ALL SELECT ticker, date::VARCHAR, user_id, 20, round(r20, 6) FROM met WHERE r20 IS NOT NULL""",
     "ret_enrich": f'WITH {_MK} SELECT ticker, date::VARCHAR AS date, user_id, "window", round(ret, 6) AS ret, round(mkt, 6) AS mkt FROM en',
     "ret_pooled": f'WITH {_MK}, {_ols_sql(chr(34) + "window" + chr(34), "en")}',
     "ret_grouped": f'WITH {_MK}, eg AS (SELECT *, {_GROUP} AS "group" FROM en), ' + _ols_sql('"group", "window"', "eg"),
