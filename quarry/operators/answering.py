@@ -8,7 +8,8 @@ model once a worker fits in; without any, results are deterministic.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,12 +67,12 @@ class Index:
         return R.rrf(lexical, other, k, self.key, query)
 
 
-def build_index(chunks: DataFrame, embed: Embed | None = None, key: str = "doc_id", root: str | None = None, keep: tuple[str, ...] = ()) -> tuple[Index, str]:
-    """The index, stored under `root` (in the shared folder without one), and the name of its second ranker: vectors where there is an embedder, else TF-IDF."""
+def build_index(chunks: DataFrame, embed: Embed | None = None, key: str = "doc_id", root: str | None = None, keep: tuple[str, ...] = (), stop: Sequence[str] = R.STOP) -> tuple[Index, str]:
+    """The index, stored under `root` (in the shared folder without one), and the name of its second ranker: vectors where there is an embedder, else TF-IDF with a list of stop words."""
     spark = chunks.sparkSession
     root = root or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     lexical = InvertedIndex(spark, f"{root}/words", key=key, keep=keep)
-    tfidf = None if embed else TfidfIndex(spark, f"{root}/grams", key=key, keep=keep)
+    tfidf = None if embed else TfidfIndex(spark, f"{root}/grams-{zlib.crc32(' '.join(sorted(stop)).encode()):08x}", key=key, keep=keep, stop=stop)
     for index in filter(None, (lexical, tfidf)):
         if not index.segments():
             index.append(chunks)

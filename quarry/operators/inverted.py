@@ -14,8 +14,9 @@ Results are those of scoring all documents. Keys must be unique over all segment
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.text import tokens
-from quarry.operators.retrieval import B, FEATURES, K1, SENT, uni_bigrams
+from quarry.operators.retrieval import B, FEATURES, K1, SENT, STOP, uni_bigrams
 from quarry.operators.storage import Manifest, ship
 
 SHARD, CELL, BUCKETS = 1 << 16, 128, 16
@@ -350,10 +351,10 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 class TfidfIndex(InvertedIndex):
-    """Words and word pairs by cosine of sublinear counts; weights follow all segments and are kept for a version."""
+    """Words and word pairs by cosine of sublinear counts; weights follow all segments and are kept for a version. A root holds texts read with one list of stop words."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), features: int = FEATURES):
-        super().__init__(spark, root, uni_bigrams, key, text, keep)
+    def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), features: int = FEATURES, stop: Sequence[str] = STOP):
+        super().__init__(spark, root, partial(uni_bigrams, stop=tuple(stop)), key, text, keep)
         self.features = features
 
     def _postings(self, name: str) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,13 +55,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None
     return ranked(scores.where("score > 0"), query, key, k)
 
 
-# fixed values: our own list; the weights of very frequent words are small in any case
-STOP = "a an and are as at be by for from has have he in is it its of on or that the this to was were will with".split()
+# fixed values: our own short list, where no other is given; the weights of very frequent words are small in any case
+STOP = tuple("a an and are as at be by for from has have he in is it its of on or that the this to was were will with".split())
+# fixed values: letters, digits and underscores of any script, two or more
+GRAM_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def uni_bigrams(c: Column) -> Column:
-    """Words but for stop words, and pairs of neighbours among them; the words are extracted once."""
-    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9][a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*STOP))
+def uni_bigrams(c: Column, stop: Sequence[str] = STOP) -> Column:
+    """Words but for stop words, and pairs of neighbours among what is left; the words are extracted once. `stop` may be a list of any length, as other libraries have them."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(GRAM_WORD), F.lit(0))
+    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
     pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.transform(F.array(words), lambda w: F.concat(w, pairs(w))).getItem(0)
 
@@ -66,13 +72,13 @@ def uni_bigrams(c: Column) -> Column:
 FEATURES = 50_000
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", features: int = FEATURES, keep: Column | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", features: int = FEATURES, keep: Column | None = None, stop: Sequence[str] = STOP) -> DataFrame:
     """Cosine of sublinear tf, smooth idf vectors over the `features` words and word pairs that occur most (ties to the smaller term).
 
     Queries with fewer than k documents of a positive score are filled up with documents of score 0, by key. `keep` filters what is ranked.
     """
     n = docs.count()
-    grams = uni_bigrams(F.col("text"))
+    grams = uni_bigrams(F.col("text"), stop)
     one = lambda d, t: lambda w: F.struct(w.alias("term"), F.lit(d).alias("d"), F.lit(t).alias("t"))
     both = F.transform(F.array(grams), lambda g: F.concat(F.transform(F.array_distinct(g), one(1, 0)), F.transform(g, one(0, 1)))).getItem(0)
     by_count = docs.select(F.inline(both)).groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("times"))  # combined before the shuffle
@@ -82,7 +88,7 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", quer
     known = docs.select(key, F.explode(grams).alias("term")).join(weights, "term")
     doc = known.groupBy(key, "term", "idf").agg(F.count("*").alias("tf")).select(key, "term", w.alias("w"))
     norms = doc.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = postings(queries, query, words=uni_bigrams).join(weights, "term").select(query, "term", w.alias("qw"))
+    q = postings(queries, query, words=partial(uni_bigrams, stop=stop)).join(weights, "term").select(query, "term", w.alias("qw"))
     qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     if keep is not None:
         doc = doc.join(docs.where(keep).select(key), key, "left_semi")

@@ -161,7 +161,7 @@ _STOPS = ", ".join(f"'{w}'" for w in R.STOP)
 def _grams_sql(table_: str, key: str) -> str:
     return f"""SELECT {key}, term, count(*) AS tf FROM (
     SELECT {key}, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)]) AS term FROM (
-      SELECT {key}, [x FOR x IN regexp_extract_all(lower(text), '[a-z0-9][a-z0-9]+') IF x NOT IN ({_STOPS})] AS w FROM {table_})) GROUP BY ALL"""
+      SELECT {key}, [x FOR x IN regexp_extract_all(lower(text), '{R.GRAM_WORD}') IF x NOT IN ({_STOPS})] AS w FROM {table_})) GROUP BY ALL"""
 
 
 def _tfidf_sql(k: int) -> str:

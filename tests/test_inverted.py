@@ -136,3 +136,46 @@ def test_an_empty_index_has_no_answers(spark, corpus, tmp_path):
     assert index.search(asked, 5).count() == 0
     index.append(docs.where("doc_id < 20"))
     assert shown(index.search(asked, 3)) == shown(retrieval.rrf(retrieval.bm25(docs.where("doc_id < 20"), asked, 10), retrieval.tfidf(docs.where("doc_id < 20"), asked, 10), 3))
+
+
+def test_features_follow_the_given_stop_words_and_words_of_any_script(spark, tmp_path):
+    """Against a plain cosine of sublinear counts and smooth idf, with another list of stop words."""
+    import math
+    import re
+    from collections import Counter
+
+    from quarry.operators.inverted import TfidfIndex
+    from quarry.operators.retrieval import STOP, tfidf
+
+    stop = ("größe", "der", *[f"word{i}" for i in range(400)])
+    texts = ["Die Größe der Straße über alles", "über_alles die straße 42 x", "Der Été, l\u2019été: année 中文 文字", "a I ß", "", None, "word7 die Straße über", "ÜBER ALLES 中文 文字 die"]
+    asked = {1: "Die STRASSE der straße", 2: "été 中文 die größe", 3: "nothing of it", 4: ""}
+
+    def grams(t):
+        w = [x for x in re.findall(r"\w\w+", (t or "").lower()) if x not in stop]
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    counts = [grams(t) for t in texts]
+    df = Counter(g for c in counts for g in c)
+    idf = {g: math.log((1 + len(texts)) / (1 + n)) + 1 for g, n in df.items()}
+
+    def vector(c):
+        v = {g: (1 + math.log(n)) * idf[g] for g, n in c.items() if g in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()}
+
+    want = {}
+    for q, t in asked.items():
+        v = vector(grams(t))
+        scores = [(round(sum(x * vector(c).get(g, 0.0) for g, x in v.items()), 9), i) for i, c in enumerate(counts)]
+        want[q] = [(i, round(s, 6)) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:4]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    questions = spark.createDataFrame([*asked.items()], "item_id int, text string")
+    index = TfidfIndex(spark, f"file://{tmp_path}/grams", stop=stop)
+    index.append(docs)
+    for found in (index.cosine(questions, 4), tfidf(docs, questions, 4, stop=stop)):
+        got = {q: [] for q in asked}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got[r.item_id].append((r.doc_id, round(r.score, 6)))
+        assert got == want
+    assert "the" in STOP and want[2][0][1] > 0
