@@ -20,7 +20,7 @@ similarity reaches the threshold, and the operator returns the connected compone
 
 No task holds a whole posting list: what is asked of a list as a whole are aggregates, combined before the shuffle and joined back
 (a skewed join, which AQE may split); lists are first told apart from those of one node within slices of HOT texts at most, by the recurring shingles'
-counts; nodes of crowded lists are dealt to blocks by counts and hashes.
+counts; nodes of crowded lists are dealt to blocks by size, counts and hashes, and their blocks meet in rounds of bounded bytes.
 
 Nulls and texts without words have an empty set, link with nothing and are their own component.
 Repeated rows come back once each. Rows whose doc_id is null still belong to their class; a component
@@ -30,6 +30,7 @@ hashed in blocks. Words and shingles stand as 64-bit hashes throughout, so count
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -61,6 +62,8 @@ LEADS = 2
 #: A list with more open pairs than so many a node is crowded.
 CROWD = 24
 SIDE = 1024
+#: Bytes of whole sets that one round of meetings ships.
+SHIPPED = 1 << 31
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -318,38 +321,65 @@ def _linked(texts: DataFrame, live: DataFrame, sketches: DataFrame, k: int, perc
     return cut(connected(links), "roots") if more else roots
 
 
-def _crowded(texts: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among nodes on crowded lists, block against block on whole sets, without a row for each pair.
+def _dealt(crowd: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root, block) of the nodes of crowded lists, and (a, b, bytes) of the blocks that meet, with what a meeting ships.
 
-    A node goes by its most crowded list; the nodes of a list are dealt to blocks of about SIDE, large components to blocks of their own. Two
-    blocks meet if a crowded list has nodes of both, unless all are of one component or too different in
-    size; a meeting returns only the links that join components.
+    Partners differ little in size, so blocks are dealt by size first and meet only those of near sizes. Of one size, large components have blocks of
+    about SIDE to themselves, then the nodes of a list that is the most crowded one of many, then all others, by list.
     """
-    spark = texts.sparkSession
     members = crowd.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max(F.struct("m", "gram"))["gram"].alias("key"))
-    members = cut(members, "members")
-    # a list's nodes by component; those of components with fewer than SIDE / 4 of them are dealt together, by component
-    parts = members.groupBy("key", "root").agg(F.count("*").alias("mine"))
-    small = F.col("mine") < SIDE // 4
-    rest = parts.where(small).groupBy("key").agg(F.sum("mine").alias("others"))
-    dealt = parts.join(rest, "key", "left").withColumn("blocks", F.ceil(F.when(small, F.col("others")).otherwise(F.col("mine")) * 4 / (3 * SIDE)))
-    part = F.when(small, F.pmod(F.xxhash64("root"), F.col("blocks"))).otherwise(F.lit(-1))
-    within = F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")))
-    named = F.xxhash64("key", part, F.when(small, F.lit(0).cast("long")).otherwise(F.col("root")), within)
-    members = cut(members.join(dealt, ["key", "root"]).select("node", "n", "root", "key", named.alias("block")), "crowd")
-    blocks = members.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    level = F.floor(F.log("n") / F.lit(max(math.log(100 / percent) / 2, 0.05))).alias("level")
+    members = cut(members.select("*", level), "members")
+    few = lambda c: F.col(c) < SIDE // 4
+    parts = members.groupBy("level", "key", "root").agg(F.count("*").alias("n_part"))
+    of_root = parts.groupBy("level", "root").agg(F.sum("n_part").alias("n_root"))
+    parts = parts.join(of_root, ["level", "root"])
+    of_key = parts.where(few("n_root")).groupBy("level", "key").agg(F.sum("n_part").alias("n_key"))
+    of_rest = of_key.where(few("n_key")).groupBy("level").agg(F.sum("n_key").alias("n_rest"))
+    parts = parts.join(of_key, ["level", "key"], "left").join(of_rest, "level", "left")
+    blocks = lambda c: F.ceil(F.col(c) * 4 / (3 * SIDE))
+    none = F.lit(0).cast("long")
+    own = F.xxhash64(F.lit(0), "level", "root", F.pmod(F.xxhash64("node"), blocks("n_root")))
+    listed = F.xxhash64(F.lit(1), "level", "key", F.pmod(F.xxhash64("root"), blocks("n_key")))
+    rest = F.xxhash64(F.lit(2), "level", none, F.pmod(F.xxhash64("key"), blocks("n_rest")))
+    named = F.when(~few("n_root"), own).when(~few("n_key"), listed).otherwise(rest)
+    members = cut(members.join(parts, ["level", "key", "root"]).select("node", "n", "root", named.alias("block")), "crowd")
+    blocks = members.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"), (8 * F.sum("n")).alias("bytes"))
     on = crowd.join(members.select("node", "block"), "node").select("gram", "block").distinct()
-    both = on.alias("a").join(on.alias("b"), F.expr("a.gram = b.gram and a.block <= b.block")).select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
+    on = on.join(blocks.select("block", "least", "most"), "block")
+    near = f"a.gram = b.gram and a.block <= b.block and 100 * a.most >= {percent} * b.least and 100 * b.most >= {percent} * a.least"
+    both = on.alias("a").join(on.alias("b"), F.expr(near)).select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
     meet = both.join(blocks.select(*[F.col(c).alias(f"{c}_a") for c in blocks.columns]), F.expr("a = block_a"))
     meet = meet.join(blocks.select(*[F.col(c).alias(f"{c}_b") for c in blocks.columns]), F.expr("b = block_b"))
-    meet = meet.where(f"not (low_a = high_b and high_a = low_b) and 100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a")
-    sides = meet.select(F.xxhash64("a", "b").alias("task"), F.explode(F.expr("array(struct(a as block, 0 as side), struct(b as block, 1 as side))")).alias("s"))
-    sides = sides.select("task", "s.block", "s.side")
+    meet = meet.where("not (low_a = high_b and high_a = low_b)").select("a", "b", (F.col("bytes_a") + F.col("bytes_b")).alias("bytes"))
+    return members.select("node", "root", "block"), cut(meet, "meetings")
+
+
+def _crowded(texts: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among nodes on crowded lists, block against block on whole sets, without a row for each pair.
+
+    Two blocks meet if a crowded list has nodes of both, unless all are of one component or too different in
+    size; a meeting returns only the links that join components. A set goes to every meeting of its block, so meetings
+    are held in rounds that ship about SHIPPED bytes each, and a round's shuffle is let go before the next.
+    """
+    spark = texts.sparkSession
+    members, meet = _dealt(crowd, percent)
     bits = spark.sparkContext.broadcast(_filter_bits(members))
     sets = texts.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"])
-    dealt = members.join(sets, "node").join(sides, "block").select("task", "side", "node", "root", "grams")
-    links = cut(dealt.groupBy("task").applyInArrow(_meeting(percent), "a long, b long"), "verified")
+    sets = cut(members.join(sets, "node"), "sets")
     bits.unpersist()
+    rounds = -(-(meet.agg(F.sum("bytes")).first()[0] or 0) // SHIPPED) or 1
+    meet = meet.withColumn("task", F.xxhash64("a", "b"))
+    links = None
+    for i in range(rounds):
+        now = meet.where(F.pmod(F.xxhash64("task"), F.lit(rounds)) == i)
+        sides = now.select("task", F.explode(F.expr("array(struct(a as block, 0 as side), struct(b as block, 1 as side))")).alias("s"))
+        dealt = sets.join(sides.select("task", "s.block", "s.side"), "block").select("task", "side", "node", "root", "grams")
+        found = cut(dealt.groupBy("task").applyInArrow(_meeting(percent), "a long, b long"), "verified")
+        links = found if links is None else links.unionByName(found)
+        del dealt
+        release(spark)
+    drop_cut(sets)
     return links
 
 

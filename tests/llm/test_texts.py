@@ -59,6 +59,36 @@ def test_jaccard_components(rows, docs, monkeypatch, crowd):
     assert sorted(got, key=key) == sorted(components(rows), key=key)
 
 
+def test_crowded_lists_meet_by_size_in_bounded_rounds(spark, monkeypatch):
+    """Near copies in several sizes around passages that all texts have: the same links in many rounds, and no block meets one of far other sizes."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 0)
+    monkeypatch.setattr(jaccard_join, "SIDE", 16)
+    monkeypatch.setattr(jaccard_join, "SHIPPED", 1 << 16)
+    draw = random.Random(5)
+    common = [f"c{i}" for i in range(9)]
+    texts = []
+    for i in range(60):
+        base = [f"w{i}x{j}" for j in range(8 * 2 ** (i % 4))] + common
+        for _ in range(4):
+            texts.append(" ".join(w if draw.random() > 0.02 else "other" for w in base))
+    table = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    written, cut = [], jaccard_join.cut
+
+    def seen(frame, name):
+        out = cut(frame, name)
+        written.append((name, out))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", seen)
+    got = [tuple(r) for r in jaccard_join.jaccard_components(df).collect()]
+    assert sorted(got, key=key) == sorted(components(table), key=key)
+    meet = [frame.collect() for name, frame in written if name == "meetings"]
+    assert meet and sum(name == "verified" for name, _ in written) > 3
+    blocks = {b for m in meet[-1] for b in (m.a, m.b)}
+    assert len(meet[-1]) < len(blocks) * (len(blocks) + 1) / 4
+
+
 def test_empty_tables(spark, none):
     assert jaccard_join.jaccard_components(none).count() == 0
     assert packing.pack(none).count() == 0
