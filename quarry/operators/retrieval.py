@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.text import tokens
+from quarry.operators.storage import ship
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: At most so many query vectors, hits or terms are sent to all tasks; more are joined by shuffle.
 SENT = 65_536
 #: Of vectors and texts so many bytes at most.
 SENT_BYTES = 64 << 20
+#: Vectors that a block of queries meets in one task.
+SLICE = 8192
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", words=tokens) -> DataFrame:
@@ -124,25 +130,72 @@ def unit(v: Column) -> Column:
     return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x / n)).getItem(0)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, block: int = 1024) -> DataFrame:
+def _arrays(column: pa.ChunkedArray) -> list:
+    """A list of numbers each as an array; none for a null or a list with nulls."""
+    out = []
+    for part in column.chunks:
+        flat, ends, null = part.values, part.offsets.to_numpy(), part.is_null().to_numpy(zero_copy_only=False)
+        values, gap = flat.to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+        out += [None if no or gap[b] > gap[a] else values[a:b] for no, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
+    return out
+
+
+def _products(queries: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Products of each query and each vector, and where there is one: both are given and equally long."""
+    one, two = (np.array([-1 if x is None else len(x) for x in xs], np.int64) for xs in (queries, vectors))
+    out = np.zeros((len(queries), len(vectors)))
+    for n in np.intersect1d(one[one >= 0], two[two >= 0]):
+        i, j = np.flatnonzero(one == n), np.flatnonzero(two == n)
+        out[np.ix_(i, j)] = np.stack([queries[x] for x in i]) @ np.stack([vectors[x] for x in j]).T
+    return out, (one[:, None] == two) & (one[:, None] >= 0)
+
+
+def _nearest(k: int, same: bool):
+    """The k best vectors of a slice for each query of a block, a few queries at a time."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by("vec_id")
+        asked, held = rows.filter(rows["asks"]), rows.filter(pc.invert(rows["asks"]))
+        vectors, ids, q_ids = _arrays(held["v"]), held["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
+        label, q_label = (np.array(t["same"].to_pylist(), object) if same else None for t in (held, asked))
+        q_vectors, out = _arrays(asked["v"]), ([], [], [])
+        for at in range(0, len(q_ids) if len(ids) else 0, 512):
+            some = slice(at, at + 512)
+            score, known = _products(q_vectors[some], vectors)
+            order = np.where(known, np.nan_to_num(np.round(score, 9), nan=np.inf), -1e300)
+            other = q_ids[some, None] != ids
+            if same:
+                other &= (q_label[some, None] == label) & (label != None)  # noqa: E711
+            order[~other] = -np.inf
+            least = -np.partition(-order, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(order), -np.inf)
+            for i, row in enumerate(order):
+                found = np.flatnonzero((row >= least[i]) & other[i])  # by id
+                found = found[np.argsort(-row[found], kind="stable")[:k]]
+                out[0].append(np.repeat(q_ids[at + i], len(found)))
+                out[1].append(ids[found])
+                out[2].append(np.where(known[i, found], score[i, found], np.nan))
+        none = np.zeros(0, np.int64)
+        q, v, s = (np.concatenate([none, *x]) if x else none for x in out)
+        return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s.astype(float), pa.float64(), from_pandas=True)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, block: int = 8192) -> DataFrame:
     """Exact cosine top-k of each query vector against all vectors, itself excluded; `same` is a column that must agree.
 
-    The stated queries meet all vectors in blocks of about `block` queries: a vector meets whole blocks, keeps each block's scores in one row, and
-    every partition keeps its own k best of a query before the shuffle. An exact search, not a join on similarity.
+    Blocks of about `block` queries meet slices of about SLICE vectors, each in a task, by products of matrices; a meeting returns its own k best of
+    a query. An exact search, not a join on similarity. A pair without a score (a null in either vector, or other lengths) ranks last.
     """
-    cols = ["vec_id", *([same] if same else [])]
-    v = vectors.select(*cols, unit(F.col("embedding")).alias("v"))
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in cols], unit(F.col("embedding")).alias("q"))
-    asked = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("size")).first()
-    blocks = max(1, -(-asked["n"] // block))
-    dealt = q.groupBy(F.pmod(F.xxhash64("q_vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*q.columns)).alias("qs"))
-    spread = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    if 8 * asked["n"] * asked["size"] <= SENT_BYTES:
-        dealt = F.broadcast(dealt)
-    met = spread.join(dealt, "block")  # an equi-join: a block is one row of the smaller side
-    other = lambda x: (x["q_vec_id"] != F.col("vec_id")) & ((x[f"q_{same}"] == F.col(same)) if same else F.lit(True))
-    scored = F.transform(F.filter("qs", other), lambda x: F.struct(x["q_vec_id"].alias("query_id"), dot(F.col("v"), x["q"]).alias("score")))
-    scores = met.select("vec_id", F.inline(scored)).select("query_id", "vec_id", "score")
+    ship(vectors.sparkSession)
+    label = F.col(same) if same else F.lit(None).cast("int")
+    shape = lambda df, asks: df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("same"), unit(F.col("embedding")).alias("v"), F.lit(asks).alias("asks"))
+    blocks, slices = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (vectors, SLICE)))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = shape(vectors, False).select("*", mine(slices).alias("slice"), every(blocks).alias("block"))
+    asked = shape(queries, True).select("*", mine(blocks).alias("block"), every(slices).alias("slice"))
+    scores = held.unionByName(asked).groupBy("block", "slice").applyInArrow(_nearest(k, bool(same)), "query_id long, vec_id long, score double")
     return ranked(scores, "query_id", "vec_id", k)
 
 
