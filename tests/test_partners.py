@@ -158,3 +158,12 @@ def test_vectors_without_structure_are_found_by_their_codes(spark, tmp_path):
     queries = vectors.where("vec_id % 10 = 0")
     entry = next(iter(index.manifest.read()["data"].values()))
     assert entry["reranked"] < 50 and recall(index, vectors, queries, 5) >= 0.9
+
+
+def test_a_difference_matches_once(spark):
+    rows = [(1, i, f"word{i} same{i} common text number {i} " * 4) for i in range(5)] + [(2, i, f"word{i} same{i} common text number {i + i % 2} " * 4) for i in range(4)]
+    units = spark.createDataFrame(rows, "doc_id long, pos int, text string")
+    pair = spark.createDataFrame([(1, 2)], "old_id long, new_id long")
+    found = diffing.diff(pair, units)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+    assert ("removed", 4, -1) in {(r.kind, r.old_pos, r.new_pos) for r in found.collect()}
