@@ -167,3 +167,22 @@ def test_a_difference_matches_once(spark):
     found = diffing.diff(pair, units)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
     assert ("removed", 4, -1) in {(r.kind, r.old_pos, r.new_pos) for r in found.collect()}
+
+
+def test_small_meetings_are_matched_together_and_words_are_split_once(spark, monkeypatch):
+    """40 meetings of a few units, in batches that cut through them: three calls, and the partners of plain loops. Frequent words are left to single meetings."""
+    r = random.Random(9)
+    sets = {k: ([{f"w{r.randint(0, 9)}" for _ in range(r.randint(0, 5))} for _ in range(r.randint(0, 4))], [{f"w{r.randint(0, 9)}" for _ in range(3)} for _ in range(r.randint(0, 4))]) for k in range(40)}
+    rows = [{"old_id": k, "new_id": k + 1, "old_block": 0, "new_block": 0, "new": bool(side), "pos": p, "feature": sorted(w)} for k, sides in sets.items() for side in (0, 1) for p, w in enumerate(sides[side])]
+    kinds = pa.schema([(c, pa.int64()) for c in ("old_id", "new_id", "old_block", "new_block")] + [("new", pa.bool_()), ("pos", pa.int32()), ("feature", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 60], kinds) for i in range(0, len(rows), 60)]
+    want = [(k, p, *best_word_partner(old, w)) for k, (old, new) in sets.items() for p, w in enumerate(new)]
+    calls = []
+    for at_once in (partners.AT_ONCE, 5):
+        monkeypatch.setattr(partners, "AT_ONCE", at_once)
+        calls.clear()
+        got = [x for b in partners._blocks(lambda *a: calls.append(1) or partners.by_words(*a))(iter(batches)) for x in zip(*(b.column(c).to_pylist() for c in ("old_id", "new_pos", "old_pos", "score")))]
+        assert got == want and len(calls) <= 2 * len(batches)
+    units = spark.createDataFrame([(1, 0, "a b"), (2, 0, "b c")], "doc_id long, pos int, text string")
+    found = diffing.best_matches(spark.createDataFrame([(1, 2)], "old_id long, new_id long"), units)
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString() and found.first().score == 1 / 3
