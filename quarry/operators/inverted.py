@@ -35,22 +35,40 @@ SMALL, MERGE = 1 << 20, 8
 FILTERED = 2_000
 #: About so many questions share a task's rows of a shard.
 TOGETHER = 32
+#: Words or postings that are worked on at once; batches are cut into runs of rows of about so many.
+COUNTED, PACKED = 1 << 18, 1 << 20
 _POSTINGS = "term string, shard long, n int, docs binary, tfs binary, cells binary, ends binary, peaks binary"
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most so much together, a row at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield at, stop
+        at = stop
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column's lists of words become terms, in no order, and counts."""
+    """The last column's lists of words become terms, in no order, and counts; a run of rows at a time, so a worker holds a batch and little more."""
     for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
-        at = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-        kinds = max(1, len(coded.dictionary))
-        row = np.repeat(np.arange(len(lists)), np.diff(at))
-        keys, n = np.unique(row * kinds + coded.indices.to_numpy(), return_counts=True)
-        ends = pa.array(np.searchsorted(keys, np.arange(len(lists) + 1) * kinds).astype(np.int32))
-        terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(keys % kinds)))
-        tfs = pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at)), terms, tfs], names=[*batch.schema.names[:-1], "size", "terms", "tfs"])
+        sizes = np.diff(batch.column(batch.num_columns - 1).offsets.to_numpy().astype(np.int64))
+        for a, b in _runs(sizes, COUNTED):
+            yield _counted(batch.slice(a, b - a))
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = batch.column(batch.num_columns - 1)
+    at = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    row = np.repeat(np.arange(len(lists)), np.diff(at))
+    keys, n = np.unique(row * kinds + coded.indices.to_numpy(), return_counts=True)
+    ends = pa.array(np.searchsorted(keys, np.arange(len(lists) + 1) * kinds).astype(np.int32))
+    terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(keys % kinds)))
+    tfs = pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at)), terms, tfs], names=[*batch.schema.names[:-1], "size", "terms", "tfs"])
 
 
 def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -60,21 +78,25 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, shard, list of (place, count) in the order of places) -> a row of packed blocks."""
-    for batch in batches:
-        lists = batch.column("list")
-        at = lists.offsets.to_numpy().astype(np.int64)
-        place, tf = (lists.values.field(k).to_numpy()[at[0] : at[-1]] for k in ("place", "tf"))
-        at -= at[0]
-        n = np.diff(at)
-        row = np.repeat(np.arange(len(n)), n)
-        opens = np.ones(len(place), bool)
-        opens[1:] = (np.diff(place // CELL) != 0) | (np.diff(row) != 0)
-        first = np.flatnonzero(opens)
-        blocks = np.searchsorted(first, at)
-        ends = np.append(first[1:], len(place)) - at[row[first]] if len(first) else first
-        peaks = np.maximum.reduceat(tf, first) if len(first) else tf
-        packed = [_binary(place.astype(np.uint16), at), _binary(tf.astype(np.uint32), at), _binary((place[first] // CELL).astype(np.uint16), blocks), _binary(ends.astype(np.uint32), blocks), _binary(peaks.astype(np.uint32), blocks)]
-        yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("shard"), pa.array(n.astype(np.int32)), *packed], names=[x.split()[0] for x in _POSTINGS.split(", ")])
+    for whole in batches:
+        yield from (_packed(whole.slice(a, b - a)) for a, b in _runs(np.diff(whole.column("list").offsets.to_numpy().astype(np.int64)), PACKED))
+
+
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = batch.column("list")
+    at = lists.offsets.to_numpy().astype(np.int64)
+    place, tf = (lists.values.field(k).to_numpy()[at[0] : at[-1]] for k in ("place", "tf"))
+    at -= at[0]
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    opens = np.ones(len(place), bool)
+    opens[1:] = (np.diff(place // CELL) != 0) | (np.diff(row) != 0)
+    first = np.flatnonzero(opens)
+    blocks = np.searchsorted(first, at)
+    ends = np.append(first[1:], len(place)) - at[row[first]] if len(first) else first
+    peaks = np.maximum.reduceat(tf, first) if len(first) else tf
+    packed = [_binary(place.astype(np.uint16), at), _binary(tf.astype(np.uint32), at), _binary((place[first] // CELL).astype(np.uint16), blocks), _binary(ends.astype(np.uint32), blocks), _binary(peaks.astype(np.uint32), blocks)]
+    return pa.RecordBatch.from_arrays([batch.column("term"), batch.column("shard"), pa.array(n.astype(np.int32)), *packed], names=[x.split()[0] for x in _POSTINGS.split(", ")])
 
 
 def _listed(forward: DataFrame) -> DataFrame:

@@ -179,3 +179,22 @@ def test_features_follow_the_given_stop_words_and_words_of_any_script(spark, tmp
             got[r.item_id].append((r.doc_id, round(r.score, 6)))
         assert got == want
     assert "the" in STOP and want[2][0][1] > 0
+
+
+def test_a_batch_is_counted_and_packed_in_bounded_runs(monkeypatch):
+    """However many words a batch has, a few are worked on at once: what comes out is cut likewise, and is the same."""
+    r = random.Random(4)
+    lists = [[r.choice("abcdefg") for _ in range(r.choice((0, 3, 40, 130)))] for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([*lists[:-1], None], pa.list_(pa.string()))], names=["key", "words"])
+    whole = [x for b in inverted._count(iter([batch])) for x in b.to_pylist()]
+    rows = pa.array([[{"place": p, "tf": 1 + p % 3} for p in range(n)] for n in (0, 5, 300, 7, 90, 1)], pa.list_(pa.struct([("place", pa.int32()), ("tf", pa.int32())])))
+    postings = pa.RecordBatch.from_arrays([pa.array(list("abcdef")), pa.array([0] * 6), rows], names=["term", "shard", "list"])
+    packed_ = [x for b in inverted._pack(iter([postings])) for x in b.to_pylist()]
+    monkeypatch.setattr(inverted, "COUNTED", 100)
+    monkeypatch.setattr(inverted, "PACKED", 100)
+    parts = list(inverted._count(iter([batch])))
+    plain = lambda rows: [(x["key"], x["size"], sorted(zip(x["terms"], x["tfs"]))) for x in rows]
+    assert max(sum(b.column("size").to_pylist()) for b in parts if b.num_rows > 1) <= 100 and len(parts) > 20
+    assert plain(x for b in parts for x in b.to_pylist()) == plain(whole) and [x["key"] for x in whole] == list(range(200))
+    parts = list(inverted._pack(iter([postings])))
+    assert len(parts) == 3 and [x for b in parts for x in b.to_pylist()] == packed_
