@@ -35,7 +35,8 @@ REMEMBER = 160_000
 _BLOCK = 1 << 20
 _BLANK = re.compile(rb"[\t-\r ]")
 #: ASCII marks between a letter and a blank are a pre-token of their own: set apart, they need no entry for each word.
-_MARKS = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-/:-@[-`{-~]+(?=[\t-\r ]|\Z)")
+#: The mark comes first and what stands before it is looked at afterwards, so the search jumps from mark to mark.
+_MARKS = re.compile(rb"[!-/:-@[-`{-~](?:(?<=[A-Za-z][!-~])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][!-~]))[!-/:-@[-`{-~]*(?=[\t-\r ]|\Z)")
 
 
 class WordIds:
