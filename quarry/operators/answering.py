@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from quarry.functions import text as X
 from quarry.operators import retrieval as R
 from quarry.operators.inverted import InvertedIndex, TfidfIndex
-from quarry.operators.storage import shared_dir, tasks
+from quarry.operators.storage import shared_dir, tasks, written
 
 POOL, TOP, PAST, PAST_CHARS = 25, 5, 2, 400
 # fixed values: what is said without passages or without a model
@@ -136,10 +136,13 @@ def answer(index: Index, questions: DataFrame, k: int = TOP, keep: Column | None
     The models are tried in their order; the first that gives a text is the backend, else the passages' starts are the answer. Only
     cited sources stay. A question without passages gets a fixed answer and the backend "none".
     """
-    hits = index.search(questions, max(pool, 3 * k), keep, query)
+    hits = written(index.search(questions, max(pool, 3 * k), keep, query), "hits")
     chunks = index.chunks if "citation" in index.chunks.columns else index.chunks.withColumn("citation", F.col(index.key).cast("string"))
     asked = questions.select(query, F.col("text").alias("question"))
-    full = lookup(hits, chunks.select(index.key, "text", "citation"), index.key).join(asked, query)
+    chunks = chunks.select(index.key, "text", "citation")
+    if hits.count() <= R.SENT:  # then texts that no question has met are in no exchange
+        chunks = chunks.join(F.broadcast(hits.select(index.key).distinct()), index.key, "left_semi")
+    full = lookup(hits, chunks, index.key).join(asked, query)
     found = kept_hits(rerank(full, score, query), k, query, index.key).select(query, "hits")
     rows = questions.select(query, F.col("text").alias("question"), *(["history"] if "history" in questions.columns else [])).join(found, query, "left")
     if "history" in rows.columns:

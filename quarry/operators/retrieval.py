@@ -67,10 +67,15 @@ STOP = tuple("a an and are as at be by for from has have he in is it its of on o
 GRAM_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def uni_bigrams(c: Column, stop: Sequence[str] = STOP) -> Column:
-    """Words but for stop words, and pairs of neighbours among what is left; the words are extracted once. `stop` may be a list of any length, as other libraries have them."""
+def gram_words(c: Column, stop: Sequence[str] = STOP) -> Column:
+    """Words in order but for stop words. `stop` may be a list of any length, as other libraries have them."""
     words = F.regexp_extract_all(F.lower(c), F.lit(GRAM_WORD), F.lit(0))
-    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+
+
+def uni_bigrams(c: Column, stop: Sequence[str] = STOP) -> Column:
+    """Words but for stop words, and pairs of neighbours among what is left; the words are extracted once."""
+    words = gram_words(c, stop)
     pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.transform(F.array(words), lambda w: F.concat(w, pairs(w))).getItem(0)
 

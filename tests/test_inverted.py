@@ -198,3 +198,69 @@ def test_a_batch_is_counted_and_packed_in_bounded_runs(monkeypatch):
     assert plain(x for b in parts for x in b.to_pylist()) == plain(whole) and [x["key"] for x in whole] == list(range(200))
     parts = list(inverted._pack(iter([postings])))
     assert len(parts) == 3 and [x for b in parts for x in b.to_pylist()] == packed_
+
+
+def test_words_cut_in_a_worker_are_those_of_the_pattern():
+    import re
+
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab9--- .éİ_\n") for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", "-", "a", "ab", "--ab", "a-", "-a-", "xßyy"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1)), pa.array([*texts, None])], names=["key", "words"])
+    want = [re.findall(r"[a-z0-9][a-z0-9\-]+", t) for t in texts] + [[]]
+    for part in (batch, batch.slice(7), batch.slice(5, 1), batch.slice(0, 0)):
+        got = [x for b in inverted._cut(iter([part])) for x in b.to_pylist()]
+        assert [x["words"] for x in got] == [want[k] for k in part.column("key").to_pylist()] and [x["key"] for x in got] == part.column("key").to_pylist()
+
+
+def test_parts_are_joined_over_batches_and_in_any_order(monkeypatch):
+    """Parts of a term and shard may come in several batches, and with places between those of another part, as a merge leaves them."""
+    r = random.Random(3)
+    want = {(t, s): sorted((p, r.randint(1, 9)) for p in r.sample(range(500), r.choice((1, 3, 200)))) for t in ("a", "a b", "c", "é") for s in (4, 5)}
+    rows = []
+    for (term, shard), posts in want.items():
+        split = [[x for x in posts if x[0] % 3 == k] for k in range(3)] if shard == 4 else [posts[:2], posts[2:]]
+        rows += [(term, shard, p[0][0], np.array([x[0] for x in p], np.uint16).tobytes(), np.array([x[1] for x in p], np.uint32).tobytes()) for p in split if p]
+    rows.sort(key=lambda x: (x[0].encode(), x[1], x[2]))
+    schema = pa.schema([("term", pa.string()), ("shard", pa.int64()), ("first", pa.int32()), ("docs", pa.binary()), ("tfs", pa.binary())])
+    whole = pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    monkeypatch.setattr(inverted, "PACKED", 50)
+    for size in (1, 2, 5, len(rows)):
+        batches = [whole.slice(a, size) for a in range(0, len(rows), size)]
+        got = [x for b in inverted._join(iter([*batches, whole.slice(0, 0)])) for x in b.to_pylist()]
+        assert {(x["term"], x["shard"]): [(y["place"], y["tf"]) for y in x["list"]] for x in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 12])
+def test_features_are_those_of_all_counts_however_few_slots(spark, corpus, tmp_path, monkeypatch, slots):
+    """Slots that tell too little let more through, and in the end all: the features stay the same."""
+    docs, _ = corpus
+    monkeypatch.setattr(inverted, "SLOTS", slots)
+    index = inverted.TfidfIndex(spark, f"file://{tmp_path}/grams", features=150)
+    index.append(docs)
+    grams = docs.select(F.explode(retrieval.uni_bigrams(F.col("text"))).alias("term"), "doc_id").groupBy("term").agg(F.count("*").alias("times"), F.countDistinct("doc_id").alias("df"))
+    want = {r.term: round(float(np.log(604 / (1 + r.df)) + 1), 9) for r in grams.orderBy(F.desc("times"), "term").limit(150).collect()}
+    assert {r.term: round(r.idf, 9) for r in index.weighed()[0].collect()} == want
+    monkeypatch.setattr(inverted, "SENT", 40)  # more features than are sent at once: taken in parts
+    other = inverted.TfidfIndex(spark, f"file://{tmp_path}/parts", features=150)
+    other.append(docs)
+    plain = lambda index: sorted(round(r.norm, 9) for r in index.weighed()[1].collect())
+    assert plain(other) == plain(index) and sorted(map(tuple, other.terms().collect())) == sorted(map(tuple, index.terms().collect()))
+
+
+def test_building_exchanges_gathered_terms_not_postings(spark, tmp_path):
+    """A word of 2,000 documents is exchanged as a few rows, and rare pairs are not exchanged at all."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta " + " ".join(f"r{r.randrange(10**9)}" for _ in range(20))) for i in range(2_000)], "doc_id long, text string").repartition(2)
+    index = inverted.TfidfIndex(spark, f"file://{tmp_path}/grams", features=7)
+    kept, sent = {}, []
+    write, by_id = inverted.TfidfIndex._write, inverted._frequent
+    try:
+        inverted.TfidfIndex._write = lambda self, parts, path: (sent.append(parts.count()), write(self, parts, path))[1]
+        inverted._frequent = lambda bits, slots: kept.setdefault("run", (by_id(bits, slots), np.unpackbits(np.frombuffer(bits, np.uint8)).sum()))[0]
+        index.append(docs)
+        found = {x.term for x in index.weighed()[0].collect()}
+    finally:
+        inverted.TfidfIndex._write, inverted._frequent = write, by_id
+    assert found == {"alpha", "beta", "gamma", "delta", "alpha beta", "beta gamma", "gamma delta"}
+    assert sent[0] <= 7 * 2 * 2  # 14,000 postings
+    assert {x.term: x.df for x in index.terms().collect()} == dict.fromkeys(found, 2_000)
