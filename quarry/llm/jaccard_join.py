@@ -16,7 +16,9 @@ similarity reaches the threshold, and the operator returns the connected compone
    a link: the sum of the smaller counts is never less than the overlap. First one node of each posting list against the others,
    which joins large groups of near copies with a linear number of pairs. Then every candidate pair
    whose two nodes are still in different components; pairs inside one cannot change it. Where a list
-   is crowded with such pairs, its nodes meet block against block on whole sets instead, without a row a pair.
+   is crowded with such pairs, its shingle is more frequent than the ordering knew. The nodes of crowded lists are then listed
+   anew among themselves, in an order that has those shingles' counts: two nodes that share a crowded list are both there, and all other
+   pairs were settled without. Where lists stay crowded, or little is at stake, their nodes meet block against block on whole sets instead, without a row a pair.
 
 No task holds a whole posting list: what is asked of a list as a whole are aggregates, combined before the shuffle and joined back
 (a skewed join, which AQE may split); lists are first told apart from those of one node within slices of HOT texts at most, by the recurring shingles'
@@ -64,6 +66,8 @@ CROWD = 24
 SIDE = 1024
 #: Bytes of whole sets that one round of meetings ships.
 SHIPPED = 1 << 31
+#: The nodes of crowded lists are listed anew, once, if their meetings would ship more bytes than so.
+RELISTED = 1 << 28
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -161,7 +165,9 @@ def prefix_of(grams: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarr
     return grams[listed], take, base + take, df[listed]
 
 
-def _postings(k: int, percent: int, frequent):
+def _postings(k: int, percent: int, frequent, bits=None):
+    """The lists of all nodes, or of those that the filter lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = frequent.value
         seen: set[int] = set()
@@ -169,15 +175,20 @@ def _postings(k: int, percent: int, frequent):
         for batch in batches:
             for _, grams, bounds in _sets(batch.column(0), k):
                 nodes = _nodes(grams, bounds)
+                wanted = np.diff(bounds) > 0
+                if bits is not None:
+                    wanted &= _hit(bits.value, nodes)
+                if not wanted.any():
+                    continue
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                     df = np.where(known[at] == grams, weight[at], 0)
                 else:
                     df = np.zeros(len(grams), np.int64)
                 lists, rows, slices = [], [], []
-                for i, node in enumerate(nodes.tolist()):
-                    a, b = bounds[i], bounds[i + 1]
-                    if a == b or node in seen:
+                for i in np.flatnonzero(wanted):
+                    a, b, node = bounds[i], bounds[i + 1], int(nodes[i])
+                    if node in seen:
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(node)
@@ -197,6 +208,12 @@ def _postings(k: int, percent: int, frequent):
     return run
 
 
+def _hit(mask: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Which nodes the filter lets through."""
+    slot = nodes.astype(np.uint64) % np.uint64(FILTER_BITS)
+    return ((mask[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def _wanted(k: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bits.value
@@ -204,10 +221,8 @@ def _wanted(k: int, bits):
         for batch in batches:
             for _, grams, bounds in _sets(batch.column(0), k):
                 nodes = _nodes(grams, bounds)
-                slot = nodes.astype(np.uint64) % np.uint64(FILTER_BITS)
-                hit = (mask[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
                 out, sets = [], []
-                for i in np.flatnonzero(hit & (np.diff(bounds) > 0)):
+                for i in np.flatnonzero(_hit(mask, nodes) & (np.diff(bounds) > 0)):
                     node = int(nodes[i])
                     if node in seen:
                         continue
@@ -235,9 +250,7 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
 def _in_filter(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(0).to_numpy().astype(np.uint64) % np.uint64(FILTER_BITS)
-            hit = (bits.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(hit.astype(bool)))
+            yield batch.filter(pa.array(_hit(bits.value, batch.column(0).to_numpy())))
 
     return run
 
@@ -277,7 +290,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, k: int, pe
     return links
 
 
-def _linked(texts: DataFrame, live: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+def _listed(texts: DataFrame, frequent, k: int, percent: int, bits=None) -> DataFrame:
+    """(gram, node, n, ask, up) of the posting lists with more than one node, by an order that has the shingles of `frequent` last."""
+    # a row of postings is three numbers: the size, what is asked for, and the slice of the list share one
+    postings = texts.mapInArrow(_postings(k, percent, frequent, bits), "gram long, node long, rest long").withColumn("slice", F.expr("rest & 16777215"))
+    # a list of more than HOT texts is in slices, which are kept whole: it has more than one node but for the rarest case
+    by_gram = Window.partitionBy("gram", "slice")
+    lists = postings.withColumn("low", F.min("node").over(by_gram)).withColumn("high", F.max("node").over(by_gram))
+    lists = lists.withColumn("any_up", F.max(F.expr("rest & 16777216")).over(by_gram)).where("slice > 0 or (low <> high and any_up > 0)")
+    shown = "gram", "node", F.expr("cast((rest >> 32) as int) n"), F.expr("cast(((rest >> 25) & 127) as byte) ask"), F.expr("((rest & 16777216) > 0) as up")
+    return cut(lists.select(*shown), "postings")
+
+
+def _recounted(frequent: tuple[np.ndarray, np.ndarray], crowd: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ordered shingles with those of crowded lists, about ORDERED of these at most, which count what their lists have at least."""
+    more, counts = _ordered(crowd.groupBy("gram").agg(F.max("m").alias("df")))
+    known, at = np.unique(np.concatenate([frequent[0], more]), return_inverse=True)
+    weight = np.zeros(len(known), np.int64)
+    np.maximum.at(weight, at, np.concatenate([frequent[1], counts]))
+    return known, weight
+
+
+def _linked(texts: DataFrame, live: DataFrame, frequent: tuple[np.ndarray, np.ndarray], sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that link, from the posting lists with more than one node."""
     spark = live.sparkSession
     release(spark)
@@ -292,7 +326,37 @@ def _linked(texts: DataFrame, live: DataFrame, sketches: DataFrame, k: int, perc
     roots = cut(connected(links), "roots")
     release(spark)
 
+    more = []
     apart = _apart(live, roots)
+    pairs, crowd = _candidates(apart, first, percent)
+    if not pairs.isEmpty():
+        release(spark)
+        more.append(_verified(texts, pairs, sketches, k, percent))
+    members, meet, shipped = _dealt(crowd, percent)
+    if shipped > RELISTED:
+        # two nodes on a crowded list in common are both among its members, so the lists of these alone find what is left
+        drop_cut(apart)
+        counts, bits = spark.sparkContext.broadcast(_recounted(frequent, crowd)), spark.sparkContext.broadcast(_filter_bits(members))
+        again = _listed(texts, counts, k, percent, bits)
+        counts.destroy()
+        bits.destroy()
+        release(spark)
+        pairs, crowd = _candidates(_apart(again, roots), first.unionByName(pairs), percent)
+        drop_cut(again)
+        if not pairs.isEmpty():
+            release(spark)
+            more.append(_verified(texts, pairs, sketches, k, percent))
+        members, meet, shipped = _dealt(crowd, percent)
+    if shipped:
+        release(spark)
+        more.append(_crowded(texts, members, meet, shipped, k, percent))
+    for found in more:
+        links = links.unionByName(found)
+    return cut(connected(links), "roots") if more else roots
+
+
+def _candidates(apart: DataFrame, done: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) to verify of the lists that are not crowded, without those done; and the crowded lists, with their number m of nodes."""
     per_root = apart.groupBy("gram", "root").agg(F.count("*").alias("m"), F.count_if("up").alias("up"))
     per_gram = per_root.groupBy("gram").agg(F.sum("m").alias("m"), F.sum("up").alias("up"), F.sum(F.col("m") * F.col("up")).alias("own"))
     crowded = per_gram.where(F.expr(f"m * up - own > {CROWD} * m")).select("gram", "m")
@@ -308,21 +372,11 @@ def _linked(texts: DataFrame, live: DataFrame, sketches: DataFrame, k: int, perc
     pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("got"), F.first(need).alias("need"))
     # a pair on a crowded list is held against each other there
     pairs = pairs.where("got >= need").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = []
-    if not pairs.isEmpty():
-        release(spark)
-        more.append(_verified(texts, pairs, sketches, k, percent))
-    if not crowd.isEmpty():
-        release(spark)
-        more.append(_crowded(texts, crowd, k, percent))
-    for found in more:
-        links = links.unionByName(found)
-    return cut(connected(links), "roots") if more else roots
+    return cut(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), crowd
 
 
-def _dealt(crowd: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, root, block) of the nodes of crowded lists, and (a, b, bytes) of the blocks that meet, with what a meeting ships.
+def _dealt(crowd: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(node, root, block) of the nodes of crowded lists; (a, b, bytes) of the blocks that meet, with what a meeting ships; and the bytes of all meetings.
 
     Partners differ little in size, so blocks are dealt by size first and meet only those of near sizes. Of one size, large components have blocks of
     about SIDE to themselves, then the nodes of a list that is the most crowded one of many, then all others, by list.
@@ -352,10 +406,11 @@ def _dealt(crowd: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     meet = both.join(blocks.select(*[F.col(c).alias(f"{c}_a") for c in blocks.columns]), F.expr("a = block_a"))
     meet = meet.join(blocks.select(*[F.col(c).alias(f"{c}_b") for c in blocks.columns]), F.expr("b = block_b"))
     meet = meet.where("not (low_a = high_b and high_a = low_b)").select("a", "b", (F.col("bytes_a") + F.col("bytes_b")).alias("bytes"))
-    return members.select("node", "root", "block"), cut(meet, "meetings")
+    meet = cut(meet, "meetings")
+    return members.select("node", "root", "block"), meet, meet.agg(F.sum("bytes")).first()[0] or 0
 
 
-def _crowded(texts: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFrame:
+def _crowded(texts: DataFrame, members: DataFrame, meet: DataFrame, shipped: int, k: int, percent: int) -> DataFrame:
     """Links among nodes on crowded lists, block against block on whole sets, without a row for each pair.
 
     Two blocks meet if a crowded list has nodes of both, unless all are of one component or too different in
@@ -363,12 +418,11 @@ def _crowded(texts: DataFrame, crowd: DataFrame, k: int, percent: int) -> DataFr
     are held in rounds that ship about SHIPPED bytes each, and a round's shuffle is let go before the next.
     """
     spark = texts.sparkSession
-    members, meet = _dealt(crowd, percent)
     bits = spark.sparkContext.broadcast(_filter_bits(members))
     sets = texts.mapInArrow(_wanted(k, bits), "node long, grams array<long>").dropDuplicates(["node"])
     sets = cut(members.join(sets, "node"), "sets")
     bits.unpersist()
-    rounds = -(-(meet.agg(F.sum("bytes")).first()[0] or 0) // SHIPPED) or 1
+    rounds = -(-shipped // SHIPPED)
     meet = meet.withColumn("task", F.xxhash64("a", "b"))
     links = None
     for i in range(rounds):
@@ -465,19 +519,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     rows = census.where("node is not null").select("doc_id", "n_shingles", "node")
     known, weight = _ordered(census.where("node is null").groupBy("gram").agg(F.sum("df").alias("df")))
     order = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[order], weight[order]))
-
-    # a row of postings is three numbers: the size, what is asked for, and the slice of the list share one
-    postings = texts.mapInArrow(_postings(k, percent, frequent), "gram long, node long, rest long").withColumn("slice", F.expr("rest & 16777215"))
-    # a list of more than HOT texts is in slices, which are kept whole: it has more than one node but for the rarest case
-    by_gram = Window.partitionBy("gram", "slice")
-    lists = postings.withColumn("low", F.min("node").over(by_gram)).withColumn("high", F.max("node").over(by_gram))
-    lists = lists.withColumn("any_up", F.max(F.expr("rest & 16777216")).over(by_gram)).where("slice > 0 or (low <> high and any_up > 0)")
-    shown = "gram", "node", F.expr("cast((rest >> 32) as int) n"), F.expr("cast(((rest >> 25) & 127) as byte) ask"), F.expr("((rest & 16777216) > 0) as up")
-    live = cut(lists.select(*shown), "postings")
+    ordered = known[order], weight[order]
+    frequent = spark.sparkContext.broadcast(ordered)
+    live = _listed(texts, frequent, k, percent)
     sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    del postings, lists  # so that their shuffle files can go
-    roots = _linked(texts, live, census.where("node is not null").select("node", "sketch"), k, percent)
+    roots = _linked(texts, live, ordered, census.where("node is not null").select("node", "sketch"), k, percent)
     release(spark)
 
     return rows, sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -59,6 +59,36 @@ def test_jaccard_components(rows, docs, monkeypatch, crowd):
     assert sorted(got, key=key) == sorted(components(rows), key=key)
 
 
+def test_crowded_nodes_are_listed_anew_by_what_is_frequent(spark, monkeypatch):
+    """Texts that merely share passages which the first ordering takes for rare: listed by the counts of the crowded lists they don't meet, and all links are found."""
+    monkeypatch.setattr(jaccard_join, "LOCAL_DF", 1 << 30)
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
+    monkeypatch.setattr(jaccard_join, "RELISTED", 0, raising=False)
+    draw = random.Random(7)
+    texts = []
+    for i in range(120):
+        base = [f"w{i}x{j}" for j in range(70)]
+        at = draw.randrange(70)
+        base[at:at] = [f"p{i % 3}y{j}" for j in range(12)]
+        texts.append(" ".join(base))
+        if i % 5 == 0:
+            texts += [" ".join(w if j != 3 * n else "other" for j, w in enumerate(base)) for n in range(3)]
+    table = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    crowds, cut = [], jaccard_join.cut
+
+    def seen(frame, name):
+        out = cut(frame, name)
+        if name == "crowd":
+            crowds.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", seen)
+    got = [tuple(r) for r in jaccard_join.jaccard_components(df).collect()]
+    assert sorted(got, key=key) == sorted(components(table), key=key)
+    assert crowds[0] > 100 and crowds[-1] == 0
+
+
 def test_crowded_lists_meet_by_size_in_bounded_rounds(spark, monkeypatch):
     """Near copies in several sizes around passages that all texts have: the same links in many rounds, and no block meets one of far other sizes."""
     monkeypatch.setattr(jaccard_join, "CROWD", 0)
